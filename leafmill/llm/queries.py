@@ -5,26 +5,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, secrets, shards
+from leafmill.llm import bpe, linededup, mainhtml, quality, secrets, shards
 from leafmill.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_main_text": op5_main_text,
     "op7_shards": op7_shards,
+    "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE}
