@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, linededup, mainhtml, quality, secrets, shards
+from leafmill.llm import ann, bpe, linededup, mainhtml, packing, quality, rollup, secrets, shards
 from leafmill.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = {v: (public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    return rollup.maintained_counts(table(spark, sf_dir, "documents"), versions)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -21,6 +30,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), shards=40)
 
@@ -35,8 +48,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_main_text": op5_main_text,
+    "op6_neighbours": op6_neighbours,
     "op7_shards": op7_shards,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
