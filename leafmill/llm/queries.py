@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import ann, bpe, linededup, mainhtml, packing, quality, rollup, secrets, shards
+from leafmill.llm import ann, bpe, linededup, mainhtml, neardup, packing, quality, rollup, secrets, shards
 from leafmill.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -56,6 +60,7 @@ QUERIES = {
     "op7_shards": op7_shards,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {"op8_line_dedup": linededup.ORACLE}
