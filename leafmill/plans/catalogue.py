@@ -1,4 +1,6 @@
 """The query catalogue: name -> query, name -> the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from leafmill.plans import cache, extract, layout, library, match, state, timeline, urls, voice, writes  # noqa: F401  (each registers its own)
+from leafmill.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
