@@ -13,11 +13,13 @@ register with probability exactly the weighted Jaccard similarity. Points are ma
 fills all registers of nearly every text, and the horizon is doubled for the rest, so a text of n shingles and m registers
 costs about n + m log m points.
 
-Links. Registers are banded; equal bands make buckets. In each bucket documents are tested against leaders, by exact overlap:
-first the smallest id, then more leaders a round among those not attached to one. The overlap distance 1 - J is a metric: if
-x hangs on leader l and y doesn't, x and y can only be linked if J(y, l) >= 2 * SIMILARITY - 1, so just those y are tested
-against the members of l, and only if y and l haven't come into one class meanwhile. Thus every pair of a bucket is linked,
-joined through others, or shown to be no link, without all pairs of a group being made. Links become classes by label propagation with tables in the shared folder.
+Links. Registers are banded; equal bands make buckets. In each bucket documents are tested against leaders, by exact overlap.
+A few bands come first, one leader a bucket; what is linked to a leader hangs on it and leaves, so that a family of near
+copies that holds much of the corpus shrinks before all bands are looked at. Then each bucket has rounds: the smallest id,
+then more leaders a round among those not linked to one. The overlap distance 1 - J is a metric: if x hangs on leader l and
+y doesn't, x and y can only be linked if J(y, l) >= 2 * SIMILARITY - 1, so just those y are tested against what hangs on l,
+and only if y and l haven't come into one class meanwhile. Thus pairs are linked, joined through others, or shown to be no
+link, without all pairs of a group being made. Links become classes by label propagation with tables in the shared folder.
 
 Equal texts are reduced to their smallest id before (by 128-bit digest, with partial aggregation), so copies cost a row.
 Null texts are alike to nothing and stay alone; empty texts and texts of white space are alike only to equal ones. Rows that
@@ -41,6 +43,8 @@ BANDS = 32
 ROWS = 4
 REGISTERS = BANDS * ROWS
 MEMO = 500_000
+#: bands that first shrink great families, a test a document each
+COLLAPSE = 3
 #: leaders of a bucket in the first round, and how many times more in each later one
 GROWTH = 4
 
@@ -215,15 +219,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bucket_links(members: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Leaders' rounds over members, the (bucket, doc) of buckets of two or more.
+def tested(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """doc, leader, j of the pairs that are links or leave room for one with what hangs on the leader."""
+    found = overlaps(pairs.select(F.col("doc").alias("a"), F.col("leader").alias("b")), items).where(F.col("j") >= 2 * similarity - 1)
+    return written(found.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "j"), "tests")
 
-    Returns links (a, b); near (bucket, leader, doc, j), tests that failed but leave room for a link with a document that
-    hangs on the leader; hanging (bucket, leader, x, jx), the documents that do.
+
+def collapsed(active: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rounds: int = COLLAPSE) -> tuple[DataFrame, DataFrame]:
+    """Before all bands are looked at: a test a document and band against the smallest id of its bucket, for a few bands in turn.
+
+    What is linked to a leader hangs on it and leaves, unless others hang on it itself, so a great family of near copies
+    shrinks to a few documents. Returns the documents (doc, bands) that are left, and the tests (doc, leader, j).
     """
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    near = hanging = None
+    tests = None
+    for k in range(rounds):
+        keyed = active.select("doc", F.col("bands")[k].alias("bucket"))
+        leads = keyed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("bucket", "leader")
+        now = tested(keyed.join(leads, "bucket").where("doc > leader").select("doc", "leader"), items, similarity)
+        tests = now if tests is None else tests.union(now)
+        roots = tests.where(F.col("j") >= similarity).select(F.col("leader").alias("doc"))
+        gone = now.where(F.col("j") >= similarity).select("doc").join(roots, "doc", "left_anti").distinct()
+        active = written(active.join(gone, "doc", "left_anti"), "active")
+    return active, tests
+
+
+def bucket_tests(members: DataFrame, items: DataFrame, tests: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Tests (doc, leader, j), those given and those of leaders' rounds over members, the (bucket, doc) of buckets of two or more.
+    A linked document leaves its bucket, unless others hang on it: those can be found through it alone."""
     leaders = 1
     while True:
         if leaders == 1:  # the smallest id, partly found before the shuffle
@@ -231,43 +253,56 @@ def bucket_links(members: DataFrame, items: DataFrame, similarity: float = SIMIL
         else:
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
             first = members.withColumn("r", rank).where(F.col("r") <= leaders).select("bucket", F.col("doc").alias("leader"))
-        tests = members.join(first, "bucket").where(F.col("doc") > F.col("leader"))
-        judged = cut(overlaps(tests.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), items).where(F.col("j") >= 2 * similarity - 1))
-        met = cut(tests.join(judged.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "j"), ["doc", "leader"]))
-        attached, open_ = met.where(F.col("j") >= similarity), met.where(F.col("j") < similarity).select("bucket", "leader", "doc", "j")
-        held = attached.select("bucket", "leader", F.col("doc").alias("x"), F.col("j").alias("jx"))
-        links = links.union(judged.where(F.col("j") >= similarity).select("a", "b"))
-        near, hanging = (open_, held) if near is None else (near.union(open_), hanging.union(held))
-        gone = attached.select("bucket", "doc").union(first.select("bucket", F.col("leader").alias("doc"))).distinct()
-        left = cut(members.join(gone, ["bucket", "doc"], "left_anti"))
-        members = cut(left.join(left.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi"))
+        against = members.join(first, "bucket").where(F.col("doc") > F.col("leader"))
+        now = tested(written(against.select("doc", "leader").distinct(), "pairs"), items, similarity)
+        tests = tests.union(now)
+        roots = tests.where(F.col("j") >= similarity).select(F.col("leader").alias("doc"))
+        linked = now.where(F.col("j") >= similarity).select("doc", "leader").join(roots, "doc", "left_anti")
+        gone = against.join(linked, ["doc", "leader"], "left_semi").select("bucket", "doc").union(first.select("bucket", F.col("leader").alias("doc"))).distinct()
+        left = written(members.join(gone, ["bucket", "doc"], "left_anti"), "left")
+        members = written(left.join(left.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi"), "members")
         if members.isEmpty():
-            return links, near, hanging
+            return tests
         leaders *= GROWTH
 
 
-def joined_links(members: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc, class over all links of all buckets. What hangs on different leaders is compared only where their classes still differ."""
-    links, near, hanging = bucket_links(members, items, similarity)
+def joined(tests: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc, class over all links. What hangs on a leader is compared with what is near that leader only where their classes differ."""
+    linked, near = tests.where(F.col("j") >= similarity), tests.where(F.col("j") < similarity)
+    links = linked.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
     labels = components(links)
     of_doc, of_leader = labels.select("doc", F.col("class").alias("c1")), labels.select(F.col("doc").alias("leader"), F.col("class").alias("c2"))
-    apart = near.join(of_doc, "doc", "left").join(of_leader, "leader", "left").where(F.coalesce("c1", "doc") != F.coalesce("c2", "leader"))
-    cross = apart.join(hanging, ["bucket", "leader"]).where((F.col("jx") - F.col("j") <= 1 - similarity) & (F.col("doc") != F.col("x")))
-    more = cut(overlaps(cross.select(F.greatest("doc", "x").alias("a"), F.least("doc", "x").alias("b")).distinct(), items).where(F.col("j") >= similarity).select("a", "b"))
+    apart = near.join(of_doc, "doc", "left").join(of_leader, "leader").where(F.coalesce("c1", "doc") != F.col("c2")).select("doc", "leader", "j")
+    hanging = linked.select("leader", F.col("doc").alias("x"), F.col("j").alias("jx"))
+    cross = apart.join(hanging, "leader").where((F.col("jx") - F.col("j") <= 1 - similarity) & (F.col("doc") != F.col("x")))
+    pairs = written(cross.select(F.greatest("doc", "x").alias("a"), F.least("doc", "x").alias("b")).distinct(), "pairs")
+    more = written(overlaps(pairs, items).where(F.col("j") >= similarity).select("a", "b"), "links")
     return labels if more.isEmpty() else components(links.union(more))
 
 
+def crowded(banded: DataFrame) -> DataFrame:
+    """The rows (bucket, doc) of buckets with two documents or more."""
+    full = banded.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket")
+    return banded.join(full, "bucket", "left_semi")
+
+
 def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc, class: of every document with an id; class is its own id where nothing is alike."""
     signed = written(signatures(documents), "signatures")
-    texts_ = signed.groupBy("d1", "d2").agg(F.min("doc").alias("keep"), F.first("bands").alias("bands"))
-    firsts = written(texts_, "distinct-texts")
-    banded = firsts.where("bands is not null").select(F.col("keep").alias("doc"), F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket")
-    members = written(banded.join(crowded, "bucket", "left_semi"), "buckets")
-    items = written(contents(documents, members.select("doc").distinct()), "contents")
-    labels = joined_links(members, items, similarity)
-    classes = firsts.select("d1", "d2", F.col("keep").alias("doc")).join(labels, "doc", "left").select("d1", "d2", F.coalesce("class", "doc").alias("class"))
+    firsts = written(signed.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")), "distinct-texts")
+    active = firsts.where("bands is not null").select("doc", "bands")
+
+    def banded(docs: DataFrame, bands: F.Column) -> DataFrame:
+        return docs.select("doc", F.explode(bands).alias("bucket"))
+
+    first = written(crowded(banded(active, F.slice("bands", 1, COLLAPSE))).select("doc").distinct(), "wanted")
+    items = written(contents(documents, first), "contents")
+    active, tests = collapsed(active, items, similarity)
+    members = written(crowded(banded(active, F.col("bands"))), "members")
+    wanted = members.select("doc").distinct().join(first, "doc", "left_anti")
+    items = items.union(written(contents(documents, wanted), "contents"))
+    labels = joined(bucket_tests(members, items, tests, similarity), items, similarity)
+    classes = firsts.select("d1", "d2", "doc").join(labels, "doc", "left").select("d1", "d2", F.coalesce("class", "doc").alias("class"))
     return signed.select("doc", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc").agg(F.min("class").alias("class"))
 
 
