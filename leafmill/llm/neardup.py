@@ -13,13 +13,15 @@ register with probability exactly the weighted Jaccard similarity. Points are ma
 fills all registers of nearly every text, and the horizon is doubled for the rest, so a text of n shingles and m registers
 costs about n + m log m points.
 
-Links. Registers are banded; equal bands make buckets. In each bucket documents are tested against leaders, by exact overlap.
-A few bands come first, one leader a bucket; what is linked to a leader hangs on it and leaves, so that a family of near
-copies that holds much of the corpus shrinks before all bands are looked at. Then each bucket has rounds: the smallest id,
-then more leaders a round among those not linked to one. The overlap distance 1 - J is a metric: if x hangs on leader l and
-y doesn't, x and y can only be linked if J(y, l) >= 2 * SIMILARITY - 1, so just those y are tested against what hangs on l,
-and only if y and l haven't come into one class meanwhile. Thus pairs are linked, joined through others, or shown to be no
-link, without all pairs of a group being made. Links become classes by label propagation with tables in the shared folder.
+Links. Registers are banded; equal bands make buckets. A few bands come first: each document is tested, by exact overlap,
+against the smallest id of its bucket; what is linked to it hangs on it and leaves, so that a family of near copies that
+holds much of the corpus shrinks. Then all bands of the rest: buckets of two are tested as pairs, each pair once; greater
+ones are groups, dealt into blocks of bounded size, and each pair of blocks is a piece of work that computes all its exact
+overlaps as products of 0-1 matrices and returns a spanning forest of its links, never its pairs; buckets of the very same
+documents are one group. The overlap distance 1 - J is a metric: if x hangs on leader l, x and y can only be linked if
+J(y, l) >= 2 * SIMILARITY - 1, so just those y meet what hangs on l, and only if y and l haven't come into one class
+meanwhile. Thus every pair of a bucket is linked, joined through others, or shown to be no link. Links become classes by
+label propagation with tables in the shared folder.
 
 Equal texts are reduced to their smallest id before (by 128-bit digest, with partial aggregation), so copies cost a row.
 Null texts are alike to nothing and stay alone; empty texts and texts of white space are alike only to equal ones. Rows that
@@ -33,7 +35,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leafmill.llm.common import cut, texts, written
 
@@ -45,8 +46,8 @@ REGISTERS = BANDS * ROWS
 MEMO = 500_000
 #: bands that first shrink great families, a test a document each
 COLLAPSE = 3
-#: leaders of a bucket in the first round, and how many times more in each later one
-GROWTH = 4
+#: documents, and shingles of documents, in a block
+BLOCK_DOCS, BLOCK_ITEMS = 512, 600_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -157,28 +158,30 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc, d1, d2 (digest of the text), bands (null without a word) for each row with an id and a text."""
+    """doc, d1, d2 (digest of the text), n (shingles), bands (null without a word) for each row with an id and a text."""
 
     def each(batches):
         memo: dict[bytes, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            firsts, seconds, bags = [], [], []
+            firsts, seconds, sizes, bags = [], [], [], []
             for text in texts(batch):
                 d = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
                 firsts.append((d >> 64) - (1 << 63))
                 seconds.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                bags.append(np.unique(shingle_hashes(text, memo), return_counts=True))
+                h = shingle_hashes(text, memo)
+                sizes.append(len(h))
+                bags.append(np.unique(h, return_counts=True))
             bands: list = [None] * len(bags)
             there = [i for i, b in enumerate(bags) if len(b[0])]
             for part in in_groups([int(bags[i][1].sum()) + 1_000 for i in there]):
                 for i, row in zip(there[part], band_hashes(bag_minhash([bags[i] for i in there[part]])).view(np.int64), strict=True):
                     bands[i] = row
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "d1", "d2", "n", "bands"])
 
     narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return narrow.mapInArrow(each, "doc long, d1 long, d2 long, bands array<long>")
+    return narrow.mapInArrow(each, "doc long, d1 long, d2 long, n long, bands array<long>")
 
 
 def contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def collapsed(active: DataFrame, items: DataFrame, similarity: float = SIMILARIT
     """Before all bands are looked at: a test a document and band against the smallest id of its bucket, for a few bands in turn.
 
     What is linked to a leader hangs on it and leaves, unless others hang on it itself, so a great family of near copies
-    shrinks to a few documents. Returns the documents (doc, bands) that are left, and the tests (doc, leader, j).
+    shrinks to a few documents. Returns the documents that are left, and the tests (doc, leader, j).
     """
     tests = None
     for k in range(rounds):
@@ -243,65 +246,106 @@ def collapsed(active: DataFrame, items: DataFrame, similarity: float = SIMILARIT
     return active, tests
 
 
-def bucket_tests(members: DataFrame, items: DataFrame, tests: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Tests (doc, leader, j), those given and those of leaders' rounds over members, the (bucket, doc) of buckets of two or more.
-    A linked document leaves its bucket, unless others hang on it: those can be found through it alone."""
-    leaders = 1
-    while True:
-        if leaders == 1:  # the smallest id, partly found before the shuffle
-            first = members.groupBy("bucket").agg(F.min("doc").alias("leader"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
-            first = members.withColumn("r", rank).where(F.col("r") <= leaders).select("bucket", F.col("doc").alias("leader"))
-        against = members.join(first, "bucket").where(F.col("doc") > F.col("leader"))
-        now = tested(written(against.select("doc", "leader").distinct(), "pairs"), items, similarity)
-        tests = tests.union(now)
-        roots = tests.where(F.col("j") >= similarity).select(F.col("leader").alias("doc"))
-        linked = now.where(F.col("j") >= similarity).select("doc", "leader").join(roots, "doc", "left_anti")
-        gone = against.join(linked, ["doc", "leader"], "left_semi").select("bucket", "doc").union(first.select("bucket", F.col("leader").alias("doc"))).distinct()
-        left = written(members.join(gone, ["bucket", "doc"], "left_anti"), "left")
-        members = written(left.join(left.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            return tests
-        leaders *= GROWTH
+def forest(docs: list[int], items: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents, from the exact overlaps of all their pairs: products of 0-1 matrices
+    over the items that two of them have at least, a stretch of items at a time."""
+    n = len(docs)
+    sizes = np.array([len(x) for x in items], np.float64)
+    _, which, counts = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    kept = shared[which]
+    owner, which = owner[kept], column[which[kept]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    both = np.zeros((n, n))
+    for low in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(which, (low, low + 4096))
+        m = np.zeros((n, 4096), np.float32)
+        m[owner[a:b], which[a:b] - low] = 1
+        both += m @ m.T
+    linked = both >= similarity * (sizes[:, None] + sizes[None, :] - both) * (1 - 1e-12)
+    out, unseen = [], np.ones(n, bool)
+    for root in range(n):
+        if not unseen[root]:
+            continue
+        unseen[root], reached = False, [root]
+        while reached:
+            i = reached.pop()
+            new = np.flatnonzero(linked[i] & unseen)
+            unseen[new] = False
+            out += [(docs[i], docs[j]) for j in new.tolist()]
+            reached += new.tolist()
+    return out
+
 
+def links_within(groups: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links that join all linked documents of each group (key, doc, n). A group is dealt into blocks of bounded size,
+    each pair of blocks is one piece of work, and a piece returns a forest, never its pairs."""
+    blocks = groups.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "key").withColumn("p", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("p")))
+    pieces = placed.select("key", "doc", "p", F.explode(others).alias("q")).select("key", "doc", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
 
-def joined(tests: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    def each(batches):
+        key, docs, held = None, [], []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k, doc, item in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q")), strict=True), batch.column("doc").to_pylist(), batch.column("items"), strict=True):
+                if k != key:
+                    found += forest(docs, held, similarity) if len(docs) > 1 else []
+                    key, docs, held = k, [], []
+                docs.append(doc)
+                held.append(item.values.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["a", "b"])
+        found = forest(docs, held, similarity) if len(docs) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+    whole = pieces.join(items, "doc").select("key", "p", "q", "doc", "items")
+    dealt = whole.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return written(dealt.mapInArrow(each, "a long, b long").distinct(), "links")
+
+
+def joined(tests: DataFrame, links: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc, class over all links. What hangs on a leader is compared with what is near that leader only where their classes differ."""
     linked, near = tests.where(F.col("j") >= similarity), tests.where(F.col("j") < similarity)
-    links = linked.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    links = links.union(linked.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
     labels = components(links)
     of_doc, of_leader = labels.select("doc", F.col("class").alias("c1")), labels.select(F.col("doc").alias("leader"), F.col("class").alias("c2"))
-    apart = near.join(of_doc, "doc", "left").join(of_leader, "leader").where(F.coalesce("c1", "doc") != F.col("c2")).select("doc", "leader", "j")
-    hanging = linked.select("leader", F.col("doc").alias("x"), F.col("j").alias("jx"))
-    cross = apart.join(hanging, "leader").where((F.col("jx") - F.col("j") <= 1 - similarity) & (F.col("doc") != F.col("x")))
-    pairs = written(cross.select(F.greatest("doc", "x").alias("a"), F.least("doc", "x").alias("b")).distinct(), "pairs")
-    more = written(overlaps(pairs, items).where(F.col("j") >= similarity).select("a", "b"), "links")
+    apart = near.join(of_doc, "doc", "left").join(of_leader, "leader").where(F.coalesce("c1", "doc") != F.col("c2"))
+    hanging = linked.join(apart.select("leader").distinct(), "leader", "left_semi")
+    group = apart.select(F.col("leader").alias("key"), "doc").union(hanging.select(F.col("leader").alias("key"), "doc")).distinct()
+    sized = group.join(items.select("doc", F.size("items").cast("long").alias("n")), "doc").select("key", "doc", "n")
+    more = links_within(sized, items, similarity)
     return labels if more.isEmpty() else components(links.union(more))
 
 
-def crowded(banded: DataFrame) -> DataFrame:
-    """The rows (bucket, doc) of buckets with two documents or more."""
-    full = banded.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket")
-    return banded.join(full, "bucket", "left_semi")
-
-
 def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc, class: of every document with an id; class is its own id where nothing is alike."""
     signed = written(signatures(documents), "signatures")
-    firsts = written(signed.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")), "distinct-texts")
-    active = firsts.where("bands is not null").select("doc", "bands")
+    firsts = written(signed.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-texts")
+    active = firsts.where("bands is not null").select("doc", "n", "bands")
 
-    def banded(docs: DataFrame, bands: F.Column) -> DataFrame:
-        return docs.select("doc", F.explode(bands).alias("bucket"))
+    def crowded(docs: DataFrame, bands: F.Column) -> DataFrame:
+        """bucket, doc, n, lo, hi, size over the buckets of two documents or more."""
+        rows = docs.select("doc", "n", F.explode(bands).alias("bucket"))
+        full = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        return rows.join(full, "bucket")
 
-    first = written(crowded(banded(active, F.slice("bands", 1, COLLAPSE))).select("doc").distinct(), "wanted")
+    first = written(crowded(active, F.slice("bands", 1, COLLAPSE)).select("doc").distinct(), "wanted")
     items = written(contents(documents, first), "contents")
     active, tests = collapsed(active, items, similarity)
-    members = written(crowded(banded(active, F.col("bands"))), "members")
+    members = written(crowded(active, F.col("bands")), "members")
     wanted = members.select("doc").distinct().join(first, "doc", "left_anti")
     items = items.union(written(contents(documents, wanted), "contents"))
-    labels = joined(bucket_tests(members, items, tests, similarity), items, similarity)
+    pairs = members.where("size = 2 and doc = lo").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct()
+    couples = written(overlaps(pairs, items).where(F.col("j") >= similarity).select("a", "b"), "links")
+    # buckets of the same documents, as many bands make of one family, are one group
+    crowds = members.where("size > 2").groupBy("bucket").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("key"), F.first("lo").alias("lo"), F.first("size").alias("size"))
+    once = crowds.groupBy("key", "lo", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
+    groups = members.where("size > 2").join(once, "bucket", "left_semi").select(F.col("bucket").alias("key"), "doc", "n")
+    labels = joined(tests, couples.union(links_within(groups, items, similarity)), items, similarity)
     classes = firsts.select("d1", "d2", "doc").join(labels, "doc", "left").select("d1", "d2", F.coalesce("class", "doc").alias("class"))
     return signed.select("doc", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc").agg(F.min("class").alias("class"))
 
