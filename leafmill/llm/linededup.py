@@ -65,7 +65,8 @@ def repeated_keys(keys: DataFrame, least: int = 2) -> DataFrame:
 def dropped_keys(documents: DataFrame, least: int = 2) -> DataFrame:
     """doc, drops: for each document the hashes of the keys whose lines it loses, 16 bytes each, end to end."""
     keys = written(line_keys(documents), "line-keys")
-    lost = keys.join(repeated_keys(keys, least), ["h1", "h2"]).where(F.col("doc") > F.col("keeper"))
+    # written as well, so that both sides of the join are dealt anew and a very common line's partition can be split
+    lost = keys.join(written(repeated_keys(keys, least), "repeated-lines"), ["h1", "h2"]).where(F.col("doc") > F.col("keeper"))
     as_bytes = F.to_binary(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")), F.lit("hex"))
     return lost.select("doc", as_bytes.alias("h")).groupBy("doc").agg(F.collect_set("h").alias("drops"))
 
