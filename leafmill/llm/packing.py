@@ -20,11 +20,13 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_map, texts, written
+from leafmill.llm.common import arrow_map, written
 
 SEQUENCE = 4096
 WINDOW = 16 * SEQUENCE
@@ -33,32 +35,105 @@ CHUNKS = 1024
 SPAN = 64
 FAN = 4096
 END_ID = 2
-MEMO = 600_000
+#: words that a task remembers before it starts anew
+MEMO = 2_000_000
+#: bytes of the texts that are encoded together
+TOGETHER = 10_000_000
 
 
 class WordIds:
-    """Ids by a `tokenizers` file. Its patterns never match across ASCII white space, so words are encoded once and remembered."""
+    """Ids by a `tokenizers` file with word ends, lower case and NFC. Its patterns never match across ASCII white space, so
+    words are encoded once and remembered, as Arrow and numpy arrays. Words of letters alone go to the tokenizer in one text
+    and are told apart by the tokens that end a word; a full stop or comma after such a word is a pre-token of its own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
-
-    def packed(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, memo = text.encode("utf-8", "surrogatepass").split(), self.memo
-        new = set(words).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set(words)
-        if new:
-            new = list(new)
-            for word, found in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                memo[word] = array("I", found.ids).tobytes()
-        return b"".join([memo[w] for w in words])
+        # the same model for words that need no rewriting: lower case, NFC, one run of letters each
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.marks = [self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.stops, self.pool = np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    @staticmethod
+    def of_letters(words: pa.Array) -> pa.Array:
+        """Which words are one run of letters that the tokenizer's rewriting leaves as they are."""
+        return pc.and_(pc.utf8_is_alpha(words), pc.and_(pc.equal(pc.utf8_lower(words), words), pc.equal(pc.utf8_normalize(words, "NFC"), words)))
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and where each word's stop."""
+        found = self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+        return np.array([i for x in found for i in x.ids], "<u4"), np.cumsum([len(x.ids) for x in found], dtype=np.int64)
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Remembers words, and says at which place each one is."""
+        letters = self.of_letters(new)
+        plain, others = new.filter(letters), new.filter(pc.invert(letters))
+        ids = np.zeros(0, "<u4")
+        if len(plain):
+            ids = np.array(self.letters.encode_batch_fast([" ".join(plain.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(plain):
+            ids, stops = self.encoded(plain)
+        rest, rest_stops = self.encoded(others)
+        is_plain = letters.to_numpy(zero_copy_only=False)
+        places = np.empty(len(new), np.int64)
+        places[is_plain], places[~is_plain] = len(self.known) + np.arange(len(plain)), len(self.known) + len(plain) + np.arange(len(others))
+        self.known = pa.concat_arrays([self.known, plain, others])
+        self.stops = np.concatenate((self.stops, len(self.pool) + stops, len(self.pool) + len(ids) + rest_stops))
+        self.pool = np.concatenate((self.pool, ids, rest))
+        return places
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """At which place each distinct word is remembered, those that are new after the tokenizer has seen them."""
+        found = pc.index_in(words, self.known)
+        if len(self.known) + found.null_count > MEMO:
+            self.forget()
+            return self.learn(words)
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            at[at < 0] = self.learn(words.filter(pc.is_null(found)))
+        return at
+
+    def packed(self, whole: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and the end. ASCII letters may be lower-cased first, the tokenizer
+        does it anyway. Arrow's dictionary tells the distinct words; texts are put together from them by position."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        # a word of letters with a stop or comma is looked up without it
+        tail, core = pc.utf8_slice_codeunits(distinct, -1), pc.utf8_slice_codeunits(distinct, 0, -1)
+        mark = pc.if_else(self.of_letters(core), pc.fill_null(pc.index_in(tail, pa.array([".", ","])), -1), -1).to_numpy(zero_copy_only=False)
+        bases = pc.if_else(pa.array(mark >= 0), core, distinct).dictionary_encode()
+        at = self.places(bases.dictionary)[bases.indices.to_numpy(zero_copy_only=False)]
+        sizes = np.diff(self.stops)
+        pool, stops = gathered(self.pool, self.stops[:-1], sizes[at] + (mark >= 0), at)
+        for m, token in enumerate(self.marks):
+            pool[stops[mark == m] - 1] = token
+        lengths = np.diff(stops, prepend=0)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        tokens, stops = gathered(pool, stops - lengths, lengths[which], which)
+        bounds = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))].tolist()
+        return [tokens[a:b].tobytes() + end for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of the pool end to end, `lengths` from the starts of `which`; and where each one stops. A stretch may reach
+    past the pool's end by what the caller writes over."""
+    stops = np.cumsum(lengths)
+    at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts[which] - (stops - lengths), lengths)
+    return pool[np.minimum(at, max(0, len(pool) - 1))] if len(pool) else np.zeros(len(at), pool.dtype), stops
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -75,7 +150,10 @@ def tokenised(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFram
     end = array("I", [end_id]).tobytes()
 
     def each(batch: pa.RecordBatch, words: WordIds) -> dict:
-        ids = [words.packed(t) + end for t in texts(batch)]
+        whole = batch.column("text").fill_null("")
+        sizes = np.cumsum(pc.binary_length(whole).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *np.flatnonzero(np.diff(sizes // TOGETHER)).tolist(), len(whole)]
+        ids = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in words.packed(whole.slice(a, b - a), end)]
         return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "n": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
