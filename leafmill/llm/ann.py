@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.llm.common import in_arrow
+
 CENTROIDS = 64
 SAMPLE = 20_000
 SHARE = 0.5
@@ -114,7 +116,7 @@ def search(vectors: DataFrame, queries: F.Column | str, k: int = 10, id_column:
                 x = matrix(batch.column("v"))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(nearest(x[:, :half], c1).astype(np.int32)), pa.array(nearest(x[:, half:], c2).astype(np.int32))], ["vec_id", "v", "c1", "c2"])
 
-    index = rows.mapInArrow(assign, "vec_id long, v array<double>, c1 int, c2 int")
+    index = in_arrow(rows, assign, "vec_id long, v array<double>, c1 int, c2 int")
     counts = np.zeros((len(c1), len(c2)), np.int64)  # centroids squared at most
     for r in index.groupBy("c1", "c2").count().collect():
         counts[r[0], r[1]] = r[2]
@@ -145,7 +147,7 @@ def search(vectors: DataFrame, queries: F.Column | str, k: int = 10, id_column:
             yield pa.RecordBatch.from_arrays([taken.column("vec_id"), taken.column("v"), pa.array(first, pa.int32()), pa.array(masks, pa.binary())], ["vec_id", "v", "c1", "mask"])
 
     dealt_queries = (
-        asked.mapInArrow(visit, "vec_id long, v array<double>, c1 int, mask binary")
+        in_arrow(asked, visit, "vec_id long, v array<double>, c1 int, mask binary")
         .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of - 1)))
     )

@@ -50,6 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: bytes of an Arrow batch between the JVM and Python; both sides hold several batches a task, and texts can be long
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded size, whatever the length of the rows."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(key).rstrip("b") == str(64 * 1024 * 1024):  # Spark's own default; a setting of the caller's stays
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], setup: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow where `each` turns a batch into columns by name; setup() runs once a task and its value goes along."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -63,7 +75,7 @@ def arrow_map(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], Itera
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

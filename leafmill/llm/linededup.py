@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_map, document_key, texts, written
+from leafmill.llm.common import arrow_map, document_key, in_arrow, texts, written
 
 MIN_CHARS = 10
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -121,7 +121,7 @@ def drop_lines(documents: DataFrame, least: int = 2, length_column: str = "n_cha
                 columns[length_column] = pa.array([old if x is None else len(x) for x, old in zip(new, batch.column(length_column).to_pylist(), strict=True)], pa.int64()).cast(batch.column(length_column).type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return _with_drops(documents, least).select(*(f"`{n}`" for n in names), "_drops").mapInArrow(each, documents.schema)
+    return in_arrow(_with_drops(documents, least).select(*(f"`{n}`" for n in names), "_drops"), each, documents.schema)
 
 
 #: The same in DuckDB's SQL.

@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, texts, written
+from leafmill.llm.common import cut, in_arrow, texts, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
 REGISTERS = BANDS * ROWS
-MEMO = 500_000
+MEMO = 300_000
 #: bands that first shrink great families, a test a document each
 COLLAPSE = 3
 #: documents, and shingles of documents, in a block
@@ -181,7 +181,7 @@ def signatures(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "d1", "d2", "n", "bands"])
 
     narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return narrow.mapInArrow(each, "doc long, d1 long, d2 long, n long, bands array<long>")
+    return in_arrow(narrow, each, "doc long, d1 long, d2 long, n long, bands array<long>")
 
 
 def contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(items, pa.list_(pa.int64()))], ["doc", "items"])
 
     narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return narrow.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(each, "doc long, items array<long>")
+    return in_arrow(narrow.join(wanted.hint("shuffle_hash"), "doc", "left_semi"), each, "doc long, items array<long>")
 
 
 def overlaps(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def links_within(groups: DataFrame, items: DataFrame, similarity: float = SIMILA
 
     whole = pieces.join(items, "doc").select("key", "p", "q", "doc", "items")
     dealt = whole.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return written(dealt.mapInArrow(each, "a long, b long").distinct(), "links")
+    return written(in_arrow(dealt, each, "a long, b long").distinct(), "links")
 
 
 def joined(tests: DataFrame, links: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

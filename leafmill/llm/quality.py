@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, arrow_map, texts
+from leafmill.llm.common import ASCII_SPACE, arrow_map, in_arrow, texts
 
 N = 4
 BUCKETS = 1 << 15
@@ -139,7 +139,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], ["bucket", "n_raw", "n_target"])
 
     counted = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket long, n_raw long, n_target long")
+        in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), count, "bucket long, n_raw long, n_target long")
         .groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target")).toPandas()  # BUCKETS rows at most
     )
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -191,4 +191,4 @@ def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THR
         for batch in batches:
             yield batch.filter(pa.array([judge(t, ratios.value, memo, threshold)[-1] for t in texts(batch)], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return in_arrow(documents, keep, documents.schema)

@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import arrow_map, texts
+from leafmill.llm.common import arrow_map, in_arrow, texts
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: group 2 of 6 characters or more; letters of the names in either (ASCII) case
@@ -148,4 +148,4 @@ def redact_secrets(documents: DataFrame, text_column: str = "text", length_colum
                 columns[length_column] = pa.array([old if x is None else len(x) for x, old in zip(new, batch.column(length_column).to_pylist(), strict=True)], pa.int64()).cast(kind)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return documents.mapInArrow(each, documents.schema)
+    return in_arrow(documents, each, documents.schema)
