@@ -1 +1,131 @@
-"""Queries."""
+"""Queries over keyed state."""
+
+from pyspark.sql import functions as F
+
+from leafmill.plans.base import frame, query, values
+from leafmill.sources import adapters as src
+from leafmill.streaming import state as s
+
+
+def _events(spark, sf_dir):
+    return src.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")
+
+
+_RATE = """with recursive e as (select user_id as key, event_id as id, ts, row_number() over (partition by user_id order by ts, event_id) as ord from events),
+f as (select key, id, ts, ord, ts as opened, 1 as n from e where ord = 1 union all select e.key, e.id, e.ts, e.ord, case when e.ts >= f.opened + interval 86400 second then e.ts else f.opened end, case when e.ts >= f.opened + interval 86400 second then 1 else f.n + 1 end from f join e on e.key = f.key and e.ord = f.ord + 1)
+select key, id, n <= 2 as allowed, greatest(0, 2 - n) as remaining from f"""
+
+
+@query(_RATE)
+def rate_limit_fold(spark, sf_dir):
+    return s.rate_limited(_events(spark, sf_dir), 2, 86_400)
+
+
+@query(_RATE)
+def stream_rate_limit(spark, sf_dir):
+    """The same from a stream that keeps its state between batches."""
+    events = s.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    return s.run_to_end(s.stream_rate_limit(events, 2, 86_400), spark)
+
+
+_LEASE = """with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as prev from events), g as (select key, ts, sum(case when prev is null or ts >= prev + interval 7200 second then 1 else 0 end) over (partition by key order by ts) as g from e)
+select key, min(ts) as start, max(ts) + interval 7200 second as until, count(*) as beats from g group by key, g"""
+
+
+@query(_LEASE)
+def lease_sessions(spark, sf_dir):
+    return s.leases(_events(spark, sf_dir), 7200)
+
+
+@query()
+def stream_lease_sessions(spark, sf_dir):
+    """Leases out of a stream; those that the watermark hasn't passed yet don't come out."""
+    events = s.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return s.run_to_end(s.stream_leases(events, 7200), spark)
+
+
+@query("""with e as (select user_id as key, event_id as ord, (event_id * 13) % 101 + event_id // 50 as generation from events) select key, ord, generation from (select *, max(generation) over (partition by key order by ord rows between unbounded preceding and 1 preceding) as m from e) where m is null or generation >= m""")
+def generation_guard(spark, sf_dir):
+    e = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), ((F.col("event_id") * 13) % 101 + F.floor(F.col("event_id") / 50)).alias("generation"))
+    return s.guarded_by_generation(e)
+
+
+@query("""select event_id as id, user_id as key, event_id % 3 as epoch from events where event_id % 3 = case when user_id % 4 = 0 then 0 else user_id % 3 end""")
+def late_writes(spark, sf_dir):
+    e = src.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("epoch"))
+    epochs = e.where("key % 4 <> 0").select("key", (F.col("key") % 3).alias("epoch")).distinct()
+    return s.committed_in_time(e, epochs).select("id", "key", "epoch")
+
+
+@query("""with l as (select user_id as key, event_id as id, event_type as kind, ts, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) select key, id, kind, ts from l where r = 1 and ts >= timestamp '2024-01-30 00:00:00' - interval 172800 second""")
+def latest_event(spark, sf_dir):
+    return s.latest(_events(spark, sf_dir), F.lit("2024-01-30 00:00:00").cast("timestamp"), 86_400 * 2)
+
+
+@query("""with n as (select user_id as key, ts, event_id as id, lead(ts) over (partition by user_id order by ts, event_id) as n from events) select key, id from n where n is null or epoch_us(n) - epoch_us(ts) > 3600000000""")
+def debounce(spark, sf_dir):
+    return s.debounced(_events(spark, sf_dir), 3_600_000).select("key", "id")
+
+
+@query("""with n as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts, event_id) as since from events) select key, since, ts, (epoch_us(ts) - epoch_us(since)) / 1e6 as gap from n where (epoch_us(ts) - epoch_us(since)) / 1e6 > 86400""")
+def stall_gaps(spark, sf_dir):
+    return s.stalls(_events(spark, sf_dir), 86_400)
+
+
+@query("""select user_id as key, cast(floor(epoch(ts) / 3600) as bigint) as bucket, arg_max(value, (ts, event_id)) as value from events group by all""")
+def coalesced_bookmarks(spark, sf_dir):
+    return s.coalesced(_events(spark, sf_dir), 3600)
+
+
+@query("""with r as (select user_id as key, value as ms, row_number() over (partition by user_id order by event_id desc) as r from events), t as (select key, list_sort(list(ms) filter (where r <= 50)) as t, count(*) as count, floor(avg(ms) + 0.5)::bigint as mean, floor(max(ms) + 0.5)::bigint as max from r group by key)
+select key, count, mean, max, floor(t[floor(len(t) / 2)::int + 1] + 0.5)::bigint as p50, floor(t[least(len(t) - 1, floor(len(t) * 0.95)::int) + 1] + 0.5)::bigint as p95 from t""")
+def timing_summary(spark, sf_dir):
+    e = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("value").alias("ms"))
+    return s.timing(e)
+
+
+@query("""with l as (select ['joined', 'started', 'finished', 'cancelled'][1 + event_id % 4] as kind, case when event_id % 4 = 1 then event_id % 977 / 10.0::double end as wait_ms from events)
+select count(*) filter (where kind = 'joined') as joined, count(*) filter (where kind = 'started') as started, count(*) filter (where kind = 'finished') as finished, count(*) filter (where kind = 'cancelled') as cancelled, count(wait_ms) as waits, round(sum(wait_ms), 3) as wait_total, max(wait_ms) as wait_max from l""")
+def queue_stats(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("joined", "started", "finished", "cancelled")))
+    e = src.table(spark, sf_dir, "events")
+    return s.queue_stats(e.select(kinds[(F.col("event_id") % 4).cast("int")].alias("kind"), F.when(F.col("event_id") % 4 == 1, F.col("event_id") % 977 / 10.0).alias("wait_ms")))
+
+
+PHASES = ["received", "reading", "read", "looked", "done", "failed"]
+
+
+@query(f"""with e as (select user_id as key, event_id as ord, {PHASES!r}[1 + (event_id * 7) % case when user_id % 3 = 0 then 6 else 4 end] as phase from events), r as (select *, list_position({PHASES!r}, phase) as p from e)
+select key, arg_max(phase, (p, ord)) as phase, count(*) as events, arg_max(phase, (p, ord)) in ('done', 'failed') as ended from r group by key""")
+def staged_progress(spark, sf_dir):
+    names = F.array(*map(F.lit, PHASES))
+    e = src.table(spark, sf_dir, "events")
+    at = (F.col("event_id") * 7) % F.when(F.col("user_id") % 3 == 0, 6).otherwise(4)
+    return s.progress_state(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), names[at.cast("int")].alias("phase")), PHASES)
+
+
+_CATALOGUES = [(1, None, None, True), (2, None, 30, True), (3, 100, 100, True), (4, 4000, 4000, True), (5, 4000, 10, True), (6, 100, 10, False), (7, 100, 100, False)]
+
+
+@query(f"""with {values("c", "id long, age long, since long, complete boolean", _CATALOGUES)} select id, case when age is null and not coalesce(since < 60, false) then 'missing' when age is null then 'waiting' when not complete then case when since < 60 then 'partial' else 'stale' end when age < 3600 then 'fresh' when since < 60 then 'waiting' else 'stale' end as state from c""")
+def catalogue_state(spark, sf_dir):
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    ago = lambda c: F.timestamp_add("SECOND", -F.col(c), now)
+    c = frame(spark, "id long, age long, since long, complete boolean", _CATALOGUES)
+    return c.select("id", s.catalogue_state(ago("age"), ago("since"), F.col("complete"), now).alias("state"))
+
+
+@query()
+def ticket_lifecycle(spark, sf_dir):
+    """A ticket for each user, its commands the user's events in order."""
+    names = F.array(*map(F.lit, ("create", "claim", "ready", "error", "retry")))
+    e = src.table(spark, sf_dir, "events")
+    return s.tickets(e.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("ticket"), F.col("event_id").alias("ord"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), names[(F.col("event_id") % 5).cast("int")].alias("command")), ttl=10 * 86_400)
+
+
+@query()
+def job_queue(spark, sf_dir):
+    """A queue for each kind of event: what started when, what joined, what was cancelled."""
+    e = src.table(spark, sf_dir, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
+    return s.queue_runs(e.select(F.col("event_type").alias("queue"), F.col("event_id").alias("ord"), at.alias("at"), F.concat(F.lit("j"), (F.col("user_id") % 20).cast("string")).alias("job"), (F.lit(300.0) + F.col("event_id") % 1200).alias("work"), (F.col("event_id") % 3 == 0).alias("speculative"), (at + 600 + F.col("event_id") % 900).alias("leave")))
