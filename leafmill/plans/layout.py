@@ -1 +1,188 @@
-"""Queries."""
+"""Queries over laid-out text: driver tables stand in for lines and runs."""
+
+from pyspark.sql import functions as F
+
+from leafmill.operators import layout as lay
+from leafmill.plans.base import frame, query, values
+from leafmill.sources import adapters as src
+
+
+# line numbers repeat within an order
+def _ord():
+    return (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("ord")
+
+
+@query("""with s as (select l_orderkey as doc, l_quantity as size, sum(length(l_returnflag || l_linestatus) + l_linenumber) as w, min(l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint)) as o from lineitem group by all) select doc, arg_max(size, (w, -o)) as mode from s group by doc""")
+def weighted_mode(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").alias("size"), (F.lit(2) + F.col("l_linenumber")).alias("w"), _ord())
+    return lay.weighted_mode(rows, ["doc"], "size", "w", "ord")
+
+
+@query("""with l as (select l_orderkey as doc, list_sort(list(l_extendedprice)) as v from lineitem group by 1) select doc, v[least(len(v) - 1, floor(len(v) * 0.15)::int) + 1] as p15, v[least(len(v) - 1, floor(len(v) * 0.92)::int) + 1] as p92 from l""")
+def nearest_rank_percentile(spark, sf_dir):
+    g = src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list("l_extendedprice").alias("v"))
+    return g.select("doc", lay.nearest_rank(F.col("v"), 0.15).alias("p15"), lay.nearest_rank(F.col("v"), 0.92).alias("p92"))
+
+
+_ISLANDS = "c as (select l_orderkey as doc, l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint) as ord, floor(l_quantity / 25) as size, case when floor(l_quantity / 25) = lag(floor(l_quantity / 25)) over (partition by l_orderkey order by l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint)) then 0 else 1 end as c from lineitem), i as (select *, sum(c) over (partition by doc order by ord) as i from c)"
+
+
+@query(f"with {_ISLANDS} select doc, ord, size, count(*) over (partition by doc, i) as run from i")
+def size_islands(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), _ord(), F.floor(F.col("l_quantity") / 25).cast("double").alias("size"))
+    return lay.run_lengths(rows, ["doc"], "ord", "size")
+
+
+_SPACES = """l as (select l_orderkey as doc, l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint) as ord, l_linenumber // 4 as page, l_extendedprice as x0, l_extendedprice + l_quantity as x1, 1000 - l_linenumber * l_quantity as y, floor(l_quantity / 10) as size, l_returnflag || l_linestatus as text from lineitem),
+g as (select *, lag(y) over (partition by doc, page order by ord) - y as gap from l), a as (select doc, list_sort(list(x0)) as a, list_sort(list(x1)) as b, list_sort(list(gap) filter (where gap > 0)) as gaps from g group by doc),
+s as (select doc, size, sum(length(text)) as w, min(ord) as o from l group by all), m as (select doc, arg_max(size, (w, -o)) as body_size from s group by doc)"""
+
+
+def _lines(spark, sf_dir):
+    q = F.col("l_quantity")
+    return src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), _ord(), F.floor(F.col("l_linenumber") / 4).alias("page"), F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + q).alias("x1"), (1000 - F.col("l_linenumber") * q).alias("y"), F.floor(q / 10).cast("double").alias("size"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+
+
+@query(f"""with {_SPACES} select doc, round(a[least(len(a) - 1, floor(len(a) * 0.15)::int) + 1], 4) as "left", round(greatest(1.0, b[least(len(b) - 1, floor(len(b) * 0.92)::int) + 1] - a[least(len(a) - 1, floor(len(a) * 0.15)::int) + 1]), 4) as width,
+  coalesce(gaps[least(len(gaps) - 1, floor(len(gaps) * 0.5)::int) + 1], 14.0) as leading, body_size from a join m using (doc)""")
+def space_metrics(spark, sf_dir):
+    s = lay.measured_spaces(_lines(spark, sf_dir), ["doc"])
+    return s.select("doc", F.round("left", 4).alias("left"), F.round("width", 4).alias("width"), "leading", "body_size")
+
+
+@query(r"""with l as (select source as doc, doc_id as page, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ord, len(string_split(text, chr(10))) as n from documents),
+k as (select *, case when ord / n < 0.09 or ord / n > 0.91 then nullif(trim(regexp_replace(regexp_replace(lower(text), '\d+', '#', 'g'), '\s+', ' ', 'g')), '') end as k from l), p as (select source as doc, count(*) as p from documents group by 1),
+h as (select doc, k from (select doc, k, count(*) as n from k where k is not null group by all) join p using (doc) where regexp_matches(k, '^(#+|page #+( of #+)?|#+ ?/ ?#+|[ivxlcdm]+)$') or (p >= 3 and n >= greatest(2, ceil(p * 0.4))))
+select doc, page, count(*) as lines from k where not exists (select 1 from h where h.doc = k.doc and h.k = k.k) group by all""")
+def running_heads(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n"))
+    lines = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.size("l").alias("top"), F.lit(0).alias("bottom"), F.posexplode("l").alias("ord", "text")).withColumn("y", F.col("top") - F.col("ord"))
+    return lay.without_running_heads(lines, ["doc"]).groupBy("doc", "page").agg(F.count(F.lit(1)).alias("lines"))
+
+
+_HEADINGS = [(t,) for t in ("1.2 Methods", "RESULTS", "The Quick Brown", "the quick Brown", "Ends with.", "A", "12", "x" * 81, "ALL CAPS:", "Of The and For", "")]
+
+
+@query(r"""with """ + values("c", "t string", _HEADINGS) + r""", w as (select t, regexp_replace(t, '[^A-Za-z]', '', 'g') as l, list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '[A-Za-z]')) as w from c)
+select t, length(t) <= 80 and not regexp_matches(t, '[.,;:]$') and (regexp_matches(t, '^\d+(\.\d+)*\.?\s+\S') or (length(l) > 2 and l = upper(l)) or coalesce(len(w) > 0 and len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) / len(w) >= 0.6, false)) as heading from w""")
+def heading_case(spark, sf_dir):
+    return frame(spark, "t string", _HEADINGS).select("t", F.coalesce(lay.reads_as_heading(F.col("t")), F.lit(False)).alias("heading"))
+
+
+_JOINS = [("a broken", "line"), ("a bro-", "ken line"), ("English-", "to-German"), ("well-", "Known"), ("naï-", "veté"), ("1990-", "1995")]
+
+
+@query("select * from (values ('a broken', 'line', 'a broken line'), ('a bro-', 'ken line', 'a broken line'), ('English-', 'to-German', 'English-to-German'), ('well-', 'Known', 'well- Known'), ('naï-', 'veté', 'naïveté'), ('1990-', '1995', '1990- 1995')) t(a, b, joined)")
+def hyphen_join(spark, sf_dir):
+    return frame(spark, "a string, b string", _JOINS).select("a", "b", lay.joined_text(F.col("a"), F.col("b")).alias("joined"))
+
+
+_META = [(1, "Microsoft Word - Report.docx", "Jane Doe", "D:20240102030405+02'00'"), (2, "screenshot-example.com-2018", "Adobe InDesign 2020", "D:1970"), (3, "Document1", "A Writer", "20240231"), (4, "A  Real\nTitle", "admin", "D:20230615Z"), (5, None, None, None), (6, "12345", "Microsoft Word", "x"), (7, "final", "---", "D:20991231")]
+
+
+@query("""select * from (values (1, 'Report', 'Jane Doe', timestamp '2024-01-02 01:04:05'), (2, null, null, null), (3, null, 'A Writer', null), (4, 'A Real Title', null, timestamp '2023-06-15 00:00:00'), (5, null, null, null), (6, null, null, null), (7, null, null, null)) t(id, title, author, published)""")
+def pdf_metadata(spark, sf_dir):
+    m = frame(spark, "id long, t string, a string, d string", _META)
+    return m.select("id", lay.declared_title(F.col("t")).alias("title"), lay.declared_author(F.col("a")).alias("author"), lay.pdf_date(F.col("d"), F.lit("2024-06-01").cast("timestamp")).alias("published"))
+
+
+_BY = [(1, "By Jane Doe"), (2, "by: J. R. R. Tolkien and Édith Piaf"), (3, "Illustration by Someone"), (4, "By hand, 3 ways"), (5, "see https://a.example/x, or www.b.example. <b> & \"q\"")]
+
+
+@query("""select * from (values (1, 'Jane Doe', 'By Jane Doe'), (2, 'J. R. R. Tolkien and Édith Piaf', 'by: J. R. R. Tolkien and Édith Piaf'), (3, null, 'Illustration by Someone'), (4, null, 'By hand, 3 ways'), (5, null, 'see <a href="https://a.example/x">https://a.example/x</a>, or <a href="https://www.b.example">www.b.example</a>. &lt;b&gt; &amp; &quot;q&quot;')) t(id, byline, html)""")
+def printed_lines(spark, sf_dir):
+    return frame(spark, "id long, t string", _BY).select("id", lay.printed_byline(F.col("t")).alias("byline"), lay.linked(F.col("t")).alias("html"))
+
+
+_MATRICES = [(1, [2.0, 0.0, 0.0, 3.0, 10.0, 20.0], [0.5, 0.0, 0.0, 0.5, 1.0, 1.0]), (2, [0.0, 1.0, -1.0, 0.0, 5.0, 5.0], [1.0, 0.0, 0.0, 1.0, 0.0, 0.0])]
+_MUL = "[a[1]*b[1]+a[3]*b[2], a[2]*b[1]+a[4]*b[2], a[1]*b[3]+a[3]*b[4], a[2]*b[3]+a[4]*b[4], a[1]*b[5]+a[3]*b[6]+a[5], a[2]*b[5]+a[4]*b[6]+a[6]]"
+
+
+@query(f"""with {values("c", "id long, a array<double>, b array<double>", _MATRICES)}, m as (select id, {_MUL} as m from c), p as (select id, m, unnest([[0, 0], [0, 1], [1, 0], [1, 1]]) as c from m), q as (select id, m, m[1]*c[1]+m[3]*c[2]+m[5] as x, m[2]*c[1]+m[4]*c[2]+m[6] as y from p)
+select id, array_to_string(list_transform(any_value(m), lambda v: round(v, 4)::decimal(18,4)), ',') as product, floor(min(x))::bigint as x0, floor(min(y))::bigint as y0, ceil(max(x))::bigint as x1, ceil(max(y))::bigint as y1, round(case when sqrt(any_value(m)[1]**2 + any_value(m)[2]**2) > 0 then least(40.0, greatest(1.0, 100 / sqrt(any_value(m)[1]**2 + any_value(m)[2]**2))) else 1.0 end, 6)::double as reading from q group by id""")
+def affine_boxes(spark, sf_dir):
+    c = frame(spark, "id long, a array<double>, b array<double>", _MATRICES).withColumn("m", lay.multiplied(F.col("a"), F.col("b"))).withColumn("d", lay.device_box(F.col("m")))
+    product = F.array_join(F.transform("m", lambda v: F.round(v, 4).cast("decimal(18,4)").cast("string")), ",")
+    return c.select("id", product.alias("product"), "d.x0", "d.y0", "d.x1", "d.y1", F.round(lay.reading_scale(F.col("m"), F.lit(100.0)), 6).alias("reading"))
+
+
+@query("""with c as (select c_custkey as id, 1 + c_custkey % 5000 as w, 1 + (c_custkey * 7) % 4000 as h from customer), s as (select *, least(1.0, sqrt(4000000 / (w * h)::double)) as s from c)
+select id, greatest(1, floor(w * s))::bigint as width, greatest(1, floor(h * s))::bigint as height, round(least(1.0, 1280.0::double / least(w, h), 2880.0::double / greatest(w, h)), 6) as send from s""")
+def picture_budget(spark, sf_dir):
+    c = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % 5000).alias("w"), (1 + F.col("c_custkey") * 7 % 4000).alias("h"))
+    return c.withColumn("f", lay.fitted(F.col("w"), F.col("h"), 4_000_000)).select("id", "f.width", "f.height", F.round(lay.send_scale(F.col("w"), F.col("h")), 6).alias("send"))
+
+
+_WORDS = "select l_orderkey as page, l_linenumber // 3 as line, l_extendedprice as x0, cast(l_quantity as int) as y0, l_extendedprice + 5 as x1, cast(l_quantity as int) + 10 + l_linenumber as y1, l_partkey % 100 as conf, l_returnflag || l_linenumber as text from lineitem"
+
+
+@query(f"""with w as ({_WORDS}), k as (select * from w where conf >= 40), g as (select page, line, min(x0) as x0, max(x1) as x1, list_sort(list(y1::double)) as f, max(y1 - y0) as height, string_agg(text, ' ' order by x0, text) as text from k group by all)
+select page, line, x0, round(x1, 4) as x1, 2000.0 - f[least(len(f) - 1, floor(len(f) * 0.3)::int) + 1] as y, height, text from g""")
+def ocr_lines(spark, sf_dir):
+    w = src.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as page", "cast(floor(l_linenumber / 3) as long) as line", "l_extendedprice as x0", "cast(l_quantity as int) as y0", "l_extendedprice + 5 as x1", "cast(l_quantity as int) + 10 + l_linenumber as y1", "l_partkey % 100 as conf", "concat(l_returnflag, l_linenumber) as text")
+    runs = lay.ocr_runs(lay.ocr_lines(w), 2000.0)
+    return runs.select("page", F.col("row").alias("line"), "x0", F.round("x1", 4).alias("x1"), "y", F.col("size").alias("height"), "text")
+
+
+@query("""with r as (select l_orderkey as doc, 0 as page, l_linenumber // 4 as row, l_linenumber as x0, l_linenumber + l_quantity / 10 as x1 from lineitem), p as (select *, min(x0) over (partition by doc) as l, max(x1) over (partition by doc) - min(x0) over (partition by doc) as w from r),
+b as (select doc, page, row, unnest(range(least(239, greatest(0, floor((x0 - l) / w * 240)))::int, least(239, greatest(0, floor((x1 - l) / w * 240)))::int + 1)) as bucket from p where w > 0) select doc, count(*) as buckets, max(n) as most from (select doc, bucket, count(distinct row) as n from b group by all) group by doc""")
+def column_coverage(spark, sf_dir):
+    r = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(0).alias("page"), F.floor(F.col("l_linenumber") / 4).alias("row"), F.col("l_linenumber").cast("double").alias("x0"), (F.col("l_linenumber") + F.col("l_quantity") / 10).alias("x1"))
+    return lay.coverage(r).groupBy("doc").agg(F.count(F.lit(1)).alias("buckets"), F.max("rows").alias("most"))
+
+
+@query("""with r as (select user_id as page, event_id as y, case when value > 20 then 1 else 0 end as dark, row_number() over (partition by user_id order by event_id) as k from events), n as (select page, k as y, dark from r where abs(k - 30) <= 25),
+i as (select *, sum(case when dark = 0 then 0 else 1 end) over (partition by page order by y) as i from n), b as (select page, i, min(y) as a, max(y) as z from i where dark = 0 group by all having max(y) - min(y) + 1 >= 2)
+select page, arg_max(floor((a + z) / 2), (z - a + 1 - 0.5::double * abs(floor((a + z) / 2) - 30), -a))::bigint as cut from b group by page""")
+def blank_cuts(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), k.alias("y"), F.when(F.col("value") > 20, 1).otherwise(0).alias("dark"))
+    return lay.blank_cut(rows, 30, 25, 2)
+
+
+@query("""with r as (select l_orderkey as doc, l_linenumber // 4 as page, cast(l_extendedprice as decimal(18,2))::varchar as text, l_quantity as size, l_discount * 10 as skew from lineitem) select doc, page, sum(length(text)) as chars, case when sum(length(text)) >= 20 then 'text' else 'eye' end as reader from r where abs(skew) <= 0.05 * size and size > 0 group by all""")
+def text_layers(spark, sf_dir):
+    r = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.floor(F.col("l_linenumber") / 4).alias("page"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("text"), F.col("l_quantity").alias("size"), (F.col("l_discount") * 10).alias("skew"))
+    return lay.text_layer(lay.kept_runs(r), 20)
+
+
+def _document_runs(spark, sf_dir):
+    """Every document set in two columns: a run a line, a head and a page number on each page."""
+    d = src.table(spark, sf_dir, "documents").withColumn("l", F.filter(F.split("text", "\n"), lambda x: x != "")).where(F.size("l") > 0)
+    lines = d.select(F.col("doc_id").alias("doc"), F.posexplode("l").alias("ord", "text"))
+    place, page = F.col("ord") % 24, F.floor(F.col("ord") / 24)
+    body = lines.select("doc", page.alias("page"), F.when(place < 12, 50.0).otherwise(320.0).alias("x0"), (F.lit(700.0) - (place % 12) * 14.0).alias("y"), F.when(F.col("ord") == 0, 20.0).otherwise(10.0).alias("size"), F.substring("text", 1, 45).alias("text"))
+    heads = lines.select("doc", page.alias("page")).distinct().select("doc", "page", F.lit(50.0).alias("x0"), F.lit(780.0).alias("y"), F.lit(8.0).alias("size"), F.lit("A Running Head").alias("text"))
+    return body.unionByName(heads).withColumn("x1", F.col("x0") + F.length("text") * F.col("size") * 0.5)
+
+
+@query()
+def layout_blocks(spark, sf_dir):
+    """Runs to rows, columns, lines, levels, blocks and text, for every document."""
+    from pyspark.sql import Window
+
+    rows = lay.page_rows(_document_runs(spark, sf_dir).select("doc", "page", "x0", "x1", "y", "size", "text"))
+    lines = lay.finished_rows(rows, ["doc", "page", "row"])
+    lines = lines.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy("page", "row")) - 1).withColumn("top", F.lit(800.0)).withColumn("bottom", F.lit(0.0))
+    lines = lay.without_running_heads(lines, ["doc"])
+    levelled = lay.heading_levels(lines, lay.measured_spaces(lines, ["doc"]), ["doc"])
+    return lay.rendered(lay.assembled(levelled, ["doc"]), ["doc"])
+
+
+@query()
+def layout_titles(spark, sf_dir):
+    """The largest type at the top of each document's first page, and how many lines are left without it."""
+    d = src.table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n"))
+    lines = d.select(F.col("doc_id").alias("doc"), F.posexplode("l").alias("ord", "text")).select("doc", F.floor(F.col("ord") / 40).alias("page"), "ord", F.lit(50.0).alias("x0"), (F.lit(50.0) + F.length("text")).alias("x1"), (F.lit(800.0) - (F.col("ord") % 40) * 14.0).alias("y"), F.when(F.col("ord") < 2, 18.0).otherwise(10.0).alias("size"), F.substring("text", 1, 90).alias("text"), F.lit(800.0).alias("top"), F.lit(0.0).alias("bottom"))
+    titles = lay.largest_title(lines, lay.measured_spaces(lines, ["doc"]), ["doc"])
+    left = lay.without_title(lines, titles, ["doc"]).groupBy("doc").agg(F.count(F.lit(1)).alias("lines"))
+    return left.join(titles, "doc", "left")
+
+
+@query()
+def ocr_sizes(spark, sf_dir):
+    """Heights of lines to the sizes they are set in."""
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_quantity") + 5).alias("height"), F.length("l_returnflag").alias("chars"))
+    return lay.snapped_sizes(rows)
