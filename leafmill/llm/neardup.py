@@ -13,15 +13,11 @@ register with probability exactly the weighted Jaccard similarity. Points are ma
 fills all registers of nearly every text, and the horizon is doubled for the rest, so a text of n shingles and m registers
 costs about n + m log m points.
 
-Links. Registers are banded; equal bands make buckets. A few bands come first: each document is tested, by exact overlap,
-against the smallest id of its bucket; what is linked to it hangs on it and leaves, so that a family of near copies that
-holds much of the corpus shrinks. Then all bands of the rest: buckets of two are tested as pairs, each pair once; greater
-ones are groups, dealt into blocks of bounded size, and each pair of blocks is a piece of work that computes all its exact
-overlaps as products of 0-1 matrices and returns a spanning forest of its links, never its pairs; buckets of the very same
-documents are one group. The overlap distance 1 - J is a metric: if x hangs on leader l, x and y can only be linked if
-J(y, l) >= 2 * SIMILARITY - 1, so just those y meet what hangs on l, and only if y and l haven't come into one class
-meanwhile. Thus every pair of a bucket is linked, joined through others, or shown to be no link. Links become classes by
-label propagation with tables in the shared folder.
+Links. Registers are banded; equal bands make buckets. Buckets of two are tested as pairs by exact overlap, each pair once.
+Greater ones are groups, dealt into blocks of bounded size; each pair of blocks is a piece of work that computes all its
+exact overlaps as products of 0-1 matrices and returns a spanning forest of its links, never its pairs. Buckets of the very
+same documents, as many bands make of one family, are one group. Thus every pair of a bucket is linked, joined through
+others, or shown to be no link. Links become classes by label propagation with tables in the shared folder.
 
 Equal texts are reduced to their smallest id before (by 128-bit digest, with partial aggregation), so copies cost a row.
 Null texts are alike to nothing and stay alone; empty texts and texts of white space are alike only to equal ones. Rows that
@@ -44,10 +40,8 @@ BANDS = 32
 ROWS = 4
 REGISTERS = BANDS * ROWS
 MEMO = 300_000
-#: bands that first shrink great families, a test a document each
-COLLAPSE = 3
 #: documents, and shingles of documents, in a block
-BLOCK_DOCS, BLOCK_ITEMS = 512, 600_000
+BLOCK_DOCS, BLOCK_ITEMS = 768, 600_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -209,7 +203,7 @@ def overlaps(pairs: DataFrame, items: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """doc, class over the links (a, b): every document takes the smallest id it can reach. Rounds of neighbours' minima
     and of pointer jumping, each written to the shared folder, until nothing changes."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    both = links.select("a", "b").union(links.select("b", "a"))
     labels = cut(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
     while True:
         heard = both.join(labels, both["b"] == labels["doc"]).groupBy("a").agg(F.min("class").alias("heard"))
@@ -222,30 +216,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def tested(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """doc, leader, j of the pairs that are links or leave room for one with what hangs on the leader."""
-    found = overlaps(pairs.select(F.col("doc").alias("a"), F.col("leader").alias("b")), items).where(F.col("j") >= 2 * similarity - 1)
-    return written(found.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "j"), "tests")
-
-
-def collapsed(active: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rounds: int = COLLAPSE) -> tuple[DataFrame, DataFrame]:
-    """Before all bands are looked at: a test a document and band against the smallest id of its bucket, for a few bands in turn.
-
-    What is linked to a leader hangs on it and leaves, unless others hang on it itself, so a great family of near copies
-    shrinks to a few documents. Returns the documents that are left, and the tests (doc, leader, j).
-    """
-    tests = None
-    for k in range(rounds):
-        keyed = active.select("doc", F.col("bands")[k].alias("bucket"))
-        leads = keyed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").select("bucket", "leader")
-        now = tested(keyed.join(leads, "bucket").where("doc > leader").select("doc", "leader"), items, similarity)
-        tests = now if tests is None else tests.union(now)
-        roots = tests.where(F.col("j") >= similarity).select(F.col("leader").alias("doc"))
-        gone = now.where(F.col("j") >= similarity).select("doc").join(roots, "doc", "left_anti").distinct()
-        active = written(active.join(gone, "doc", "left_anti"), "active")
-    return active, tests
-
-
 def forest(docs: list[int], items: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among documents, from the exact overlaps of all their pairs: products of 0-1 matrices
     over the items that two of them have at least, a stretch of items at a time."""
@@ -307,20 +277,6 @@ def links_within(groups: DataFrame, items: DataFrame, similarity: float = SIMILA
     return written(in_arrow(dealt, each, "a long, b long").distinct(), "links")
 
 
-def joined(tests: DataFrame, links: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc, class over all links. What hangs on a leader is compared with what is near that leader only where their classes differ."""
-    linked, near = tests.where(F.col("j") >= similarity), tests.where(F.col("j") < similarity)
-    links = links.union(linked.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
-    labels = components(links)
-    of_doc, of_leader = labels.select("doc", F.col("class").alias("c1")), labels.select(F.col("doc").alias("leader"), F.col("class").alias("c2"))
-    apart = near.join(of_doc, "doc", "left").join(of_leader, "leader").where(F.coalesce("c1", "doc") != F.col("c2"))
-    hanging = linked.join(apart.select("leader").distinct(), "leader", "left_semi")
-    group = apart.select(F.col("leader").alias("key"), "doc").union(hanging.select(F.col("leader").alias("key"), "doc")).distinct()
-    sized = group.join(items.select("doc", F.size("items").cast("long").alias("n")), "doc").select("key", "doc", "n")
-    more = links_within(sized, items, similarity)
-    return labels if more.isEmpty() else components(links.union(more))
-
-
 def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc, class: of every document with an id; class is its own id where nothing is alike."""
     signed = written(signatures(documents), "signatures")
@@ -333,19 +289,15 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
         full = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
         return rows.join(full, "bucket")
 
-    first = written(crowded(active, F.slice("bands", 1, COLLAPSE)).select("doc").distinct(), "wanted")
-    items = written(contents(documents, first), "contents")
-    active, tests = collapsed(active, items, similarity)
     members = written(crowded(active, F.col("bands")), "members")
-    wanted = members.select("doc").distinct().join(first, "doc", "left_anti")
-    items = items.union(written(contents(documents, wanted), "contents"))
+    items = written(contents(documents, members.select("doc").distinct()), "contents")
     pairs = members.where("size = 2 and doc = lo").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct()
     couples = written(overlaps(pairs, items).where(F.col("j") >= similarity).select("a", "b"), "links")
     # buckets of the same documents, as many bands make of one family, are one group
     crowds = members.where("size > 2").groupBy("bucket").agg(F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("key"), F.first("lo").alias("lo"), F.first("size").alias("size"))
     once = crowds.groupBy("key", "lo", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
     groups = members.where("size > 2").join(once, "bucket", "left_semi").select(F.col("bucket").alias("key"), "doc", "n")
-    labels = joined(tests, couples.union(links_within(groups, items, similarity)), items, similarity)
+    labels = components(couples.union(links_within(groups, items, similarity)))
     classes = firsts.select("d1", "d2", "doc").join(labels, "doc", "left").select("d1", "d2", F.coalesce("class", "doc").alias("class"))
     return signed.select("doc", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc").agg(F.min("class").alias("class"))
 
