@@ -2,19 +2,24 @@
 
 Features are the n-grams of N successive bytes of a text's UTF-8 form, hashed into BUCKETS buckets. Two multinomials over
 the buckets are counted: the raw one over every n-gram of every document, the target one over those of trusted documents
-(a bounded sample of labelled rows, the TRUSTED rows of label quality 1 and toxic 0 with the least hashes). A document's
-score is the mean over its n-grams of log p_target(bucket) - log p_raw(bucket), so it doesn't grow with length; a document
-is kept if it passes the base rules and scores THRESHOLD or more.
-
-Counting is one scan: each task adds up arrays of BUCKETS numbers and sends BUCKETS rows at most, then sums meet by bucket;
-the model that is handed back to the tasks has BUCKETS numbers, whatever the corpus. Scoring is a second scan. No text moves.
-
-Null text: no words, base_failed. Empty corpus or no trusted documents: every ratio is 0, and the base rules alone decide.
+(a bounded sample of labelled rows, the TRUSTED rows of label quality 1 and toxic 0 with the least hashes). There is a pair
+of them for each of SLOTS language slots (a hash of `lang`), so that a target with another mix of languages than the corpus
+doesn't condemn one; a language without trusted documents has ratios of 0. A document's score is the mean over its n-grams
+of log p_target(bucket) - log p_raw(bucket), so it doesn't grow with length; a document is kept if it passes the base rules
+and scores THRESHOLD or more.
+
+Counting is one scan: each task adds up arrays of SLOTS * BUCKETS numbers and sends as many rows at most, then sums meet by
+bucket; the model that is handed back to the tasks has SLOTS * BUCKETS numbers, whatever the corpus. Scoring is a second
+scan. No text moves.
+
+Null text: no words, base_failed. Null lang is a slot's language as any other. Empty corpus or no trusted documents: every
+ratio is 0, and the base rules alone decide.
 Repeated rows count as often as they are there and get equal results; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,6 +32,7 @@ from leafmill.llm.common import ASCII_SPACE, arrow_map, in_arrow, texts
 
 N = 4
 BUCKETS = 1 << 15
+SLOTS = 48
 TRUSTED = 20_000
 PRIOR = 1.0
 THRESHOLD = -0.4
@@ -55,6 +61,11 @@ def gram_buckets(raw: bytes) -> np.ndarray:
     return codes >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def slot(lang: str | None) -> int:
+    """The first bucket of a language's own."""
+    return zlib.crc32((lang or "").encode()) % SLOTS * BUCKETS
+
+
 def repeated_words(words: list[bytes], memo: dict[bytes, int]) -> int:
     """Words that lie in a window of WINDOW words found twice or more in the text. Hashes find the windows, words confirm them."""
     n = len(words)
@@ -121,47 +132,45 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.ndar
     trusted = spark.sparkContext.broadcast(trusted_ids(labels, most))
 
     def count(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(SLOTS * BUCKETS, np.int64), np.zeros(SLOTS * BUCKETS, np.int64)
         for batch in batches:
-            held, size = [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                codes = gram_buckets(text.encode("utf-8", "surrogatepass"))
+            held: dict[int, list[np.ndarray]] = {}
+            for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts(batch), strict=True):
+                codes, at = gram_buckets(text.encode("utf-8", "surrogatepass")), slot(lang)
                 if doc_id in trusted.value:
-                    target += np.bincount(codes, minlength=BUCKETS)
-                held.append(codes)
-                size += len(codes)
-                if size > 4_000_000:
-                    raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held, size = [], 0
-            if held:
-                raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    target[at : at + BUCKETS] += np.bincount(codes, minlength=BUCKETS)
+                held.setdefault(at, []).append(codes)
+            for at, codes in held.items():
+                raw[at : at + BUCKETS] += np.bincount(np.concatenate(codes), minlength=BUCKETS)
         there = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], ["bucket", "n_raw", "n_target"])
 
     counted = (
-        in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), count, "bucket long, n_raw long, n_target long")
-        .groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target")).toPandas()  # BUCKETS rows at most
+        in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), count, "bucket long, n_raw long, n_target long")
+        .groupBy("bucket").agg(F.sum("n_raw"), F.sum("n_target")).toPandas()  # SLOTS * BUCKETS rows at most
     )
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw, target = np.zeros(SLOTS * BUCKETS), np.zeros(SLOTS * BUCKETS)
     raw[counted.iloc[:, 0]], target[counted.iloc[:, 0]] = counted.iloc[:, 1], counted.iloc[:, 2]
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    # the prior of a bucket is its share of the raw corpus: without evidence the ratio is 0
-    share = (raw + 0.5) / (raw + 0.5).sum()
-    smoothed = (target + PRIOR * share * BUCKETS) / (target.sum() + PRIOR * BUCKETS)
+    return log_ratios(raw.reshape(SLOTS, BUCKETS), target.reshape(SLOTS, BUCKETS)).ravel().astype(np.float32)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """By slot and bucket. The prior of a bucket is its share of the slot's raw counts: without evidence the ratio is 0."""
+    share = (raw + 0.5) / (raw + 0.5).sum(1, keepdims=True)
+    smoothed = (target + PRIOR * share * BUCKETS) / (target.sum(1, keepdims=True) + PRIOR * BUCKETS)
     return np.log(smoothed) - np.log(share)
 
 
-def score(raw: bytes, ratios: np.ndarray) -> float:
-    codes = gram_buckets(raw)
-    return float(ratios[codes].mean()) if len(codes) else 0.0
+def score(raw: bytes, lang: str | None, ratios: np.ndarray) -> float:
+    codes, at = gram_buckets(raw), slot(lang)
+    return float(ratios[at : at + BUCKETS][codes].mean(dtype=np.float64)) if len(codes) else 0.0
 
 
-def judge(text: str, ratios: np.ndarray, memo: dict, threshold: float = THRESHOLD) -> tuple:
+def judge(text: str, lang: str | None, ratios: np.ndarray, memo: dict, threshold: float = THRESHOLD) -> tuple:
     """The base features, base_failed, score and verdict of a text."""
     features = base_features(text, memo)
     failed = base_failed(features[0], features[4])
-    s = score(text.encode("utf-8", "surrogatepass"), ratios)
+    s = score(text.encode("utf-8", "surrogatepass"), lang, ratios)
     return *features, failed, s, not failed and s >= threshold
 
 
@@ -173,12 +182,12 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = TH
     ratios = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
     def each(batch: pa.RecordBatch, memo: dict) -> dict:
-        judged = list(zip(*(judge(t, ratios.value, memo, threshold) for t in texts(batch)), strict=True))
+        judged = list(zip(*(judge(t, g, ratios.value, memo, threshold) for t, g in zip(texts(batch), batch.column("lang").to_pylist(), strict=True)), strict=True))
         types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         return {"doc_id": batch.column("doc_id")} | {n: pa.array(v, k) for n, v, k in zip(names, judged, types, strict=True)}
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     return arrow_map(narrow, "doc_id long, " + COLUMNS, each, dict)
 
 
@@ -189,6 +198,6 @@ def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THR
     def keep(batches):
         memo: dict = {}
         for batch in batches:
-            yield batch.filter(pa.array([judge(t, ratios.value, memo, threshold)[-1] for t in texts(batch)], pa.bool_()))
+            yield batch.filter(pa.array([judge(t, g, ratios.value, memo, threshold)[-1] for t, g in zip(texts(batch), batch.column("lang").to_pylist(), strict=True)], pa.bool_()))
 
     return in_arrow(documents, keep, documents.schema)
