@@ -148,3 +148,17 @@ def segment_policy(raw: Column) -> Column:
     fine = (cap > 0) & (cap == F.floor(cap))
     most = F.when(fine, F.greatest(F.lit(60), F.least(cap, F.lit(2000)))).otherwise(450).cast("long")
     return F.struct(F.least(F.lit(300), most).cast("long").alias("target"), most.alias("most"))
+
+
+def search_page(voices: DataFrame, q: str, page: int, size: int = 60) -> DataFrame:
+    """A page of the voices whose title, tags or description hold the query, by popularity, then id."""
+    needle = q.strip().lower()
+    text = F.lower(F.concat_ws(" ", "title", F.array_join("tags", " ")))
+    found = voices.where(F.contains(text, F.lit(needle))) if needle else voices
+    top = found.orderBy(F.desc("popularity"), "id").limit((page + 1) * size)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("popularity"), "id"))).where(F.col("rank") > page * size)
+
+
+def latest_of_script(variants: DataFrame) -> DataFrame:
+    """The variant (article_id, script_id, rev, used) of each script that was used last, the greater rev of equals."""
+    return variants.groupBy("article_id", "script_id").agg(F.max_by("rev", F.struct("used", "rev")).alias("rev"), F.max("used").alias("used"))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from leafmill.functions import identity
+from leafmill.operators import mp3
 from leafmill.operators import voice as v
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
@@ -126,3 +128,35 @@ _CAPS = [(c,) for c in ("", "10", "200", "450", "5000", "x", "-3", "99.5", None)
 @query(f"""with {values("c", "raw string", _CAPS)}, m as (select raw, case when try_cast(raw as double) > 0 and try_cast(raw as double) = floor(try_cast(raw as double)) then greatest(60, least(try_cast(raw as double), 2000))::bigint else 450 end as most from c) select raw, least(300, most) as target, most from m""")
 def segment_policy(spark, sf_dir):
     return frame(spark, "raw string", _CAPS).withColumn("p", v.segment_policy(F.col("raw"))).select("raw", "p.target", "p.most")
+
+
+@query(f"{_VOICES}, f as (select *, row_number() over (order by popularity desc, id) as rank from voices where contains(lower(title || ' ' || array_to_string(tags, ' ')), 'e')) select id, rank from f where rank > 60 and rank <= 120")
+def voice_page(spark, sf_dir):
+    return v.search_page(src.voices(spark, sf_dir), " E ", 1).select("id", "rank")
+
+
+@query("with x as (select o_custkey as article_id, o_orderkey % 4 as script_id, o_orderkey as rev, o_orderdate as used, row_number() over (partition by o_custkey, o_orderkey % 4 order by o_orderdate desc, o_orderkey desc) as r from orders) select article_id, script_id, rev, used from x where r = 1")
+def latest_variant(spark, sf_dir):
+    a = src.audio_cache(spark, sf_dir).select("article_id", (F.col("key") % 4).alias("script_id"), F.col("key").alias("rev"), "used")
+    return v.latest_of_script(a)
+
+
+@query(r"""select doc_id as id, substr(sha256('["' || doc_id || '","3","300","450"]'), 1, 31) as script_id, substr(sha256('["' || source || '",null]'), 1, 12) as text_id, sha1('2 ' || source || ' ' || lang || ' ') as legacy from documents""")
+def identities(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), identity.script_id(F.col("doc_id"), 3, 300, 450).alias("script_id"), identity.identity("text", F.col("source"), F.lit(None)).alias("text_id"), identity.legacy_hash(F.col("source"), F.col("lang"), F.lit(None)).alias("legacy"))
+
+
+_FRAME = bytes([0xFF, 0xFB, 0x50, 0xC4]) + bytes(204)
+_AUDIO = [(1, _FRAME * 2), (2, b"ID3\x04\x00\x00\x00\x00\x00\x05" + bytes(5) + _FRAME), (3, _FRAME + b"xxxx"), (4, b"<html>"), (5, b""), (6, None), (7, _FRAME[:100])]
+
+
+@query("select * from (values (1, true), (2, true), (3, false), (4, false), (5, false), (6, false), (7, true)) t(id, valid)")
+def mp3_validity(spark, sf_dir):
+    return frame(spark, "id long, b binary", _AUDIO).select("id", mp3.valid_mp3("b").alias("valid"))
+
+
+@query()
+def stable_properties(spark, sf_dir):
+    """Event properties as JSON with ordered keys."""
+    return src.table(spark, sf_dir, "events").select("event_id", identity.stable_json("props").alias("props"))

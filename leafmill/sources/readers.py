@@ -38,15 +38,25 @@ def with_fallback(results: DataFrame, fallback: DataFrame, wanted: int) -> DataF
     return rows.withColumn("rank", order).where(F.col("rank") <= max(3, wanted)).select("rank", "value")
 
 
-VOICE = "id string, title string, description string, tags array<string>, languages array<string>, popularity long, state string, visibility string, sample string, taken_down boolean"
+VOICE = "id: string, title: string, description: string, tags: array<string>, languages: array<string>, popularity: bigint, state: string, visibility: string, sample: string, taken_down: boolean"
 
 
 def catalogue_pages(spark: SparkSession, path: str, rows_a_page: int = 60) -> DataFrame:
-    """Voice pages, one JSON object a file line: page, items; exploded in page order, at most `rows_a_page` of each."""
-    pages = spark.read.schema(f"page long, items array<struct<{VOICE.replace(' ', ':', 0)}>>".replace("array<struct<id string", "array<struct<id: string")).json(path)
+    """Voice pages, one JSON object (page, items) a line; exploded in page order, at most `rows_a_page` of each."""
+    pages = spark.read.schema(f"page bigint, items array<struct<{VOICE}>>").json(path)
     return pages.select("page", F.posexplode("items").alias("pos", "v")).where(F.col("pos") < rows_a_page).select("page", "pos", "v.*")
 
 
+def ndjson_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of events, one JSON object a line; malformed lines read as nulls."""
+    return spark.readStream.schema(schema).json(path)
+
+
+def write_ndjson(events: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls left out."""
+    events.write.mode("append").json(path)
+
+
 ARCHIVE_POST = "array<struct<canonical_url: string, title: string, subtitle: string, post_date: string, publishedBylines: array<struct<name: string>>>>"
 SEARCH_HIT = "array<struct<url: string, title: string>>"
 WORKS = "struct<message: struct<items: array<struct<title: array<string>, DOI: string, URL: string, `container-title`: array<string>, author: array<struct<given: string, family: string>>>>>>"
