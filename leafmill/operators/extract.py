@@ -264,6 +264,17 @@ def trimmed(content: str, marked: set[int]) -> str:
     return serialise(body_of(root))
 
 
+def drop_cap(content: str | None) -> int | None:
+    """Which paragraph opens with a drop cap: the first of more than 120 characters outside quotes and figures, without a
+    picture or a leading emphasis, that doesn't open with a quotation mark."""
+    for i, p in enumerate(parse(content or "").find("p")):
+        text = p.text().strip()
+        first = next(iter(p.elements()), None)
+        if len(text) > 120 and text[0] not in "\"“”" and not any(u.tag in ("blockquote", "figure", "figcaption") for u in p.up()) and not any(p.find("img")) and not (first and first.tag == "em"):
+            return i
+    return None
+
+
 # ── expressions ──
 
 
