@@ -83,6 +83,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def document_key(column: str = "doc_id") -> F.Column:
     """A null id sorts after all others and stands for one document of its own."""
     return F.coalesce(F.col(column), F.lit(2**63 - 1))

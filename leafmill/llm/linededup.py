@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import arrow_map, document_key, in_arrow, texts, written
+from leafmill.llm.common import arrow_map, document_key, in_arrow, texts, unused, written
 
 MIN_CHARS = 10
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -85,10 +85,11 @@ def kept_lines(text: str, drops: set[bytes]) -> tuple[list[bytes], int, int]:
     return kept, len(lines), len(lines) - len(kept)
 
 
-def _with_drops(documents: DataFrame, least: int) -> DataFrame:
-    """Document rows with what they lose; the side with drops is the smaller one, so no text is sorted."""
-    drops = dropped_keys(documents, least).withColumnRenamed("doc", "_doc").withColumnRenamed("drops", "_drops")
-    return documents.join(drops.hint("shuffle_hash"), document_key() == F.col("_doc"), "left")
+def _with_drops(documents: DataFrame, least: int) -> tuple[DataFrame, str]:
+    """Document rows with what they lose, and the name of that column; the side with drops is the smaller one, so no text is sorted."""
+    doc, name = unused(documents, "_doc"), unused(documents, "_drops")
+    drops = dropped_keys(documents, least).withColumnRenamed("doc", doc).withColumnRenamed("drops", name)
+    return documents.join(drops.hint("shuffle_hash"), document_key() == F.col(doc), "left").drop(doc), name
 
 
 def line_dedup(documents: DataFrame, least: int = 2) -> DataFrame:
@@ -103,25 +104,26 @@ def line_dedup(documents: DataFrame, least: int = 2) -> DataFrame:
             digests.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
 
-    joined = _with_drops(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
+    joined, _ = _with_drops(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
     return arrow_map(joined.select("doc_id", "text", "_drops"), "doc_id long, n_lines long, n_dropped long, kept_sha256 string", each)
 
 
 def drop_lines(documents: DataFrame, least: int = 2, length_column: str = "n_chars") -> DataFrame:
     """Documents with the kept lines as their text, all columns as before; the length column follows. Null texts stay null."""
     names = documents.columns
+    joined, dropped = _with_drops(documents, least)
 
     def each(batches):
         for batch in batches:
             new = []
-            for text, drops in zip(batch.column("text").to_pylist(), batch.column("_drops").to_pylist(), strict=True):
+            for text, drops in zip(batch.column("text").to_pylist(), batch.column(dropped).to_pylist(), strict=True):
                 new.append(text if text is None or not drops else b"\n".join(kept_lines(text, set(drops))[0]).decode("utf-8", "surrogatepass"))
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(new, pa.string())}
             if length_column in names:
                 columns[length_column] = pa.array([old if x is None else len(x) for x, old in zip(new, batch.column(length_column).to_pylist(), strict=True)], pa.int64()).cast(batch.column(length_column).type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return in_arrow(_with_drops(documents, least).select(*(f"`{n}`" for n in names), "_drops"), each, documents.schema)
+    return in_arrow(joined, each, documents.schema)
 
 
 #: The same in DuckDB's SQL.

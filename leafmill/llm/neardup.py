@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, in_arrow, texts, written
+from leafmill.llm.common import cut, in_arrow, texts, unused, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -313,5 +313,6 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows that stand for their class, all their columns as they were; rows without an id stay."""
-    gone = near_classes(documents, similarity).where("class <> doc").select(F.col("doc").alias("_gone"))
-    return documents.join(gone.hint("shuffle_hash"), documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = unused(documents, "_gone")
+    gone = near_classes(documents, similarity).where("class <> doc").select(F.col("doc").alias(name))
+    return documents.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(name), "left_anti")

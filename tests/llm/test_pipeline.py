@@ -28,7 +28,7 @@ def test_run_by_hand(spark):
 
 
 def test_stages_keep_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' as kept", "1 as class")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' as kept", "1 as class", "2 as _drops", "3 as _gone", "4 as _doc", "5 as doc")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "secrets", "packing"]
