@@ -54,8 +54,10 @@ def audio_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a script: a segment a turn, its length in seconds from its characters."""
-    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("script"), seq.cast("long").alias("seq"), F.round(F.length("text") / 15.5, 2).alias("duration"), F.concat(F.lit("b"), "role", F.lit("-"), F.col("turn").cast("string")).alias("block_id"))
+    # renamed before the window, so that windows over a script find its partitioning
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("script"), "turn", F.round(F.length("text") / 15.5, 2).alias("duration"), F.concat(F.lit("b"), "role", F.lit("-"), F.col("turn").cast("string")).alias("block_id"))
+    seq = F.row_number().over(Window.partitionBy("script").orderBy("turn")) - 1
+    return turns.select("script", seq.cast("long").alias("seq"), "duration", "block_id")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
