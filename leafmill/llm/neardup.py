@@ -287,7 +287,8 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFr
         """bucket, doc, n, lo, hi, size over the buckets of two documents or more."""
         rows = docs.select("doc", "n", F.explode(bands).alias("bucket"))
         full = rows.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return rows.join(full, "bucket")
+        # written, so that both sides of the join are dealt anew and a great bucket's partition can be split
+        return rows.join(written(full, "crowded-buckets"), "bucket")
 
     members = written(crowded(active, F.col("bands")), "members")
     items = written(contents(documents, members.select("doc").distinct()), "contents")

@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from leafmill.llm import quality, secrets
+from leafmill.llm import common, quality, secrets
 from test_operators import check_packed, classes_by_hand
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,11 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "secrets", "packing"]
+
+
+def test_tables_in_the_shared_folder_can_be_cleared(spark):
+    kept = common.written(spark.range(3), "kept")
+    assert kept.count() == 3
+    common.clear(spark)
+    again = common.written(spark.range(2), "again")
+    assert again.count() == 2
