@@ -156,7 +156,7 @@ def mp3_validity(spark, sf_dir):
     return frame(spark, "id long, b binary", _AUDIO).select("id", mp3.valid_mp3("b").alias("valid"))
 
 
-@query()
+@query("""select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as props from events""")
 def stable_properties(spark, sf_dir):
     """Event properties as JSON with ordered keys."""
     return src.table(spark, sf_dir, "events").select("event_id", identity.stable_json("props").alias("props"))
