@@ -303,9 +303,13 @@ def looks_like_html(text: Column) -> Column:
 def plain_text_html(text: Column) -> Column:
     """Copied text as a page: the first line that isn't blank is the heading, each other one a paragraph."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, rx.TRIM, "")), lambda x: x != "")
-    heading = escaped(F.try_element_at(lines, F.lit(1)))
-    body = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>"))), "")
-    return F.when(F.size(lines) > 0, F.concat(F.lit("<html><head><title>"), heading, F.lit("</title></head><body><article><h1>"), heading, F.lit("</h1>"), body, F.lit("</article></body></html>"))).otherwise(F.lit(""))
+
+    def page(kept: Column) -> Column:
+        heading = escaped(F.get(kept, 0))
+        body = F.array_join(F.transform(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>"))), "")
+        return F.when(F.size(kept) > 0, F.concat(F.lit("<html><head><title>"), heading, F.lit("</title></head><body><article><h1>"), heading, F.lit("</h1>"), body, F.lit("</article></body></html>"))).otherwise(F.lit(""))
+
+    return F.get(F.transform(F.array(lines), page), 0)  # the lines are made once and used by name
 
 
 def title_fallback(html: Column, url: Column) -> Column:
