@@ -2,10 +2,12 @@
 
 The page streams through html.parser. Each block (the text between two block-level tags) becomes a line with its characters
 and the number of tags met in it. The text-to-tag ratios of the lines are smoothed with a Gaussian along the page and
-clustered around a threshold into content and rest; the content lines elect the region that is the article: of the
-page's <article>, <main> or role=main elements the one that holds most content characters, and without any the deepest
-container that holds REGION_SHARE of them. All blocks of that region are the main text, so short paragraphs in it aren't
-lost; elements that are no article text by tag, role, or class and id words are left out wherever they stand.
+clustered around a threshold into content and rest; the content lines elect the article: all of the page's <article>,
+<main> or role=main elements that hold content characters, side by side, and without any the smallest container that holds
+every content character. All blocks of a marked element are main text, so short paragraphs in it aren't lost; of the
+smallest container all blocks but those of containers that have no content line and lie outside its core, the deepest
+container with REGION_SHARE of the characters (menus of a page without names). Elements that are no article text by tag, role,
+or class and id words are left out wherever they stand.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line feeds in page
 order; nothing is cut. Null, empty or text-free html gives an empty text. The parser accepts any byte soup; unclosed and
@@ -182,26 +184,34 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
     return [v >= cut for v in values]
 
 
-def article_region(page: Lines) -> int | None:
-    """The container whose blocks are the article, None for the whole page."""
+def article_lines(page: Lines) -> list[str]:
+    """The texts of the lines that are the article."""
     weight: dict[int, int] = {}
     total = 0
-    for (text, _, path), content in zip(page.lines, content_lines(page.lines), strict=True):
-        if content:
+    content = content_lines(page.lines)
+    for (text, _, path), high in zip(page.lines, content, strict=True):
+        if high:
             total += len(text)
             for p in path:
                 weight[p] = weight.get(p, 0) + len(text)
-    marked = [p for p in page.marked if weight.get(p)]
-    if not marked and page.marked:  # a very short article: its lines fall in the other cluster
+    held = weight
+    if page.marked and not any(weight.get(p) for p in page.marked):  # a very short article: its lines fall in the other cluster
+        held = {}
         for text, _, path in page.lines:
             for p in path:
                 if p in page.marked:
-                    weight[p] = weight.get(p, 0) + len(text)
-        marked = [p for p in page.marked if weight.get(p)]
-    if marked:
-        return max(marked, key=lambda p: (weight[p], p))  # of equals the inner one
-    deep = [p for p, w in weight.items() if w >= REGION_SHARE * total]
-    return max(deep, default=None)
+                    held[p] = held.get(p, 0) + len(text)
+    if any(held.get(p) for p in page.marked):
+        regions: dict[int, int] = {}  # outermost marked container -> it, or the innermost one with as many characters
+        for _, _, path in page.lines:
+            around = [p for p in path if p in page.marked]
+            for p in around:
+                if held.get(p) and held[p] == held[around[0]]:
+                    regions[around[0]] = max(p, regions.get(around[0], 0))
+        return [text for text, _, path in page.lines if not set(regions.values()).isdisjoint(path)]
+    whole = max((p for p, w in weight.items() if w == total), default=None)
+    core = max((p for p, w in weight.items() if w >= REGION_SHARE * total), default=None)
+    return [text for text, _, path in page.lines if (whole is None or whole in path) and (core is None or core in path or not path or weight.get(path[-1]))]
 
 
 def main_text(html: str) -> str:
@@ -212,8 +222,7 @@ def main_text(html: str) -> str:
     page.finished()
     if not page.lines:
         return ""
-    region = article_region(page)
-    return "\n\n".join(text for text, _, path in page.lines if region is None or region in path)
+    return "\n\n".join(article_lines(page))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -265,6 +265,24 @@ def test_main_text(page, text):
     assert mainhtml.main_text(page) == text
 
 
+PROSE = "Long prose of the article goes on here. " * 4
+MENU = "<div><div><a href=x>Home</a></div><div><a href=y>More</a></div></div>"
+
+
+def paragraphs(key, n):
+    return "".join(f"<p>{key}{i} {PROSE}</p>" for i in range(n))
+
+
+def starts(page):
+    return [line.split()[0] for line in mainhtml.main_text(page).split("\n\n")]
+
+
+def test_split_sections_and_sibling_articles():
+    split = f"<body>{MENU}<div><section>{paragraphs('a', 7)}<p>Short.</p></section><h2>Two</h2><section>{paragraphs('b', 3)}<p>Brief.</p></section></div>{MENU}"
+    assert starts(split) == [*(f"a{i}" for i in range(7)), "Short.", "Two", "b0", "b1", "b2", "Brief."]
+    assert starts(f"<article>{paragraphs('a', 5)}</article>{MENU}<article>{paragraphs('b', 3)}</article>") == ["a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2"]
+
+
 def test_smoothing_and_clusters():
     assert mainhtml.smoothed([5.0, 5.0, 5.0]) == pytest.approx([5.0] * 3)
     lines = [("x" * 5, 3, ())] * 4 + [("y" * 200, 1, ())] * 6 + [("z" * 4, 2, ())] * 4
