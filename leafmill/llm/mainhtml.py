@@ -6,8 +6,12 @@ clustered around a threshold into content and rest; the content lines elect the
 <main> or role=main elements that hold content characters, side by side, and without any the smallest container that holds
 every content character. All blocks of a marked element are main text, so short paragraphs in it aren't lost; of the
 smallest container all blocks but those of containers that have no content line and lie outside its core, the deepest
-container with REGION_SHARE of the characters (menus of a page without names). Elements that are no article text by tag, role,
-or class and id words are left out wherever they stand.
+container with REGION_SHARE of the characters (menus of a page without names).
+
+Elements that are no article text by tag or role are left out wherever they stand. Class and id words only make an element
+doubtful. It stays if it holds the page's articles or, with DOUBT_CHARS or more, most content characters of the page; if its
+name has a layout word besides (content-sidebar-wrap), it stays if most of its own characters are in content lines. A page
+that would have no text without its doubtful elements keeps them all.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line feeds in page
 order; nothing is cut. Null, empty or text-free html gives an empty text. The parser accepts any byte soup; unclosed and
@@ -27,6 +31,8 @@ from leafmill.llm.common import arrow_map, texts
 
 SIGMA = 1.0
 REGION_SHARE = 0.6
+#: a doubtful element of fewer characters is never most of a page: a notice on a page of a few words
+DOUBT_CHARS = 140
 
 # Element names of the HTML standard, by their part in this operator.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,31 +49,39 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus "
     "reply replies respond breadcrumb breadcrumbs pagination pager widget toolbar skip hidden".split()
 )
+#: beside one of WORDS they say that a name is one of layout
+LAYOUT = frozenset("content main article entry post story text body page wrap wrapper container layout inner outer column columns grid site no not with without has is enabled".split())
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def names_no_content(attrs: list[tuple[str, str | None]]) -> bool:
-    for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if not value:
-            continue
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id") and not WORDS.isdisjoint(w.lower() for w in _SPLIT.split(value)):
-            return True
-    return False
+def no_content(attrs: list[tuple[str, str | None]]) -> bool:
+    """Hidden, or of a role that is no article text."""
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "role" and bool(v) and v.strip().lower() in ROLES for n, v in attrs)
+
+
+def doubtful_name(attrs: list[tuple[str, str | None]]) -> str:
+    """"" without one of WORDS in class or id, "layout" if one of LAYOUT is there as well, else "named"."""
+    words = {w.lower() for n, v in attrs if v and n in ("class", "id") for w in _SPLIT.split(v)}
+    if WORDS.isdisjoint(words):
+        return ""
+    return "named" if LAYOUT.isdisjoint(words) else "layout"
 
 
 class Lines(HTMLParser):
-    """Parser events to lines (text, tags, path of containers); text of left-out elements makes none."""
+    """Parser events to lines (text, tags, path of containers); text of left-out elements makes none.
+
+    finished() judges the doubtful elements, and `lines` are those without the ones that are left out.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.marked: set[int] = set()  # containers that are <article>, <main> or role=main
-        self.open: list[tuple[str, bool, tuple[int, ...]]] = []  # tag, left out, containers around what is in it
-        self.text: list[str] = []
+        self.open: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, left out, containers and doubtful elements around what is in it
+        self.text: list[tuple[str, tuple[int, ...]]] = []  # pieces and the doubtful elements around them
+        self.all: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []  # pieces, tags, path
+        self.names: list[str] = []  # doubtful_name of each doubtful element
+        self.articles: list[tuple[str, tuple[int, ...]]] = []  # tag of a marked container, doubtful elements around it
         self.tags = 0
         self.containers = 0
 
@@ -79,11 +93,13 @@ class Lines(HTMLParser):
     def path(self) -> tuple[int, ...]:
         return self.open[-1][2] if self.open else ()
 
+    @property
+    def doubts(self) -> tuple[int, ...]:
+        return self.open[-1][3] if self.open else ()
+
     def flush(self) -> None:
         if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.lines.append((text, self.tags, self.path))
+            self.all.append((self.text, self.tags, self.path))
             self.text = []
         self.tags = 0
 
@@ -111,22 +127,27 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br" and not self.out:
-                self.text.append("\n")
+                self.text.append(("\n", self.doubts))
             return
         inside = any(p in self.marked for p in self.path)
-        out = self.out or tag in NOT_TEXT or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and bool(attrs) and names_no_content(attrs)
-        path = self.path
+        nameable = bool(attrs) and tag not in ("html", "body", "article", "main")
+        out = self.out or tag in NOT_TEXT or tag == "header" and not inside or nameable and no_content(attrs)
+        path, doubts = self.path, self.doubts
+        if nameable and not out and (name := doubtful_name(attrs)):
+            doubts = (*doubts, len(self.names))
+            self.names.append(name)
         if tag in CONTAINER:
             self.containers += 1
             path = (*path, self.containers)
             if not out and (tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs)):
                 self.marked.add(self.containers)
-        self.open.append((tag, out, path))
+                self.articles.append((tag, doubts))
+        self.open.append((tag, out, path, doubts))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in NOT_TEXT:
             if tag == "br" and not self.out:
-                self.text.append("\n")
+                self.text.append(("\n", self.doubts))
             self.tags += 1
         else:  # <p/> and the like open an element in HTML
             self.handle_starttag(tag, attrs)
@@ -139,7 +160,7 @@ class Lines(HTMLParser):
                     self.end_open(at)
                 else:
                     # an inline end tag: what is open inside it stays open if it is a block
-                    if all(t not in BLOCK for t, _, _ in self.open[at:]):
+                    if all(t not in BLOCK for t, *_ in self.open[at:]):
                         del self.open[at:]
                 return
             if self.open[at][0] in ("td", "th", "article", "main") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "article", "main", "body", "html", "section", "div"):
@@ -149,13 +170,40 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.out:
-            self.text.append(data)
+            self.text.append((data, self.doubts))
 
     def finished(self) -> Lines:
         self.close()
         self.flush()
+        self.lines = self.without(set())
+        if self.names:
+            self.lines = self.without(self.left_out()) or self.lines
         return self
 
+    def without(self, left_out: set[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+        lines = []
+        for pieces, tags, path in self.all:
+            text = " ".join("".join([p for p, d in pieces if not left_out or left_out.isdisjoint(d)]).split())
+            if text:
+                lines.append((text, tags, path))
+        return lines
+
+    def left_out(self) -> set[int]:
+        """The doubtful elements that are no article text."""
+        chars, content, total = [0] * len(self.names), [0] * len(self.names), 0
+        there = [x for x in self.all if any(p.strip() for p, _ in x[0])]
+        for (pieces, _, _), high in zip(there, content_lines(self.lines), strict=True):
+            for piece, doubts in pieces:
+                n = len(piece.strip())
+                total += n * high
+                for d in doubts:
+                    chars[d] += n
+                    content[d] += n * high
+        plain = any(not any(self.names[d] == "named" for d in doubts) for _, doubts in self.articles)
+        holding = {d for tag, doubts in self.articles for d in doubts if not plain or tag == "main" or self.names[d] == "layout"}
+        stays = lambda d: d in holding or content[d] >= DOUBT_CHARS and 2 * content[d] > total or self.names[d] == "layout" and 2 * content[d] > chars[d]
+        return {d for d in range(len(self.names)) if not stays(d)}
+
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing along the page; at its ends the weights that are there count as all."""

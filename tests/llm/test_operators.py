@@ -283,6 +283,20 @@ def test_split_sections_and_sibling_articles():
     assert starts(f"<article>{paragraphs('a', 5)}</article>{MENU}<article>{paragraphs('b', 3)}</article>") == ["a0", "a1", "a2", "a3", "a4", "b0", "b1", "b2"]
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'><main>{}</main><div class='sidebar'><p>Side</p></div></div>", "<div class='no-sidebar'><div>{}</div></div>",
+    "<article><div class='entry-content share-enabled'>{}<span class='share'>Share</span></div></article>", "<div class='hidden'><article>{}</article></div>",
+    "<div id='widget'>{}</div>", "<main><article>{}</article><div class='comments'><article><p>c0 I disagree.</article></div></main>",
+])
+def test_names_alone_dont_leave_out_the_article(page):
+    assert starts(page.format(paragraphs("a", 4))) == ["a0", "a1", "a2", "a3"]
+
+
+def test_doubtful_names_of_short_pages():
+    assert mainhtml.main_text("<div class='widget'><p>All there is</p></div>") == "All there is"
+    assert mainhtml.main_text("<p>Start <span class='share'>Share</span> end</p>") == "Start end"
+
+
 def test_smoothing_and_clusters():
     assert mainhtml.smoothed([5.0, 5.0, 5.0]) == pytest.approx([5.0] * 3)
     lines = [("x" * 5, 3, ())] * 4 + [("y" * 200, 1, ())] * 6 + [("z" * 4, 2, ())] * 4
