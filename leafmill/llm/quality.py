@@ -2,13 +2,17 @@
 
 Features are the n-grams of N successive bytes of a text's UTF-8 form, hashed into BUCKETS buckets. Two multinomials over
 the buckets are counted: the raw one over every n-gram of every document, the target one over those of trusted documents
-(a bounded sample of labelled rows, the TRUSTED rows of label quality 1 and toxic 0 with the least hashes). There is a pair
-of them for each of SLOTS language slots (a hash of `lang`), so that a target with another mix of languages than the corpus
-doesn't condemn one; a language without trusted documents has ratios of 0. A document's score is the mean over its n-grams
-of log p_target(bucket) - log p_raw(bucket), so it doesn't grow with length; a document is kept if it passes the base rules
-and scores THRESHOLD or more.
+(labelled rows of quality 1 and toxic 0; of each slot a bounded sample, the TRUSTED ones with the least hashes). There is a
+pair of them for each of SLOTS language slots (a hash of `lang`), so that a target with another mix of languages than the
+corpus doesn't condemn one; a language without trusted documents has ratios of 0. A document's score is the mean over its
+n-grams of log p_target(bucket) - log p_raw(bucket), so it doesn't grow with length; a document is kept if it passes the
+base rules and scores THRESHOLD or more.
 
-Counting is one scan: each task adds up arrays of SLOTS * BUCKETS numbers and sends as many rows at most, then sums meet by
+The prior pulls the ratios of a slot with few trusted n-grams to 0. A bucket that no trusted document has gets the least
+ratio, log(prior / (n-grams + prior)), and scores keep their places between it and 0; so where it is nearer to 0 than DEPTH,
+the slot's scores are stretched as if it was -DEPTH, and THRESHOLD means the same with one trusted document as with many.
+
+The sample takes the ids and slots of labelled documents, two narrow shuffles. Counting is one scan: each task adds up arrays of SLOTS * BUCKETS numbers and sends as many rows at most, then sums meet by
 bucket; the model that is handed back to the tasks has SLOTS * BUCKETS numbers, whatever the corpus. Scoring is a second
 scan. No text moves.
 
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, arrow_map, in_arrow, texts
+from leafmill.llm.common import ASCII_SPACE, arrow_map, cut, in_arrow, texts
 
 N = 4
 BUCKETS = 1 << 15
@@ -36,6 +40,7 @@ SLOTS = 48
 TRUSTED = 20_000
 PRIOR = 1.0
 THRESHOLD = -0.4
+DEPTH = 2.0
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -117,27 +122,42 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> set[int]:
-    """At most `most` ids of trusted labelled rows, those with the least hashes."""
-    rows = (
-        labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-    )
-    return {r[0] for r in rows}
+def trusted_ids(documents: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
+    """Sorted ids of trusted labelled rows, of each language slot at most `most`, those with the least hashes."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    own = (F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")) % SLOTS).cast("int")
+    placed = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own")).join(good, "doc_id").distinct().withColumn("hash", F.xxhash64("doc_id")))
+    reach = F.lit(2**63 - 1)  # hashes up to it: all of a small slot, a little more than `most` of a large one
+    for r in placed.groupBy("own").count().collect():  # a row a slot
+        share = (most + 8 * most**0.5 + 8) / r["count"]
+        if share < 1:
+            reach = F.when(F.col("own") == r["own"], F.lit(int(share * 2**64) - 2**63)).otherwise(reach)
+    held: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.where(F.col("hash") <= reach).collect():
+        held.setdefault(r["own"], []).append((r["hash"], r["doc_id"]))
+    return np.array(sorted({i for found in held.values() for _, i in sorted(found)[:most]}), np.int64)
+
+
+def are_in(ids: pa.Array, known: np.ndarray) -> np.ndarray:
+    """Which ids are among the sorted known ones; null is not."""
+    if not len(known):
+        return np.zeros(len(ids), bool)
+    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    return (known[np.minimum(np.searchsorted(known, numbers), len(known) - 1)] == numbers) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
     """The log ratio of each bucket, from one scan of all documents."""
     spark = documents.sparkSession
-    trusted = spark.sparkContext.broadcast(trusted_ids(labels, most))
+    trusted = spark.sparkContext.broadcast(trusted_ids(documents, labels, most))
 
     def count(batches):
         raw, target = np.zeros(SLOTS * BUCKETS, np.int64), np.zeros(SLOTS * BUCKETS, np.int64)
         for batch in batches:
             held: dict[int, list[np.ndarray]] = {}
-            for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts(batch), strict=True):
+            for good, lang, text in zip(are_in(batch.column("doc_id"), trusted.value), batch.column("lang").to_pylist(), texts(batch), strict=True):
                 codes, at = gram_buckets(text.encode("utf-8", "surrogatepass")), slot(lang)
-                if doc_id in trusted.value:
+                if good:
                     target[at : at + BUCKETS] += np.bincount(codes, minlength=BUCKETS)
                 held.setdefault(at, []).append(codes)
             for at, codes in held.items():
@@ -166,11 +186,18 @@ def score(raw: bytes, lang: str | None, ratios: np.ndarray) -> float:
     return float(ratios[at : at + BUCKETS][codes].mean(dtype=np.float64)) if len(codes) else 0.0
 
 
+def stretch(lang: str | None, ratios: np.ndarray) -> float:
+    """DEPTH by the least ratio of the language's slot, 1 at least; 1 without trusted documents, where all ratios are 0 but for rounding."""
+    at = slot(lang)
+    depth = -float(ratios[at : at + BUCKETS].min())
+    return DEPTH / depth if 1e-6 < depth < DEPTH else 1.0
+
+
 def judge(text: str, lang: str | None, ratios: np.ndarray, memo: dict, threshold: float = THRESHOLD) -> tuple:
     """The base features, base_failed, score and verdict of a text."""
     features = base_features(text, memo)
     failed = base_failed(features[0], features[4])
-    s = score(text.encode("utf-8", "surrogatepass"), lang, ratios)
+    s = score(text.encode("utf-8", "surrogatepass"), lang, ratios) * stretch(lang, ratios)
     return *features, failed, s, not failed and s >= threshold
 
 

@@ -103,6 +103,23 @@ def test_quality_separates_held_out_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.25 * len(bad)
 
 
+def test_quality_filters_a_rare_language(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    trusted = lab.where("quality = 1 and coalesce(toxic, 0) = 0").join(d.where("lang = 'fr'"), "doc_id", "left_semi").orderBy("doc_id").limit(5)
+    few = lab.join(d.where("lang = 'fr'"), "doc_id", "left_anti").unionByName(trusted)
+    judged = quality.quality_rules(d.where("lang = 'fr' or doc_id % 4 = 0"), few).where("not base_failed").join(lab, "doc_id").join(d.where("lang = 'fr'").select("doc_id"), "doc_id").select("quality", "kept").collect()
+    good, bad = [r["kept"] for r in judged if r["quality"] == 1], [r["kept"] for r in judged if r["quality"] == 0]
+    assert bad and sum(bad) <= 0.25 * len(bad) and sum(good) >= 0.95 * len(good)
+
+
+def test_quality_samples_each_slot(spark):
+    rows = spark.createDataFrame([(i, "x", "en" if i < 400 else "fr" if i < 405 else None, "s", 1) for i in range(410)], DOC)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(410), 9999]] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    ids = quality.trusted_ids(rows.union(rows), labels, 20).tolist()
+    least = [r["doc_id"] for r in rows.where("lang = 'en'").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").limit(20).collect()]
+    assert ids == sorted(least + list(range(400, 410)))
+
+
 def test_quality_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality_rules(docs(spark, ODD_TEXTS), none).orderBy("doc_id").collect()
