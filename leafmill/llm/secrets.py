@@ -1,10 +1,11 @@
 """Secret scans: three fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Every whole text is scanned where it lies (no shuffle). The entropy method looks at candidate strings, maximal runs of
-token characters; inside each, a window slides over runs of one character class, its counts kept incrementally: a step
-changes two counts and the running sum of c*log2(c). Windows at or above the class's threshold are joined into spans.
-Candidates on the allow list (word-like, path-like, repeated patterns) are suppressed. Spans of the fixed patterns always
-stay; an entropy span that touches one of them is not added.
+token characters, and in each at the parts that no span of a fixed pattern covers; such spans always stay. Inside a part, a
+window slides over runs of one character class, its counts kept incrementally: a step changes two counts and the running
+sum of c*log2(c). Windows at or above the class's threshold, of all classes, are joined into spans.
+Parts and runs on the allow list (numbers, rules, UUIDs) and word-like ones are suppressed. Letters are word-like if their
+words, by separators and case, have WORD_LETTERS on average, and none fills a hot window with less than a quarter of vowels.
 
 Null and empty texts have no spans. Repeated rows and ties give the same result row by row; other columns are not read.
 """
@@ -27,18 +28,19 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
-#: character class -> window, bits per character; a class is looked at in this order, the first that finds spans wins
+#: character class -> window, bits per character
 CLASSES = {
     "hex": (re.compile(r"(?:[0-9a-f]{24,}|[0-9A-F]{24,})"), 24, 2.9),
     "alnum": (re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.6),
     "base64": (re.compile(r"[A-Za-z0-9+/=_-]{20,}"), 24, 3.9),
 }
-#: Fixed values. Candidates that match any of these are no secrets: words without digits, upper-case constants,
-#: identifiers or slugs of words, paths of words, UUIDs, and example keys of public documentation.
+#: letters without digits: words, upper-case constants, identifiers or slugs of words, paths of words, if they are word-like
+LETTERS = re.compile(r"[A-Za-z]+(?:[-_/=][A-Za-z]+)*[-_/=]*")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+WORD_LETTERS = 4
+VOWEL = re.compile(r"[AEIOUaeiou]")
+#: Fixed values. Candidates that match any of these are no secrets: numbers, rules, UUIDs, and example keys of public documentation.
 ALLOW = [
-    re.compile(r"[A-Za-z][a-z]+"),
-    re.compile(r"[A-Z]+"),
-    re.compile(r"[A-Za-z]+(?:[-_/=][A-Za-z]+)*[-_/=]*"),
     re.compile(r"[0-9]+"),
     re.compile(r"[-_=/+]+"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
@@ -51,7 +53,7 @@ def windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     n = len(run)
     if n < width:
         return []
-    table = [0.0, 0.0] + [c * math.log2(c) for c in range(2, width + 1)]
+    table = [0.0, 0.0] + [c * math.log2(c) for c in range(2, width + 2)]  # a character goes after the next has come
     counts: dict[str, int] = {}
     mass, full, spans = 0.0, math.log2(width), []
     for i, ch in enumerate(run):
@@ -72,8 +74,15 @@ def windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def word_like(letters: str) -> bool:
+    _, width, bits = CLASSES["alnum"]
+    words = WORD.findall(letters)
+    odd = lambda w: 4 * len(VOWEL.findall(w)) < len(w) and windows(w.lower(), width, bits)
+    return sum(map(len, words)) >= WORD_LETTERS * len(words) and not any(map(odd, words))
+
+
 def allowed(candidate: str) -> bool:
-    return any(p.fullmatch(candidate) for p in ALLOW)
+    return any(p.fullmatch(candidate) for p in ALLOW) or bool(LETTERS.fullmatch(candidate)) and word_like(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,17 +94,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def parts(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans leave of start to end."""
+    out = []
+    for a, _, b in taken:
+        if a < end and b > start:
+            if a > start:
+                out.append((start, a))
+            start = b
+    return out + [(start, end)] if start < end else out
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
-        candidate = m[0]
-        if any(a < m.end() and b > m.start() for a, _, b in taken) or allowed(candidate):
-            continue
-        for pattern, width, bits in CLASSES.values():
-            spans = [(m.start() + r.start() + a, 3, m.start() + r.start() + b) for r in pattern.finditer(candidate) if not allowed(r[0]) for a, b in windows(r[0], width, bits)]
-            if spans:
-                found += spans
-                break
+        for start, end in parts(m.start(), m.end(), taken):
+            part = text[start:end]
+            if allowed(part if part == m[0] else part.strip("-_=/+")):
+                continue
+            hot = sorted((start + r.start() + a, start + r.start() + b) for pattern, width, bits in CLASSES.values() for r in pattern.finditer(part) if not allowed(r[0]) for a, b in windows(r[0], width, bits))
+            at = len(found)
+            for a, b in hot:
+                if len(found) > at and a <= found[-1][2]:
+                    found[-1] = (found[-1][0], 3, max(b, found[-1][2]))
+                else:
+                    found.append((a, 3, b))
     return found
 
 

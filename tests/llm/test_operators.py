@@ -483,6 +483,25 @@ def test_entropy_spans_and_allow_list():
     assert secrets.redacted("token = abcdef123 end") == "[secret] end"
 
 
+def test_secrets_beside_fixed_patterns():
+    one, two = "0123456789abcdef" * 2, "wJalrXUtnFEMIqK7MDENGpbPxRfiCYzQ9u3Lk8Tz"
+    for text in (f"{one}_{two}", f"{two}/token=abcdef", f"{two}_{one}-{two[::-1]}"):
+        base, spans = secrets.all_spans(text)
+        assert base and not any(a < d and c < b for a, _, b in base for c, k, d in spans if k == 3)
+        assert two not in secrets.redacted(text) and two[::-1] not in secrets.redacted(text)
+    assert secrets.redacted("/path/of/some/long/words/token=abcdef") == "/path/of/some/long/words/[secret]"
+
+
+def test_secrets_of_mixed_classes_and_of_letters():
+    assert secrets.windows("x" * 40, 20, 3.6) == []
+    mixed = "Zq8Lw2Xn5Rt9Vb3Kd7Hs4/Gm1+Pf6Jc0Yx_Ug-Te+Oa"
+    assert secrets.redacted(f"a {mixed} b") == "a [secret] b" and len(secrets.entropy_spans(mixed, [])) == 1
+    for key in ("qWbXkZpTLmvRcYdNsJhGfA", "xkqjzvbwpmtrhgfdlcnyaeiu", "QZJXKVBWPMTRHGFDLCNY"):
+        assert secrets.redacted(f"a {key} b") == "a [secret] b"
+    for words in ("antidisestablishmentarianism", "the-quick-brown-fox-jumps-over-lazy-dogs", "MAXIMUM_NUMBER_OF_RETRIES_BEFORE_GIVING_UP", "getElementsByTagNameAndValue", "Donaudampfschifffahrtsgesellschaft", "z" * 40):
+        assert secrets.redacted(words) == words
+
+
 def test_secrets_odd_rows(spark):
     got = secrets.scan_secrets(docs(spark, [*ODD_TEXTS, "password=hunter22"])).orderBy("doc_id").collect()
     nothing = hashlib.sha256(b"").hexdigest()
