@@ -148,12 +148,23 @@ def text_layers(spark, sf_dir):
     return lay.text_layer(lay.kept_runs(r), 20)
 
 
+def _wrapped(lines, width):
+    """Lines broken between words into runs of `width` characters at most, longer words inside; blank lines stay as they are."""
+    fit = F.lit(rf"(?s)\S(?:.{{0,{width - 2}}}\S)?(?=\s|$)|\S{{{width}}}")
+
+    def runs(line):
+        found = F.regexp_extract_all(line, fit, F.lit(0))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(line))
+
+    return F.flatten(F.transform(lines, runs))
+
+
 def _document_runs(spark, sf_dir):
-    """Every document set in two columns: a run a line, a head and a page number on each page."""
-    d = src.table(spark, sf_dir, "documents").withColumn("l", F.filter(F.split("text", "\n"), lambda x: x != "")).where(F.size("l") > 0)
+    """Every document set in two columns, whole: long lines go on in further runs; a running head on each page."""
+    d = src.table(spark, sf_dir, "documents").withColumn("l", _wrapped(F.filter(F.split("text", "\n"), lambda x: x != ""), 45)).where(F.size("l") > 0)
     lines = d.select(F.col("doc_id").alias("doc"), F.posexplode("l").alias("ord", "text"))
     place, page = F.col("ord") % 24, F.floor(F.col("ord") / 24)
-    body = lines.select("doc", page.alias("page"), F.when(place < 12, 50.0).otherwise(320.0).alias("x0"), (F.lit(700.0) - (place % 12) * 14.0).alias("y"), F.when(F.col("ord") == 0, 20.0).otherwise(10.0).alias("size"), F.substring("text", 1, 45).alias("text"))
+    body = lines.select("doc", page.alias("page"), F.when(place < 12, 50.0).otherwise(320.0).alias("x0"), (F.lit(700.0) - (place % 12) * 14.0).alias("y"), F.when(F.col("ord") == 0, 20.0).otherwise(10.0).alias("size"), "text")
     heads = lines.select("doc", page.alias("page")).distinct().select("doc", "page", F.lit(50.0).alias("x0"), F.lit(780.0).alias("y"), F.lit(8.0).alias("size"), F.lit("A Running Head").alias("text"))
     return body.unionByName(heads).withColumn("x1", F.col("x0") + F.length("text") * F.col("size") * 0.5)
 
@@ -174,8 +185,8 @@ def layout_blocks(spark, sf_dir):
 @query()
 def layout_titles(spark, sf_dir):
     """The largest type at the top of each document's first page, and how many lines are left without it."""
-    d = src.table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n"))
-    lines = d.select(F.col("doc_id").alias("doc"), F.posexplode("l").alias("ord", "text")).select("doc", F.floor(F.col("ord") / 40).alias("page"), "ord", F.lit(50.0).alias("x0"), (F.lit(50.0) + F.length("text")).alias("x1"), (F.lit(800.0) - (F.col("ord") % 40) * 14.0).alias("y"), F.when(F.col("ord") < 2, 18.0).otherwise(10.0).alias("size"), F.substring("text", 1, 90).alias("text"), F.lit(800.0).alias("top"), F.lit(0.0).alias("bottom"))
+    d = src.table(spark, sf_dir, "documents").withColumn("l", _wrapped(F.split("text", "\n"), 90))
+    lines = d.select(F.col("doc_id").alias("doc"), F.posexplode("l").alias("ord", "text")).select("doc", F.floor(F.col("ord") / 40).alias("page"), "ord", F.lit(50.0).alias("x0"), (F.lit(50.0) + F.length("text")).alias("x1"), (F.lit(800.0) - (F.col("ord") % 40) * 14.0).alias("y"), F.when(F.col("ord") < 2, 18.0).otherwise(10.0).alias("size"), "text", F.lit(800.0).alias("top"), F.lit(0.0).alias("bottom"))
     titles = lay.largest_title(lines, lay.measured_spaces(lines, ["doc"]), ["doc"])
     left = lay.without_title(lines, titles, ["doc"]).groupBy("doc").agg(F.count(F.lit(1)).alias("lines"))
     return left.join(titles, "doc", "left")

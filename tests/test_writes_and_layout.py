@@ -2,6 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmill.operators import layout, writes
+from leafmill.plans import layout as plans
 from leafmill.streaming import state
 
 
@@ -50,3 +51,16 @@ def test_stats_on_empty_logs(spark):
     assert state.queue_stats(empty).first()["waits"] == 0
     assert state.timing(spark.createDataFrame([], "key long, ord long, ms double")).count() == 0
     assert layout.weighted_mode(spark.createDataFrame([], "doc long, size double, w long, o long"), ["doc"], "size", "w", "o").agg(F.count("*")).first()[0] == 0
+
+
+def test_long_lines_are_laid_out_whole(spark, tmp_path):
+    words = [f"word{i}" for i in range(60)]
+    text = " ".join(words[:2]) + "\n\n" + " ".join(words[2:]) + " " + "x" * 100
+    spark.createDataFrame([(1, text), (2, "One line")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = plans._document_runs(spark, str(tmp_path)).where("doc = 1 and text <> 'A Running Head'").select("text", "page", "x0", "y").collect()
+    assert max(len(r["text"]) for r in runs) <= 45 and sorted(w for r in runs for w in r["text"].split() if w[0] == "w") == sorted(words)
+    assert sum(r["text"].count("x") for r in runs) == 100 and len({r[1:] for r in runs}) == len(runs)
+    blocks = " ".join(str(v) for r in plans.layout_blocks(spark, str(tmp_path)).where("doc = 1").collect() for v in r)
+    assert all(w in blocks for w in words)
+    left = {r["doc"]: r["lines"] for r in plans.layout_titles(spark, str(tmp_path)).collect()}
+    assert left[1] >= len(text) // 90 - 1
