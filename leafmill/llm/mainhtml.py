@@ -1,21 +1,27 @@
-"""Main text of a page from the standard library's parser events.
-
-The page streams through html.parser. Each block (the text between two block-level tags) becomes a line with its characters
-and the number of tags met in it. The text-to-tag ratios of the lines are smoothed with a Gaussian along the page and
-clustered around a threshold into content and rest; the content lines elect the article: all of the page's <article>,
-<main> or role=main elements that hold content characters, side by side, and without any the smallest container that holds
-every content character. All blocks of a marked element are main text, so short paragraphs in it aren't lost; of the
-smallest container all blocks but those of containers that have no content line and lie outside its core, the deepest
-container with REGION_SHARE of the characters (menus of a page without names).
-
-Elements that are no article text by tag or role are left out wherever they stand. Class and id words only make an element
-doubtful. It stays if it holds the page's articles or, with DOUBT_CHARS or more, most content characters of the page; if its
-name has a layout word besides (content-sidebar-wrap), it stays if most of its own characters are in content lines. A page
-that would have no text without its doubtful elements keeps them all.
+"""Main text of a page from the standard library's parser events: text-to-tag ratios, smoothed and clustered.
+
+The page streams through html.parser. Each block (the text between two block-level tags) becomes a line with its characters,
+the characters of them in links, and the number of tags met in it. A line's ratio of text to tags, r / (r + HALF), is weighted
+by what stands around it: CHROME for lines of an element that names itself a menu, header, footer, sidebar, notice, advert,
+form or comments by tag, role or class, ASIDE for lines outside the page's <article> and <main> elements where it has any, 1
+for all others. The weighted ratios are smoothed with a Gaussian along the page, among lines of the same weight and the same
+such element, and cut into two clusters by a threshold. Lines of the high cluster are content, whatever they are in.
+
+The content lines select regions: the marked elements (<article>, <main>, role=main) that hold content, without any the
+smallest container of all content characters. Lines of the low cluster are main text as well if they lie in a region, aren't
+of an element that names itself otherwise, and aren't links alone: short paragraphs and headings around content. Without a
+marked element such lines must lie between content lines, in the core (the deepest container with REGION_SHARE of the content
+characters), or beside content in a container. Lines of links stay as headings, or between two content lines of their container.
+
+No name is a veto on what is around content: an element that holds a marked one keeps its full weight, and on a page without
+marked elements so does one that holds most content characters by ratio alone (DOUBT_CHARS at least; comments never). A
+name is a class or id whose words are all of WORDS and HELPERS, so no-sidebar or social-history isn't one; ids of sections,
+headings and paragraphs are anchors, and names for comments only. A page with no other lines than those of named elements is judged without names.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two line feeds in page
-order; nothing is cut. Null, empty or text-free html gives an empty text. The parser accepts any byte soup; unclosed and
-stray tags don't fail. Repeated rows give equal results; other columns are not read.
+order; nothing is cut. Null, empty or text-free html gives an empty text, and so do pages of menus, footers and forms alone.
+The parser accepts any byte soup; unclosed and stray tags don't fail. Repeated rows give equal results; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +37,10 @@ from pyspark.sql import DataFrame
 from leafmill.llm.common import arrow_map, texts
 
 SIGMA = 1.0
+#: characters a tag at which a line's ratio counts a half
+HALF = 40.0
+#: weights of lines in elements that name themselves something else, and of lines outside marked elements
+CHROME, ASIDE = 0.01, 0.05
 REGION_SHARE = 0.6
 #: a doubtful element of fewer characters is never most of a page: a notice on a page of a few words
 DOUBT_CHARS = 140
@@ -37,53 +48,84 @@ DOUBT_CHARS = 140
 # Element names of the HTML standard, by their part in this operator.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas audio video nav footer aside form button select textarea input label dialog menu datalist".split())
+NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button datalist".split())
+#: what they hold is no main text by their meaning, unless they are around the article
+OTHER = frozenset("nav footer aside form label dialog menu search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: their ids are anchors of an article's parts
+ANCHORED = HEADINGS | {"section", "p"}
 CONTAINER = frozenset("article main section div td body".split())
 CLOSES_P = BLOCK - {"html", "body"}
 #: start tag -> open elements that it ends, searched for up to the nearest list or table
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article main section div body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
-WORDS = frozenset(
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+WORDS = COMMENTS | frozenset(
     "nav navbar navigation menu submenu sidebar footer masthead ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus "
-    "reply replies respond breadcrumb breadcrumbs pagination pager widget toolbar skip hidden".split()
+    "cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
+    "breadcrumb breadcrumbs pagination pager widget widgets toolbar skip hidden".split()
+)
+#: words that a name of one of WORDS may have besides
+HELPERS = frozenset(
+    "area bar block box body bottom button buttons col column container content form header heading icons inner item items left link links list main media outer panel post posts article articles "
+    "page primary right secondary section site slot stories story text title to top unit wrap wrapper".split()
 )
-#: beside one of WORDS they say that a name is one of layout
-LAYOUT = frozenset("content main article entry post story text body page wrap wrapper container layout inner outer column columns grid site no not with without has is enabled".split())
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def no_content(attrs: list[tuple[str, str | None]]) -> bool:
-    """Hidden, or of a role that is no article text."""
-    return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "role" and bool(v) and v.strip().lower() in ROLES for n, v in attrs)
+class Line(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]  # containers around it
+    named: tuple[int, ...] = ()  # elements around it that name themselves something else
+    links: int = 0  # its characters in links
+    heading: bool = False
 
 
-def doubtful_name(attrs: list[tuple[str, str | None]]) -> str:
-    """"" without one of WORDS in class or id, "layout" if one of LAYOUT is there as well, else "named"."""
-    words = {w.lower() for n, v in attrs if v and n in ("class", "id") for w in _SPLIT.split(v)}
-    if WORDS.isdisjoint(words):
-        return ""
-    return "named" if LAYOUT.isdisjoint(words) else "layout"
+def hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" for n, v in attrs)
 
 
-class Lines(HTMLParser):
-    """Parser events to lines (text, tags, path of containers); text of left-out elements makes none.
+def name_of(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> str:
+    """"tag" if tag or role say that the element is no main text, "comments" or "name" if a class or id does, else ""."""
+    if tag in OTHER or tag == "header" and not in_article:
+        return "tag"
+    found = ""
+    for n, v in attrs:
+        if not v:
+            continue
+        if n == "role" and v.strip().lower() in ROLES:
+            return "tag"
+        if n in ("class", "id"):
+            known = COMMENTS if n == "id" and tag in ANCHORED else WORDS
+            for name in v.split():
+                words = {w.lower() for w in _SPLIT.split(name) if w}
+                if not known.isdisjoint(words) and words <= WORDS | HELPERS:
+                    found = "comments" if found == "comments" or not COMMENTS.isdisjoint(words) else "name"
+    return found
+
 
-    finished() judges the doubtful elements, and `lines` are those without the ones that are left out.
-    """
+class Block(NamedTuple):
+    """The text between two block-level tags, in pieces (text, named elements around it, in a link)."""
+
+    pieces: list[tuple[str, tuple[int, ...], bool]]
+    tags: int
+    path: tuple[int, ...]
+    heading: bool
+
+
+class Lines(HTMLParser):
+    """Parser events to blocks, and those to lines; text that is never shown makes none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.marked: set[int] = set()  # containers that are <article>, <main> or role=main
-        self.open: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, left out, containers and doubtful elements around what is in it
-        self.text: list[tuple[str, tuple[int, ...]]] = []  # pieces and the doubtful elements around them
-        self.all: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []  # pieces, tags, path
-        self.names: list[str] = []  # doubtful_name of each doubtful element
-        self.articles: list[tuple[str, tuple[int, ...]]] = []  # tag of a marked container, doubtful elements around it
-        self.tags = 0
-        self.containers = 0
+        self.blocks: list[Block] = []
+        self.open: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, not shown, containers and named elements around what is in it
+        self.names: list[str] = []  # kind of each named element
+        self.marked: dict[int, tuple[str, tuple[int, ...]]] = {}  # containers that are <article>, <main> or role=main: tag and named elements around
+        self.containers = self.tags = 0
+        self.pieces: list[tuple[str, tuple[int, ...], bool]] = []
 
     @property
     def out(self) -> bool:
@@ -94,60 +136,72 @@ class Lines(HTMLParser):
         return self.open[-1][2] if self.open else ()
 
     @property
-    def doubts(self) -> tuple[int, ...]:
+    def named(self) -> tuple[int, ...]:
         return self.open[-1][3] if self.open else ()
 
     def flush(self) -> None:
-        if self.text:
-            self.all.append((self.text, self.tags, self.path))
-            self.text = []
+        if self.pieces:
+            self.blocks.append(Block(self.pieces, self.tags, self.path, any(t in HEADINGS for t, *_ in self.open)))
+            self.pieces = []
         self.tags = 0
 
+    def add(self, data: str) -> None:
+        self.pieces.append((data, self.named, any(t == "a" for t, *_ in reversed(self.open))))
+
+    def lines(self, aside: set[int] | None = None) -> list[Line]:
+        """A line for each block, and one of its own for what inline elements of `aside` (all, without it) hold in it."""
+        out = []
+        for pieces, tags, path, heading in self.blocks:
+            parts: dict[tuple[int, ...], list[tuple[str, bool]]] = {}
+            for data, named, link in pieces:
+                parts.setdefault(named if aside is None else tuple(d for d in named if d in aside), []).append((data, link))
+            for named, own in parts.items():
+                if text := " ".join("".join([d for d, _ in own]).split()):
+                    out.append(Line(text, tags, path, named, sum(len(d.strip()) for d, link in own if link), heading))
+        return out
+
     def end_open(self, at: int) -> None:
         self.flush()
         del self.open[at:]
 
+    def end_nearest(self, tags: set[str]) -> None:
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] in tags:
+                self.end_open(at)
+                return
+            if self.open[at][0] in FENCES:
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
             if tag in CLOSES_P:
-                for at in range(len(self.open) - 1, -1, -1):
-                    if self.open[at][0] == "p":
-                        self.end_open(at)
-                        break
-                    if self.open[at][0] in FENCES:
-                        break
-            if ends := ENDS.get(tag):
-                for at in range(len(self.open) - 1, -1, -1):
-                    if self.open[at][0] in ends:
-                        self.end_open(at)
-                        break
-                    if self.open[at][0] in FENCES:
-                        break
+                self.end_nearest({"p"})
+            if tag in ENDS:
+                self.end_nearest(ENDS[tag])
+        path, named, shut = self.path, self.named, self.out
+        in_article = any(p in self.marked for p in path)
+        kind = "" if tag in ("html", "body", "article", "main") or tag in VOID else name_of(tag, attrs, in_article)
+        shut = shut or tag in NOT_TEXT or tag not in ("html", "body", "article", "main") and hidden(attrs)
         self.tags += 1
         if tag in VOID:
-            if tag == "br" and not self.out:
-                self.text.append(("\n", self.doubts))
+            if tag == "br" and not shut:
+                self.add("\n")
             return
-        inside = any(p in self.marked for p in self.path)
-        nameable = bool(attrs) and tag not in ("html", "body", "article", "main")
-        out = self.out or tag in NOT_TEXT or tag == "header" and not inside or nameable and no_content(attrs)
-        path, doubts = self.path, self.doubts
-        if nameable and not out and (name := doubtful_name(attrs)):
-            doubts = (*doubts, len(self.names))
-            self.names.append(name)
+        if kind and not shut:
+            named = (*named, len(self.names))
+            self.names.append(kind)
         if tag in CONTAINER:
             self.containers += 1
             path = (*path, self.containers)
-            if not out and (tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs)):
-                self.marked.add(self.containers)
-                self.articles.append((tag, doubts))
-        self.open.append((tag, out, path, doubts))
+            if not shut and (tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs)):
+                self.marked[self.containers] = (tag, named)
+        self.open.append((tag, shut, path, named))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in NOT_TEXT:
             if tag == "br" and not self.out:
-                self.text.append(("\n", self.doubts))
+                self.add("\n")
             self.tags += 1
         else:  # <p/> and the like open an element in HTML
             self.handle_starttag(tag, attrs)
@@ -156,12 +210,10 @@ class Lines(HTMLParser):
         self.tags += 1
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if tag in BLOCK or self.open[at][1] != self.out:
+                if tag in BLOCK or self.open[at][1] != (at > 0 and self.open[at - 1][1]):
                     self.end_open(at)
-                else:
-                    # an inline end tag: what is open inside it stays open if it is a block
-                    if all(t not in BLOCK for t, *_ in self.open[at:]):
-                        del self.open[at:]
+                elif all(t not in BLOCK for t, *_ in self.open[at:]):  # an inline end tag: a block that is open inside it stays open
+                    del self.open[at:]
                 return
             if self.open[at][0] in ("td", "th", "article", "main") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "article", "main", "body", "html", "section", "div"):
                 return
@@ -170,56 +222,37 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.out:
-            self.text.append((data, self.doubts))
+            self.add(data)
 
     def finished(self) -> Lines:
         self.close()
         self.flush()
-        self.lines = self.without(set())
-        if self.names:
-            self.lines = self.without(self.left_out()) or self.lines
         return self
 
-    def without(self, left_out: set[int]) -> list[tuple[str, int, tuple[int, ...]]]:
-        lines = []
-        for pieces, tags, path in self.all:
-            text = " ".join("".join([p for p, d in pieces if not left_out or left_out.isdisjoint(d)]).split())
-            if text:
-                lines.append((text, tags, path))
-        return lines
-
-    def left_out(self) -> set[int]:
-        """The doubtful elements that are no article text."""
-        chars, content, total = [0] * len(self.names), [0] * len(self.names), 0
-        there = [x for x in self.all if any(p.strip() for p, _ in x[0])]
-        for (pieces, _, _), high in zip(there, content_lines(self.lines), strict=True):
-            for piece, doubts in pieces:
-                n = len(piece.strip())
-                total += n * high
-                for d in doubts:
-                    chars[d] += n
-                    content[d] += n * high
-        plain = any(not any(self.names[d] == "named" for d in doubts) for _, doubts in self.articles)
-        holding = {d for tag, doubts in self.articles for d in doubts if not plain or tag == "main" or self.names[d] == "layout"}
-        stays = lambda d: d in holding or content[d] >= DOUBT_CHARS and 2 * content[d] > total or self.names[d] == "layout" and 2 * content[d] > chars[d]
-        return {d for d in range(len(self.names)) if not stays(d)}
-
-
-def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing along the page; at its ends the weights that are there count as all."""
+
+def ratio(line: Line) -> float:
+    r = len(line.text) / max(1, line.tags)
+    return r / (r + HALF)
+
+
+def smoothed(ratios: list[float], groups: list, sigma: float = SIGMA) -> list[float]:
+    """Gaussian smoothing along the page among lines of a group; where others stand the weights that are there count as all."""
     reach = max(1, math.ceil(2 * sigma))
-    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(reach + 1)]
     n, out = len(ratios), []
     for i in range(n):
-        a, b = max(0, i - reach), min(n, i + reach + 1)
-        own = weights[a - i + reach : b - i + reach]
-        out.append(sum(w * r for w, r in zip(own, ratios[a:b], strict=True)) / sum(own))
+        whole = held = 0.0
+        for j in range(max(0, i - reach), min(n, i + reach + 1)):
+            if groups[j] == groups[i]:
+                w = weights[abs(i - j)]
+                whole += w
+                held += w * ratios[j]
+        out.append(held / whole)
     return out
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
+def high_cluster(values: list[float]) -> list[bool]:
     """Two clusters around a threshold: the mean of the two cluster means, repeated until it rests."""
-    values = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
     cut = sum(values) / len(values)
     for _ in range(20):
         high, low = [v for v in values if v >= cut], [v for v in values if v < cut]
@@ -232,34 +265,72 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
     return [v >= cut for v in values]
 
 
+def set_aside(page: Lines) -> tuple[set[int], set[int]]:
+    """The named elements that count as what they name themselves, and the marked containers."""
+    lines = page.lines()
+    marked = {c: at for c, at in page.marked.items() if at[0] == "main" or not any(page.names[d] == "comments" for d in at[1])}
+    with_text = {c for line in lines for c in line.path if c in marked}
+    holding = {d for c in with_text for d in marked[c][1]}
+    if not with_text:  # ratio alone says which elements hold most of the page
+        content = high_cluster(smoothed([ratio(x) for x in lines], [0] * len(lines)))
+        chars, total = [0] * len(page.names), 0
+        for line, high in zip(lines, content, strict=True):
+            if high:
+                total += len(line.text)
+                for d in line.named:
+                    chars[d] += len(line.text)
+        holding = {d for d, n in enumerate(chars) if n >= DOUBT_CHARS and 2 * n > total and page.names[d] == "name"}
+    aside = set(range(len(page.names))) - holding
+    if all(not aside.isdisjoint(line.named) for line in lines):  # nothing else: only tags and roles count
+        aside = {d for d in aside if page.names[d] == "tag"}
+    return aside, with_text
+
+
 def article_lines(page: Lines) -> list[str]:
     """The texts of the lines that are the article."""
-    weight: dict[int, int] = {}
+    if not page.lines():
+        return []
+    aside, marked = set_aside(page)
+    lines = page.lines(aside)
+    if all(line.named for line in lines):
+        return []
+    groups = [x.named[0] + 1 if x.named else (0 if not marked or not marked.isdisjoint(x.path) else -1) for x in lines]
+    weight = lambda g: CHROME if g > 0 else ASIDE if g < 0 else 1.0
+    content = high_cluster(smoothed([ratio(x) * weight(g) for x, g in zip(lines, groups, strict=True)], groups))
+    held: dict[int, int] = {}  # content characters of each container
+    beside: set[int] = set()  # containers with content of their own
     total = 0
-    content = content_lines(page.lines)
-    for (text, _, path), high in zip(page.lines, content, strict=True):
+    for line, high in zip(lines, content, strict=True):
         if high:
-            total += len(text)
-            for p in path:
-                weight[p] = weight.get(p, 0) + len(text)
-    held = weight
-    if page.marked and not any(weight.get(p) for p in page.marked):  # a very short article: its lines fall in the other cluster
-        held = {}
-        for text, _, path in page.lines:
-            for p in path:
-                if p in page.marked:
-                    held[p] = held.get(p, 0) + len(text)
-    if any(held.get(p) for p in page.marked):
-        regions: dict[int, int] = {}  # outermost marked container -> it, or the innermost one with as many characters
-        for _, _, path in page.lines:
-            around = [p for p in path if p in page.marked]
-            for p in around:
-                if held.get(p) and held[p] == held[around[0]]:
-                    regions[around[0]] = max(p, regions.get(around[0], 0))
-        return [text for text, _, path in page.lines if not set(regions.values()).isdisjoint(path)]
-    whole = max((p for p, w in weight.items() if w == total), default=None)
-    core = max((p for p, w in weight.items() if w >= REGION_SHARE * total), default=None)
-    return [text for text, _, path in page.lines if (whole is None or whole in path) and (core is None or core in path or not path or weight.get(path[-1]))]
+            total += len(line.text)
+            beside.update(line.path[-1:])
+            for p in line.path:
+                held[p] = held.get(p, 0) + len(line.text)
+    if not total:
+        return []
+    regions = marked & held.keys()
+    whole = max((p for p, n in held.items() if n == total), default=None)
+    core = max((p for p, n in held.items() if n >= REGION_SHARE * total), default=None)
+
+    def in_region(path: tuple[int, ...], between: bool) -> bool:
+        if regions:
+            return not regions.isdisjoint(path)
+        return (whole is None or whole in path) and (between or core is None or core in path or not path or path[-1] in beside)
+
+    before, after = [None] * len(lines), [None] * len(lines)  # the container of the nearest content line before and after
+    last = None
+    for i, (line, high) in enumerate(zip(lines, content, strict=True)):
+        before[i] = last
+        last = line.path if high else last
+    last = None
+    for i in range(len(lines) - 1, -1, -1):
+        after[i] = last
+        last = lines[i].path if content[i] else last
+    return [
+        line.text
+        for line, high, g, a, b in zip(lines, content, groups, before, after, strict=True)
+        if high or g <= 0 and in_region(line.path, None not in (a, b)) and (line.heading or 2 * line.links <= len(line.text) or a == line.path == b)
+    ]
 
 
 def main_text(html: str) -> str:
@@ -268,8 +339,6 @@ def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
     page.finished()
-    if not page.lines:
-        return ""
     return "\n\n".join(article_lines(page))
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import math
 import random
 import re
@@ -315,9 +316,68 @@ def test_doubtful_names_of_short_pages():
 
 
 def test_smoothing_and_clusters():
-    assert mainhtml.smoothed([5.0, 5.0, 5.0]) == pytest.approx([5.0] * 3)
-    lines = [("x" * 5, 3, ())] * 4 + [("y" * 200, 1, ())] * 6 + [("z" * 4, 2, ())] * 4
-    assert mainhtml.content_lines(lines)[5:9] == [True] * 4 and not mainhtml.content_lines(lines)[0]
+    assert mainhtml.smoothed([5.0, 5.0, 5.0], [0, 0, 0]) == pytest.approx([5.0] * 3)
+    assert mainhtml.smoothed([1.0, 9.0, 1.0], [0, 1, 0]) == pytest.approx([1.0, 9.0, 1.0])
+    lines = [mainhtml.Line("x" * 5, 3, ())] * 4 + [mainhtml.Line("y" * 200, 1, ())] * 6 + [mainhtml.Line("z" * 4, 2, ())] * 4
+    content = mainhtml.high_cluster(mainhtml.smoothed([mainhtml.ratio(x) for x in lines], [0] * 14))
+    assert content[5:9] == [True] * 4 and not content[0]
+
+
+def plain_main_text(page):
+    """Ratio, smoothing, clusters and text of pages as the tables have them, by splitting the markup at block tags."""
+    body = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<head>.*?</head>|<!DOCTYPE[^>]*>", "", page)
+    lines, place, tags, held = [], "", 0, ""
+    for token in [*re.findall(r"(?s)<[^>]*>|[^<]+", body), "<p>"]:
+        tag = re.match(r"</?([a-z0-9]+)", token)
+        if tag and tag[1] not in ("a", "b", "br"):
+            text = " ".join(html.unescape(held).split())
+            if text:
+                lines.append((text, tags, place))
+            held, tags = "", 0
+            if tag[1] in ("nav", "footer", "article", "div"):
+                place = "" if token.startswith("</") else "ad" if tag[1] == "div" else tag[1]
+        if not tag:
+            held += token
+        else:
+            tags += 1 if tag[1] not in ("html", "body") or token.startswith("<b") else 0
+            held += "\n" if tag[1] == "br" else ""
+    weight = {"article": 1, "": 0.05}
+    n = len(lines)
+    r = np.array([len(t) / max(1, k) for t, k, _ in lines])
+    r = r / (r + 40) * np.array([weight.get(p, 0.01) for _, _, p in lines])
+    kernel = np.array([[math.exp(-((i - j) ** 2) / 2) * (abs(i - j) <= 2 and lines[i][2] == lines[j][2]) for j in range(n)] for i in range(n)])
+    v = kernel @ r / kernel.sum(1)
+    cut = v.mean()
+    for _ in range(20):
+        if not (v < cut).any() or abs((new := (v[v >= cut].mean() + v[v < cut].mean()) / 2) - cut) < 1e-9:
+            break
+        cut = new
+    held = any(v[i] >= cut and lines[i][2] == "article" for i in range(n))
+    return "\n\n".join(t for i, (t, _, p) in enumerate(lines) if v[i] >= cut or held and p == "article")
+
+
+def test_main_text_by_hand(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    got = [mainhtml.main_text(p) for p in pages]
+    assert got == [plain_main_text(p) for p in pages] and all(got)
+    for forced in (True, False):  # the clusters decide
+        monkeypatch.setattr(mainhtml, "high_cluster", lambda values, forced=forced: [forced] * len(values))
+        assert all(mainhtml.main_text(p) != text for p, text in zip(pages, got, strict=True))
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='site has-sidebar'><article>{}</article></div>", "<div class='post ad-free'>{}</div>", "<div class='post comments-open'>{}</div>",
+    "<article>{}<div><p><a href=x>Related one</a></p><p><a href=y>Related two</a></p></div></article>", "<form><main>{}</main><p><label>Name</label></p></form>",
+    "<div class='ad'><p>" + PROSE + "</p></div><div>{}</div><div id='comments'><article><p>" + PROSE * 9 + "</p><p>" + PROSE * 9 + "</p></article></div>",
+])
+def test_names_and_tags_are_weights(page):
+    assert starts(page.format(paragraphs("a", 4))) == ["a0", "a1", "a2", "a3"]
+    assert starts(page.format(f"{paragraphs('a', 2)}<section id='cookies'>{paragraphs('b', 2)}</section><div class='social-history'>{paragraphs('c', 1)}</div>")) == ["a0", "a1", "b0", "b1", "c0"]
+
+
+def test_pages_of_other_parts_alone():
+    assert mainhtml.main_text("<nav>menu</nav><footer>" + PROSE + "</footer>") == ""
+    assert mainhtml.main_text("<div class='comments'><p>c0 All there is</p></div>") == "c0 All there is"
 
 
 @settings(max_examples=60, deadline=None)
