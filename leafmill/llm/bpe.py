@@ -4,8 +4,8 @@ Tier 1: a minimal perfect hash (hash, displace and compress) over the vocabulary
 entry: one displacement, one slot, one comparison of bytes. Tier 2, for the rest: the bytes form a doubly linked list, a
 heap holds the ranked neighbouring pairs, and the lowest rank (leftmost on ties) is merged until none is left.
 
-Pre-tokens repeat, so each task remembers the packed ids of up to MEMO of them and starts anew beyond that; the memory is
-bounded and no text is cut. Ids are packed as little-endian unsigned 32-bit integers.
+Pre-tokens repeat, so each task remembers the packed ids of those it has met, up to MEMO_BYTES and those of one text, and
+starts anew beyond that; the memory is bounded and no text is cut. Ids are packed as little-endian unsigned 32-bit integers.
 
 Null text reads as empty: no ids, digests of nothing. Repeated rows and ties give the same result row by row.
 """
@@ -22,9 +22,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import arrow_map, texts
+from leafmill.llm.common import WordMemory, arrow_map, texts
 
-MEMO = 600_000
+#: bytes of pre-tokens, with their ids, that a task remembers before it starts anew
+MEMO_BYTES = 120_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +85,7 @@ class ByteBpe:
         self.words = PerfectHash(self.ranks)
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.memo = WordMemory(MEMO_BYTES, self.piece_ids)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no entry: a heap of ranked pairs over linked bytes."""
@@ -118,16 +119,8 @@ class ByteBpe:
 
     def encode_packed(self, text: str) -> bytes:
         pieces, memo = self.pieces(text), self.memo
-        new = set(pieces).difference(memo)  # asks the dict for each piece; `- memo.keys()` would walk all of it
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set(pieces)
-        for piece in new:
-            memo[piece] = self.piece_ids(piece)
-        out = b"".join([memo[p] for p in pieces])
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
+        memo.learn(set(pieces))
+        return b"".join([memo[p] for p in pieces])
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed(text)).cast("I").tolist()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar, Token
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
+    (master local) gets a folder of its own; on a cluster that would be a folder a machine, so there it fails."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _FALLBACK:
         _FALLBACK[key] = "file://" + tempfile.mkdtemp(prefix="leafmill-")
@@ -32,8 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[key]
 
 
+#: the folder, below the shared one, that the running query writes its tables to
+_RUN: ContextVar[str] = ContextVar("run", default="leafmill")
+_RUNS: dict[tuple[str, str], list[str]] = {}
+
+
+def query_run(spark: SparkSession, query: str) -> Token:
+    """From now on written() uses a folder of this run's own. What runs of the query before the last one have written goes;
+    the last one's result may not have been read yet."""
+    runs = _RUNS.setdefault((spark.sparkContext.applicationId, query), [])
+    while len(runs) > 1:
+        remove(spark, f"{shared_dir(spark)}/{runs.pop(0)}")
+    runs.append(f"leafmill/{query}-{uuid.uuid4().hex}")
+    return _RUN.set(runs[-1])
+
+
+def in_own_run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the tables it writes in a folder of its run."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = query_run(spark, query.__name__)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _RUN.reset(token)
+
+    return run
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_RUN.get()}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -46,8 +85,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Removes all tables that written() has left in the shared folder; for when no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/leafmill")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,7 +99,8 @@ BATCH_BYTES = 8 * 1024 * 1024
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow over batches of bounded size, whatever the length of the rows."""
+    """mapInArrow over batches of bounded size, whatever the length of the rows. Spark reads that bound from the session when
+    the plan runs, so it is left set there; a value that the caller has set stays."""
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
     if spark.conf.get(key).rstrip("b") == str(64 * 1024 * 1024):  # Spark's own default; a setting of the caller's stays
         spark.conf.set(key, str(BATCH_BYTES))
@@ -84,6 +123,27 @@ def arrow_map(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], Itera
     return in_arrow(df, run, schema)
 
 
+class WordMemory(dict):
+    """Values of words that a task has met, with a bound on bytes: text without spaces has words as long as paragraphs."""
+
+    def __init__(self, most: int, value: Callable[[bytes], object]):
+        super().__init__()
+        self.most, self.value, self.held = most, value, 0
+
+    def learn(self, words: set) -> None:
+        """Sees to it that all these words are there; starts anew if memory is full."""
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        for w in words.difference(self):  # asks the dict for each word; `words - self.keys()` would walk all of it
+            self[w] = v = self.value(w)
+            self.held += WORD_BYTES + len(w) + (len(v) if isinstance(v, bytes) else 0)
+
+
+#: what an entry of a dict holds besides its characters
+WORD_BYTES = 150
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Whole texts of a batch; null reads as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

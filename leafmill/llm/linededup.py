@@ -38,21 +38,27 @@ def key_hash(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
+def own_part() -> F.Column:
+    """Documents without an id are one document, but not one task's: each of their texts gets its drops by itself."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+
+
 def line_keys(documents: DataFrame) -> DataFrame:
-    """doc, h1, h2: a row for each document row and distinct long key in it."""
+    """doc, part, h1, h2: a row for each document row and distinct long key in it."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        docs, firsts, seconds = [], [], []
-        for doc, text in zip(batch.column("doc").to_pylist(), texts(batch), strict=True):
+        docs, parts, firsts, seconds = [], [], [], []
+        for doc, part, text in zip(batch.column("doc").to_pylist(), batch.column("part").to_pylist(), texts(batch), strict=True):
             keys = {k for line in text.encode("utf-8", "surrogatepass").split(b"\n") if (k := line_key(line)) is not None}
             for k in keys:
                 h = xxhash.xxh3_128_intdigest(k)
                 docs.append(doc)
+                parts.append(part)
                 firsts.append((h >> 64) - _SIGN)
                 seconds.append((h & 0xFFFFFFFFFFFFFFFF) - _SIGN)
-        return {"doc": pa.array(docs, pa.int64()), "h1": pa.array(firsts, pa.int64()), "h2": pa.array(seconds, pa.int64())}
+        return {"doc": pa.array(docs, pa.int64()), "part": pa.array(parts, pa.int64()), "h1": pa.array(firsts, pa.int64()), "h2": pa.array(seconds, pa.int64())}
 
-    return arrow_map(documents.select(document_key().alias("doc"), "text"), "doc long, h1 long, h2 long", each)
+    return arrow_map(documents.select(document_key().alias("doc"), own_part().alias("part"), "text"), "doc long, part long, h1 long, h2 long", each)
 
 
 def repeated_keys(keys: DataFrame, least: int = 2) -> DataFrame:
@@ -63,12 +69,12 @@ def repeated_keys(keys: DataFrame, least: int = 2) -> DataFrame:
 
 
 def dropped_keys(documents: DataFrame, least: int = 2) -> DataFrame:
-    """doc, drops: for each document the hashes of the keys whose lines it loses, 16 bytes each, end to end."""
+    """doc, part, drops: for each document the hashes of the keys whose lines it loses, 16 bytes each, end to end."""
     keys = written(line_keys(documents), "line-keys")
     # written as well, so that both sides of the join are dealt anew and a very common line's partition can be split
     lost = keys.join(written(repeated_keys(keys, least), "repeated-lines"), ["h1", "h2"]).where(F.col("doc") > F.col("keeper"))
     as_bytes = F.to_binary(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")), F.lit("hex"))
-    return lost.select("doc", as_bytes.alias("h")).groupBy("doc").agg(F.collect_set("h").alias("drops"))
+    return lost.select("doc", "part", as_bytes.alias("h")).groupBy("doc", "part").agg(F.collect_set("h").alias("drops"))
 
 
 def _raw(h: bytes) -> bytes:
@@ -87,9 +93,9 @@ def kept_lines(text: str, drops: set[bytes]) -> tuple[list[bytes], int, int]:
 
 def _with_drops(documents: DataFrame, least: int) -> tuple[DataFrame, str]:
     """Document rows with what they lose, and the name of that column; the side with drops is the smaller one, so no text is sorted."""
-    doc, name = unused(documents, "_doc"), unused(documents, "_drops")
-    drops = dropped_keys(documents, least).withColumnRenamed("doc", doc).withColumnRenamed("drops", name)
-    return documents.join(drops.hint("shuffle_hash"), document_key() == F.col(doc), "left").drop(doc), name
+    doc, part, name = unused(documents, "_doc"), unused(documents, "_part"), unused(documents, "_drops")
+    drops = dropped_keys(documents, least).withColumnsRenamed({"doc": doc, "part": part, "drops": name})
+    return documents.join(drops.hint("shuffle_hash"), (document_key() == F.col(doc)) & (own_part() == F.col(part)), "left").drop(doc, part), name
 
 
 def line_dedup(documents: DataFrame, least: int = 2) -> DataFrame:

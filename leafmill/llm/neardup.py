@@ -32,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, in_arrow, texts, unused, written
+from leafmill.llm.common import WordMemory, cut, in_arrow, texts, unused, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
 REGISTERS = BANDS * ROWS
-MEMO = 300_000
+#: bytes of words, with their hashes, that a task remembers before it starts anew
+MEMO_BYTES = 50_000_000
 #: documents, and shingles of documents, in a block
 BLOCK_DOCS, BLOCK_ITEMS = 768, 600_000
 
@@ -55,15 +56,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def shingle_hashes(text: str, memo: dict[bytes, int]) -> np.ndarray:
+def shingle_hashes(text: str, memo: WordMemory) -> np.ndarray:
     """A 64-bit hash of each shingle, in order."""
     words = text.encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(memo) > MEMO:
-        memo.clear()
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh3_64_intdigest(w)
+    memo.learn(set(words))
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
@@ -155,7 +153,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     """doc, d1, d2 (digest of the text), n (shingles), bands (null without a word) for each row with an id and a text."""
 
     def each(batches):
-        memo: dict[bytes, int] = {}
+        memo = WordMemory(MEMO_BYTES, xxhash.xxh3_64_intdigest)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -182,7 +180,7 @@ def contents(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc, items: the occurrence hashes of the wanted documents (table `doc`); others aren't looked at again."""
 
     def each(batches):
-        memo: dict[bytes, int] = {}
+        memo = WordMemory(MEMO_BYTES, xxhash.xxh3_64_intdigest)
         for batch in batches:
             if batch.num_rows:
                 items = [occurrences(shingle_hashes(t, memo)).view(np.int64) for t in texts(batch)]

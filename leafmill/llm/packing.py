@@ -6,8 +6,10 @@
    carried into the next round. After w rounds a queue with quantum q has had w*q credit and has sent exactly the documents
    whose running total is at most w*q, so a document's window is ceil(running total / q). That needs only running totals,
    made in two levels (chunks of a queue, documents of a chunk), so deficits carry across windows and partitions and no task
-   sees a whole queue. Where a mixture is given, a queue that runs dry hands its share to the others; the rounds between two
-   such moments form a phase with quanta of its own.
+   sees a whole queue. A queue that runs dry hands its share to the others, whose quanta grow; so rounds are counted along
+   the common clock of all queues, tokens sent over weight, on which each queue runs dry at its own time.
+   The target is a mixture (source -> weight) or a temperature t: shares in proportion to (tokens of the source) ** t, 1 for
+   the corpus's own mixture. Queues without a weight wait until the others are dry, then share by size.
 3. Windows, and in them queues, and in them documents follow each other in one stream that is cut every 4096 tokens; only
    the last sequence of all is short. Offsets in the stream are again sums by level.
 
@@ -21,6 +23,7 @@ import os
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -30,13 +33,16 @@ from leafmill.llm.common import arrow_map, written
 
 SEQUENCE = 4096
 WINDOW = 16 * SEQUENCE
-CHUNKS = 1024
+#: chunks of a queue: so many at least, and a chunk has about so many rows at most
+CHUNKS, CHUNK_ROWS = 1024, 50_000
 #: windows whose documents are put in order together
 SPAN = 64
 FAN = 4096
 END_ID = 2
-#: words that a task remembers before it starts anew
-MEMO = 2_000_000
+#: exponent of the sources' sizes in the target mixture: below 1 small sources come in earlier than their share
+TEMPERATURE = 0.7
+#: bytes of words and of their ids that a task remembers before it starts anew; Arrow's and numpy's own, so the words may be many
+MEMO_BYTES = 48_000_000
 #: bytes of the texts that are encoded together
 TOGETHER = 10_000_000
 
@@ -50,6 +56,9 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        # for words, which hold none of the added tokens
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # the same model for words that need no rewriting: lower case, NFC, one run of letters each
@@ -98,7 +107,7 @@ class WordIds:
     def places(self, words: pa.Array) -> np.ndarray:
         """At which place each distinct word is remembered, those that are new after the tokenizer has seen them."""
         found = pc.index_in(words, self.known)
-        if len(self.known) + found.null_count > MEMO:
+        if self.known.nbytes + self.pool.nbytes + self.stops.nbytes > MEMO_BYTES:
             self.forget()
             return self.learn(words)
         at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -107,6 +116,17 @@ class WordIds:
         return at
 
     def packed(self, whole: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Packed ids of each text. The tokenizer looks for its added tokens in the text as it is, before all else; texts
+        that hold one's characters are left to it as a whole."""
+        special = np.zeros(len(whole), bool)
+        for token in self.added:
+            special |= pc.match_substring(whole, token).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self.of_words(whole, end)
+        out = iter(self.of_words(whole.filter(pa.array(~special)), end))
+        return [array("I", self.plain.encode(t.as_py(), add_special_tokens=False).ids).tobytes() + end if s else next(out) for t, s in zip(whole, special, strict=True)]
+
+    def of_words(self, whole: pa.Array, end: bytes) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and the end. ASCII letters may be lower-cased first, the tokenizer
         does it anyway. Arrow's dictionary tells the distinct words; texts are put together from them by position."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
@@ -161,28 +181,39 @@ def tokenised(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFram
     return written(ids.withColumn("row", F.monotonically_increasing_id()), "token-ids")
 
 
-def phases(totals: dict[str, int], mixture: dict[str, float], window: int = WINDOW) -> list[tuple[str, float, float, float, float]]:
-    """(source, first token, last token, rounds before, quantum) for each queue and phase.
-
-    In a phase the queues that aren't dry share the window by their weights; it ends when the first of them runs dry.
-    Queues without a weight wait until those with one are dry, then share by size.
-    """
-    out, sent, rounds = [], dict.fromkeys(totals, 0.0), 0.0
-    live = {s for s, n in totals.items() if n}
-    while live:
-        weighted = {s: mixture[s] for s in live if mixture.get(s, 0) > 0} or {s: float(totals[s]) for s in live}
-        whole = sum(weighted.values())
-        quanta = {s: window * w / whole for s, w in weighted.items()}
-        length = min((totals[s] - sent[s]) / q for s, q in quanta.items())
-        for s, q in quanta.items():
-            dry = (totals[s] - sent[s]) / q <= length * (1 + 1e-12)
-            upto = float(totals[s]) if dry else sent[s] + q * length
-            out.append((s, sent[s], upto, rounds, q))
-            sent[s] = upto
-            if dry:
-                live.discard(s)
-        rounds += length
-    return out
+def weights(totals: dict[str, int], mixture: dict[str, float] | None = None, temperature: float = 1.0) -> dict[str, float]:
+    """The weight of each queue that holds tokens; 0 for those that a mixture doesn't name."""
+    return {s: float(mixture.get(s, 0)) if mixture else float(n) ** temperature for s, n in totals.items() if n}
+
+
+def clock(totals: dict[str, int], weight: dict[str, float], window: int = WINDOW) -> tuple[dict[str, tuple[float, float]], list[tuple[float, float, float]]]:
+    """For each queue its start on the common clock and its tokens a tick; and the clock's stretches (time, rounds before it,
+    rounds a tick). A queue has sent (time - start) * tokens a tick; it runs dry when that is all it holds."""
+    named = {s: w for s, w in weight.items() if w > 0}
+    pace, stretches, time, rounds = {}, [], 0.0, 0.0
+    for group in (named, {s: float(totals[s]) for s in weight if s not in named}):
+        if not group:
+            continue
+        whole, start = sum(group.values()), time
+        speed = {s: w / whole for s, w in group.items()}
+        live = 1.0
+        for s in sorted(group, key=lambda s: (totals[s] / speed[s], s)):
+            pace[s] = start, speed[s]
+            stretches.append((time, rounds, live / window))
+            dry = start + totals[s] / speed[s]
+            rounds += (dry - time) * live / window
+            time, live = dry, max(live - speed[s], 0.0)
+    return pace, stretches
+
+
+def rounds_at(times: np.ndarray, stretches: list[tuple[float, float, float]]) -> np.ndarray:
+    """The rounds that have begun, at least, by these times of the clock: the window of a document that is sent then."""
+    if not len(times):
+        return np.zeros(0, np.int64)
+    start, before, rate = (np.array(x) for x in zip(*stretches, strict=True))
+    at = np.searchsorted(start, times, "right") - 1
+    found = before[at] + (times - start[at]) * rate[at]
+    return np.maximum(np.ceil(found - 1e-9), 1).astype(np.int64)
 
 
 def offsets(sums: DataFrame, key: str, amount: str, fan: int = FAN) -> DataFrame:
@@ -195,32 +226,33 @@ def offsets(sums: DataFrame, key: str, amount: str, fan: int = FAN) -> DataFrame
     return grouped.join(tops, "_g").select(key, (F.col("_top") + F.coalesce(F.sum(amount).over(below), F.lit(0))).alias("base"))
 
 
-def placed(tokens: DataFrame, mixture: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+def placed(tokens: DataFrame, mixture: dict[str, float] | None = None, window: int = WINDOW, temperature: float = 1.0) -> DataFrame:
     """row, doc_id, n, window, at: a document's place in the stream."""
-    spark = tokens.sparkSession
-    docs = tokens.select("row", "doc_id", "source", "n").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(CHUNKS)))
+    held = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # a row a queue
+    totals = {r["source"]: r["n"] for r in held}
+    pace, stretches = clock(totals, weights(totals, mixture, temperature), window)
+    n_chunks = max([CHUNKS, *(-(-r["rows"] // CHUNK_ROWS) for r in held)])
+    docs = tokens.select("row", "doc_id", "source", "n").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_chunks)))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = docs.groupBy("source", "chunk").agg(F.sum("n").alias("s")).select("source", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy("source")).alias("total"))
+    chunks = docs.groupBy("source", "chunk").agg(F.sum("n").alias("s")).select("source", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
     running = F.sum("n").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "row"))
     queued = docs.withColumn("running", running).join(chunks, ["source", "chunk"]).withColumn("last", F.col("before") + F.col("running"))
-    if mixture is None:  # the corpus's own proportions: all queues run dry together, one phase
-        all_tokens = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        in_window = F.ceil(F.col("last") * (float(all_tokens) / window) / F.col("total"))
-    else:  # a row a queue; the caller's mixture names them
-        totals = {r[0]: r[1] for r in tokens.groupBy("source").agg(F.sum("n")).collect()}
-        plan = spark.createDataFrame([(s, a, b, r, q) for s, a, b, r, q in phases(totals, mixture, window)], "source string, a double, b double, rounds double, quantum double")
-        queued = queued.join(plan.withColumnRenamed("source", "_source"), (F.col("source") == F.col("_source")) & (F.col("last") > F.col("a")) & (F.col("last") <= F.col("b")))
-        in_window = F.ceil(F.col("rounds") + (F.col("last") - F.col("a")) / F.col("quantum"))
-    windows = queued.select("row", "doc_id", "source", "n", "last", F.greatest(in_window.cast("long"), F.lit(1)).alias("window")).withColumn("span", F.floor(F.col("window") / SPAN))
+
+    @F.pandas_udf("long")
+    def in_window(source: pd.Series, last: pd.Series) -> pd.Series:
+        start, speed = source.map({s: p[0] for s, p in pace.items()}), source.map({s: p[1] for s, p in pace.items()})
+        return pd.Series(rounds_at((start + last / speed).to_numpy(float), stretches))
+
+    windows = queued.select("row", "doc_id", "source", "n", "last", in_window("source", "last").alias("window")).withColumn("span", F.floor(F.col("window") / SPAN))
     bases = offsets(windows.groupBy("span").agg(F.sum("n").alias("s")), "span", "s")
     within = F.sum("n").over(Window.partitionBy("span").orderBy("window", "source", "last")) - F.col("n")
     return windows.withColumn("within", within).join(bases, "span").select("row", "doc_id", "n", "window", (F.col("base") + F.col("within")).alias("at"))
 
 
-def pack(documents: DataFrame, path: str, mixture: dict[str, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(documents: DataFrame, path: str, mixture: dict[str, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, end_id: int = END_ID, temperature: float = TEMPERATURE) -> DataFrame:
     """A row for each piece of a document in a sequence."""
     tokens = tokenised(documents, path, end_id)
-    places = placed(tokens, mixture, window).select("row", "at", "window")
+    places = placed(tokens, mixture, window, temperature).select("row", "at", "window")
     joined = places.join(tokens.select("row", "doc_id", "n", "ids"), "row")
     first, last = F.floor(F.col("at") / sequence), F.floor((F.col("at") + F.col("n") - 1) / sequence)
 

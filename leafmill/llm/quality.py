@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, arrow_map, cut, in_arrow, texts
+from leafmill.llm.common import ASCII_SPACE, WordMemory, arrow_map, cut, in_arrow, texts
 
 N = 4
 BUCKETS = 1 << 15
@@ -45,8 +45,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: words whose hashes a task remembers before it starts anew
-MEMO = 500_000
+#: bytes of words, with their hashes, that a task remembers before it starts anew
+MEMO_BYTES = 80_000_000
 
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
@@ -71,15 +71,16 @@ def slot(lang: str | None) -> int:
     return zlib.crc32((lang or "").encode()) % SLOTS * BUCKETS
 
 
-def repeated_words(words: list[bytes], memo: dict[bytes, int]) -> int:
+def word_hashes() -> WordMemory:
+    return WordMemory(MEMO_BYTES, xxhash.xxh3_64_intdigest)
+
+
+def repeated_words(words: list[bytes], memo: WordMemory) -> int:
     """Words that lie in a window of WINDOW words found twice or more in the text. Hashes find the windows, words confirm them."""
     n = len(words)
     if n <= WINDOW:
         return 0
-    if len(memo) > MEMO:
-        memo.clear()
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh3_64_intdigest(w)
+    memo.learn(set(words))
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
     count = n - WINDOW + 1
     mixed = np.zeros(count, np.uint64)
@@ -106,7 +107,7 @@ def duplicate_lines(text: str) -> int:
     return sum(c - 1 for line, c in Counter(lines).items() if c > 1 and line.strip(ASCII_SPACE))
 
 
-def base_features(text: str, memo: dict[bytes, int]) -> tuple[int, int, int, int, int]:
+def base_features(text: str, memo: WordMemory) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     words = text.encode("utf-8", "surrogatepass").split()
     return (
@@ -193,7 +194,7 @@ def stretch(lang: str | None, ratios: np.ndarray) -> float:
     return DEPTH / depth if 1e-6 < depth < DEPTH else 1.0
 
 
-def judge(text: str, lang: str | None, ratios: np.ndarray, memo: dict, threshold: float = THRESHOLD) -> tuple:
+def judge(text: str, lang: str | None, ratios: np.ndarray, memo: WordMemory, threshold: float = THRESHOLD) -> tuple:
     """The base features, base_failed, score and verdict of a text."""
     features = base_features(text, memo)
     failed = base_failed(features[0], features[4])
@@ -208,14 +209,14 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = TH
     """A row of features and the verdict for each row of documents."""
     ratios = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
-    def each(batch: pa.RecordBatch, memo: dict) -> dict:
+    def each(batch: pa.RecordBatch, memo: WordMemory) -> dict:
         judged = list(zip(*(judge(t, g, ratios.value, memo, threshold) for t, g in zip(texts(batch), batch.column("lang").to_pylist(), strict=True)), strict=True))
         types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         return {"doc_id": batch.column("doc_id")} | {n: pa.array(v, k) for n, v, k in zip(names, judged, types, strict=True)}
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return arrow_map(narrow, "doc_id long, " + COLUMNS, each, dict)
+    return arrow_map(narrow, "doc_id long, " + COLUMNS, each, word_hashes)
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,7 +224,7 @@ def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = THR
     ratios = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
     def keep(batches):
-        memo: dict = {}
+        memo = word_hashes()
         for batch in batches:
             yield batch.filter(pa.array([judge(t, g, ratios.value, memo, threshold)[-1] for t, g in zip(texts(batch), batch.column("lang").to_pylist(), strict=True)], pa.bool_()))
 

@@ -1,21 +1,30 @@
 """Token counts kept by deltas.
 
 A change of a document is an insert, a delete or a revised count; it becomes a signed delta of documents and tokens under
-(source, lang, tokenizer version). Deltas are summed within a batch before anything moves, and a batch is committed as one
-folder of summed deltas under its id: written aside, then renamed, so a batch is there wholly or not at all. A batch whose
-id is already there is left alone, so a retried or replayed commit changes nothing. Totals are the sum over committed
-batches; compact() folds batches into one without changing totals or forgetting ids.
+(source, lang, tokenizer version). Deltas are summed within a batch before anything moves. A batch is committed in two steps:
+its summed deltas are written to a folder of their own under data/, then a small file commits/<batch id> that names the folder
+is created, which fails if it is there. Only folders that are named count, so a batch is there wholly or not at all, and a
+batch whose id is already there is left alone: a retried or replayed commit changes nothing. Nothing is ever renamed, so
+stores without atomic renames do as well.
+
+Totals are the sum over committed batches. compact() folds batches: it writes their sum, then one file folds/<number> that
+names the sum and the ids it stands for. A crash before that file leaves all as it was; folders that nothing names are swept by
+vacuum(). Ids of folded batches stay known.
 
 Null text counts no tokens and one document; null source or lang is a key of its own. Repeated rows count as often as they
-are there. Keys whose documents all went stay with zero counts. An empty batch commits as well, so its id is known.
+are there. Keys whose documents all went have zero counts, and maintained_counts() doesn't list them. An empty batch commits
+as well, so its id is known.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import uuid
+from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,64 +81,117 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _listed(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and content of the files of a folder that have been written to their end."""
+    fs, path = _files(spark, folder)
+    found = {}
+    for s in fs.listStatus(path(folder)) if fs.exists(path(folder)) else []:
+        name = s.getPath().getName()
+        if s.getLen() and not name.startswith("."):
+            stream = fs.open(s.getPath())
+            text = bytes(stream.readAllBytes()).decode()
+            stream.close()
+            if text.endswith("\n"):
+                found[name] = text.strip()
+    return found
+
+
+def _create(spark: SparkSession, file: str, content: str) -> bool:
+    """Creates a small file; False if it is there. One that broke off before its end is replaced."""
+    fs, path = _files(spark, file)
+    folder, name = file.rsplit("/", 1)
+    if name in _listed(spark, folder):
+        return False
+    broken = fs.exists(path(file))
+    try:
+        stream = fs.create(path(file), broken)
+    except Py4JJavaError:  # another writer was first
+        return False
+    stream.write((content + "\n").encode())
+    stream.close()
+    return True
+
+
+def _folded(spark: SparkSession, state: str) -> dict:
+    """The last fold: the folder of its sum and the ids that are in it."""
+    folds = _listed(spark, f"{state}/folds")
+    return json.loads(folds[max(folds)]) if folds else {"data": None, "ids": []}
+
+
 def committed(spark: SparkSession, state: str) -> list[str]:
     """Ids of the committed batches."""
-    fs, path = _files(spark, state)
-    top = path(f"{state}/commits")
-    return sorted(s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(top)) if fs.exists(top) else []
+    return sorted(_listed(spark, f"{state}/commits"))
 
 
 def commit(spark: SparkSession, state: str, batch_id: str, deltas: DataFrame) -> bool:
     """Commits the summed deltas under the id; False, and nothing changed, if that batch is there already."""
     if not batch_id.replace("-", "").replace("_", "").isalnum():
         raise ValueError(f"batch ids are letters, digits, - and _: {batch_id!r}")
-    fs, path = _files(spark, state)
-    final = path(f"{state}/commits/batch={batch_id}")
-    if fs.exists(final):
-        return False
-    aside = f"{state}/aside/{uuid.uuid4().hex}"
-    summed(deltas).coalesce(1).write.parquet(aside)  # a row a key
-    fs.mkdirs(path(f"{state}/commits"))
-    if fs.exists(final) or not fs.rename(path(aside), final):
-        fs.delete(path(aside), True)
+    if batch_id in committed(spark, state):
         return False
-    return True
+    return _create(spark, f"{state}/commits/{batch_id}", _written_sum(deltas, state))
+
+
+def _written_sum(deltas: DataFrame, state: str) -> str:
+    """The folder under data/ that the summed deltas, a row a key, were written to."""
+    name = uuid.uuid4().hex
+    summed(deltas).coalesce(1).write.parquet(f"{state}/data/{name}")
+    return name
+
+
+def _counting(spark: SparkSession, state: str) -> list[str]:
+    """The folders whose sum are the totals."""
+    fold, batches = _folded(spark, state), _listed(spark, f"{state}/commits")
+    own = [folder for b, folder in batches.items() if b not in set(fold["ids"])]
+    return ([fold["data"]] if fold["data"] else []) + sorted(own)
+
+
+def _deltas(spark: SparkSession, state: str) -> DataFrame:
+    folders = _counting(spark, state)
+    return spark.read.schema(STATE).parquet(*(f"{state}/data/{f}" for f in folders)) if folders else spark.createDataFrame([], STATE)
 
 
 def totals(spark: SparkSession, state: str) -> DataFrame:
     """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-    batches = committed(spark, state)
-    found = spark.read.schema(STATE).parquet(*(f"{state}/commits/batch={b}" for b in batches)) if batches else spark.createDataFrame([], STATE)
-    return summed(found).select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
+    return summed(_deltas(spark, state)).select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
+
+
+#: the version under which documents are counted by words until a tokenizer has seen them
+PROVISIONAL = "words"
 
 
 def maintained_counts(documents: DataFrame, tokenizers: dict[str, tuple[str, str]], state: str | None = None) -> DataFrame:
-    """Loads all documents with their words as provisional counts, revises them to token counts in a second batch, and
-    returns the totals. Run again over the same state it changes nothing."""
+    """Keeps the counts of all documents in three batches and returns the totals: `load` inserts them under the provisional
+    version with their words, `migrate` deletes them there and inserts them under each tokenizer's version with the same
+    count, and `revise` puts the token counts in its place. Run again over the same state it changes nothing."""
     spark = documents.sparkSession
     state = state or fresh_dir(spark, "token-counts")
-    if {"load", "revise"} <= set(committed(spark, state)):
-        return totals(spark, state)
-    counts = written(count_tokens(documents, tokenizers), "document-tokens")
-    for batch, op, tokens, old in (("load", "insert", lambda v: F.col("n_words"), None), ("revise", "revise", lambda v: F.col(f"n_{v}"), "n_words")):
-        changes = None
-        for v in tokenizers:
-            rows = counts.select(F.lit(op).alias("op"), "source", "lang", F.lit(v).alias("tokenizer"), tokens(v).alias("tokens"), (F.col(old) if old else F.lit(0)).cast("long").alias("old_tokens"))
-            changes = rows if changes is None else changes.unionByName(rows)
-        commit(spark, state, batch, signed(changes))
-    return totals(spark, state)
-
-
-def compact(spark: SparkSession, state: str, into: str) -> None:
-    """Folds the sums of all batches into one; the folded batches stay known as empty ones. For the single writer between commits."""
-    old = committed(spark, state)
-    if len(old) < 2 or into not in old:
-        raise ValueError("compact() folds several batches into one of them")
-    whole = written(summed(spark.read.schema(STATE).parquet(*(f"{state}/commits/batch={b}" for b in old))), "compacted")
-    fs, path = _files(spark, state)
-    nothing = spark.createDataFrame([], STATE)
-    fresh = f"{state}/aside/{uuid.uuid4().hex}"
-    for b in old:
-        (whole if b == into else nothing).coalesce(1).write.parquet(f"{fresh}/batch={b}")
-    fs.rename(path(f"{state}/commits"), path(f"{state}/aside/before-{uuid.uuid4().hex}"))
-    fs.rename(path(fresh), path(f"{state}/commits"))
+    if not {"load", "migrate", "revise"} <= set(committed(spark, state)):
+        counts = written(count_tokens(documents, tokenizers), "document-tokens")
+
+        def change(op: str, version: str, tokens: str, old: str | None = None) -> DataFrame:
+            return counts.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0)).cast("long").alias("old_tokens"))
+
+        commit(spark, state, "load", signed(change("insert", PROVISIONAL, "n_words")))
+        moves = [change("delete", PROVISIONAL, "n_words"), *(change("insert", v, "n_words") for v in tokenizers)]
+        commit(spark, state, "migrate", signed(reduce(DataFrame.unionByName, moves)))
+        commit(spark, state, "revise", signed(reduce(DataFrame.unionByName, [change("revise", v, f"n_{v}", "n_words") for v in tokenizers])))
+    return totals(spark, state).where("n_docs <> 0 or n_tokens <> 0")
+
+
+def compact(spark: SparkSession, state: str) -> None:
+    """Folds all committed batches into one sum. For the single writer between commits."""
+    ids = committed(spark, state)
+    fold = {"data": _written_sum(_deltas(spark, state), state), "ids": ids}
+    last = max(_listed(spark, f"{state}/folds"), default="")
+    _create(spark, f"{state}/folds/{int(last or 0) + 1:010d}", json.dumps(fold))
+
+
+def vacuum(spark: SparkSession, state: str) -> None:
+    """Removes folders that the totals don't need: folded batches, earlier folds and what broken commits have left. For the
+    single writer, when nobody reads older totals."""
+    needed = set(_counting(spark, state))
+    fs, path = _files(spark, f"{state}/data")
+    for s in fs.listStatus(path(f"{state}/data")) if fs.exists(path(f"{state}/data")) else []:
+        if s.getPath().getName() not in needed:
+            fs.delete(s.getPath(), True)

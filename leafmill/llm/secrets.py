@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,21 +95,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def parts(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """What the sorted spans leave of start to end."""
+def parts(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans, sorted and apart, leave of start to end."""
     out = []
-    for a, _, b in taken:
-        if a < end and b > start:
-            if a > start:
-                out.append((start, a))
-            start = b
+    for at in range(bisect_right(taken, start, key=lambda s: s[1]), len(taken)):
+        a, b = taken[at]
+        if a >= end:
+            break
+        if a > start:
+            out.append((start, a))
+        start = b
     return out + [(start, end)] if start < end else out
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
+    found, covered = [], []
+    for a, _, b in taken:  # spans of different kinds may overlap
+        if covered and a <= covered[-1][1]:
+            covered[-1] = covered[-1][0], max(b, covered[-1][1])
+        else:
+            covered.append((a, b))
     for m in CANDIDATE.finditer(text):
-        for start, end in parts(m.start(), m.end(), taken):
+        for start, end in parts(m.start(), m.end(), covered):
             part = text[start:end]
             if allowed(part if part == m[0] else part.strip("-_=/+")):
                 continue

@@ -1,13 +1,18 @@
 """Sharding by fixed virtual slots, in DataFrame operations alone.
 
-Records are hashed by id into a fixed number of virtual slots, far more than there are shards. Rows and bytes are summed per
-slot. A versioned map says which shard holds a slot; the data are never rehashed, only the map is edited. Version 1 deals
-slots round-robin; grown() adds a shard by handing it every slot whose turn it is, so rows move into the new shard only;
-rebalanced() moves slots by their measured bytes.
-
-The law of shard() is `key`: the id and the shard count decide. A null id has a slot as well; null text counts no bytes and
-has the checksum of nothing; equal rows lie side by side. Places in a shard are gapless from 0: the offset of the virtual
-slot within the shard, from the per-slot counts, plus the row's number within its slot, so no task sees more than a slot.
+Records are hashed by id (the first 32 bits of the id's md5, which any engine has) into a fixed number of virtual slots, far
+more than there are shards. Rows and bytes are summed per slot. A versioned map, stored in the shared folder, says which
+shard holds a slot; the data are never rehashed, only the map is edited, and every place is read from a stored version:
+
+  version 1  deals slots round-robin over the shards
+  version 2  grown(): one shard more, which is handed every slot whose turn it is; rows move into it only
+  version 3  rebalanced(): version 1 edited by the bytes of the slots. Shards give up slots until none is above its share, and
+             those slots, greatest first, go to the shards that are lightest then; most slots stay where they are
+
+The law of shard() is `key`: by versions 1 and 2 the id and the shard count decide. balanced_shard is the place by version 3,
+for which bytes decide as well. A null id has a slot as well; null text counts no bytes and has the checksum of nothing;
+equal rows lie side by side. Places in a shard are gapless from 0: the offset of the virtual slot within the shard, from the
+per-slot counts, plus the row's number within its slot, so no task sees more than a slot.
 """
 
 from __future__ import annotations
@@ -15,12 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import fresh_dir, written
+
 SLOTS = 8192
 ROW_OVERHEAD = 16
 
 
 def slot_of(key: F.Column, slots: int = SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    bits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(bits, F.lit(slots)).cast("int")
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -40,12 +48,30 @@ def slot_totals(records: DataFrame) -> DataFrame:
     return records.groupBy("vslot").agg(F.count(F.lit(1)).alias("slot_rows"), F.sum("size").alias("slot_bytes"))
 
 
-def rebalanced(slot_map: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
-    """The next version by bytes: slots in order of size are dealt to shards boustrophedon, so loads stay near equal. Rows move between any shards."""
-    sized = slot_map.join(totals, "vslot", "left").withColumn("b", F.coalesce("slot_bytes", F.lit(0)))
-    at = F.row_number().over(Window.orderBy(F.desc("b"), "vslot")) - 1  # a row a slot: bounded by the number of slots
-    turn, lap = F.pmod(at, F.lit(shards)), F.floor(at / shards) % 2
-    return sized.select("vslot", F.when(lap == 0, turn).otherwise(shards - 1 - turn).cast("int").alias("shard"), (F.col("version") + 1).alias("version"))
+def rebalanced(slot_map: DataFrame, totals: DataFrame, shards: int, version: int | None = None) -> DataFrame:
+    """The next version, by bytes. In each shard the slots stay, greatest first, that fit into an equal share; the others are
+    laid end to end, greatest first, along the free bytes of all shards, and go where their middle falls. A slot above an
+    equal share of all bytes stays and has its shard to itself; the others share what is left."""
+    number = F.lit(version) if version else F.col("version") + 1
+    # from here on a row a slot: bounded by their number, whatever the data
+    sized = slot_map.join(totals, "vslot", "left").select("vslot", "shard", number.cast("int").alias("version"), F.coalesce("slot_bytes", F.lit(0)).alias("b"))
+    whole = Window.partitionBy()
+    judged = (
+        sized.withColumn("big", F.col("b") > F.floor(F.sum("b").over(whole) / shards))
+        .withColumn("full", F.max("big").over(Window.partitionBy("shard")))
+        .withColumn("share", F.floor(F.sum(F.when(~F.col("big"), F.col("b")).otherwise(0)).over(whole) / F.greatest(shards - F.size(F.collect_set(F.when(F.col("full"), F.col("shard"))).over(whole)), F.lit(1))))
+        .withColumn("upto", F.sum("b").over(Window.partitionBy("shard").orderBy(F.desc("b"), "vslot")))
+        .withColumn("stays", F.when(F.col("full"), F.col("big")).otherwise(F.col("upto") <= F.col("share")))
+    )
+    kept = judged.groupBy("shard").agg(F.when(F.max("full"), F.lit(0)).otherwise(F.max("share") - F.sum(F.when(F.col("stays"), F.col("b")).otherwise(0))).alias("room"))
+    every = slot_map.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    most = F.max("share").over(whole)
+    rooms = every.join(kept.join(judged.groupBy("shard").agg(F.max("share").alias("share")), "shard"), "shard", "left").select("shard", F.coalesce("room", most, F.lit(0)).alias("room"))
+    # positions are doubled, so that the middle of a slot is a whole number
+    starts = rooms.select((2 * (F.sum("room").over(Window.orderBy("shard")) - F.col("room"))).cast("long").alias("at"), F.lit(0).alias("kind"), F.col("shard").alias("key"), F.col("shard").alias("into"))
+    moves = judged.where(~F.col("stays")).select((2 * F.sum("b").over(Window.orderBy(F.desc("b"), "vslot")) - F.col("b")).cast("long").alias("at"), F.lit(1).alias("kind"), F.col("vslot").alias("key"), F.lit(None).cast("int").alias("into"))
+    dealt = starts.unionByName(moves).withColumn("into", F.last("into", True).over(Window.orderBy("at", "kind", "key"))).where("kind = 1").select(F.col("key").alias("vslot"), "into")
+    return sized.join(dealt, "vslot", "left").select("vslot", F.coalesce("into", "shard").cast("int").alias("shard"), "version")
 
 
 def write_map(slot_map: DataFrame, path: str) -> None:
@@ -59,22 +85,65 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == version).select("vslot", "shard", "version")
 
 
-def shard(documents: DataFrame, shards: int = 40, slots: int = SLOTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shard(documents: DataFrame, shards: int = 40, slots: int = SLOTS, id_column: str = "doc_id", text_column: str = "text", maps: str | None = None) -> DataFrame:
+    """A row of its place for each record; the three versions of the map are stored under `maps` (a folder of this run's own)."""
     spark = documents.sparkSession
+    maps = maps or fresh_dir(spark, "slot-maps")
     records = documents.select(
         F.col(id_column).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text_column)), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary")).alias("text_crc32"),
         slot_of(F.col(id_column).cast("long"), slots).alias("vslot"),
     )
-    now = first_map(spark, shards, slots)
-    maps = now.join(grown(now, shards).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
+    totals = written(slot_totals(records), "slot-totals")
+    write_map(first_map(spark, shards, slots), maps)
+    write_map(grown(read_map(spark, maps, 1), shards), maps)
+    write_map(rebalanced(read_map(spark, maps, 1), totals, shards, version=3), maps)
+    now, then, even = (read_map(spark, maps, v).select("vslot", F.col("shard").alias(c)) for v, c in ((1, "shard"), (2, "grown_shard"), (3, "balanced_shard")))
     earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = maps.join(slot_totals(records), "vslot").withColumn("before", F.coalesce(F.sum("slot_rows").over(earlier), F.lit(0)))
+    placed = now.join(then, "vslot").join(even, "vslot").join(totals, "vslot").withColumn("before", F.coalesce(F.sum("slot_rows").over(earlier), F.lit(0)))
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     # the map has a row a slot at most: 8192 by default, a proven bound
     return (
-        records.join(F.broadcast(placed.select("vslot", "shard", "grown_shard", "before")), "vslot")
+        records.join(F.broadcast(placed.select("vslot", "shard", "grown_shard", "balanced_shard", "before")), "vslot")
         .withColumn("slot", F.col("before") + F.row_number().over(within) - 1)
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard", "balanced_shard")
     )
+
+
+def _crc_step() -> str:
+    """A byte b into the checksum c, four bits at a time, in SQL."""
+    table = [n for n in range(16)]
+    for _ in range(4):
+        table = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in table]
+    half = lambda c, b: f"xor({c} >> 4, list_extract({table}::ubigint[], (xor({c}, {b}) & 15)::bigint + 1))"
+    return half(half("c", "b"), "(b >> 4)")
+
+
+#: The same in DuckDB's SQL, for 40 shards and 8192 slots. DuckDB has no CRC-32, so it is spelt out.
+ORACLE = r"""
+with records as (
+  select doc_id, strlen(coalesce(text, '')) + 16 as size, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint % 8192 as vslot,
+    xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda s: ('0x' || s)::ubigint)), lambda c, b: STEP), 4294967295::ubigint)::bigint as text_crc32
+  from documents
+), totals as (select vslot, count(*) as slot_rows, sum(size)::bigint as slot_bytes from records group by vslot
+), map as (select range::bigint as vslot, range % 40 as shard from range(8192)
+), turns as (select vslot, shard, case when (row_number() over (partition by shard order by vslot) + shard) % 41 = 40 then 40 else shard end as grown_shard from map
+), sized as (select t.*, coalesce(slot_rows, 0) as slot_rows, coalesce(slot_bytes, 0) as b from turns t left join totals using (vslot)
+), j1 as (select *, b > (select sum(b) // 40 from sized) as big from sized
+), j2 as (select *, bool_or(big) over (partition by shard) as "full" from j1
+), j3 as (select *, (select sum(case when big then 0 else b end) // greatest(40 - count(distinct case when "full" then shard end), 1) from j2) as share from j2
+), judged as (select *, case when "full" then big else sum(b) over (partition by shard order by b desc, vslot) <= share end as stays from j3
+), rooms as (select shard, case when bool_or("full") then 0 else max(share) - sum(case when stays then b else 0 end) end as room from judged group by shard
+), events as (
+  select 2 * (sum(room) over (order by shard) - room) as pos, 0 as kind, shard as key, shard as into_shard from rooms
+  union all select 2 * sum(b) over (order by b desc, vslot) - b, 1, vslot, null from judged where not stays
+), dealt as (select kind, key as vslot, last_value(into_shard ignore nulls) over (order by pos, kind, key) as into_shard from events
+), placed as (
+  select s.vslot, s.shard, s.grown_shard, coalesce(d.into_shard, s.shard) as balanced_shard, coalesce(sum(s.slot_rows) over (partition by s.shard order by s.vslot rows between unbounded preceding and 1 preceding), 0) as before
+  from sized s left join dealt d on d.kind = 1 and d.vslot = s.vslot
+)
+select r.doc_id, r.size::bigint as size, r.text_crc32, 'key' as law, p.shard::integer as shard,
+  (p.before + row_number() over (partition by r.vslot order by r.doc_id nulls first, r.text_crc32, r.size) - 1)::bigint as slot, p.grown_shard::integer as grown_shard, p.balanced_shard::integer as balanced_shard
+from records r join placed p using (vslot)
+""".replace("STEP", _crc_step())

@@ -11,11 +11,12 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafmill.llm import ann, bpe, linededup, mainhtml, neardup, packing, quality, rollup, secrets, shards
+from leafmill.llm import ann, bpe, common, linededup, mainhtml, neardup, packing, quality, rollup, secrets, shards
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,7 +76,7 @@ def test_quality_base_rules(spark, table, texts):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "cc", "\n", " ", "#x", "é"]), max_size=60).map(" ".join))
 def test_quality_features_by_hand(text):
-    assert quality.base_features(text, {}) == base_by_hand(text)
+    assert quality.base_features(text, quality.word_hashes()) == base_by_hand(text)
 
 
 def test_quality_ratio_by_hand(spark):
@@ -140,13 +141,42 @@ def test_rollup_batches_are_idempotent(spark, tmp_path):
     assert rollup.commit(spark, state, "b2", rollup.signed(two)) and rollup.commit(spark, state, "b3", rollup.signed(spark.createDataFrame([], change)))
     want = {("a", "en", "v1", 1, 12), (None, None, "v1", 1, 7)}
     assert {tuple(r) for r in rollup.totals(spark, state).collect()} == want
-    rollup.compact(spark, state, "b1")
+    rollup.compact(spark, state)
     assert {tuple(r) for r in rollup.totals(spark, state).collect()} == want and rollup.committed(spark, state) == ["b1", "b2", "b3"]
     assert not rollup.commit(spark, state, "b2", rollup.signed(two))
+    assert rollup.commit(spark, state, "b4", rollup.signed(one))
+    rollup.compact(spark, state)
+    rollup.vacuum(spark, state)
+    assert {tuple(r) for r in rollup.totals(spark, state).collect()} == {("a", "en", "v1", 3, 27), (None, None, "v1", 2, 14)}
+    assert len(list((tmp_path / "s/data").iterdir())) == 1
     with pytest.raises(ValueError):
         rollup.commit(spark, state, "../x", rollup.signed(two))
 
 
+def test_rollup_survives_what_breaks_off(spark, tmp_path, monkeypatch):
+    state = f"file://{tmp_path}/s"
+    one = rollup.signed(spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"))
+    rollup.commit(spark, state, "b1", one)
+    want = [("a", "en", "v1", 1, 10)]
+    totals = lambda: [tuple(r) for r in rollup.totals(spark, state).collect()]
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # between the data and the file that names them
+        m.setattr(rollup, "_create", killed)
+        for step in (lambda: rollup.commit(spark, state, "b2", one), lambda: rollup.compact(spark, state)):
+            with pytest.raises(KeyboardInterrupt):
+                step()
+            assert totals() == want and rollup.committed(spark, state) == ["b1"]
+    (tmp_path / "s/commits/b2").write_text("")  # a file that broke off before its end
+    assert totals() == want and rollup.committed(spark, state) == ["b1"]
+    assert rollup.commit(spark, state, "b2", one) and totals() == [("a", "en", "v1", 2, 20)]
+    rollup.compact(spark, state)
+    (tmp_path / "s/folds/0000000009").write_text('{"data": "no')
+    assert totals() == [("a", "en", "v1", 2, 20)] and not rollup.commit(spark, state, "b1", one)
+
+
 def test_rollup_counts_by_hand(spark, table, texts):
     version = {"v": (RANKS, public_tokenizers.PATTERN)}
     got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in rollup.maintained_counts(table, version).collect()}
@@ -167,7 +197,6 @@ def check_packed(rows, whole):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     ids = {d: array("I", t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in whole.items()}
     sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -194,7 +223,7 @@ def test_packing_keeps_every_id(table, texts):
 
 
 def test_packing_odd_rows(spark):
-    odd = [*ODD_TEXTS, "İstanbul. á b. क़. x", "a.b,c.. d., 'tis don't. x's", "<|endoftext|> y", "ß. ﬁ, ǅ. ϓ.", "..., . ,", "１２. x1. ²."]
+    odd = [*ODD_TEXTS, "İstanbul. á b. क़. x", "a.b,c.. d., 'tis don't. x's", "<|endoftext|> y", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|", "ß. ﬁ, ǅ. ϓ.", "..., . ,", "１２. x1. ²."]
     check_packed(packing.pack(docs(spark, odd), WORD_BPE).collect(), dict(enumerate(odd)))
     assert packing.pack(empty(spark), WORD_BPE).count() == 0
 
@@ -222,6 +251,27 @@ def test_deficit_round_robin_by_hand(table):
                 assert got[row] == w
 
 
+def test_clock_by_hand():
+    """Rounds along the common clock against queues that are poured out token by token."""
+    rng = random.Random(7)
+    for mixture in (None, {"a": 3.0, "b": 1.0}, {"c": 1.0}):
+        totals = {s: rng.randint(1, 900) for s in "abcd"} | {"none": 0}
+        weight = packing.weights(totals, mixture, 0.7)
+        pace, stretches = packing.clock(totals, weight, 50)
+        sent, rounds, live = dict.fromkeys(weight, 0.0), 0.0, {s: w for s, w in weight.items() if w}
+        while live or any(sent[s] < totals[s] - 1e-6 for s in weight):
+            live = live or {s: float(totals[s]) for s in weight if sent[s] < totals[s] - 1e-6}
+            step = min((totals[s] - sent[s]) / w for s, w in live.items())
+            for s, w in live.items():
+                at = pace[s][0] + (sent[s] + w * step / 2) / pace[s][1]
+                middle = rounds + step / 2 * sum(live.values()) / 50
+                assert packing.rounds_at(np.array([at]), stretches)[0] in (math.ceil(middle - 1e-6), math.ceil(middle + 1e-6))
+                sent[s] += w * step
+            rounds += step * sum(live.values()) / 50
+            live = {s: w for s, w in live.items() if sent[s] < totals[s] - 1e-6}
+        assert rounds == pytest.approx(sum(totals.values()) / 50)
+
+
 def test_mixture_is_kept_while_it_lasts(spark):
     tokens = packing.tokenised(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORD_BPE)
     sources = sorted(r[0] for r in tokens.select("source").distinct().collect())
@@ -426,6 +476,37 @@ def test_neighbours_whole_index_is_exact(spark):
     assert ann.search(df.where("vec_id in (10, 11)"), "vec_id % 10 = 0").count() == 1
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(6)]) for i in range(1, 50)]
+    want = by_hand(rows, 5, 6)
+    for times in (1, 2, 40):
+        got = collections.defaultdict(list)
+        for r in ann.search(spark.createDataFrame(rows * times, "vec_id long, embedding array<float>"), "vec_id % 5 = 0", k=6, centroids=4, share=1.0, block=3).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        assert dict(got) == want
+    moved = [*rows, *((i, [x + 1.0 for x in v]) for i, v in rows)]  # two vectors an id: the smaller asks, the nearer is found
+    ask = {i: np.array(min(v for j, v in moved if j == i)) for i, _ in rows if i % 5 == 0}
+    want = {q: sorted((min(math.sqrt(((x - np.array(v)) ** 2).sum()) for j, v in moved if j == i), i) for i, _ in rows if i != q)[:6] for q, x in ask.items()}
+    got = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(moved, "vec_id long, embedding array<double>"), "vec_id % 5 = 0", k=6, centroids=4, share=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert dict(got) == want
+
+
+def test_entries_go_to_the_blocks_that_visit_them(spark):
+    """Two far clusters, half of the entries a query: each entry meets the blocks of its own cluster alone."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(9, 1, (200, 4)), rng.normal(-9, 1, (200, 4))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, "vec_id % 4 = 0", k=5, centroids=2, block=50)
+    want = by_hand([(i, v) for i, v in enumerate(x)], 4, 5)
+    found = collections.defaultdict(set)
+    for r in got.collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert all(found[q] == {i for _, i in w} for q, w in want.items())
+
+
 def test_traversal_is_in_order_of_distance():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
@@ -451,6 +532,42 @@ def test_shards(spark, table, texts):
     assert all(half[r["doc_id"]] == (r["shard"], r["grown_shard"]) for r in rows if r["doc_id"] in half)
 
 
+def test_shards_by_hand(spark, table, texts, tmp_path):
+    """Slots, shards of all three versions and places, made anew without the engine."""
+    slot_of = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % shards.SLOTS
+    turn = lambda v: v // 40 + 1
+    held = collections.defaultdict(list)
+    for i, t in texts.items():
+        held[slot_of(i)].append((i, zlib.crc32(t.encode()), len(t.encode()) + 16))
+    want, before = set(), collections.Counter()
+    for v in sorted(held):
+        for n, (i, crc, size) in enumerate(sorted(held[v])):
+            want.add((i, size, crc, "key", v % 40, before[v % 40] + n, 40 if (turn(v) + v % 40) % 41 == 40 else v % 40))
+        before[v % 40] += len(held[v])
+    rows = shards.shard(table, maps=f"file://{tmp_path}/maps").collect()
+    assert {tuple(r)[:7] for r in rows} == want and len(rows) == len(want)
+    for version, column in ((1, "shard"), (2, "grown_shard"), (3, "balanced_shard")):
+        stored = {r["vslot"]: r["shard"] for r in shards.read_map(spark, f"file://{tmp_path}/maps", version).collect()}
+        assert len(stored) == shards.SLOTS and all(stored[slot_of(r["doc_id"])] == r[column] for r in rows)
+
+
+def test_rebalanced_by_bytes(spark):
+    rng = random.Random(9)
+    first = shards.first_map(spark, 10, 400)
+    sizes = [rng.randint(0, 999) for _ in range(400)]
+    sizes[3], sizes[13] = 10**6, 5 * 10**4
+    new = shards.rebalanced(first, spark.createDataFrame([(v, 1, b) for v, b in enumerate(sizes) if v % 50], "vslot int, slot_rows long, slot_bytes long"), 10)
+    got = {r["vslot"]: r["shard"] for r in new.collect()}
+    loads = collections.Counter()
+    for v, s in got.items():
+        loads[s] += sizes[v] if v % 50 else 0
+    assert set(got) == set(range(400)) and got[3] == 3 and loads[3] == 10**6  # a slot above an equal share is alone
+    others = [loads[s] for s in range(10) if s != 3]
+    assert max(others) - min(others) <= 5 * 10**4 and max(sorted(others)[:-1]) - min(others) <= 2 * 999
+    even = shards.rebalanced(first, spark.createDataFrame([(v, 1, 7) for v in range(400)], "vslot int, slot_rows long, slot_bytes long"), 10)
+    assert {r["vslot"]: r["shard"] for r in even.collect()} == {v: v % 10 for v in range(400)}  # nothing moves without need
+
+
 def test_shard_maps(spark, tmp_path):
     first = shards.first_map(spark, 40)
     new = shards.grown(first, 40)
@@ -499,6 +616,12 @@ def test_line_dedup_by_hand(spark):
     assert linededup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_many_rows_without_an_id(spark):
+    rows = [(None, f"shared line number {i % 7}\nown line number {i}\nshared line number {i % 5}") for i in range(40)] + [(1, "shared line number 3\nshared line number 3"), (2, "own line number 9")]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    assert sorted((tuple(r) for r in linededup.line_dedup(df).collect()), key=repr) == lines_by_hand(rows + rows[:3])
+
+
 def test_line_dedup_least_and_columns(spark):
     df = docs(spark, ["a line that repeats\nb", "a line that repeats", "a line that repeats", None], clash=False)
     assert {r["doc_id"]: r["n_dropped"] for r in linededup.line_dedup(df, least=3).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
@@ -562,6 +685,41 @@ def test_secrets_of_mixed_classes_and_of_letters():
         assert secrets.redacted(words) == words
 
 
+def test_secrets_of_a_long_text():
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = "".join(f"word{i} token={key()} and {key()}\n" for i in range(8000))
+    import time
+
+    start = time.perf_counter()
+    base, spans = secrets.all_spans(text)
+    took = time.perf_counter() - start
+    assert len(base) == 8000 and len([s for s in spans if s[1] == 3]) >= 7900
+    start = time.perf_counter()
+    secrets.all_spans(text[: len(text) // 4])
+    assert took < 12 * (time.perf_counter() - start)  # in proportion to the text
+
+
+def test_long_texts_keep_memories_bounded(codec):
+    """20 MB without spaces, and as many different long words."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh日本") for _ in range(1000)) * 20_000
+    words = " ".join("".join(rng.choices("abcdefghij", k=40)) for _ in range(60_000))
+    memo = quality.word_hashes()
+    for text in (long, words, words[::-1]):
+        n = len(text.split())
+        assert quality.base_features(text, memo)[0] == n and memo.held <= quality.MEMO_BYTES + 200 * n + 2 * len(text.encode())
+        assert len(neardup.shingle_hashes(text, memo)) == max(1, n - 4)
+        assert len(linededup.kept_lines(text, set())[0]) == 1 and secrets.base_spans(text) is not None
+    small = common.WordMemory(1000, len)
+    for i in range(100):
+        small.learn({b"x" * i})
+        assert small[b"x" * i] == i and small.held <= 1000 + common.WORD_BYTES + 100
+    ids = packing.loaded(WORD_BPE).packed(pa.array([words, "a " * 10]))
+    assert [len(x) > 0 for x in ids] == [True, True]
+    assert codec.decode(codec.encode(words)) == words.encode()
+
+
 def test_secrets_odd_rows(spark):
     got = secrets.scan_secrets(docs(spark, [*ODD_TEXTS, "password=hunter22"])).orderBy("doc_id").collect()
     nothing = hashlib.sha256(b"").hexdigest()

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_run_by_hand(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     ratios = quality.fit(docs, labels)
-    rows = {r["doc_id"]: r["text"] for r in docs.collect() if quality.judge(r["text"] or "", r["lang"], ratios, {})[-1]}
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if quality.judge(r["text"] or "", r["lang"], ratios, quality.word_hashes())[-1]}
     # line dedup
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     holders = collections.defaultdict(set)
