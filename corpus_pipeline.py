@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import linededup, neardup, packing, quality, secrets
-from leafmill.llm.common import table, written
+from leafmill.llm.common import in_own_run, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@in_own_run
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
