@@ -23,7 +23,6 @@ import os
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -44,7 +43,7 @@ TEMPERATURE = 0.7
 #: bytes of words and of their ids that a task remembers before it starts anew; Arrow's and numpy's own, so the words may be many
 MEMO_BYTES = 48_000_000
 #: bytes of the texts that are encoded together
-TOGETHER = 10_000_000
+TOGETHER = 4_000_000
 
 
 class WordIds:
@@ -56,11 +55,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.plain = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
-        # for words, which hold none of the added tokens
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the same model for words that need no rewriting: lower case, NFC, one run of letters each
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
@@ -124,7 +120,7 @@ class WordIds:
         if not special.any():
             return self.of_words(whole, end)
         out = iter(self.of_words(whole.filter(pa.array(~special)), end))
-        return [array("I", self.plain.encode(t.as_py(), add_special_tokens=False).ids).tobytes() + end if s else next(out) for t, s in zip(whole, special, strict=True)]
+        return [array("I", self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids).tobytes() + end if s else next(out) for t, s in zip(whole, special, strict=True)]
 
     def of_words(self, whole: pa.Array, end: bytes) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, and the end. ASCII letters may be lower-cased first, the tokenizer
@@ -238,12 +234,13 @@ def placed(tokens: DataFrame, mixture: dict[str, float] | None = None, window: i
     running = F.sum("n").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "row"))
     queued = docs.withColumn("running", running).join(chunks, ["source", "chunk"]).withColumn("last", F.col("before") + F.col("running"))
 
-    @F.pandas_udf("long")
-    def in_window(source: pd.Series, last: pd.Series) -> pd.Series:
-        start, speed = source.map({s: p[0] for s, p in pace.items()}), source.map({s: p[1] for s, p in pace.items()})
-        return pd.Series(rounds_at((start + last / speed).to_numpy(float), stretches))
+    def in_window(batch: pa.RecordBatch) -> dict:
+        at = np.array([pace[s] for s in batch.column("source").to_pylist()]).reshape(-1, 2)
+        times = at[:, 0] + batch.column("last").to_numpy() / at[:, 1]
+        return {c: batch.column(c) for c in ("row", "doc_id", "source", "n", "last")} | {"window": pa.array(rounds_at(times, stretches))}
 
-    windows = queued.select("row", "doc_id", "source", "n", "last", in_window("source", "last").alias("window")).withColumn("span", F.floor(F.col("window") / SPAN))
+    windows = arrow_map(queued.select("row", "doc_id", "source", "n", "last"), "row long, doc_id long, source string, n long, last long, window long", in_window)
+    windows = windows.withColumn("span", F.floor(F.col("window") / SPAN))
     bases = offsets(windows.groupBy("span").agg(F.sum("n").alias("s")), "span", "s")
     within = F.sum("n").over(Window.partitionBy("span").orderBy("window", "source", "last")) - F.col("n")
     return windows.withColumn("within", within).join(bases, "span").select("row", "doc_id", "n", "window", (F.col("base") + F.col("within")).alias("at"))
