@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import layout as lay
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
+from leafmill.sources.shared import cut
 
 
 # line numbers repeat within an order
@@ -169,6 +170,66 @@ def _document_runs(spark, sf_dir):
     return body.unionByName(heads).withColumn("x1", F.col("x0") + F.length("text") * F.col("size") * 0.5)
 
 
+@query("""with recursive r as (select l_orderkey as doc, l_linenumber as line, l_quantity::double as y, l_extendedprice::double as x0, 4.0 * l_linenumber as size, row_number() over (partition by l_orderkey order by l_quantity desc, l_extendedprice, l_linenumber) as k from lineitem),
+f(doc, line, k, top, size, row) as (select doc, line, k, y, size::double, 0 from r where k = 1 union all
+  select r.doc, r.line, r.k, if(f.top - r.y > greatest(1.0, 0.4 * greatest(f.size, r.size)), r.y, f.top), if(f.top - r.y > greatest(1.0, 0.4 * greatest(f.size, r.size)), r.size, greatest(f.size, r.size)), f.row + if(f.top - r.y > greatest(1.0, 0.4 * greatest(f.size, r.size)), 1, 0)
+  from f join r on r.doc = f.doc and r.k = f.k + 1)
+select doc, line::varchar as text, row::bigint as row, top from f""")
+def layout_rows(spark, sf_dir):
+    """Runs to rows by their baselines: an order's lines as runs of a page."""
+    r = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("doc"), F.lit(0).cast("long").alias("page"), F.col("l_extendedprice").cast("double").alias("x0"), (F.col("l_extendedprice") + 5).cast("double").alias("x1"), F.col("l_quantity").cast("double").alias("y"), (F.col("l_linenumber") * 4.0).cast("double").alias("size"), F.col("l_linenumber").cast("string").alias("text"))
+    return lay.numbered_rows(r).select("doc", "text", "row", "top")
+
+
+_PAGE = "select l_suppkey as doc, l_orderkey * 10 + l_linenumber as id, l_partkey % 14 as given, if(l_linenumber = 7, 60.0, if(l_linenumber % 2 = 0, 60.0, 320.0) + l_partkey % 9) as x0, if(l_linenumber = 7, 400.0, if(l_linenumber % 2 = 0, 60.0, 320.0) + l_partkey % 9 + 90 + l_quantity) as x1, 900.0 - 14 * (l_partkey % 14) as y from lineitem where l_suppkey % 3 > 0 or l_linenumber < 7"
+
+
+@query(f"""with r as ({_PAGE}), n as (select *, dense_rank() over (partition by doc order by y desc) - 1 as row, min(x0) over (partition by doc) as l, max(x1) over (partition by doc) - min(x0) over (partition by doc) as w from r),
+c as (select doc, l, w, bucket, count(distinct row) as rows from (select doc, l, w, row, unnest(range(least(239, floor((x0 - l) / w * 240))::int, least(239, floor((x1 - l) / w * 240))::int + 1)) as bucket from n) group by all),
+busy as (select c.*, lag(bucket) over (partition by doc order by bucket) + 1 as s from c join (select doc, count(distinct row) as r from n group by doc) using (doc) where r >= 6 and rows > greatest(1, floor(r * 0.08 + 0.5))),
+g as (select doc, l, w, l + s / 240.0::double * w as a, l + bucket / 240.0::double * w as z, l + (s + bucket) / 2.0::double / 240 * w as middle from busy where bucket - s >= 8.4),
+edges as (select doc, w, x, lag(x) over (partition by doc order by x) as p from (select distinct doc, w, l as x from g union all select doc, w, middle from g union all select distinct doc, w, l + w + 1 from g)),
+fine as (select doc from edges group by doc having bool_and(p is null or x - p >= 0.15 * w)),
+b as (select n.doc, n.id, n.row, n.y, (select count(*) from g join fine using (doc) where g.doc = n.doc) as k, (select count(*) from g where g.doc = n.doc and g.middle <= (n.x0 + n.x1) / 2) as band, exists (select 1 from g where g.doc = n.doc and n.x0 < g.z and n.x1 > g.a) as x from n),
+m as (select *, bool_or(x) over (partition by doc, row) as crossed from b),
+t as (select doc, count(*) filter (where n >= 3) as sides, max(h) as h, min(d) as d from (select doc, band, count(distinct row) as n, max(y) as h, min(y) as d from m where k > 0 and not crossed group by all) group by doc),
+o as (select m.*, case when k > 0 and t.sides = k + 1 then case when not crossed then band + 1 when y > t.h then 0 when y < t.d then k + 2 else 1 end else 0 end as section from m left join t using (doc))
+select doc, id::varchar as text, dense_rank() over (partition by doc order by section, y desc, case when k > 0 and not crossed then 0 else 1 end, row) - 1 as place from o""")
+def layout_columns(spark, sf_dir):
+    """Runs to lines in reading order: gutters, columns, rows that cross them; a supplier's lines as a page in two columns."""
+    r = src.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0 or l_linenumber < 7")
+    left = F.when(F.col("l_linenumber") % 2 == 0, 60.0).otherwise(320.0) + F.col("l_partkey") % 9
+    wide = F.col("l_linenumber") == 7
+    r = r.select(
+        F.col("l_suppkey").cast("long").alias("doc"), F.lit(0).cast("long").alias("page"), F.when(wide, 60.0).otherwise(left).cast("double").alias("x0"), F.when(wide, 400.0).otherwise(left + 90 + F.col("l_quantity")).cast("double").alias("x1"),
+        (900.0 - 14 * (F.col("l_partkey") % 14)).cast("double").alias("y"), F.lit(10.0).alias("size"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("text"), (F.col("l_partkey") % 14).cast("long").alias("given"),
+    )
+    return lay.in_columns(cut(lay.numbered_rows(r))).select("doc", "text", "place")
+
+
+@query("""with recursive l as (select l_orderkey as doc, l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint) as ord, l_linenumber // 5 as page, 50.0 + l_partkey % 3 * 8 as x0, 300.0 + 4 * l_quantity::double as x1, 700.0 - 14 * l_linenumber - if(l_discount >= 0.09, 8, 0) as y, if(l_suppkey % 7 = 0, 12.0, 10.0) as size, if(l_tax = 0.08, 2, null) as level,
+  if(l_returnflag = 'R', '• ', '') || if(l_partkey % 2 = 0, 'more', 'More') || l_linenumber || if(l_linestatus = 'F', '.', case when l_partkey % 5 = 0 then ' well-' else ' on' end) as text from lineitem),
+p as (select *, row_number() over w as k, lag(text) over w as pt, lag(x0) over w as px0, lag(x1) over w as px1, lag(y) over w as py, lag(size) over w as ps, lag(page) over w as pp from l window w as (partition by doc order by ord)),
+q as (select *, case when level is not null then 'h' when starts_with(text, '• ') then 'li' else 't' end as kind, pp is null or case when pp <> page then not (not regexp_matches(pt, '[.]$') and regexp_matches(text, '^[a-z]')) else py - y < 0 or py - y > 14 * 1.45 end as apart,
+  coalesce(x0 - px0 > greatest(2.0, size * 0.5) and x0 - px0 < 62.5, false) as inset, case when regexp_matches(pt, '[.]$') then px1 + 2 * ps end as stop from p),
+f(doc, k, block, inside, xl, sz, rt, kind, level, text) as (select doc, k, 0, if(kind = 'h', '', kind), x0::double, size::double, x1::double, kind, level, text from q where k = 1 union all
+  select q.doc, q.k, f.block + if(on_, 0, 1), case when on_ then f.inside when q.kind = 'h' then '' else q.kind end, if(on_ or q.kind = 'li' and f.inside = 'li', f.xl, q.x0), if(on_ or q.kind = 'li' and f.inside = 'li', f.sz, q.size), if(on_ or q.kind = 'li' and f.inside = 'li', greatest(f.rt, q.x1), q.x1), q.kind, q.level, q.text
+  from (select q.*, f.block as fb, if(q.kind = 't' and f.inside = 'li', not q.apart and q.x0 > f.xl + 0.5 * q.size, q.kind = 't' and f.inside = 't' and not q.apart and not q.inset and abs(q.size - f.sz) <= 1 and (q.stop is null or q.stop >= greatest(f.rt, q.x1))) as on_ from f join q on q.doc = f.doc and q.k = f.k + 1) q join f on q.doc = f.doc and q.k = f.k + 1),
+t as (select doc, k, block, kind, level, if(kind = 'li', text[3:], text) as own from f),
+j as (select *, lead(own) over w as nx, lag(own) over w as pv from t window w as (partition by doc, block order by k)),
+u as (select *, if(pv is null or regexp_matches(pv, '[a-zA-Z]-$') and regexp_matches(own, '^[a-z]'), '', ' ') || if(nx is not null and regexp_matches(own, '[a-zA-Z]-$') and regexp_matches(nx, '^[a-z]'), own[:-2], own) as piece from j)
+select doc, block::bigint as n, case arg_min(kind, k) when 't' then 'p' else arg_min(kind, k) end as type, any_value(case when k = first_k then level end)::bigint as level, string_agg(piece, '' order by k) as text from (select *, min(k) over (partition by doc, block) as first_k from u) group by doc, block""")
+def layout_paragraphs(spark, sf_dir):
+    """Levelled lines to headings, items and paragraphs: an order's lines as a document's."""
+    t = src.table(spark, sf_dir, "lineitem")
+    text = F.concat(F.when(F.col("l_returnflag") == "R", "• ").otherwise(""), F.when(F.col("l_partkey") % 2 == 0, "more").otherwise("More"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linestatus") == "F", ".").when(F.col("l_partkey") % 5 == 0, " well-").otherwise(" on"))
+    lines = t.select(
+        F.col("l_orderkey").cast("long").alias("doc"), _ord(), F.floor(F.col("l_linenumber") / 5).alias("page"), (50.0 + F.col("l_partkey") % 3 * 8).cast("double").alias("x0"), (300.0 + 4 * F.col("l_quantity")).cast("double").alias("x1"),
+        (700.0 - 14 * F.col("l_linenumber") - F.when(F.col("l_discount") >= 0.09, 8).otherwise(0)).cast("double").alias("y"), F.when(F.col("l_suppkey") % 7 == 0, 12.0).otherwise(10.0).alias("size"), F.when(F.col("l_tax") == 0.08, 2).cast("long").alias("level"), text.alias("text"), F.lit(14.0).alias("leading"), F.lit(250.0).alias("width"),
+    )
+    return lay.assembled(lines, ["doc"])
+
+
 @query()
 def layout_blocks(spark, sf_dir):
     """Runs to rows, columns, lines, levels, blocks and text, for every document."""
@@ -176,8 +237,9 @@ def layout_blocks(spark, sf_dir):
 
     rows = lay.page_rows(_document_runs(spark, sf_dir).select("doc", "page", "x0", "x1", "y", "size", "text"))
     lines = lay.finished_rows(rows, ["doc", "page", "row"])
-    lines = lines.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy("page", "row")) - 1).withColumn("top", F.lit(800.0)).withColumn("bottom", F.lit(0.0))
-    lines = lay.without_running_heads(lines, ["doc"])
+    lines = cut(lines.withColumn("ord", (F.row_number().over(Window.partitionBy("doc").orderBy("page", "row")) - 1).cast("long")))
+    lines = lay.with_drop_caps(lines, ["doc", "page"]).withColumn("top", F.lit(800.0)).withColumn("bottom", F.lit(0.0))
+    lines = cut(lay.without_running_heads(lines, ["doc"]))
     levelled = lay.heading_levels(lines, lay.measured_spaces(lines, ["doc"]), ["doc"])
     return lay.rendered(lay.assembled(levelled, ["doc"]), ["doc"])
 

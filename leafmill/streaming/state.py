@@ -3,7 +3,6 @@ the same state in Structured Streaming and are checked against them."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafmill.sources.shared import fresh_dir
+
 Column = F.Column
 
 
@@ -215,8 +216,7 @@ def stream_rate_limit(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 def run_to_end(stream: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
     """Everything a stream has now, through a checkpointed file sink; the folder is the shared one where there is one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="leafmill-stream-")
-    path = path or f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    path = path or fresh_dir(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -1,4 +1,3 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmill.operators import layout, writes
@@ -17,15 +16,33 @@ def test_compare_and_set_on_empty(spark):
     assert writes.compare_and_set(spark.createDataFrame([], "key long, ord long, expected long, value string")).count() == 0
 
 
-def test_two_columns_read_one_after_the_other():
-    runs = pd.DataFrame([{"x0": c, "x1": c + 100.0, "y": 700.0 - 14 * i, "size": 10.0} for i in range(8) for c in (50.0, 300.0)])
-    order = [r for row in layout.reading_order(runs) for r in row]
-    assert order == [*range(0, 16, 2), *range(1, 16, 2)]
+RUN = "doc long, page long, x0 double, x1 double, y double, size double, text string"
 
 
-def test_drop_cap_joins_its_line():
-    lines = pd.DataFrame([{"text": "ith a pair", "x0": 80.0, "x1": 200.0, "y": 700.0, "size": 10.0}, {"text": "W", "x0": 50.0, "x1": 78.0, "y": 680.0, "size": 30.0}])
-    assert layout.with_drop_caps(lines, 10.0)["text"].tolist() == ["With a pair"]
+def test_two_columns_read_one_after_the_other(spark):
+    rows = [(1, 0, c, c + 100.0, 700.0 - 14 * i, 10.0, f"{c:.0f}-{i}") for i in range(8) for c in (50.0, 300.0)] + [(1, 0, 50.0, 400.0, 790.0, 12.0, "title"), (2, 0, 50.0, 90.0, 1.0, 9.0, "alone")]
+    got = layout.page_rows(spark.createDataFrame(rows, RUN)).where("doc = 1").orderBy("row").collect()
+    assert [r["text"] for r in got] == ["title", *(f"50-{i}" for i in range(8)), *(f"300-{i}" for i in range(8))]
+
+
+def test_rows_by_eye_keep_their_row(spark):
+    rows = [(1, 0, 10.0, 20.0, 99.0, 10.0, "b", 7), (1, 0, 30.0, 40.0, 95.0, 10.0, "c", 7), (1, 0, 5.0, 9.0, 96.0, 10.0, "d", 3)]
+    got = {r["text"]: (r["row"], r["y"]) for r in layout.page_rows(spark.createDataFrame(rows, RUN + ", given long")).collect()}
+    assert got == {"b": (0, 99.0), "c": (0, 99.0), "d": (1, 96.0)}
+    assert {r["row"] for r in layout.page_rows(spark.createDataFrame([r[:-1] for r in rows], RUN)).collect()} == {0}
+
+
+def test_drop_cap_joins_its_line(spark):
+    lines = spark.createDataFrame([(1, 0, 0, "ith a pair", 80.0, 200.0, 700.0, 10.0), (1, 0, 1, "W", 50.0, 78.0, 680.0, 30.0), (1, 0, 2, "of glasses", 80.0, 200.0, 686.0, 10.0), (1, 1, 3, "X", 50.0, 78.0, 680.0, 30.0)], "doc long, page long, ord long, text string, x0 double, x1 double, y double, size double")
+    got = layout.with_drop_caps(lines, ["doc", "page"]).orderBy("ord").collect()
+    assert [(r["text"], r["x0"]) for r in got] == [("With a pair", 50.0), ("of glasses", 80.0), ("X", 50.0)]
+
+
+def test_another_space_ends_a_paragraph(spark):
+    lines = [(1, i, 0, 50.0, 300.0, 700.0 - 14 * i, 10.0, None, f"line {i} goes on", 14.0, 250.0, "ink" if i < 2 else "eye") for i in range(4)]
+    kind = "doc long, ord long, page long, x0 double, x1 double, y double, size double, level long, text string, leading double, width double, space string"
+    got = layout.assembled(spark.createDataFrame(lines, kind), ["doc"]).orderBy("n").collect()
+    assert [r["text"] for r in got] == ["line 0 goes on line 1 goes on", "line 2 goes on line 3 goes on"]
 
 
 def test_heading_rule_keeps_its_sign(spark):
