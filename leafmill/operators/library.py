@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import rx
+from leafmill.sources.shared import cut
 
 PAGE = 500
 LIST_COLUMNS = ["id", "url", "title", "site_name", "excerpt", "word_count", "saved_at", "read_at", "favorite", "archived", "tags", "progress"]
@@ -43,10 +44,10 @@ def with_collections(page: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def substring_search(articles: DataFrame, q: str) -> DataFrame:
-    """The browser's dialect: the whole query as one substring of title, site or text, in lower case; no stemming, no limit."""
+    """The browser's dialect: the whole query as one substring of title, site, byline or text, in lower case; no stemming, no limit."""
     needle = TERM_BREAK.sub(" ", q).strip().lower() if not q.strip() else q.strip().lower()
     found = F.lit(False)
-    for c in ("title", "site_name", "text_content"):
+    for c in ("title", "site_name", "byline", "text_content"):
         found = found | F.coalesce(F.contains(F.lower(c), F.lit(needle)), F.lit(False))
     return articles.where(found) if needle else articles
 
@@ -55,33 +56,13 @@ def terms(q: str) -> list[str]:
     return [t for t in TERM_BREAK.split(q) if t]
 
 
-def token_pattern(term: str) -> str | None:
-    """A regular expression for a quoted prefix term over lower-cased text: its tokens in a row, the last one a prefix."""
-    tokens = re.findall(r"[^\W_]+", term.lower())
-    if not tokens:
-        return None
-    return r"(?:^|[^\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, tokens))
-
-
-def token_search(articles: DataFrame, q: str, columns: tuple[str, ...] = ("title", "site_name", "text_content")) -> DataFrame:
-    """Every term must open a token somewhere; a term's tokens stand together in one column. Not stemmed."""
-    patterns = [token_pattern(t) for t in terms(q)]
-    if patterns and not any(patterns):
-        return articles.where(F.lit(False))
-    for p in filter(None, patterns):
-        hit = F.lit(False)
-        for c in columns:
-            hit = hit | F.coalesce(F.lower(c).rlike(p), F.lit(False))
-        articles = articles.where(hit)
-    return articles
-
-
-def library_page(articles: DataFrame, members: DataFrame, q: str | None = None, name: str | None = None, limit: int = PAGE) -> DataFrame:
-    """The list request: view, search, newest page, lists attached. Bodies are read only by a search."""
-    rows = view(articles, name, members)
-    if q and q.strip():
-        rows = token_search(rows, q)
-    return with_collections(newest(rows.select(*LIST_COLUMNS), limit), members)
+def library_page(articles: DataFrame, members: DataFrame, matching: DataFrame | None = None, name: str | None = None, limit: int = PAGE) -> DataFrame:
+    """The list request: view, what of it a search has found (`matching`: doc_id), newest page, lists attached. No body is read;
+    the page, `limit` rows at most, is made once."""
+    rows = view(articles, name, members).select(*LIST_COLUMNS)
+    if matching is not None:
+        rows = rows.join(matching.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return with_collections(cut(newest(rows, limit)), members)
 
 
 def collection_counts(collections: DataFrame, members: DataFrame, articles: DataFrame) -> DataFrame:

@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.library import terms
+from leafmill.sources.shared import fresh_dir
 
+POSTING = "doc_id long, col string, pos long, token string"
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -121,7 +126,7 @@ def postings(articles: DataFrame, columns: list[str], id_column: str = "id") ->
                         found.append(stems[t])
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cols, pa.string()), pa.array(places, pa.int64()), pa.array(found, pa.string())], ["doc_id", "col", "pos", "token"])
 
-    return articles.select(F.col(id_column).cast("long").alias("doc_id"), *columns).mapInArrow(each, "doc_id long, col string, pos long, token string")
+    return articles.select(F.col(id_column).cast("long").alias("doc_id"), *columns).mapInArrow(each, POSTING)
 
 
 def search(index: DataFrame, q: str) -> DataFrame:
@@ -130,13 +135,41 @@ def search(index: DataFrame, q: str) -> DataFrame:
     if not phrases:
         return index.select("doc_id").where(F.lit(False))
     parts = [(i, k, t, k == len(p) - 1) for i, p in enumerate(phrases) for k, t in enumerate(p)]
+    wanted = reduce(or_, (F.col("token").startswith(t) if last else F.col("token") == t for _, _, t, last in parts))  # reaches the scan
     hits = F.array(*[F.struct(F.lit(i).alias("term"), F.lit(k).alias("k"), (F.col("token").startswith(t) if last else F.col("token") == t).alias("hit")) for i, k, t, last in parts])
-    placed = index.select("doc_id", "col", "pos", F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).select("doc_id", "col", "h.term", "h.k", (F.col("pos") - F.col("h.k")).alias("start"))
+    placed = index.where(wanted).select("doc_id", "col", "pos", F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).select("doc_id", "col", "h.term", "h.k", (F.col("pos") - F.col("h.k")).alias("start"))
     sizes = F.create_map(*[F.lit(x) for i, p in enumerate(phrases) for x in (i, len(p))])
     whole = placed.groupBy("doc_id", "col", "term", "start").agg(F.count_distinct("k").alias("n")).where(F.col("n") == sizes[F.col("term")])
     return whole.groupBy("doc_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(phrases)).select("doc_id")
 
 
+#: columns of an article that are indexed; the tags as the JSON they are stored as
+INDEXED = ["title", "byline", "site_name", "text_content", "tags"]
+
+
+def article_postings(articles: DataFrame) -> DataFrame:
+    return postings(articles.withColumn("tags", F.to_json("tags")), INDEXED)
+
+
+def store(index: DataFrame, path: str) -> None:
+    """Writes postings in the order of their tokens, so that a search reads the files and row groups of its own tokens alone.
+    Ranges are by token and document, so a common token takes as many files as it needs."""
+    index.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(path)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, name: str, articles: Callable[[], DataFrame]) -> DataFrame:
+    """The session's stored index of a library: made once, then read by every search; changes go through refreshed()."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _STORED:
+        path = fresh_dir(spark, "postings")
+        store(article_postings(articles()), path)
+        _STORED[key] = path
+    return spark.read.schema(POSTING).parquet(_STORED[key])
+
+
 def refreshed(index: DataFrame, changed: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
     """The index after `changed` articles: their old postings go, their new ones come, all others stay."""
     stale = changed.select(F.col(id_column).alias("doc_id")).distinct()

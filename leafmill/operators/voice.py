@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.cache import running_before
+
 Column = F.Column
 
 # Registers of writing by the words that show them, and the voice tags each wants and clashes with.
@@ -64,11 +66,12 @@ def voice_key(title: Column, id_: Column) -> Column:
 
 
 def ranked(voices: DataFrame, score: Column, suited: int = 6) -> DataFrame:
-    """The best clone of each voice name, ranked; the first few suit. Ties by id. Names are reduced before the one global order."""
+    """The best clone of each voice name, ranked; the first few suit. Ties by id. Names are reduced first, then ranks are counted by stretches of the score."""
     v = voices.withColumn("score", score).withColumn("key", voice_key(F.col("title"), F.col("id")))
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))
     clones = v.withColumn("_r", best).where("_r = 1").drop("_r")
-    return clones.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("suits", F.col("rank") <= suited)
+    ahead = running_before(clones.withColumn("_one", F.lit(1)), F.floor(-F.col("score") * 1024), [F.desc("score"), "id"], "_one", "_ahead")
+    return ahead.withColumn("rank", (F.col("_ahead") + 1).cast("int")).drop("_one", "_ahead").withColumn("suits", F.col("rank") <= suited)
 
 
 def usable(voices: DataFrame) -> DataFrame:

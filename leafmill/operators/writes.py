@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import rx
+from leafmill.operators.cache import running_before
+from leafmill.operators.folds import folded
 
 Column = F.Column
 PATCHABLE = ["favorite", "archived", "progress", "read_at", "tags", "quality", "quality_note", "title", "audio_pos", "content_html", "text_content", "word_count", "excerpt", "edited_at"]
@@ -22,10 +24,10 @@ def first_of(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def inserted(table: DataFrame, new: DataFrame, key: str = "id", order: str = "arrival") -> DataFrame:
-    """New rows with the next numbers in order of arrival, appended. The numbering is of the new rows alone."""
+    """New rows with the next numbers in order of arrival, a whole number, appended. The numbering is of the new rows alone."""
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(top))  # one row
-    return table.unionByName(numbered.withColumn(key, (F.col("_top") + F.col("_n")).cast("long")).drop("_n", "_top", order), allowMissingColumns=True)
+    numbered = running_before(new.withColumn("_one", F.lit(1)), F.floor(F.col(order) / 65_536), [order], "_one", "_n").drop("_one").crossJoin(F.broadcast(top))  # one row
+    return table.unionByName(numbered.withColumn(key, (F.col("_top") + F.col("_n") + 1).cast("long")).drop("_n", "_top", order), allowMissingColumns=True)
 
 
 def patched(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -73,19 +75,17 @@ def upserted(table: DataFrame, new: DataFrame, keys: list[str], order: str) -> D
 
 def compare_and_set(updates: DataFrame, key: str = "key") -> DataFrame:
     """Updates (key, ord, expected, value) folded in order over version 0: one is taken if it expects the version it meets,
-    and makes the next. An update's expected version tells whether it can be taken only with all before it, so each key is a
-    fold over its own array. Returns each update's verdict and the version after it."""
-    folded = updates.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "expected", "value"))).alias("u"))
-    start = F.struct(F.lit(0).cast("long").alias("version"), F.lit(None).cast("string").alias("value"), F.expr("cast(array() as array<struct<ord:bigint,ok:boolean,version:bigint,value:string>>)").alias("log"))
+    and makes the next. An update's expected version tells whether it can be taken only with all before it, so this is a
+    fold along each key's updates. Returns each update's verdict and the version after it."""
+    def step(state: tuple, row: dict) -> tuple:
+        version, value = state
+        ok = row["expected"] == version
+        if ok:
+            version, value = version + 1, row["value"]
+        return (version, value), (row[key], row["ord"], ok, version, value)
 
-    def step(s: Column, x: Column) -> Column:
-        ok = x["expected"] == s["version"]
-        version = F.when(ok, s["version"] + 1).otherwise(s["version"])
-        value = F.when(ok, x["value"]).otherwise(s["value"])
-        entry = F.struct(x["ord"].cast("long").alias("ord"), F.coalesce(ok, F.lit(False)).alias("ok"), version.alias("version"), value.alias("value"))
-        return F.struct(version.alias("version"), value.alias("value"), F.concat(s["log"], F.array(entry)).alias("log"))
-
-    return folded.select(key, F.explode(F.aggregate("u", start, step)["log"]).alias("e")).select(key, "e.ord", "e.ok", "e.version", "e.value")
+    rows = updates.select(key, F.col("ord").cast("long").alias("ord"), "expected", F.col("value").cast("string").alias("value"))
+    return folded(rows, key, ["ord"], lambda: (0, None), step, f"{key} {updates.schema[key].dataType.simpleString()}, ord long, ok boolean, version long, value string")
 
 
 def guarded(variants: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -142,23 +142,43 @@ def with_member(articles: DataFrame, article_id: int, list_id: int, member: bool
 
 def persisted(articles: DataFrame, quota: int) -> DataFrame:
     """What a bounded local store keeps: the oldest bodies go blank, one after the other, until the rest fits. `size` is a
-    row's characters, `body` those of its body. A reader's own library on one device: one order over all of it."""
-    w = Window.orderBy("saved_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    row's characters, `body` those of its body."""
     total = articles.agg(F.sum("size").alias("_total"))
-    rows = articles.crossJoin(F.broadcast(total)).withColumn("_freed", F.coalesce(F.sum("body").over(w), F.lit(0)))
+    rows = running_before(articles, F.to_date("saved_at"), ["saved_at", "id"], "body", "_freed").crossJoin(F.broadcast(total))  # one row
     return rows.withColumn("blank", F.col("_total") - F.col("_freed") > quota).drop("_total", "_freed")
 
 
-def atomic_swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes a snapshot aside and puts it in the table's place by renames; a reader sees the old one or the new one. For one writer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
-    had = fs.exists(p(path))
-    if had:
-        fs.rename(p(path), p(old))
-    fs.rename(p(aside), p(path))
-    if had:
-        fs.delete(p(old), True)
+def atomic_swap(spark: SparkSession, df: DataFrame, path: str) -> int:
+    """Writes a snapshot as the table's next version, path/v<number>, and then names it current by creating path/_current/<number>,
+    which fails if it is there. A reader (current()) sees the old version or the new one, never none; a crash before the name
+    is created leaves the old one. Versions before the last one go. For one writer."""
+    fs, p = _files(spark, path)
+    number = max(_versions(spark, path), default=0) + 1
+    folder = f"v{number}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    stream = fs.create(p(f"{path}/_current/{number:010d}.{folder}"), False)
+    stream.close()
+    known = _versions(spark, path)
+    for old in sorted(known)[:-2]:
+        fs.delete(p(f"{path}/{known[old]}"), True)
+        fs.delete(p(f"{path}/_current/{old:010d}.{known[old]}"), False)
+    return number
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table as its last finished swap has left it."""
+    known = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{known[max(known)]}")
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Number and folder of the versions that have been named."""
+    fs, p = _files(spark, path)
+    named = fs.listStatus(p(f"{path}/_current")) if fs.exists(p(f"{path}/_current")) else []
+    names = [s.getPath().getName() for s in named]
+    return {int(n.split(".")[0]): n.split(".", 1)[1] for n in names if not n.startswith(".")}

@@ -21,10 +21,22 @@ def lru_evict(spark, sf_dir):
     return c.lru_victims(src.audio_cache(spark, sf_dir), 5_000_000, 1_000_000_000)
 
 
-@query(f"{WITH}, n as (select sum(bytes) filter (where protected) as kept from audio_cache) select key, bytes, 0 as freed from audio_cache, n where 1 = 0")
+_ROOMS = [(1, 5_000_000, 5_000_001), (2, 5_000_000, 1_000_000_000), (3, 600, 500), (4, 100, 10**15), (5, 1_000, 10**9)]
+
+
+@query(f"""{WITH}, {values("q", "id long, incoming long, ceiling long", _ROOMS)}, n as (select id, incoming, ceiling, (select sum(bytes) from audio_cache) + incoming - ceiling as need, (select coalesce(sum(bytes), 0) from audio_cache where not protected) as free from q),
+r as (select key, bytes, coalesce(sum(bytes) over (order by used, key rows between unbounded preceding and 1 preceding), 0) as freed from audio_cache where not protected)
+select n.id, count(r.key) as victims, coalesce(sum(r.bytes), 0)::bigint as bytes, any_value(n.incoming <= n.ceiling and n.need <= n.free) as granted from n left join r on n.incoming <= n.ceiling and n.need > 0 and n.free >= n.need and r.freed < n.need group by n.id""")
 def lru_evict_refused(spark, sf_dir):
-    """Nothing goes where all that may go isn't enough."""
-    return c.lru_victims(src.audio_cache(spark, sf_dir), 5_000_000, 5_000_001)
+    """Requests for room, some refused: nothing goes where all that may go isn't enough, or the item is too large."""
+    cache, out = src.audio_cache(spark, sf_dir), None
+    held = cache.agg(F.sum("bytes").alias("total"), F.coalesce(F.sum(F.when(~F.col("protected"), F.col("bytes"))), F.lit(0)).alias("free"))
+    for i, incoming, ceiling in _ROOMS:
+        gone = c.lru_victims(cache, incoming, ceiling).agg(F.count("key").alias("victims"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+        granted = (F.lit(incoming) <= ceiling) & (F.col("total") + incoming - ceiling <= F.col("free"))
+        one = gone.crossJoin(held.select(granted.alias("granted"))).withColumn("id", F.lit(i).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""{WITH}, o as (select key, bytes, key % 5 = 0 as pinned, article_id = 7 as mine, used from audio_cache where not protected),

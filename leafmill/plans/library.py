@@ -16,14 +16,21 @@ def lists(df):
     return df.withColumn("collections", F.array_join(F.transform("collections", lambda x: x.cast("string")), ","))
 
 
-@query(f"""{WITH}, p as (
-  select * from articles where read_at is null and not archived
-    and (regexp_matches(lower(title), '(?:^|[^\\p{{L}}\\p{{N}}])the') or regexp_matches(lower(site_name), '(?:^|[^\\p{{L}}\\p{{N}}])the') or regexp_matches(lower(text_content), '(?:^|[^\\p{{L}}\\p{{N}}])the'))
-    and (regexp_matches(lower(title), '(?:^|[^\\p{{L}}\\p{{N}}])er') or regexp_matches(lower(site_name), '(?:^|[^\\p{{L}}\\p{{N}}])er') or regexp_matches(lower(text_content), '(?:^|[^\\p{{L}}\\p{{N}}])er'))
-  order by saved_at desc, id desc limit 500)
+def _opens(prefix):
+    """Whether a token of an article begins so, in its folded form; for prefixes that stemming leaves alone."""
+    columns = ("title", "byline", "site_name", "text_content", "'[\"' || array_to_string(tags, '\",\"') || '\"]'")
+    return "(" + " or ".join(f"coalesce(regexp_matches(strip_accents(lower({c})), '(?:^|[^\\p{{L}}\\p{{N}}]){prefix}'), false)" for c in columns) + ")"
+
+
+def _index(spark, sf_dir):
+    return search.stored_index(spark, sf_dir, lambda: src.articles(spark, sf_dir))
+
+
+@query(f"""{WITH}, p as (select * from articles where read_at is null and not archived and {_opens("the")} and {_opens("er")} order by saved_at desc, id desc limit 500)
 select id, title, site_name, saved_at, {LISTS} from p""")
 def library_search(spark, sf_dir):
-    page = lib.library_page(src.articles(spark, sf_dir), src.article_collections(spark, sf_dir), "the er", "unread")
+    """A page of the articles that the stored index finds; searches scan no text."""
+    page = lib.library_page(src.articles(spark, sf_dir), src.article_collections(spark, sf_dir), search.search(_index(spark, sf_dir), "the ER"), "unread")
     return lists(page).select("id", "title", "site_name", "saved_at", "collections")
 
 
@@ -51,7 +58,7 @@ def library_collection(spark, sf_dir):
     return lib.newest(lib.view(src.articles(spark, sf_dir), "collection:3", src.article_collections(spark, sf_dir)).select("id", "title", "saved_at")).select("id", "title")
 
 
-@query(f"{WITH} select id from articles where instr(lower(title), 'the er') > 0 or instr(lower(site_name), 'the er') > 0 or instr(lower(text_content), 'the er') > 0")
+@query(f"{WITH} select id from articles where instr(lower(title), 'the er') > 0 or instr(lower(site_name), 'the er') > 0 or coalesce(instr(lower(byline), 'the er') > 0, false) or instr(lower(text_content), 'the er') > 0")
 def library_substring_search(spark, sf_dir):
     return lib.substring_search(src.articles(spark, sf_dir), " The er ").select("id")
 
@@ -167,11 +174,13 @@ def occurrence_ids(spark, sf_dir):
     return keyed.select("doc_id", "pos", F.substring(F.md5("k"), 1, 16).alias("key"), lib.occurrence(["doc_id", "k"], ["pos"]).cast("long").alias("occurrence"))
 
 
-@query()
+_PHRASE = "the[^\\p{L}\\p{N}]+s"
+
+
+@query(f"{WITH} select id as doc_id from articles where {_opens(_PHRASE)} and {_opens('er')} and {_opens('good')}")
 def fts_porter(spark, sf_dir):
     """Full-text search as the reference's index answers it: folded, stemmed, prefixes, phrases in one column."""
-    a = src.articles(spark, sf_dir)
-    return search.search(search.postings(a.withColumn("tags", F.to_json("tags")), ["title", "site_name", "text_content", "tags"]), "the-r er good").orderBy("doc_id")
+    return search.search(_index(spark, sf_dir), "the-s er good")
 
 
 @query()

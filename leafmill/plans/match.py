@@ -122,11 +122,11 @@ def certain_match(spark, sf_dir):
     return c.select("id", m.is_certain(*[F.col(x) for x in ("url", "via", "score", "signals", "read")]).alias("certain"))
 
 
-@query("""with c as (select doc_id as id, doc_id % 50 as screen, substr(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')), 1, 20) as title, source as publication, (doc_id * 7 % 11) / 10.0::double as confidence from documents),
+@query("""with c as (select doc_id as id, doc_id % 50 as screen, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) as title, source as publication, (doc_id * 7 % 11) / 10.0::double as confidence from documents),
 k as (select *, row_number() over (partition by screen, lower(title || '|' || publication) order by confidence desc, id) as r from c), t as (select *, row_number() over (partition by screen order by confidence desc, id) as rank from k where r = 1)
 select screen, id, title, confidence, rank from t where rank <= 6""")
 def candidate_dedupe(spark, sf_dir):
-    title = F.substring(F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\s+", " ")), 1, 20)
+    title = F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\s+", " "))
     c = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("screen"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.col("source").alias("publication"), ((F.col("doc_id") * 7 % 11) / 10.0).alias("confidence"))
     return m.deduped(c).select("screen", "id", "title", "confidence", "rank")
 

@@ -37,7 +37,8 @@ def lease_sessions(spark, sf_dir):
     return s.leases(_events(spark, sf_dir), 7200)
 
 
-@query()
+@query("""with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as prev from events), g as (select key, ts, sum(case when prev is null or ts >= prev + interval 7200 second then 1 else 0 end) over (partition by key order by ts) as g from e)
+select key, min(ts) as start, max(ts) + interval 7200 second as until, count(*) as beats from g group by key, g having max(ts) + interval 7200 second <= (select max(ts) - interval 1 hour from events)""")
 def stream_lease_sessions(spark, sf_dir):
     """Leases out of a stream; those that the watermark hasn't passed yet don't come out."""
     events = s.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
@@ -115,7 +116,13 @@ def catalogue_state(spark, sf_dir):
     return c.select("id", s.catalogue_state(ago("age"), ago("since"), F.col("complete"), now).alias("state"))
 
 
-@query()
+@query("""with recursive e as (select 't' || user_id as ticket, epoch(ts)::bigint::double as at, ['create', 'claim', 'ready', 'error', 'retry'][1 + event_id % 5] as command, row_number() over (partition by user_id order by event_id) as k from events),
+f(ticket, k, state, born, changes, refused) as (select distinct ticket, 0::bigint, '', 0.0::double, 0::bigint, 0::bigint from e union all
+  select n.ticket, n.k, if(n.next = '', n.state, n.next), if(n.next = 'pending' and n.command = 'create', n.at, n.born), n.changes + (n.next <> '')::int, n.refused + (n.next = '')::int from (
+    select o.*, case when o.command = 'create' and o.state = '' then 'pending' when o.command = 'claim' and o.state = 'pending' then 'claimed' when o.command = 'ready' and o.state = 'claimed' then 'ready'
+      when o.command = 'error' and o.state = 'claimed' then 'error' when o.command = 'retry' and o.state = 'error' then 'pending' else '' end as next
+    from (select e.ticket, e.k, e.at, e.command, f.born, f.changes, f.refused, if(f.state <> '' and e.at - f.born > 864000, '', f.state) as state from f join e on e.ticket = f.ticket and e.k = f.k + 1) o) n)
+select ticket, if(arg_max(state, k) = '', 'gone', arg_max(state, k)) as state, max(changes) as changes, max(refused) as refused from f group by ticket""")
 def ticket_lifecycle(spark, sf_dir):
     """A ticket for each user, its commands the user's events in order."""
     names = F.array(*map(F.lit, ("create", "claim", "ready", "error", "retry")))
@@ -129,3 +136,41 @@ def job_queue(spark, sf_dir):
     e = src.table(spark, sf_dir, "events")
     at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
     return s.queue_runs(e.select(F.col("event_type").alias("queue"), F.col("event_id").alias("ord"), at.alias("at"), F.concat(F.lit("j"), (F.col("user_id") % 20).cast("string")).alias("job"), (F.lit(300.0) + F.col("event_id") % 1200).alias("work"), (F.col("event_id") % 3 == 0).alias("speculative"), (at + 600 + F.col("event_id") % 900).alias("leave")))
+
+
+_HAPPENED = "case when event_id % 97 = 0 then 'reset' when event_id % 7 = 0 then 'drop' when event_id % 11 = 0 then 'invalidate' when event_id % 13 = 0 then 'forget' else 'none' end"
+
+
+@query(f"""with h as (select event_id as ord, {_HAPPENED} as kind, user_id as session, event_id % 40 as article_id from events), s as (select user_id as session, (user_id * 3) % 40 as article_id, min(event_id) + 60 as ord from events group by user_id)
+select session, article_id from s where ord > coalesce(greatest((select max(ord) from h where kind = 'drop' and h.session = s.session), (select max(ord) from h where kind in ('invalidate', 'forget') and h.article_id = s.article_id), (select max(ord) from h where kind = 'reset')), -1)""")
+def kept_sessions(spark, sf_dir):
+    """Demand sessions that stand after drops, changed articles and resets."""
+    e = src.table(spark, sf_dir, "events")
+    happened = e.selectExpr("event_id as ord", f"{_HAPPENED} as kind", "user_id as session", "event_id % 40 as article_id")
+    sessions = e.groupBy(F.col("user_id").alias("session")).agg((F.min("event_id") + 60).alias("ord")).withColumn("article_id", F.col("session") * 3 % 40)
+    return s.kept_sessions(sessions, happened).select("session", "article_id")
+
+
+@query(f"""with h as (select event_id as ord, {_HAPPENED} as kind, event_id % 40 as article_id from events), a as (select article_id, count(*) as n, min(ord) as first from h where kind in ('invalidate', 'forget') group by article_id)
+select article_id, n + (select count(*) from h where kind = 'reset' and ord > a.first) as epoch from a""")
+def article_epochs(spark, sf_dir):
+    e = src.table(spark, sf_dir, "events").selectExpr("event_id as ord", f"{_HAPPENED} as kind", "event_id % 40 as article_id")
+    return s.article_epochs(e)
+
+
+@query("select user_id as key, max(event_id) as used, row_number() over (order by max(event_id)) - greatest(0, (select count(distinct user_id) from events) - 24) as place from events group by user_id qualify row_number() over (order by max(event_id) desc) <= 24")
+def script_memory(spark, sf_dir):
+    """The 24 scripts that a bounded memory holds after all accesses."""
+    return s.bounded_lru(src.table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("key")))
+
+
+@query("""with a as (select user_id as call, row_number() over (partition by user_id order by event_id) as n, event_id % 50 + 0.5::double as took, event_id % 7 + 0.0::double as wait, event_id % 3 = 0 as ok, event_id % 5 > 0 as retryable from events),
+w as (select *, coalesce(sum(least(took, 30.0::double) + wait) over p, 0) as s, coalesce(bool_or((ok and took <= 30) or not retryable) over p, false) as o from a window p as (partition by call order by n rows between unbounded preceding and 1 preceding)),
+m as (select *, least(30.0::double, 60 - s) as c from w where not o and n <= 3 and s < 60) select call, n, s as started, least(took, c) as ran, case when took > c then 'timeout' when ok then 'ok' else 'failed' end as outcome from m""")
+def provider_attempts(spark, sf_dir):
+    """Attempts of calls under a shared deadline of a minute and half a minute each."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("call"), n.alias("n"), (F.col("event_id") % 50 + 0.5).cast("double").alias("took"), (F.col("event_id") % 7).cast("double").alias("wait"), (F.col("event_id") % 3 == 0).alias("ok"), (F.col("event_id") % 5 > 0).alias("retryable"))
+    return s.attempts_within(e, 60.0, 30.0)

@@ -9,9 +9,9 @@ from leafmill.sources import adapters as src
 WITH = f"with {src.ARTICLES_SQL}, {src.COLLECTIONS_SQL}, {src.MEMBERS_SQL}"
 
 
-@query(f"{WITH}, t as (select max(id) as top from articles) select id, title from articles union all select top + row_number() over (order by page_id), substr(url, 1, 20) from pages, t")
+@query(f"{WITH}, t as (select max(id) as top from articles) select id, title from articles union all select top + row_number() over (order by page_id), url from pages, t")
 def insert_articles(spark, sf_dir):
-    new = src.table(spark, sf_dir, "pages").select(F.substring("url", 1, 20).alias("title"), F.col("page_id").alias("arrival"))
+    new = src.table(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.col("page_id").alias("arrival"))
     return w.inserted(src.articles(spark, sf_dir).select("id", "title"), new)
 
 

@@ -24,6 +24,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("source").alias("site_name"),
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("By Jane Doe of the "), F.upper("source"))).when(F.col("doc_id") % 3 == 1, F.lit("By Érik Ravn")).alias("byline"),
         F.col("text").alias("text_content"),
         F.trim(F.substring("text", 1, 300)).alias("excerpt"),
         word_count(F.col("text")).cast("long").alias("word_count"),
@@ -71,7 +72,7 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables for the oracles, as common table expressions of DuckDB.
 ARTICLES_SQL = """articles as (
   select d.doc_id as id, 'https://' || source || '.example.org/' || lang || '/' || d.doc_id as url, source as site_name,
-    substr(split_part(text, chr(10), 1), 1, 80) as title, text as text_content, trim(substr(text, 1, 300)) as excerpt,
+    substr(split_part(text, chr(10), 1), 1, 80) as title, case d.doc_id % 3 when 0 then 'By Jane Doe of the ' || upper(source) when 1 then 'By Érik Ravn' end as byline, text as text_content, trim(substr(text, 1, 300)) as excerpt,
     len(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '')) as word_count,
     timestamp '2024-01-01 00:00:00' + to_minutes(d.doc_id) as saved_at,
     case when d.doc_id % 3 <> 0 then timestamp '2024-01-01 00:00:00' + to_minutes(d.doc_id) + interval 1 day end as read_at,

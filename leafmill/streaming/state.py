@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafmill.operators.folds import folded
 from leafmill.sources.shared import fresh_dir
 
 Column = F.Column
@@ -21,18 +22,16 @@ def micros(name: str) -> Column:
 
 def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Each event (key, ts, id) with whether its client's window lets it in. A window opens with the client's first event and
-    with the first one after it has run out; it isn't aligned to the clock. A fold over each client's own events."""
-    folded = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ts", "id"))).alias("e"))
-    width = F.expr(f"interval {seconds} seconds")
-    start = F.struct(F.lit(None).cast("timestamp").alias("opened"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<id:bigint,allowed:boolean,remaining:int>>)").alias("log"))
+    with the first one after it has run out; it isn't aligned to the clock."""
+    def step(state: tuple, row: dict) -> tuple:
+        opened, n = state
+        if opened is None or row["at"] >= opened + seconds * 1_000_000:
+            opened, n = row["at"], 0
+        n += 1
+        return (opened, n), (row["key"], row["id"], n <= limit, max(0, limit - n))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["opened"].isNull() | (x["ts"] >= s["opened"] + width)
-        n = F.when(fresh, F.lit(1)).otherwise(s["n"] + 1)
-        entry = F.struct(x["id"].cast("long").alias("id"), (n <= limit).alias("allowed"), F.greatest(F.lit(0), limit - n).cast("int").alias("remaining"))
-        return F.struct(F.when(fresh, x["ts"]).otherwise(s["opened"]).alias("opened"), n.alias("n"), F.concat(s["log"], F.array(entry)).alias("log"))
-
-    return folded.select("key", F.explode(F.aggregate("e", start, step)["log"]).alias("r")).select("key", "r.id", "r.allowed", "r.remaining")
+    rows = events.select("key", F.col("id").cast("long").alias("id"), micros("ts").alias("at"))
+    return folded(rows, "key", ["at", "id"], lambda: (None, 0), step, f"key {events.schema['key'].dataType.simpleString()}, id long, allowed boolean, remaining int")
 
 
 def leases(beats: DataFrame, seconds: int = 30) -> DataFrame:
@@ -65,6 +64,41 @@ def debounced(events: DataFrame, millis: int = 800) -> DataFrame:
     return events.withColumn("_n", nxt).where(F.col("_n").isNull() | (micros("_n") - micros("ts") > millis * 1000)).drop("_n")
 
 
+def kept_sessions(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """Demand sessions (session, article_id, ord) that stand after what has happened (ord, kind, session, article_id): `drop` ends
+    one session, `invalidate` and `forget` all of an article, `reset` all there are. Later sessions aren't touched."""
+    one = events.where("kind = 'drop'").groupBy("session").agg(F.max("ord").alias("_a"))
+    of_article = events.where("kind in ('invalidate', 'forget')").groupBy("article_id").agg(F.max("ord").alias("_b"))
+    all_ = events.where("kind = 'reset'").agg(F.max("ord").alias("_c"))  # one row
+    j = sessions.join(one, "session", "left").join(of_article, "article_id", "left").crossJoin(F.broadcast(all_))
+    return j.where(F.col("ord") > F.coalesce(F.greatest("_a", "_b", "_c"), F.lit(-1))).select(*sessions.columns)
+
+
+def article_epochs(events: DataFrame) -> DataFrame:
+    """How often each article has been invalidated (also by being forgotten); a reset counts for those known before it."""
+    w = events.where("kind in ('invalidate', 'forget')").groupBy("article_id").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
+    resets = events.where("kind = 'reset'").select(F.col("ord").alias("_r"))
+    return w.join(resets, F.col("_r") > F.col("_first"), "left").groupBy("article_id", "_n").agg(F.count("_r").alias("_k")).select("article_id", (F.col("_n") + F.col("_k")).alias("epoch"))
+
+
+def bounded_lru(accesses: DataFrame, most: int = 24) -> DataFrame:
+    """Accesses (ord, key) of a memory that keeps the `most` keys used last, by the keys that it holds in the end, oldest first."""
+    last = accesses.groupBy("key").agg(F.max("ord").alias("used")).orderBy(F.desc("used")).limit(most)
+    return last.withColumn("place", F.row_number().over(Window.orderBy("used")))  # `most` rows
+
+
+def attempts_within(attempts: DataFrame, deadline: float, each: float, most: int = 3) -> DataFrame:
+    """Attempts (call, n, took, wait, ok, retryable) that are made under a shared deadline: a call goes on while its attempts
+    fail in a way that may pass, the pause before the next fits, and none was the last; one is cut at its own limit or where
+    the deadline is."""
+    w = Window.partitionBy("call").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.least("took", F.lit(each)) + F.col("wait")).over(w), F.lit(0.0))
+    over = F.coalesce(F.max((F.col("ok") & (F.col("took") <= each)) | ~F.col("retryable")).over(w), F.lit(False))
+    made = attempts.withColumn("_s", spent).withColumn("_o", over).where(~F.col("_o") & (F.col("n") <= most) & (F.col("_s") < deadline))
+    cut = F.least(F.lit(each), F.lit(deadline) - F.col("_s"))
+    return made.select("call", "n", F.col("_s").alias("started"), F.least(F.col("took"), cut).alias("ran"), F.when(F.col("took") > cut, "timeout").when(F.col("ok"), "ok").otherwise("failed").alias("outcome"))
+
+
 def stalls(events: DataFrame, seconds: int = 12) -> DataFrame:
     """Gaps (key, since, ts, gap) longer than the threshold between a key's successive events."""
     prev = F.lag("ts").over(Window.partitionBy("key").orderBy("ts", "id"))

@@ -34,3 +34,32 @@ def test_refresh_replaces_changed_documents(spark, index):
     assert [r[0] for r in search.search(new, "walk").collect()] == [0]
     assert search.search(new, "rain").count() == 0
     assert search.search(new, "alpha").count() == 1
+
+
+ARTICLES = [
+    (1, "Running water", "By Jane Doe", "Rivers", "It runs and ran, the rivers of the north", ["news", "good reads"]),
+    (2, "Still", None, "Jane", "nothing runs here", []),
+    (3, "Ran", "By Élodie Good", "site", "", ["running"]),
+    (4, None, None, None, None, None),
+    (5, "of the runner", "the", "north", "doe jane", ["poor"]),
+]
+
+
+@pytest.mark.parametrize("q", ["run", "jane", "jane doe", "good", "the-north", "elodie", "rivers run", "read", "doe-jane", '["good', "of-the"])
+def test_articles_like_fts5_from_a_stored_index(spark, tmp_path_factory, q):
+    import json
+
+    df = spark.createDataFrame(ARTICLES, "id long, title string, byline string, site_name string, text_content string, tags array<string>")
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(title, byline, site, text, tags, tokenize='porter unicode61')")
+    con.executemany("insert into f(rowid, title, byline, site, text, tags) values (?, ?, ?, ?, ?, ?)", [(*a[:5], None if a[5] is None else json.dumps(a[5])) for a in ARTICLES])
+    match = " ".join('"' + t.replace('"', '""') + '"*' for t in q.split())
+    want = sorted(r[0] for r in con.execute("select rowid from f where f match ?", (match,)))
+    index = search.stored_index(spark, "articles of the test", lambda: df)
+    assert sorted(r[0] for r in search.search(index, q).collect()) == want
+
+
+def test_a_search_reads_its_tokens_alone(spark):
+    index = search.stored_index(spark, "articles of the test", lambda: None)
+    plan = search.search(index, "run")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(token), StringStartsWith(token,run)]" in plan

@@ -9,7 +9,11 @@ def test_atomic_swap(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     writes.atomic_swap(spark, spark.range(3), path)
     writes.atomic_swap(spark, spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5 and len(list(tmp_path.iterdir())) == 1
+    assert writes.current(spark, path).count() == 5
+    assert writes.atomic_swap(spark, spark.range(7), path) == 3 and writes.current(spark, path).count() == 7
+    assert len(list((tmp_path / "t").glob("v*"))) == 2
+    (tmp_path / "t/v4-broken").mkdir()  # a swap that broke off before its name
+    assert writes.current(spark, path).count() == 7
 
 
 def test_compare_and_set_on_empty(spark):
