@@ -118,8 +118,8 @@ class ByteBpe:
         return array("I", [whole] if whole >= 0 else self.merge(raw)).tobytes()
 
     def encode_packed(self, text: str) -> bytes:
-        pieces, memo = self.pieces(text), self.memo
-        memo.learn(set(pieces))
+        pieces = self.pieces(text)
+        memo = self.memo.learn(set(pieces))
         return b"".join([memo[p] for p in pieces])
 
     def encode(self, text: str) -> list[int]:

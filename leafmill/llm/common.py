@@ -123,21 +123,22 @@ def arrow_map(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], Itera
     return in_arrow(df, run, schema)
 
 
-class WordMemory(dict):
-    """Values of words that a task has met, with a bound on bytes: text without spaces has words as long as paragraphs."""
+class WordMemory:
+    """Values of words that a task has met, with a bound on bytes: text without spaces has words as long as paragraphs.
+    `known` is a plain dict, which set.difference() asks for each word; of any other mapping it would walk all of it."""
 
     def __init__(self, most: int, value: Callable[[bytes], object]):
-        super().__init__()
+        self.known: dict = {}
         self.most, self.value, self.held = most, value, 0
 
-    def learn(self, words: set) -> None:
-        """Sees to it that all these words are there; starts anew if memory is full."""
+    def learn(self, words: set) -> dict:
+        """What is known, with all these words; starts anew if memory is full."""
         if self.held > self.most:
-            self.clear()
-            self.held = 0
-        for w in words.difference(self):  # asks the dict for each word; `words - self.keys()` would walk all of it
-            self[w] = v = self.value(w)
+            self.known, self.held = {}, 0
+        for w in words.difference(self.known):
+            self.known[w] = v = self.value(w)
             self.held += WORD_BYTES + len(w) + (len(v) if isinstance(v, bytes) else 0)
+        return self.known
 
 
 #: what an entry of a dict holds besides its characters

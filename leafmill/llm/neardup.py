@@ -61,8 +61,7 @@ def shingle_hashes(text: str, memo: WordMemory) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.uint64)
-    memo.learn(set(words))
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(memo.learn(set(words)).__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):

@@ -80,8 +80,7 @@ def repeated_words(words: list[bytes], memo: WordMemory) -> int:
     n = len(words)
     if n <= WINDOW:
         return 0
-    memo.learn(set(words))
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(memo.learn(set(words)).__getitem__, words), np.uint64, n)
     count = n - WINDOW + 1
     mixed = np.zeros(count, np.uint64)
     for k in range(WINDOW):

@@ -713,8 +713,7 @@ def test_long_texts_keep_memories_bounded(codec):
         assert len(linededup.kept_lines(text, set())[0]) == 1 and secrets.base_spans(text) is not None
     small = common.WordMemory(1000, len)
     for i in range(100):
-        small.learn({b"x" * i})
-        assert small[b"x" * i] == i and small.held <= 1000 + common.WORD_BYTES + 100
+        assert small.learn({b"x" * i})[b"x" * i] == i and small.held <= 1000 + common.WORD_BYTES + 100
     ids = packing.loaded(WORD_BPE).packed(pa.array([words, "a " * 10]))
     assert [len(x) > 0 for x in ids] == [True, True]
     assert codec.decode(codec.encode(words)) == words.encode()
