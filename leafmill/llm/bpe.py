@@ -38,7 +38,7 @@ class PerfectHash:
 
     def __init__(self, ids: dict[bytes, int]):
         self.n = n = len(ids)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 2)
         self.shift = array("l", [0]) * self.buckets
         self.keys: list[bytes | None] = [None] * n
         self.values = array("l", [-1]) * n
