@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import ann, bpe, linededup, mainhtml, neardup, packing, quality, rollup, secrets, shards
+from leafmill.llm import ann, bpe, linededup, mainhtml, merkle, neardup, packing, quality, rollup, secrets, shards, spelling
 from leafmill.llm.common import in_own_run, table
 
 
@@ -61,6 +61,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@in_own_run
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@in_own_run
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -72,6 +82,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_spelling": op11_spelling,
+    "op12_merkle": op12_merkle,
 }
 
-ORACLES: dict[str, str] = {"op7_shards": shards.ORACLE, "op8_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op7_shards": shards.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE}

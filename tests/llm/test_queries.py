@@ -17,6 +17,8 @@ COLUMNS = {
     "op8_line_dedup": "doc_id n_lines n_dropped kept_sha256",
     "op9_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_near_duplicates": "doc_id class_id",
+    "op11_spelling": "word form root n n_near form_n",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -26,7 +28,7 @@ def test_columns_and_whole_tables(spark, name):
     want = COLUMNS[name].split()
     assert df.columns[: len(want)] == want
     got = df.collect()
-    table = {"op5_main_text": "pages", "op6_neighbours": None, "op2_token_counts": None}.get(name, "documents")
+    table = {"op5_main_text": "pages", "op6_neighbours": None, "op2_token_counts": None, "op11_spelling": None}.get(name, "documents")
     if table:
         rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
         assert len({r[0] for r in got}) == rows and (name == "op3_packing" or len(got) == rows)
