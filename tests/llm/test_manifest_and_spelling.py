@@ -139,6 +139,7 @@ def test_variants_by_hand(spark):
     words += [w[:i] + c + w[i + k :] for w in words[:80] for i, c, k in [(rng.randrange(len(w)), rng.choice("abÿX"), rng.choice([0, 1]))]]
     rows = [(d if d % 9 else None, " ".join(rng.choices(words, [1.6**-(k % 17) for k in range(len(words))], k=300)).title()) for d in range(40)]
     rows += [(90, None), (91, ""), (92, "x" * 30_000 + " " + "日本語 ×÷ short"), (93, ("x" * 30_000 + "\n") * 5), (94, ("x" * 29_999 + " ") * 6), (95, "aa bb")]
+    rows += [(200 + i, w) for i, w in enumerate(["mmmmmmaa"] * 7 + ["mmmmmmab"] * 60 + ["mmmmmmbb"] * 500)]  # a chain of two steps
     n = counted_by_hand(rows)
     want = variants_by_hand(n)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as word", "1 as n", "'clash' as root", "'clash' as run", "'clash' as ident")
