@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import ann, bpe, linededup, mainhtml, merkle, neardup, packing, quality, rollup, secrets, shards, spelling
+from leafmill.llm import ann, bpe, langid, linededup, mainhtml, merkle, neardup, packing, quality, rollup, secrets, shards, spelling
 from leafmill.llm.common import in_own_run, table
 
 
@@ -71,6 +71,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+@in_own_run
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_spelling": op11_spelling,
     "op12_merkle": op12_merkle,
+    "op13_language": op13_language,
 }
 
 ORACLES: dict[str, str] = {"op7_shards": shards.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE}

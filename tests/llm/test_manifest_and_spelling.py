@@ -148,7 +148,7 @@ def test_variants_by_hand(spark):
 
 
 def test_spoilt_occurrences(spark):
-    rows = [(i, "wonderful") for i in range(2000)]
+    rows = [(i, "wonderful") for i in range(20_000)]
     n = counted_by_hand(rows)
     assert len(n) > 1 and {(r.word, r.n) for r in spelling.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(n.items())
     assert spelling.spelling_variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -19,6 +19,7 @@ COLUMNS = {
     "op10_near_duplicates": "doc_id class_id",
     "op11_spelling": "word form root n n_near form_n",
     "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_language": "doc_id held_out lang_pred score",
 }
 
 
