@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import sql_crc32, written
 
 FANOUT = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -147,21 +147,6 @@ def manifest_levels(documents: DataFrame) -> DataFrame:
     return subroots.unionByName(whole.select(F.lit("root").alias("kind"), F.lit(None).cast("string").alias("source"), "hash", "n_leaves"))
 
 
-def _crc_step() -> str:
-    """A byte b into the checksum c, four bits at a time, in SQL, which has no CRC-32."""
-    entries = list(range(16))
-    for _ in range(4):
-        entries = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in entries]
-    half = lambda c, b: f"xor({c} >> 4, list_extract({entries}::ubigint[], (xor({c}, {b}) & 15)::bigint + 1))"
-    return half(half("c", "b"), "(b >> 4)")
-
-
-def sql_crc32(text: str) -> str:
-    """The unsigned crc32 of a text's UTF-8 form as a DuckDB expression."""
-    start = f"list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex({text}), '..'), lambda s: ('0x' || s)::ubigint))"
-    return f"xor(list_reduce({start}, lambda c, b: {_crc_step()}), 4294967295::ubigint)::bigint"
-
-
 def _sql_leaf(text: str) -> str:
     parts = [f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
     return f"sha256({' || '.join(parts)})"

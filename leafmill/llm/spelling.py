@@ -25,8 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
-from leafmill.llm.merkle import sql_crc32
+from leafmill.llm.common import sql_crc32, written
 
 RUN = "[A-Za-zÀ-ÿ]+"
 LEAST = 6
