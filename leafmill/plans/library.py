@@ -174,7 +174,8 @@ def occurrence_ids(spark, sf_dir):
     return keyed.select("doc_id", "pos", F.substring(F.md5("k"), 1, 16).alias("key"), lib.occurrence(["doc_id", "k"], ["pos"]).cast("long").alias("occurrence"))
 
 
-_PHRASE = "the[^\\p{L}\\p{N}]+s"
+# Porter leaves `the` of `thes` as well
+_PHRASE = "thes?[^\\p{L}\\p{N}]+s"
 
 
 @query(f"{WITH} select id as doc_id from articles where {_opens(_PHRASE)} and {_opens('er')} and {_opens('good')}")

@@ -40,6 +40,16 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_search_on_larger_tables(spark, sf):
+    """Stems that the smallest table doesn't have."""
+    con = duckdb.connect()
+    con.sql("set timezone='UTC'")
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '/root/testdata/{sf}/{t}.parquet'")
+    assert sorted(r.doc_id for r in QUERIES["fts_porter"](spark, f"/root/testdata/{sf}").collect()) == sorted(r[0] for r in con.sql(ORACLES["fts_porter"]).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
