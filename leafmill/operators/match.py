@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import rx, urls
+from leafmill.functions.folding import folded, words
 from leafmill.functions.rx import EDGE_LEFT, EDGE_RIGHT
+from leafmill.operators.similarity import dice, similar
 
 Column = F.Column
 ACCEPT = 0.72
@@ -86,33 +88,6 @@ def redacted(text: Column) -> Column:
     return F.regexp_replace(out, EDGE_LEFT + r"(sk-|pk-|Bearer\s+)[A-Za-z0-9._-]{12,}", "$1[redacted]")
 
 
-# fixed values: letters of Latin alphabets and their base letters, for what needs no full decomposition
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšşťūůűźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstuuuzzz"
-
-
-def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
-
-
-def words(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits longer than one, accents folded."""
-    return F.filter(F.split(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]+", " "), r"\s+"), lambda w: F.length(w) > 1)
-
-
-def counted(items: Column) -> Column:
-    """An array's items with the number of their occurrence: sets of these overlap as the multisets do."""
-    # the k-th of equal items in sorted order is told by how far it stands from the first of them
-    s = F.sort_array(items)
-    return F.transform(s, lambda w, i: F.concat(w, F.lit("#"), (i - F.array_position(s, w) + 1).cast("string")))
-
-
-def dice(a: Column, b: Column) -> Column:
-    """Twice the multiset overlap of two word lists over their sizes."""
-    shared = F.size(F.array_intersect(counted(a), counted(b)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
-
-
 def days_apart(one: Column, other: Column) -> Column:
     return F.abs(F.datediff(one.try_cast("date"), other.try_cast("date")))
 
@@ -133,23 +108,28 @@ def is_certain(url: Column, via: Column, score: Column, signals: Column, read_do
     )
 
 
-def scored(candidates: DataFrame, posts: DataFrame, key: str) -> DataFrame:
-    """Candidates (candidate, title, published, byline, subtitle) and posts (post, the same) that share a blocking key, scored.
-    Only pairs of one key are made; a rare key keeps them few."""
-    c = candidates.select(key, "candidate", *[F.col(x).alias(f"c_{x}") for x in ("title", "published", "byline", "subtitle")])
-    p = posts.select(key, "post", *[F.col(x).alias(f"p_{x}") for x in ("title", "published", "byline", "subtitle")])
+#: below this a title's similarity is the whole score, and the most that date, byline and deck add to it
+TITLE_LEAST, ADDED_MOST = 0.45, 0.25
+
+
+def scored(candidates: DataFrame, posts: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """All pairs of candidates (candidate, title, published, byline, subtitle) and posts (post, line, the same) that could be
+    accepted: their titles are compared by a similarity join at what the rest of the evidence leaves of the bound."""
+    least = max(TITLE_LEAST, accept - ADDED_MOST)
+    c = candidates.select("candidate", *[F.col(x).alias(f"c_{x}") for x in ("published", "byline", "subtitle")], words(F.col("title")).alias("words"))
+    p = posts.select("post", "line", *[F.col(x).alias(f"p_{x}") for x in ("published", "byline", "subtitle")], words(F.col("title")).alias("words"))
 
     def sim(x: str) -> Column:
         return dice(words(F.col(f"c_{x}")), words(F.col(f"p_{x}")))
 
-    detail = match_detail(sim("title"), days_apart(F.col("c_published"), F.col("p_published")), sim("byline"), sim("subtitle"))
-    return c.join(p, key).withColumn("m", detail).select("candidate", "post", F.col("m.score").alias("score"), F.col("m.signals").alias("signals"))
+    detail = match_detail(F.col("dice"), days_apart(F.col("c_published"), F.col("p_published")), sim("byline"), sim("subtitle"))
+    return similar(c, p, least).withColumn("m", detail).select("candidate", "post", "line", F.col("m.score").alias("score"), F.col("m.signals").alias("signals"))
 
 
 def best_matches(scores: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The best post of each candidate, the smaller of equals, and whether it is good enough."""
-    best = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("score"), "post"))
-    return scores.withColumn("r", best).where("r = 1").drop("r").withColumn("accepted", F.col("score") >= accept)
+    best = scores.groupBy("candidate").agg(F.min(F.struct((-F.col("score")).alias("less"), "post", "line", "signals")).alias("b"))
+    return best.select("candidate", "b.post", "b.line", (-F.col("b.less")).alias("score"), "b.signals").withColumn("accepted", F.col("score") >= accept)
 
 
 def handle_guesses(name: Column) -> Column:

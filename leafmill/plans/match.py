@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from leafmill.functions.folding import sql_folded, sql_words, words
 from leafmill.operators import match as m
+from leafmill.operators.similarity import dice, similar
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
 
@@ -52,38 +54,46 @@ def screen_lines(spark, sf_dir):
     return frame(spark, "id long, t string", _LINES).select("id", m.is_chrome(F.col("t")).alias("chrome"), m.first_url(F.col("t")).alias("url"), m.first_domain(F.col("t")).alias("domain"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(regexp_replace(translate(lower(coalesce({t}, '')), '" + m._ACCENTED + "', '" + m._PLAIN + "'), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)"
-_PAIRS = f"""b as (select item_id as candidate, substr(text, 1, 120) as title, {_WORDS.format(t="substr(text, 1, 120)")} as w from benchmark),
-d as (select doc_id as post, substr(text, 1, 120) as title, {_WORDS.format(t="substr(text, 1, 120)")} as w from documents),
-bk as (select distinct candidate, w[1] as k, w from b where len(w) > 1), dk as (select post, w[1] as k, w from d where len(w) > 1),
-p as (select candidate, post, bk.w as a, dk.w as b from bk join dk using (k)),
-s as (select candidate, post, coalesce((select sum(least(x.c, y.c)) from (select u, count(*) as c from (select unnest(a) as u) group by u) x join (select u, count(*) as c from (select unnest(b) as u) group by u) y using (u)), 0) as shared, len(a) + len(b) as total from p)"""
+# all pairs that share an item, a word and how many of it came before; no block
+_PAIRS = f"""c as (select item_id as candidate, {sql_words("text")} as w from benchmark),
+l as (select doc_id as post, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as title from documents), p as (select post, line, {sql_words("title")} as w from l),
+ci as (select candidate, n, w, row_number() over (partition by candidate, w) as k from (select candidate, len(w) as n, unnest(w) as w from c)), pi as (select post, line, n, w, row_number() over (partition by post, line, w) as k from (select post, line, len(w) as n, unnest(w) as w from p)),
+s as (select candidate, post, line, 2.0::double * count(*) / (any_value(ci.n) + any_value(pi.n)) as dice from ci join pi using (w, k) group by all)"""
 
 
-def _blocked(spark, sf_dir):
-    b = src.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate"), F.substring("text", 1, 120).alias("title"))
-    d = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), F.substring("text", 1, 120).alias("title"))
+def _candidates(spark, sf_dir):
+    """The passages of benchmark as what was read off a picture."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_id") % 28).cast("int")).cast("string")
+    by = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Jane Doe of the SRC"), (F.col("item_id") % 20).cast("string")))
+    return src.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate"), F.col("text").alias("title"), day.alias("published"), by.alias("byline"), F.lit(None).cast("string").alias("subtitle"))
 
-    def keyed(x):
-        x = x.withColumn("w", m.words(F.col("title"))).where(F.size("w") > 1)
-        extra = [F.lit(None).cast("string").alias(c) for c in ("published", "byline", "subtitle")]
-        return x.select("*", F.col("w")[0].alias("k"), *extra)
 
-    return keyed(b), keyed(d)
+def _posts(spark, sf_dir):
+    """Each line of documents as a post's title."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).cast("string")
+    by = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("By Jane Doe of the "), F.upper("source"))).when(F.col("doc_id") % 3 == 1, F.lit("By Érik Ravn"))
+    d = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), day.alias("published"), by.alias("byline"), F.lit(None).cast("string").alias("subtitle"), F.posexplode(F.split("text", "\n")).alias("line", "title"))
+    return d.withColumn("line", F.col("line").cast("long"))
 
 
-@query(f"with {_PAIRS} select candidate, post, round(2.0 * shared / total, 6) as dice from s")
+@query(f"with {_PAIRS} select candidate, post, line, round(dice, 6) as dice from s where dice >= 0.72")
 def dice_match(spark, sf_dir):
-    b, d = _blocked(spark, sf_dir)
-    pairs = b.select("k", "candidate", F.col("w").alias("a")).join(d.select("k", "post", F.col("w").alias("b")), "k")
-    return pairs.select("candidate", "post", F.round(m.dice(F.col("a"), F.col("b")), 6).alias("dice"))
+    """All lines that are similar enough to a candidate, however they begin."""
+    c, p = _candidates(spark, sf_dir), _posts(spark, sf_dir)
+    pairs = similar(c.select("candidate", words(F.col("title")).alias("words")), p.select("post", "line", words(F.col("title")).alias("words")), m.ACCEPT)
+    return pairs.select("candidate", "post", "line", F.round("dice", 6).alias("dice"))
 
 
-@query(f"with {_PAIRS}, r as (select candidate, post, 2.0 * shared / total as x, row_number() over (partition by candidate order by 2.0 * shared / total desc, post) as r from s) select candidate, post, round(x, 6) as score, x >= 0.72 as accepted, case when x > 0.92 then 'title' else '' end as signals from r where r = 1")
+_EVIDENCE = """t as (select s.*, abs(candidate % 28 - post % 28) as days, case when candidate % 2 = 0 and post % 3 = 0 then case when source = 'src' || candidate % 20 then 10.0::double / 11 else 8.0::double / 11 end else 0 end as by_line from s join documents on doc_id = post where dice >= 0.47),
+e as (select *, least(1.0::double, greatest(0.0::double, dice + case when days <= 1 then 0.12::double when days <= 30 then 0.0::double else -0.45::double end + case when by_line > 0.6 then 0.08::double else 0.0::double end + 0.0::double)) as score from t)"""
+
+
+@query(f"""with {_PAIRS}, {_EVIDENCE}, r as (select *, row_number() over (partition by candidate order by score desc, post, line) as r from e)
+select candidate, post, line, round(score, 6) as score, score >= 0.72 as accepted, array_to_string(list_filter([case when dice > 0.92 then 'title' end, case when days <= 1 then 'date' end, case when by_line > 0.6 then 'byline' end], lambda x: x is not null), ',') as signals from r where r = 1""")
 def best_match(spark, sf_dir):
-    b, d = _blocked(spark, sf_dir)
-    best = m.best_matches(m.scored(b, d, "k"))
-    return best.select("candidate", "post", F.round("score", 6).alias("score"), "accepted", F.array_join("signals", ",").alias("signals"))
+    """The line that the evidence speaks for most, of each candidate that one could be accepted for."""
+    best = m.best_matches(m.scored(_candidates(spark, sf_dir), _posts(spark, sf_dir)))
+    return best.select("candidate", "post", "line", F.round("score", 6).alias("score"), "accepted", F.array_join("signals", ",").alias("signals"))
 
 
 _FOUND = [
@@ -95,7 +105,7 @@ _FC = "id long, ct string, cd string, cb string, cs string, ft string, fd string
 
 
 def _dice_sql(a, b):
-    wa, wb = _WORDS.format(t=a), _WORDS.format(t=b)
+    wa, wb = sql_words(a), sql_words(b)
     return f"case when len({wa}) = 0 or len({wb}) = 0 then 0.0 else 2.0 * coalesce((select sum(least(x.c, y.c)) from (select u, count(*) as c from (select unnest({wa}) as u) group by u) x join (select u, count(*) as c from (select unnest({wb}) as u) group by u) y using (u)), 0) / (len({wa}) + len({wb})) end"
 
 
@@ -107,7 +117,7 @@ def evidence_score(spark, sf_dir):
     c = frame(spark, _FC, _FOUND)
 
     def sim(a, b):
-        return m.dice(m.words(F.col(a)), m.words(F.col(b)))
+        return dice(words(F.col(a)), words(F.col(b)))
 
     d = c.withColumn("m", m.match_detail(sim("ct", "ft"), m.days_apart(F.col("cd"), F.col("fd")), sim("cb", "fb"), sim("cs", "fs")))
     return d.select("id", F.round("m.score", 6).alias("score"), F.array_join("m.signals", ",").alias("signals"), m.is_certain(F.lit("u"), F.lit("x archive"), F.col("m.score"), F.col("m.signals"), F.lit(False)).alias("certain"))
@@ -132,7 +142,7 @@ def candidate_dedupe(spark, sf_dir):
 
 
 _GUESS = [(1, "a.example", "The Culturist", "Élodie B.", None), (2, None, "ab", "The", "Elevated It Girl"), (3, None, None, None, None), (4, "x.example", "Vogue Business", "Vogue Business", "x" * 41)]
-_SLUG = "regexp_replace(translate(lower(coalesce({n}, '')), '" + m._ACCENTED + "', '" + m._PLAIN + "'), '[^a-z0-9]+', '', 'g')"
+_SLUG = "regexp_replace(" + sql_folded("coalesce({n}, '')") + ", '[^a-z0-9]+', '', 'g')"
 
 
 def _guesses(n):

@@ -33,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder: what several branches of a plan read is made once, and outlives an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same as a table in the shared folder, for columns that are read apart from each other."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
