@@ -8,31 +8,37 @@ from leafmill.operators.similarity import dice, similar
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
 
+def _lines(spark, sf_dir):
+    """Every line of documents."""
+    lines = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.withColumn("line", F.col("line").cast("long"))
+
+
 _DATES = [(i, d) for i, d in enumerate(["9 APR 2025 AT 16:31", "February 18, 2025", "2025-6-23", "2025-13-40", "posted 2024-02-31 x", "Sept. 3 2019", "31 foo 2020", "", None, "12 december 1899", "x2025-01-02", "Mar 5, 2300"])]
 _NAMES = "'jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'"
 
 
-@query(rf"""with {values("s", "id long, t string", _DATES)}, c as (select doc_id as id, split_part(text, chr(10), 1) as t from documents union all select -1 - id, t from s),
-p as (select id, t, regexp_extract(t, '(?:^|[^A-Za-z0-9_])(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:$|[^A-Za-z0-9_])', ['y', 'm', 'd']) as a,
+@query(rf"""with {values("s", "id long, t string", _DATES)}, c as (select doc_id as id, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as t from documents union all select -1 - id, 0, t from s),
+p as (select id, line, t, regexp_extract(t, '(?:^|[^A-Za-z0-9_])(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:$|[^A-Za-z0-9_])', ['y', 'm', 'd']) as a,
   regexp_extract(t, '(?:^|[^A-Za-z0-9_])(\d{{1,2}})\s+((?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?i)[a-z]*\.?\s+(\d{{4}})(?:$|[^A-Za-z0-9_])', ['d', 'm', 'y']) as b,
   regexp_extract(t, '(?:^|[^A-Za-z0-9_])((?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?i)[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})(?:$|[^A-Za-z0-9_])', ['m', 'd', 'y']) as c from c),
-k as (select id, case when a.y <> '' then a.y when b.y <> '' then b.y else c.y end as y, case when a.y <> '' then a.m when b.y <> '' then list_position([{_NAMES}], lower(b.m))::varchar else list_position([{_NAMES}], lower(c.m))::varchar end as m, case when a.y <> '' then a.d when b.y <> '' then b.d else c.d end as d from p)
-select id, case when try_cast(y as int) between 1900 and 2200 and try_cast(m as int) between 1 and 12 and try_cast(d as int) between 1 and 31 then y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') end as day from k""")
+k as (select id, line, case when a.y <> '' then a.y when b.y <> '' then b.y else c.y end as y, case when a.y <> '' then a.m when b.y <> '' then list_position([{_NAMES}], lower(b.m))::varchar else list_position([{_NAMES}], lower(c.m))::varchar end as m, case when a.y <> '' then a.d when b.y <> '' then b.d else c.d end as d from p)
+select id, line, case when try_cast(y as int) between 1900 and 2200 and try_cast(m as int) between 1 and 12 and try_cast(d as int) between 1 and 31 then y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') end as day from k""")
 def loose_dates(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("t")).unionByName(frame(spark, "id long, t string", _DATES).withColumn("id", -1 - F.col("id")))
-    return rows.select("id", m.loose_date(F.col("t")).alias("day"))
+    rows = _lines(spark, sf_dir).unionByName(frame(spark, "id long, t string", _DATES).select((-1 - F.col("id")).alias("id"), F.lit(0).cast("long").alias("line"), "t"))
+    return rows.select("id", "line", m.loose_date(F.col("t")).alias("day"))
 
 
 _TITLES = [(i, t) for i, t in enumerate(["  “A Title”  ", "Something... more", "Something else … ", "News share", "ok", "n/a", None, "Long   spaces\there", "'Quoted' read more", "Unknown"])]
 
 
-@query(r"""with """ + values("s", "id long, t string", _TITLES) + r""", c as (select doc_id as id, split_part(text, chr(10), 1) as t from documents union all select -1 - id, t from s),
-a as (select id, trim(regexp_replace(t, '\s+', ' ', 'g')) as t from c), b as (select id, case when t <> '' and not regexp_matches(t, '(?i)^(null|undefined|unknown|n/a|none)$') then substr(t, 1, 400) end as clean from a),
-d as (select id, clean, trim(regexp_replace(regexp_replace(regexp_replace(clean, '(?i)\s*(?:\.{3}|…)\s*(?:more)?\s*$', ''), '(?i)\s+(?:share|subscribe|listen|read more)\s*$', ''), '^["“”''‘’\s]+|["“”''‘’\s]+$', '', 'g')) as x from b)
-select id, clean, case when length(x) >= 3 then substr(x, 1, 300) end as title from d""")
+@query(r"""with """ + values("s", "id long, t string", _TITLES) + r""", c as (select doc_id as id, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as t from documents union all select -1 - id, 0, t from s),
+a as (select id, line, trim(regexp_replace(t, '\s+', ' ', 'g')) as t from c), b as (select id, line, case when t <> '' and not regexp_matches(t, '(?i)^(null|undefined|unknown|n/a|none)$') then substr(t, 1, 400) end as clean from a),
+d as (select id, line, clean, trim(regexp_replace(regexp_replace(regexp_replace(clean, '(?i)\s*(?:\.{3}|…)\s*(?:more)?\s*$', ''), '(?i)\s+(?:share|subscribe|listen|read more)\s*$', ''), '^["“”''‘’\s]+|["“”''‘’\s]+$', '', 'g')) as x from b)
+select id, line, clean, case when length(x) >= 3 then substr(x, 1, 300) end as title from d""")
 def clean_titles(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("t")).unionByName(frame(spark, "id long, t string", _TITLES).withColumn("id", -1 - F.col("id")))
-    return rows.select("id", m.clean_text(F.col("t")).alias("clean"), m.clean_title(F.col("t")).alias("title"))
+    rows = _lines(spark, sf_dir).unionByName(frame(spark, "id long, t string", _TITLES).select((-1 - F.col("id")).alias("id"), F.lit(0).cast("long").alias("line"), "t"))
+    return rows.select("id", "line", m.clean_text(F.col("t")).alias("clean"), m.clean_title(F.col("t")).alias("title"))
 
 
 _LOGS = [(1, "GET /x?key=abc123&b=1"), (2, "Authorization: Bearer abcdefghijklmnop.q"), (3, "sk-ABCDEFGHIJKLMNOP failed"), (4, "access_token=zzz"), (5, "?API-KEY=q\"&token=t t"), (6, None)]
@@ -132,12 +138,15 @@ def certain_match(spark, sf_dir):
     return c.select("id", m.is_certain(*[F.col(x) for x in ("url", "via", "score", "signals", "read")]).alias("certain"))
 
 
-@query("""with c as (select doc_id as id, doc_id % 50 as screen, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) as title, source as publication, (doc_id * 7 % 11) / 10.0::double as confidence from documents),
+@query("""with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as t, source from documents),
+c as (select doc_id * 100000 + line as id, doc_id % 500 as screen, trim(regexp_replace(t, '\\s+', ' ', 'g')) as title, source as publication, ((doc_id * 7 + line) % 11) / 10.0::double as confidence from l),
 k as (select *, row_number() over (partition by screen, lower(title || '|' || publication) order by confidence desc, id) as r from c), t as (select *, row_number() over (partition by screen order by confidence desc, id) as rank from k where r = 1)
 select screen, id, title, confidence, rank from t where rank <= 6""")
 def candidate_dedupe(spark, sf_dir):
-    title = F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\s+", " "))
-    c = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("screen"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.col("source").alias("publication"), ((F.col("doc_id") * 7 % 11) / 10.0).alias("confidence"))
+    """Every line of documents as a candidate; a screen's best six."""
+    lines = src.table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    title = F.trim(F.regexp_replace("t", r"\s+", " "))
+    c = lines.select((F.col("doc_id") * 100_000 + F.col("line")).alias("id"), (F.col("doc_id") % 500).alias("screen"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.col("source").alias("publication"), ((F.col("doc_id") * 7 + F.col("line")) % 11 / 10.0).alias("confidence"))
     return m.deduped(c).select("screen", "id", "title", "confidence", "rank")
 
 
