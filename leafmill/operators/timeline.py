@@ -18,14 +18,36 @@ def marks(segments: DataFrame) -> DataFrame:
     return segments.withColumn("start", start).withColumn("total", F.sum(own).over(Window.partitionBy("script")))
 
 
+def held(key: str, time: str, mark: str, tie: str, after: bool = False) -> Column:
+    """Over rows that are marks (struct `mark`) and points (null), in the order of time: the last mark of the key not after a
+    point, or, with `after`, the first one beyond it. One sort a key; no point meets a mark as a pair. Null times come first."""
+    w = Window.partitionBy(key).orderBy(time, F.col(mark).isNull(), tie)
+    beyond, until = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.first(mark, True).over(beyond) if after else F.last(mark, True).over(until)
+
+
 def located(segments: DataFrame, points: DataFrame) -> DataFrame:
-    """Of each point (script, seconds) on the clock the segment under it and the offset in it. The latest start not after the
-    point is an aggregate over the script's marks, not a sort of pairs."""
-    m = marks(segments)
-    j = points.join(m, "script").withColumn("t", F.greatest(F.lit(0.0), F.least(F.col("seconds"), F.greatest(F.lit(0.0), F.col("total") - 0.25))))
-    under = j.where(F.col("start") <= F.col("t")).groupBy("script", "seconds").agg(F.max_by(F.struct("seq", "start", "duration", "t"), "seq").alias("s"))
-    offset = F.greatest(F.lit(0.0), F.least(F.col("s.t") - F.col("s.start"), F.greatest(F.lit(0.0), F.col("s.duration") - 0.25)))
-    return under.select("script", "seconds", F.col("s.seq").alias("seq"), offset.alias("offset"))
+    """Of each point (script, seconds) on the clock the segment under it and the offset in it; points of scripts without segments
+    don't come out. Segments and points are shuffled once, as one set of rows."""
+    asked = points.select("script", F.col("seconds").cast("double").alias("seconds"))
+    clock = marks(segments.select("script", "seq", "duration").unionByName(asked, allowMissingColumns=True)).where("total is not null")
+    aim = F.greatest(F.lit(0.0), F.least(F.coalesce("seconds", F.lit(0.0)), F.greatest(F.lit(0.0), F.col("total") - 0.25)))
+    rows = clock.withColumn("at", F.when(F.col("seq").isNull(), aim).otherwise(F.col("start"))).withColumn("mark", F.when(F.col("seq").isNotNull(), F.struct("seq", "start", "duration")))
+    under = rows.withColumn("own", held("script", "at", "mark", "seq")).where("mark is null and own is not null")
+    offset = F.greatest(F.lit(0.0), F.least(F.col("at") - F.col("own.start"), F.greatest(F.lit(0.0), F.coalesce("own.duration", F.lit(0.0)) - 0.25)))
+    return under.select("script", "seconds", F.col("own.seq").alias("seq"), offset.alias("offset"))
+
+
+def position_of(segments: DataFrame, places: DataFrame) -> DataFrame:
+    """Where places (script, seq, offset) lie on the script's clock; a segment that isn't there begins at 0."""
+    starts = marks(segments).select("script", "seq", "start")
+    own = F.greatest(F.coalesce("offset", F.lit(0.0)), F.lit(0.0))
+    return places.join(starts, ["script", "seq"], "left").select("script", "seq", "offset", (F.coalesce("start", F.lit(0.0)) + own).alias("seconds"))
+
+
+def passages(segments: DataFrame) -> DataFrame:
+    """A script's passages in order, each with the one that follows."""
+    return segments.withColumn("next_seq", F.lead("seq").over(Window.partitionBy("script").orderBy("seq")))
 
 
 def demand(segments: DataFrame, anchors: DataFrame, most: int = 6) -> DataFrame:
@@ -122,12 +144,13 @@ def legacy_block(segments: DataFrame, places: DataFrame) -> DataFrame:
     don't count, measured lengths go before estimated ones. Past the end, or in the outro, is completed."""
     rate = F.when(F.col("kind").isin("intro", "outro"), 9.0).when(F.col("kind") == "heading", 12.0).otherwise(15.5)
     length = F.coalesce("measured", F.col("chars") / rate + F.col("pause") / 1000.0)
-    spoken = segments.where("kind <> 'caption'").withColumn("end", F.sum(length).over(Window.partitionBy("script").orderBy("seq")))
-    j = places.where("seconds > 0").join(spoken, "script", "left").where(F.col("seconds") < F.col("end"))
-    found = j.groupBy("script", "seconds").agg(F.min_by(F.struct("seq", "kind"), "seq").alias("s"))
-    out = places.where("seconds > 0").join(found, ["script", "seconds"], "left")
-    done = F.col("s").isNull() | (F.col("s.kind") == "outro")
-    return out.select("script", "seconds", F.when(~done, F.col("s.seq")).alias("seq"), done.alias("completed"))
+    spoken = segments.where("kind <> 'caption'").select("script", "seq", "kind", length.alias("length"))
+    both = spoken.unionByName(places.where("seconds > 0").select("script", F.col("seconds").cast("double").alias("seconds")), allowMissingColumns=True)
+    end = F.when(F.col("seq").isNull(), F.col("seconds")).otherwise(F.sum("length").over(Window.partitionBy("script").orderBy("seq")))
+    rows = both.withColumn("at", end).withColumn("mark", F.when(F.col("seq").isNotNull(), F.struct("seq", "kind")))
+    out = rows.withColumn("own", held("script", "at", "mark", "seq", after=True)).where("mark is null")
+    done = F.col("own").isNull() | (F.col("own.kind") == "outro")
+    return out.select("script", "seconds", F.when(~done, F.col("own.seq")).alias("seq"), done.alias("completed"))
 
 
 def action_label(playing: Column, position: Column, completed: Column) -> Column:

@@ -138,16 +138,16 @@ def job_queue(spark, sf_dir):
     return s.queue_runs(e.select(F.col("event_type").alias("queue"), F.col("event_id").alias("ord"), at.alias("at"), F.concat(F.lit("j"), (F.col("user_id") % 20).cast("string")).alias("job"), (F.lit(300.0) + F.col("event_id") % 1200).alias("work"), (F.col("event_id") % 3 == 0).alias("speculative"), (at + 600 + F.col("event_id") % 900).alias("leave")))
 
 
-_HAPPENED = "case when event_id % 97 = 0 then 'reset' when event_id % 7 = 0 then 'drop' when event_id % 11 = 0 then 'invalidate' when event_id % 13 = 0 then 'forget' else 'none' end"
+_HAPPENED = "case when event_id % 397 = 0 then 'reset' when event_id % 17 = 0 then 'drop' when event_id % 11 = 0 then 'invalidate' when event_id % 13 = 0 then 'forget' else 'none' end"
 
 
-@query(f"""with h as (select event_id as ord, {_HAPPENED} as kind, user_id as session, event_id % 40 as article_id from events), s as (select user_id as session, (user_id * 3) % 40 as article_id, min(event_id) + 60 as ord from events group by user_id)
+@query(f"""with h as (select event_id as ord, {_HAPPENED} as kind, user_id as session, event_id % 40 as article_id from events), s as (select user_id as session, (user_id * 3) % 40 as article_id, max(event_id) as ord from events group by user_id)
 select session, article_id from s where ord > coalesce(greatest((select max(ord) from h where kind = 'drop' and h.session = s.session), (select max(ord) from h where kind in ('invalidate', 'forget') and h.article_id = s.article_id), (select max(ord) from h where kind = 'reset')), -1)""")
 def kept_sessions(spark, sf_dir):
     """Demand sessions that stand after drops, changed articles and resets."""
     e = src.table(spark, sf_dir, "events")
     happened = e.selectExpr("event_id as ord", f"{_HAPPENED} as kind", "user_id as session", "event_id % 40 as article_id")
-    sessions = e.groupBy(F.col("user_id").alias("session")).agg((F.min("event_id") + 60).alias("ord")).withColumn("article_id", F.col("session") * 3 % 40)
+    sessions = e.groupBy(F.col("user_id").alias("session")).agg(F.max("event_id").alias("ord")).withColumn("article_id", F.col("session") * 3 % 40)
     return s.kept_sessions(sessions, happened).select("session", "article_id")
 
 

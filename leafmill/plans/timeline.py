@@ -23,6 +23,19 @@ def timeline_locate(spark, sf_dir):
     return t.located(s, points).select("script", "seconds", "seq", F.round("offset", 4).alias("offset_s"))
 
 
+@query(f"""{WITH}, p as (select script, seq + 1 as seq, (seq % 3 - 1) * 1.5::double as offset_s from segments) select p.script, p.seq, round(coalesce(m.start, 0) + greatest(0, offset_s), 4) as seconds from p left join m on m.script = p.script and m.seq = p.seq""")
+def timeline_position(spark, sf_dir):
+    """Places one segment on, with offsets before, at and after its beginning; past the last there is none."""
+    s = src.segments(spark, sf_dir)
+    places = s.select("script", (F.col("seq") + 1).alias("seq"), ((F.col("seq") % 3 - 1) * 1.5).alias("offset"))
+    return t.position_of(s, places).select("script", "seq", F.round("seconds", 4).alias("seconds"))
+
+
+@query(f"""{WITH} select script, seq, block_id, lead(seq) over (partition by script order by seq) as next_seq from segments""")
+def passage_scan(spark, sf_dir):
+    return t.passages(src.segments(spark, sf_dir)).select("script", "seq", "block_id", "next_seq")
+
+
 @query(f"""{WITH}, a as (select script, seq as from_seq, case when script % 2 = 0 then 30.0 else 90.0 end as seconds, case when script % 3 = 0 then 2.0 else 1.0 end as rate, script % 7 = 0 as save_data from segments where seq % 2 = 0),
 j as (select a.script, from_seq, s.seq, seconds, save_data, coalesce(sum(case when s.seq > from_seq then s.duration / rate else 0 end) over (partition by a.script, from_seq order by s.seq rows between unbounded preceding and 1 preceding), 0) as covered from a join segments s on s.script = a.script and s.seq >= from_seq and s.seq - from_seq <= case when save_data then 1 else 6 end)
 select script, from_seq, seq from j where seq = from_seq or save_data or covered < seconds""")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafmill.operators.cache import running_before
 from leafmill.operators.folds import folded
 from leafmill.sources.shared import fresh_dir
 
@@ -75,10 +76,13 @@ def kept_sessions(sessions: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def article_epochs(events: DataFrame) -> DataFrame:
-    """How often each article has been invalidated (also by being forgotten); a reset counts for those known before it."""
-    w = events.where("kind in ('invalidate', 'forget')").groupBy("article_id").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
-    resets = events.where("kind = 'reset'").select(F.col("ord").alias("_r"))
-    return w.join(resets, F.col("_r") > F.col("_first"), "left").groupBy("article_id", "_n").agg(F.count("_r").alias("_k")).select("article_id", (F.col("_n") + F.col("_k")).alias("epoch"))
+    """How often each article has been invalidated (also by being forgotten); a reset counts for those known before it. Resets
+    are counted up to each article's first time in one order of both, by parts of 65,536 events."""
+    known = events.where("kind in ('invalidate', 'forget')").groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+    both = known.withColumn("reset", F.lit(0)).unionByName(events.where("kind = 'reset'").select("ord", F.lit(1).alias("reset")), allowMissingColumns=True)
+    resets = both.agg(F.coalesce(F.sum("reset"), F.lit(0)).alias("resets"))  # one row
+    counted = running_before(both, F.floor(F.col("ord") / 65_536), ["ord", F.desc("reset")], "reset", "before").where("reset = 0")
+    return counted.crossJoin(F.broadcast(resets)).select("article_id", (F.col("n") + F.col("resets") - F.col("before")).alias("epoch"))
 
 
 def bounded_lru(accesses: DataFrame, most: int = 24) -> DataFrame:
