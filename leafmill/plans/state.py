@@ -1,9 +1,11 @@
 """Queries over keyed state."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
+from leafmill.streaming import expiring as x
 from leafmill.streaming import state as s
 
 
@@ -23,9 +25,43 @@ def rate_limit_fold(spark, sf_dir):
 
 @query(_RATE)
 def stream_rate_limit(spark, sf_dir):
-    """The same from a stream that keeps its state between batches."""
-    events = s.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
-    return s.run_to_end(s.stream_rate_limit(events, 2, 86_400), spark)
+    """The same from a stream in eight batches that keeps open windows alone between them."""
+    events = x.segmented(_events(spark, sf_dir).select("key", "ts", "id"), "ts", 8)
+    return s.run_to_end(x.stream_rate_limit(events, 2, 86_400), spark)
+
+
+_DESK = """with recursive e as (select user_id as owner, event_id as ord, epoch(ts)::bigint as sec, row_number() over (partition by user_id order by epoch(ts)::bigint, event_id) as k, event_id % 8 as c from events),
+r as (select owner, ord, sec, k, case when c < 5 then 'create' when c = 5 then 'claim' when c = 6 and ord % 3 > 0 then 'ready' when c = 6 then 'error' else 'read' end as command, 't' || case when c < 5 then k else k - 1 - ord // 8 % 4 end as ticket from e),
+f as (
+  select owner, 0::bigint as k, null::bigint as ord, null::varchar as ticket, null::varchar as outcome, []::struct(ticket varchar, status varchar, born bigint)[] as held from (select distinct owner from r)
+  union all
+  select owner, k, ord, ticket, case when command = 'create' then 'pending' when command = 'read' then coalesce(status, 'expired') when status is null or command = 'claim' and status <> 'pending' then 'refused' when command = 'claim' then 'claimed' when command = 'ready' then 'ready' else 'pending' end,
+    case when command = 'create' then list_append(swept, {'ticket': ticket, 'status': 'pending', 'born': sec}) when command = 'read' or status is null or command = 'claim' and status <> 'pending' then swept
+      else list_transform(swept, lambda x: case when x.ticket = ticket then {'ticket': x.ticket, 'status': case command when 'claim' then 'claimed' when 'ready' then 'ready' else 'pending' end, 'born': x.born} else x end) end
+  from (select *, list_filter(swept, lambda x: x.ticket = ticket)[1].status as status from (
+    select r.*, list_filter(f.held, lambda x: x.born + 2160000 > r.sec) as alive, case when command in ('create', 'claim', 'read') then list_slice(alive, -32, -1) else alive end as swept from f join r on r.owner = f.owner and r.k = f.k + 1)))
+select owner, ord, ticket, outcome, len(held) as live from f where k > 0"""
+
+
+def _commands(spark, sf_dir):
+    """A desk for each user; tickets are asked for by their place among the user's events."""
+    c, k = F.col("event_id") % 8, F.row_number().over(Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp")), "event_id"))
+    command = F.when(c < 5, "create").when(c == 5, "claim").when((c == 6) & (F.col("event_id") % 3 > 0), "ready").when(c == 6, "error").otherwise("read")
+    e = src.table(spark, sf_dir, "events").withColumn("k", k)
+    place = F.when(c < 5, F.col("k")).otherwise(F.col("k") - 1 - F.floor(F.col("event_id") / 8) % 4)
+    return e.select(F.col("user_id").alias("owner"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), command.alias("command"), F.concat(F.lit("t"), place.cast("string")).alias("ticket"))
+
+
+@query(_DESK)
+def ticket_desk(spark, sf_dir):
+    """Tickets that are claimed once, 32 at a desk, gone after 25 days."""
+    return x.desk(_commands(spark, sf_dir), ttl=25 * 86_400)
+
+
+@query(_DESK)
+def stream_ticket_desk(spark, sf_dir):
+    """The same from a stream in eight batches, with timers that clear tickets that are over."""
+    return s.run_to_end(x.stream_desk(x.segmented(_commands(spark, sf_dir).drop("at"), "ts", 8), ttl=25 * 86_400), spark)
 
 
 _LEASE = """with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as prev from events), g as (select key, ts, sum(case when prev is null or ts >= prev + interval 7200 second then 1 else 0 end) over (partition by key order by ts) as g from e)
@@ -169,8 +205,6 @@ w as (select *, coalesce(sum(least(took, 30.0::double) + wait) over p, 0) as s,
 m as (select *, least(30.0::double, 60 - s) as c from w where not o and n <= 3 and s < 60) select call, n, s as started, least(took, c) as ran, case when took > c then 'timeout' when ok then 'ok' else 'failed' end as outcome from m""")
 def provider_attempts(spark, sf_dir):
     """Attempts of calls under a shared deadline of a minute and half a minute each."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("call"), n.alias("n"), (F.col("event_id") % 50 + 0.5).cast("double").alias("took"), (F.col("event_id") % 7).cast("double").alias("wait"), (F.col("event_id") % 3 == 0).alias("ok"), (F.col("event_id") % 5 > 0).alias("retryable"))
     return s.attempts_within(e, 60.0, 30.0)

@@ -3,12 +3,9 @@ the same state in Structured Streaming and are checked against them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leafmill.operators.cache import running_before
 from leafmill.operators.folds import folded
@@ -234,24 +231,6 @@ def stream_leases(events: DataFrame, seconds: int = 30, late: str = "1 hour") ->
     return leases(events.withWatermark("ts", late), seconds)
 
 
-def stream_rate_limit(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """rate_limited() over a stream (key, ts, id), a window's opening and count kept as state."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, n = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out = []
-        for ts, i in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["id"], strict=True):
-            if opened < 0 or ts >= opened + seconds * 1_000_000:
-                opened, n = int(ts), 0
-            n += 1
-            out.append((key[0], i, n <= limit, max(0, limit - n)))
-        state.update((opened, n))
-        yield pd.DataFrame(out, columns=["key", "id", "allowed", "remaining"])
-
-    return events.groupBy("key").applyInPandasWithState(step, "key long, id long, allowed boolean, remaining int", "opened long, n int", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_end(stream: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
     """Everything a stream has now, through a checkpointed file sink; the folder is the shared one where there is one."""
     path = path or fresh_dir(spark, "stream")
