@@ -3,13 +3,13 @@
 A change of a document is an insert, a delete or a revised count; it becomes a signed delta of documents and tokens under
 (source, lang, tokenizer version). Deltas are summed within a batch before anything moves. A batch is committed in two steps:
 its summed deltas are written to a folder of their own under data/, then a small file commits/<batch id> that names the folder
-is created, which fails if it is there. Only folders that are named count, so a batch is there wholly or not at all, and a
-batch whose id is already there is left alone: a retried or replayed commit changes nothing. Nothing is ever renamed, so
-stores without atomic renames do as well.
+comes to be, whole and at once, which fails if it is there. Only folders that are named count, so a batch is there wholly or not
+at all, and a batch whose id is already there is left alone: a retried or replayed commit changes nothing, and of writers that
+race for one id a single one has committed.
 
 Totals are the sum over committed batches. compact() folds batches: it writes their sum, then one file folds/<number> that
-names the sum and the ids it stands for. A crash before that file leaves all as it was; folders that nothing names are swept by
-vacuum(). Ids of folded batches stay known.
+names the sum and, as ranges, the ids it stands for. A crash before that file leaves all as it was; folders that nothing names
+are swept by vacuum(). Ids of folded batches stay known by their files' names, which are not opened again.
 
 Null text counts no tokens and one document; null source or lang is a key of its own. Repeated rows count as often as they
 are there. Keys whose documents all went have zero counts, and maintained_counts() doesn't list them. An empty batch commits
@@ -20,15 +20,18 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
+from bisect import bisect_right
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import arrow_map, fresh_dir, texts, written
+from leafmill.sources.shared import create_complete, names_in, read_small, remove
 
 KEYS = ["source", "lang", "tokenizer"]
 STATE = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -75,61 +78,99 @@ def summed(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _listed(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Name and content of the files of a folder that have been written to their end."""
-    fs, path = _files(spark, folder)
-    found = {}
-    for s in fs.listStatus(path(folder)) if fs.exists(path(folder)) else []:
-        name = s.getPath().getName()
-        if s.getLen() and not name.startswith("."):
-            stream = fs.open(s.getPath())
-            text = bytes(stream.readAllBytes()).decode()
-            stream.close()
-            if text.endswith("\n"):
-                found[name] = text.strip()
+#: a commit's file holds the name of its folder and a line's end, so its length tells whether it is whole
+NAME = 32
+
+
+def _listed(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Name and length of the files of a folder; none of them is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): s.getLen() for s in fs.listStatus(path)} if fs.exists(path) else {}
+
+
+def _length(spark: SparkSession, file: str) -> int | None:
+    """A file's length; null if it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(path).getLen() if fs.exists(path) else None
+
+
+def _create(spark: SparkSession, file: str, content: str, whole: int | None = None) -> bool:
+    """Creates a small file at once, with all of its content; False if there is one. A file that is shorter than `whole` is left
+    of something that broke off; it stays, and the next name, with ~1 and so on, is tried. So nothing is ever taken away that
+    another writer may just have made, and of several writers exactly one gets True."""
+    for turn in range(1000):
+        name = f"{file}~{turn}" if turn else file
+        if create_complete(spark, name, content + "\n"):
+            return True
+        if whole is None or (_length(spark, name) or 0) >= whole:
+            return False
+    raise RuntimeError(f"{file}: a thousand files that broke off")
+
+
+def _commits(spark: SparkSession, state: str) -> dict[str, str]:
+    """Batch ids and names of the files of whole commits, from a listing alone."""
+    return {n.split("~")[0]: n for n, length in _listed(spark, f"{state}/commits").items() if length > NAME and not n.startswith(("_", "."))}
+
+
+def ranges(ids: list[str]) -> list[list]:
+    """Ids in short: those that end in successive numbers of one width are a range (prefix, width, first, last); others are
+    ranges of their own with width 0."""
+    found: list[list] = []
+    split = lambda i: (re.fullmatch(r"(.*?)(\d{0,18})", i, re.DOTALL)).groups()
+    for prefix, width, n in sorted((p, len(d), int(d or 0)) for p, d in map(split, ids)):
+        if found and found[-1][:2] == [prefix, width] and width and found[-1][3] == n - 1:
+            found[-1][3] = n
+        else:
+            found.append([prefix, width, n, n])
     return found
 
 
-def _create(spark: SparkSession, file: str, content: str) -> bool:
-    """Creates a small file; False if it is there. One that broke off before its end is replaced."""
-    fs, path = _files(spark, file)
-    folder, name = file.rsplit("/", 1)
-    if name in _listed(spark, folder):
-        return False
-    broken = fs.exists(path(file))
-    try:
-        stream = fs.create(path(file), broken)
-    except Py4JJavaError:  # another writer was first
-        return False
-    stream.write((content + "\n").encode())
-    stream.close()
-    return True
+def in_ranges(known: list[list]) -> Callable[[str], bool]:
+    """Whether an id is in one of the ranges, by a search in their order."""
+    starts = [tuple(r[:3]) for r in known]
+
+    def inside(i: str) -> bool:
+        prefix, digits = re.fullmatch(r"(.*?)(\d{0,18})", i, re.DOTALL).groups()
+        own = (prefix, len(digits), int(digits or 0))
+        k = bisect_right(starts, own) - 1
+        return k >= 0 and starts[k][:2] == own[:2] and own[2] <= known[k][3]
+
+    return inside
 
 
 def _folded(spark: SparkSession, state: str) -> dict:
-    """The last fold: the folder of its sum and the ids that are in it."""
-    folds = _listed(spark, f"{state}/folds")
-    return json.loads(folds[max(folds)]) if folds else {"data": None, "ids": []}
+    """The last whole fold: the folder of its sum and the ids that are in it."""
+    for name in sorted((n for n in _listed(spark, f"{state}/folds") if n.isdigit()), reverse=True):
+        text = read_small(spark, f"{state}/folds/{name}")
+        if text.endswith("\n"):
+            return json.loads(text)
+    return {"data": None, "ids": []}
 
 
 def committed(spark: SparkSession, state: str) -> list[str]:
     """Ids of the committed batches."""
-    return sorted(_listed(spark, f"{state}/commits"))
+    return sorted(_commits(spark, state))
+
+
+def is_committed(spark: SparkSession, state: str, batch_id: str) -> bool:
+    """Looks for the batch's own file alone, however many others there are."""
+    for turn in range(1000):
+        length = _length(spark, f"{state}/commits/{batch_id}~{turn}" if turn else f"{state}/commits/{batch_id}")
+        if length is None or length > NAME:
+            return length is not None
+    return False
 
 
 def commit(spark: SparkSession, state: str, batch_id: str, deltas: DataFrame) -> bool:
-    """Commits the summed deltas under the id; False, and nothing changed, if that batch is there already."""
+    """Commits the summed deltas under the id; False, and nothing changed, if that batch is there already. What it does on the
+    driver doesn't grow with the batches there are."""
     if not batch_id.replace("-", "").replace("_", "").isalnum():
         raise ValueError(f"batch ids are letters, digits, - and _: {batch_id!r}")
-    if batch_id in committed(spark, state):
+    if is_committed(spark, state, batch_id):
         return False
-    return _create(spark, f"{state}/commits/{batch_id}", _written_sum(deltas, state))
+    return _create(spark, f"{state}/commits/{batch_id}", _written_sum(deltas, state), NAME + 1)
 
 
 def _written_sum(deltas: DataFrame, state: str) -> str:
@@ -140,9 +181,10 @@ def _written_sum(deltas: DataFrame, state: str) -> str:
 
 
 def _counting(spark: SparkSession, state: str) -> list[str]:
-    """The folders whose sum are the totals."""
-    fold, batches = _folded(spark, state), _listed(spark, f"{state}/commits")
-    own = [folder for b, folder in batches.items() if b not in set(fold["ids"])]
+    """The folders whose sum are the totals. Only files of commits that aren't folded are opened."""
+    fold = _folded(spark, state)
+    folded = in_ranges(fold["ids"])
+    own = [read_small(spark, f"{state}/commits/{name}").strip() for batch, name in _commits(spark, state).items() if not folded(batch)]
     return ([fold["data"]] if fold["data"] else []) + sorted(own)
 
 
@@ -180,18 +222,21 @@ def maintained_counts(documents: DataFrame, tokenizers: dict[str, tuple[str, str
 
 
 def compact(spark: SparkSession, state: str) -> None:
-    """Folds all committed batches into one sum. For the single writer between commits."""
+    """Folds all committed batches into one sum. A batch that is committed meanwhile isn't in it and counts by itself; of two
+    folds at once one counts."""
     ids = committed(spark, state)
-    fold = {"data": _written_sum(_deltas(spark, state), state), "ids": ids}
-    last = max(_listed(spark, f"{state}/folds"), default="")
-    _create(spark, f"{state}/folds/{int(last or 0) + 1:010d}", json.dumps(fold))
+    last = max((n for n in _listed(spark, f"{state}/folds") if n.isdigit()), default="0")
+    fold, folded = _folded(spark, state), set(ids)
+    known = in_ranges(fold["ids"])
+    folders = ([fold["data"]] if fold["data"] else []) + [read_small(spark, f"{state}/commits/{name}").strip() for b, name in _commits(spark, state).items() if b in folded and not known(b)]
+    sums = spark.read.schema(STATE).parquet(*(f"{state}/data/{f}" for f in folders)) if folders else spark.createDataFrame([], STATE)
+    _create(spark, f"{state}/folds/{int(last) + 1:010d}", json.dumps({"data": _written_sum(sums, state), "ids": ranges(ids)}))
 
 
 def vacuum(spark: SparkSession, state: str) -> None:
     """Removes folders that the totals don't need: folded batches, earlier folds and what broken commits have left. For the
     single writer, when nobody reads older totals."""
     needed = set(_counting(spark, state))
-    fs, path = _files(spark, f"{state}/data")
-    for s in fs.listStatus(path(f"{state}/data")) if fs.exists(path(f"{state}/data")) else []:
-        if s.getPath().getName() not in needed:
-            fs.delete(s.getPath(), True)
+    for folder in names_in(spark, f"{state}/data"):
+        if folder not in needed:
+            remove(spark, f"{state}/data/{folder}")

@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import threading
 import zlib
 from array import array
 
@@ -177,6 +178,47 @@ def test_rollup_survives_what_breaks_off(spark, tmp_path, monkeypatch):
     assert totals() == [("a", "en", "v1", 2, 20)] and not rollup.commit(spark, state, "b1", one)
 
 
+def test_rollup_writers_at_once(spark, tmp_path):
+    """Of writers that race for a batch one has committed, also where an earlier one has left half a file."""
+    state, change = f"file://{tmp_path}/s", "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    (tmp_path / "s/commits").mkdir(parents=True)
+    (tmp_path / "s/commits/half").write_text("0123")
+    for batch in ("b1", "half"):
+        said = []
+        work = [threading.Thread(target=lambda k=k, batch=batch: said.append((rollup.commit(spark, state, batch, rollup.signed(spark.createDataFrame([("insert", "a", "en", f"v{k}", 10**k, None)], change))), k))) for k in range(5)]
+        for t in work:
+            t.start()
+        for t in work:
+            t.join()
+        winner = [k for ok, k in said if ok]
+        assert len(said) == 5 and len(winner) == 1
+        now = {r["tokenizer"]: r["n_tokens"] for r in rollup.totals(spark, state).collect()}
+        assert now[f"v{winner[0]}"] >= 10 ** winner[0] and sum(r["n_docs"] for r in rollup.totals(spark, state).collect()) == {"b1": 1, "half": 2}[batch]
+    assert rollup.committed(spark, state) == ["b1", "half"]
+
+
+def test_rollup_commits_dont_look_at_earlier_ones(spark, tmp_path, monkeypatch):
+    state, change = f"file://{tmp_path}/s", "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    one = rollup.signed(spark.createDataFrame([("insert", "a", "en", "v", 10, None)], change)).persist()
+    opened = []
+    real = rollup.read_small
+    monkeypatch.setattr(rollup, "read_small", lambda s, path: opened.append(path) or real(s, path))
+    for k in range(12):
+        with monkeypatch.context() as m:
+            m.setattr(rollup, "_listed", lambda *_: pytest.fail("a commit lists nothing"))
+            assert rollup.commit(spark, state, f"day-{k:04d}", one) and not rollup.commit(spark, state, f"day-{k:04d}", one)
+        if k % 4 == 3:
+            rollup.compact(spark, state)
+    assert len(opened) <= 12 + 3 and [tuple(r)[3:] for r in rollup.totals(spark, state).collect()] == [(12, 120)]
+    assert rollup._folded(spark, state)["ids"] == [["day-", 4, 0, 11]]
+
+
+@given(st.lists(st.from_regex(r"[ab]?-?[0-9]{0,3}[ab]?", fullmatch=True), max_size=30))
+def test_ranges_of_ids(ids):
+    inside = rollup.in_ranges(rollup.ranges(ids))
+    assert all(inside(i) for i in ids) and [i for i in ("a", "a1", "a01", "b-7", "999", "x") if inside(i)] == [i for i in ("a", "a1", "a01", "b-7", "999", "x") if i in ids]
+
+
 def test_rollup_counts_by_hand(spark, table, texts):
     version = {"v": (RANKS, public_tokenizers.PATTERN)}
     got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in rollup.maintained_counts(table, version).collect()}
