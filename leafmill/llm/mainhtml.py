@@ -8,10 +8,12 @@ for all others. The weighted ratios are smoothed with a Gaussian along the page,
 such element, and cut into two clusters by a threshold. Lines of the high cluster are content, whatever they are in.
 
 The content lines select regions: the marked elements (<article>, <main>, role=main) that hold content, without any the
-smallest container of all content characters. Lines of the low cluster are main text as well if they lie in a region, aren't
-of an element that names itself otherwise, and aren't links alone: short paragraphs and headings around content. Without a
-marked element such lines must lie between content lines, in the core (the deepest container with REGION_SHARE of the content
-characters), or beside content in a container. Lines of links stay as headings, or between two content lines of their container.
+smallest container of all content characters. Lines of the low cluster are main text as well if they lie in a region and aren't of an
+element that names itself otherwise: short paragraphs and headings around content. Lines of links are, too, in a marked element,
+unless ratio and place make them a menu there (navigation()). Without a marked element such lines must lie between content
+lines, in the core (the deepest container with REGION_SHARE of the content characters), or beside content in a container, and
+lines of links stay as headings, or between two content lines of their container. An <article> that names itself a comment is
+one.
 
 No name is a veto on what is around content: an element that holds a marked one keeps its full weight, and on a page without
 marked elements so does one that holds most content characters by ratio alone (DOUBT_CHARS at least; comments never). A
@@ -181,7 +183,8 @@ class Lines(HTMLParser):
                 self.end_nearest(ENDS[tag])
         path, named, shut = self.path, self.named, self.out
         in_article = any(p in self.marked for p in path)
-        kind = "" if tag in ("html", "body", "article", "main") or tag in VOID else name_of(tag, attrs, in_article)
+        kind = "" if tag in ("html", "body", "main") or tag in VOID else name_of(tag, attrs, in_article)
+        kind = "" if tag == "article" and kind != "comments" else kind
         shut = shut or tag in NOT_TEXT or tag not in ("html", "body", "article", "main") and hidden(attrs)
         self.tags += 1
         if tag in VOID:
@@ -194,7 +197,7 @@ class Lines(HTMLParser):
         if tag in CONTAINER:
             self.containers += 1
             path = (*path, self.containers)
-            if not shut and (tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs)):
+            if not shut and kind != "comments" and (tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs)):
                 self.marked[self.containers] = (tag, named)
         self.open.append((tag, shut, path, named))
 
@@ -286,6 +289,32 @@ def set_aside(page: Lines) -> tuple[set[int], set[int]]:
     return aside, with_text
 
 
+def linked(line: Line) -> bool:
+    """Most of its characters are in links."""
+    return 2 * line.links > len(line.text)
+
+
+def navigation(lines: list[Line], content: list[bool], inside: list[bool]) -> list[bool]:
+    """Which lines inside marked elements are menus by ratio and place: two or more low lines of links in a row without a heading
+    before them, if they stand before all content there, or after it and have one word each or a container to themselves. Other
+    lines of links, as a closing paragraph or a list of sources, are text."""
+    out = [False] * len(lines)
+    held = [i for i, (high, x) in enumerate(zip(content, inside, strict=True)) if high and x]
+    places = {lines[i].path[-1:] for i in held}
+    of_links = [x and not high and linked(line) and not line.heading for line, high, x in zip(lines, content, inside, strict=True)]
+    i = 0
+    while held and i < len(lines):
+        j = i
+        while j < len(lines) and of_links[j]:
+            j += 1
+        if j - i > 1 and not (i and inside[i - 1] and lines[i - 1].heading):
+            apart = all(line.path[-1:] not in places for line in lines[i:j])
+            menu = i < held[0] or i > held[-1] and (apart or all(" " not in line.text for line in lines[i:j]))
+            out[i:j] = [menu] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def article_lines(page: Lines) -> list[str]:
     """The texts of the lines that are the article."""
     if not page.lines():
@@ -326,10 +355,11 @@ def article_lines(page: Lines) -> list[str]:
     for i in range(len(lines) - 1, -1, -1):
         after[i] = last
         last = lines[i].path if content[i] else last
+    menus = navigation(lines, content, [g <= 0 and not regions.isdisjoint(x.path) for x, g in zip(lines, groups, strict=True)])
     return [
         line.text
-        for line, high, g, a, b in zip(lines, content, groups, before, after, strict=True)
-        if high or g <= 0 and in_region(line.path, None not in (a, b)) and (line.heading or 2 * line.links <= len(line.text) or a == line.path == b)
+        for line, high, g, a, b, menu in zip(lines, content, groups, before, after, menus, strict=True)
+        if high or g <= 0 and in_region(line.path, None not in (a, b)) and (line.heading or not linked(line) or (not menu if regions else a == line.path == b))
     ]
 
 

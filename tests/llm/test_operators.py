@@ -407,6 +407,41 @@ def test_doubtful_names_of_short_pages():
     assert mainhtml.main_text("<p>Start <span class='share'>Share</span> end</p>") == "Start end"
 
 
+@pytest.mark.parametrize("page", [
+    "<article>{}</article><section><article class='comment'><p>c0 I disagree, at some length, and with reasons of my own.</p></article></section>",
+    "<main>{}<article class='comment'><p>c0 I disagree, at some length, and with reasons of my own.</p></article><article id='comments'><p>c1 So do I.</p></article></main>",
+    "<article>{}<article class='reply post'><p>c0 " + PROSE + "</p></article></article>",
+    "<section class='comments'><article><p>c0 I disagree.</p></article></section><article class='post article'>{}</article>",
+])
+def test_articles_that_are_comments(page):
+    assert starts(page.format(paragraphs("a", 4))) == ["a0", "a1", "a2", "a3"]
+
+
+LINKS = "<ul><li><a href=x>s1 of somebody</a></li><li><a href=y>s2 of somebody</a></li><li><a href=z>s3 of somebody</a></li></ul>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article>{}<p><a href=x>l0 see also the other part</a></p></article>", ["a0", "a1", "a2", "l0"]),
+    ("<article>{}" + LINKS + "</article>", ["a0", "a1", "a2", "s1", "s2", "s3"]),
+    ("<article>{}<h2>Sources</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>", ["a0", "a1", "a2", "Sources", "One", "Two"]),
+    ("<article><p><a href=x>l0 is first</a></p>{}</article>", ["l0", "a0", "a1", "a2"]),
+    ("<article><ul><li><a href=x>Home</a></li><li><a href=y>News of today</a></li></ul>{}<ul><li><a href=x>Tweet</a></li><li><a href=y>Mail</a></li></ul></article>", ["a0", "a1", "a2"]),
+    ("<article>{}<nav>" + LINKS + "</nav></article>", ["a0", "a1", "a2"]),
+    ("<div>{}</div>" + LINKS, ["a0", "a1", "a2"]),
+])
+def test_lines_of_links(page, want):
+    assert starts(page.format(paragraphs("a", 3))) == want
+
+
+def test_pages_repeated_and_none(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", f"<article>{paragraphs('a', 2)}</article>", "clash", "clash")] * 3 + [(1, "v", None, None, None)]
+    got = [tuple(r) for r in mainhtml.extract_pages(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == 4 and len(set(got)) == 2 and (1, "v", "", 0) in got
+    none = mainhtml.extract_pages(spark.createDataFrame([], schema))
+    assert none.collect() == [] and none.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_smoothing_and_clusters():
     assert mainhtml.smoothed([5.0, 5.0, 5.0], [0, 0, 0]) == pytest.approx([5.0] * 3)
     assert mainhtml.smoothed([1.0, 9.0, 1.0], [0, 1, 0]) == pytest.approx([1.0, 9.0, 1.0])
