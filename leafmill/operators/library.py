@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import rx
-from leafmill.sources.shared import cut
 
 PAGE = 500
 LIST_COLUMNS = ["id", "url", "title", "site_name", "excerpt", "word_count", "saved_at", "read_at", "favorite", "archived", "tags", "progress"]
@@ -57,12 +56,13 @@ def terms(q: str) -> list[str]:
 
 
 def library_page(articles: DataFrame, members: DataFrame, matching: DataFrame | None = None, name: str | None = None, limit: int = PAGE) -> DataFrame:
-    """The list request: view, what of it a search has found (`matching`: doc_id), newest page, lists attached. No body is read;
-    the page, `limit` rows at most, is made once."""
-    rows = view(articles, name, members).select(*LIST_COLUMNS)
+    """The list request: view, what of it a search has found (`matching`: doc_id), newest page, lists attached. The page is chosen
+    by ids and times alone; its ids, `limit` at most, then reach the scan of what the caller selects of its rows."""
+    rows = view(articles, name, members).select("id", "saved_at")
     if matching is not None:
         rows = rows.join(matching.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return with_collections(cut(newest(rows, limit)), members)
+    ids = [r["id"] for r in newest(rows, limit).collect()]
+    return with_collections(articles.select(*LIST_COLUMNS).where(F.col("id").isin(ids)), members.where(F.col("article_id").isin(ids)))
 
 
 def collection_counts(collections: DataFrame, members: DataFrame, articles: DataFrame) -> DataFrame:

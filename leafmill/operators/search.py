@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.library import terms
-from leafmill.sources.shared import fresh_dir
+from leafmill.sources.shared import fresh_dir, remove
+from leafmill.sources.store import Snapshot, Store
 
 POSTING = "doc_id long, col string, pos long, token string"
 _TOKEN = re.compile(r"[^\W_]+")
@@ -154,20 +155,91 @@ def article_postings(articles: DataFrame) -> DataFrame:
 def store(index: DataFrame, path: str) -> None:
     """Writes postings in the order of their tokens, so that a search reads the files and row groups of its own tokens alone.
     Ranges are by token and document, so a common token takes as many files as it needs."""
-    index.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.option("parquet.block.size", 16 << 20).parquet(path)
+    in_token_order(index).write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+def in_token_order(index: DataFrame) -> DataFrame:
+    return index.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
+
+
+_STORED: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def state_of(table: DataFrame) -> tuple:
+    """What tells one state of stored tables from another: their files, with sizes and times."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for file in sorted(table.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(found)
 
 
 def stored_index(spark: SparkSession, name: str, articles: Callable[[], DataFrame]) -> DataFrame:
-    """The session's stored index of a library: made once, then read by every search; changes go through refreshed()."""
-    key = spark.sparkContext.applicationId, name
-    if key not in _STORED:
+    """The session's stored index of a library: made once for a state of the library's files, then read by every search. Where
+    the files have changed it is made anew, and the old postings go. A table that isn't read from files has one state; who has
+    no table at hand (null) takes the index that is there."""
+    key, table = (spark.sparkContext.applicationId, name), articles()
+    state = state_of(table) if table is not None else _STORED[key][0]
+    if key not in _STORED or _STORED[key][0] != state:
         path = fresh_dir(spark, "postings")
-        store(article_postings(articles()), path)
-        _STORED[key] = path
-    return spark.read.schema(POSTING).parquet(_STORED[key])
+        store(article_postings(table), path)
+        if key in _STORED:
+            remove(spark, _STORED[key][1])
+        _STORED[key] = state, path
+    return spark.read.schema(POSTING).parquet(_STORED[key][1])
+
+
+class LivingIndex:
+    """An index that follows its library: postings in segments, which searches merge as they read.
+
+    A change writes the postings of the changed articles alone, as one more segment, and a tombstone a changed or deleted
+    article; a posting counts if no tombstone of its article is younger. Both are one commit of the store, so a search sees a
+    change wholly or not at all. Segments are in the order of tokens, so a search reads its own tokens' part of each.
+    compact() folds segments that have become many, and tombstones go.
+    """
+
+    def __init__(self, tables: Store, columns: list[str] = INDEXED):
+        self.tables, self.columns = tables, columns
+
+    def made(self, articles: DataFrame, number: int) -> DataFrame:
+        found = postings(articles.withColumn("tags", F.to_json("tags")) if "tags" in self.columns else articles, self.columns)
+        return in_token_order(found.withColumn("since", F.lit(number).cast("long")))
+
+    def create(self, articles: DataFrame) -> None:
+        none = articles.sparkSession.createDataFrame([], "doc_id long, until long")
+        self.tables.transact(lambda at: {"replaced": {"postings": self.made(articles, at.number + 1), "gone": none}})
+
+    def update(self, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
+        """Articles as they are now (id and the indexed columns), new ones among them, and ids of those that went (id)."""
+
+        def change(at: Snapshot) -> dict:
+            number = at.number + 1
+            ids = [d.select(F.col("id").cast("long").alias("doc_id")) for d in (changed, deleted) if d is not None]
+            gone = reduce(DataFrame.unionByName, ids).distinct().withColumn("until", F.lit(number).cast("long"))
+            return {"appended": {"gone": gone} | ({"postings": self.made(changed, number)} if changed is not None else {})}
+
+        self.tables.transact(change)
+
+    def read(self, at: Snapshot | None = None) -> DataFrame:
+        """The postings that count. A search's filter by tokens reaches the segments below the tombstones."""
+        at = at or self.tables.snapshot()
+        gone = self.tables.read("gone", at).groupBy("doc_id").agg(F.max("until").alias("until")).withColumnRenamed("doc_id", "_gone")
+        rows = self.tables.read("postings", at)
+        return rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("since") < F.col("until")), "left_anti").select("doc_id", "col", "pos", "token")
+
+    def search(self, q: str) -> DataFrame:
+        return search(self.read(), q)
+
+    def compact(self) -> None:
+        """One segment in the order of tokens, no tombstones."""
+
+        def change(at: Snapshot) -> dict:
+            rows = self.read(at).withColumn("since", F.lit(at.number + 1).cast("long"))
+            return {"replaced": {"postings": in_token_order(rows), "gone": rows.sparkSession.createDataFrame([], "doc_id long, until long")}}
+
+        self.tables.transact(change)
 
 
 def refreshed(index: DataFrame, changed: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:

@@ -6,6 +6,8 @@ from leafmill.operators import library as lib
 from leafmill.operators import search
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
+from leafmill.sources.shared import fresh_dir
+from leafmill.sources.store import Store
 
 NOW = "2024-02-10 00:00:00"
 WITH = f"with {src.ARTICLES_SQL}, {src.COLLECTIONS_SQL}, {src.MEMBERS_SQL}"
@@ -184,6 +186,21 @@ def fts_porter(spark, sf_dir):
     return search.search(_index(spark, sf_dir), "the-s er good")
 
 
+_CHANGED = "select * replace (case when id % 100 = 7 then 'The stirring of ' || site_name else title end as title) from articles where id % 100 <> 13"
+
+
+@query(f"{WITH}, cur as ({_CHANGED}) select id as doc_id, title from cur where {_opens(_PHRASE)} and {_opens('er')}")
+def fts_after_changes(spark, sf_dir):
+    """A search after every hundredth article got another title and every other hundredth went: only the former are indexed anew."""
+    a = src.articles(spark, sf_dir)
+    index = search.LivingIndex(Store(spark, fresh_dir(spark, "living")))
+    index.create(a)
+    changed = a.where("id % 100 = 7").withColumn("title", F.concat(F.lit("The stirring of "), "site_name"))
+    index.update(changed, a.where("id % 100 = 13").select("id"))
+    titles = a.where("id % 100 <> 13").select("id", F.when(F.col("id") % 100 == 7, F.concat(F.lit("The stirring of "), "site_name")).otherwise(F.col("title")).alias("title"))
+    return index.search("the-s er").join(titles, F.col("doc_id") == F.col("id")).select("doc_id", "title")
+
+
 @query()
 def fts_postings_refresh(spark, sf_dir):
     """Postings after some articles changed: only those are tokenised again."""

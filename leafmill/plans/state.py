@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
+from leafmill.sources import store
+from leafmill.sources.shared import fresh_dir
 from leafmill.streaming import expiring as x
 from leafmill.streaming import state as s
 
@@ -99,6 +101,42 @@ def latest_event(spark, sf_dir):
     return s.latest(_events(spark, sf_dir), F.lit("2024-01-30 00:00:00").cast("timestamp"), 86_400 * 2)
 
 
+def _drained(stream, take, path, replayed=1):
+    """Runs a stream into a sink; one of its batches is handed over twice, as after a failure."""
+
+    def sink(rows, number):
+        take(rows, number)
+        if number == replayed:
+            take(rows, number)
+
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("""with l as (select user_id as key, event_id as ord, event_type as kind, ts, row_number() over (partition by user_id order by event_id desc) as r from events) select key, ord, kind, ts from l where r = 1 and ts >= timestamp '2024-01-30 00:00:00' - interval 172800 second""")
+def stream_latest_event(spark, sf_dir):
+    """The latest event of each key as a stream has left it in a table, as far as it would be replayed; a batch came twice."""
+    path = fresh_dir(spark, "latest")
+    tables = store.Store(spark, f"{path}/store")
+    events = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    _drained(x.segmented(events, "ts", 5), store.each_batch_once(tables, "events", store.keep_latest(tables, "latest", ["key"], "ord")), path)
+    return store.replay(tables, "latest", "key", F.lit("2024-01-30 00:00:00").cast("timestamp"), 86_400 * 2)
+
+
+@query("""with recursive u as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as ord, (event_id * 7) % 5 as expected, event_type as value from events),
+f as (select key, 0::bigint as ord, 0::bigint as version, null::varchar as value, 0 as status from (select distinct key from u)
+  union all select u.key, u.ord, case when u.expected = f.version then f.version + 1 else f.version end, case when u.expected = f.version then u.value else f.value end, case when u.expected = f.version then 200 else 409 end from f join u on u.key = f.key and u.ord = f.ord + 1)
+select key, ord, status, version, value from f where ord > 0""")
+def stream_conflicts(spark, sf_dir):
+    """Saved places by a stream of compare-and-set writes: a stale version is answered with 409 and what is there; a batch came twice."""
+    path = fresh_dir(spark, "marks")
+    tables = store.Store(spark, f"{path}/store")
+    e = src.table(spark, sf_dir, "events").withColumn("ord", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    updates = e.select(F.col("user_id").alias("key"), F.col("ord").cast("long").alias("ord"), ((F.col("event_id") * 7) % 5).alias("expected"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    _drained(x.segmented(updates, "ts", 5), store.each_batch_once(tables, "marks", store.compare_and_set_batch(tables, "marks", "verdicts")), path)
+    return tables.read("verdicts")
+
+
 @query("""with n as (select user_id as key, ts, event_id as id, lead(ts) over (partition by user_id order by ts, event_id) as n from events) select key, id from n where n is null or epoch_us(n) - epoch_us(ts) > 3600000000""")
 def debounce(spark, sf_dir):
     return s.debounced(_events(spark, sf_dir), 3_600_000).select("key", "id")

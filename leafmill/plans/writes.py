@@ -130,3 +130,54 @@ def purge_narration(spark, sf_dir):
     kept = w.cascaded(w.deleted(c, c.where("key % 2 = 1"), "key"), a.where("id % 10 = 0"), "article_id")
     j = w.deleted(a, a.where("id % 10 = 0")).join(kept, F.col("id") == F.col("article_id"), "left")
     return j.groupBy("id").agg(F.count("key").alias("passages"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).withColumn("version", F.lit(2))
+
+
+_OLD = """o as (select script, seq, case when seq = 0 then 'intro' when seq % 5 = 4 then 'caption' when seq % 3 = 0 then 'heading' else 'text' end as kind, cast(duration * 15.5 as int) as chars, 200 as pause, case when seq % 2 = 0 then duration end as measured from segments),
+e as (select *, sum(coalesce(measured, chars / case kind when 'intro' then 9.0 when 'heading' then 12.0 else 15.5 end::double + pause / 1000.0::double)) over (partition by script order by seq) as stop from o where kind <> 'caption')"""
+
+
+@query(f"""with {src.SEGMENTS_SQL}, {_OLD}, g as (select script, script % 90 + 0.01::double as seconds from (select distinct script from segments) where script % 4 > 0),
+f as (select g.script, min(e.seq) as seq from g join e on e.script = g.script and g.seconds < e.stop group by g.script)
+select 'bookmark' as kind, g.script as id, f.seq, f.seq is null as completed from g left join f using (script)
+union all select 'bookmark', script, 0, false from (select distinct script from segments) where script % 4 = 0
+union all select 'variant', script, null, null from (select distinct script from segments) where script % 5 > 0
+union all select 'audio', script, seq, null from segments where script % 5 > 0""")
+def legacy_conversion(spark, sf_dir):
+    """Old progress in seconds becomes bookmarks, variants of changed articles are refused and their audio goes, and the old
+    table is emptied: one commit of four tables. Asked for again, it finds itself done."""
+    from leafmill.operators import timeline as t
+    from leafmill.sources.shared import fresh_dir
+    from leafmill.sources.store import Store
+
+    tables, s = Store(spark, fresh_dir(spark, "conversion")), src.segments(spark, sf_dir)
+    scripts = s.select("script").distinct()
+    tables.commit(tables.snapshot(), {
+        "progress": scripts.select("script", (F.col("script") % 90 + 0.01).cast("double").alias("seconds")),
+        "bookmarks": scripts.where("script % 4 = 0").select("script", F.lit(0).cast("long").alias("seq"), F.lit(False).alias("completed")),
+        "audio": s.select("script", F.col("seq").cast("long").alias("seq")),
+        "variants": spark.createDataFrame([], "script long"),
+    })
+    kind = F.when(F.col("seq") == 0, "intro").when(F.col("seq") % 5 == 4, "caption").when(F.col("seq") % 3 == 0, "heading").otherwise("text")
+    old = s.select("script", "seq", kind.alias("kind"), F.floor(F.col("duration") * 15.5 + 0.5).alias("chars"), F.lit(200).alias("pause"), F.when(F.col("seq") % 2 == 0, F.col("duration")).alias("measured"))
+    offered = scripts.select(F.col("script").alias("article_id"), F.lit("r").alias("content_revision"))
+    present = scripts.select(F.col("script").alias("id"), F.when(F.col("script") % 5 == 0, "changed").otherwise("r").alias("content_revision"))
+
+    def convert(at):
+        if at.batches.get("conversion"):
+            return {}
+        progress, marks = tables.read("progress", at), tables.read("bookmarks", at)
+        found = t.legacy_block(old, progress.join(marks, "script", "left_anti")).select("script", F.col("seq").cast("long").alias("seq"), "completed")
+        judged = w.guarded(offered, present)
+        stale = judged.where("outcome <> 'saved'").select(F.col("article_id").alias("script"))
+        return {
+            "appended": {"bookmarks": found, "variants": judged.where("outcome = 'saved'").select(F.col("article_id").alias("script"))},
+            "replaced": {"audio": tables.read("audio", at).join(stale, "script", "left_anti"), "progress": progress.limit(0)},
+            "batch": ("conversion", 1),
+        }
+
+    tables.transact(convert)
+    at = tables.transact(convert)
+    row = lambda name, seq, done: tables.read(name, at).select(F.lit({"bookmarks": "bookmark", "variants": "variant"}.get(name, name)).alias("kind"), F.col("script").alias("id"), seq.cast("long").alias("seq"), done.cast("boolean").alias("completed"))
+    none = F.lit(None)
+    left = tables.read("progress", at).select(F.lit("progress").alias("kind"), F.col("script").alias("id"), none.cast("long").alias("seq"), none.cast("boolean").alias("completed"))
+    return row("bookmarks", F.col("seq"), F.col("completed")).unionByName(row("variants", none, none)).unionByName(row("audio", F.col("seq"), none)).unionByName(left)
