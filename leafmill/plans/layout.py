@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.operators import layout as lay
+from leafmill.operators.ranks import nearest_ranks
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
 from leafmill.sources.shared import cut
@@ -21,8 +22,15 @@ def weighted_mode(spark, sf_dir):
 
 @query("""with l as (select l_orderkey as doc, list_sort(list(l_extendedprice)) as v from lineitem group by 1) select doc, v[least(len(v) - 1, floor(len(v) * 0.15)::int) + 1] as p15, v[least(len(v) - 1, floor(len(v) * 0.92)::int) + 1] as p92 from l""")
 def nearest_rank_percentile(spark, sf_dir):
-    g = src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list("l_extendedprice").alias("v"))
-    return g.select("doc", lay.nearest_rank(F.col("v"), 0.15).alias("p15"), lay.nearest_rank(F.col("v"), 0.92).alias("p92"))
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_extendedprice").alias("v"))
+    return nearest_ranks(rows, ["doc"], "v", {"p15": 0.15, "p92": 0.92})
+
+
+@query("""with l as (select l_returnflag as flag, list_sort(list(l_extendedprice)) as v from lineitem group by 1) select flag, v[least(len(v) - 1, floor(len(v) * 0.5)::int) + 1] as p50, v[least(len(v) - 1, floor(len(v) * 0.999)::int) + 1] as p999 from l""")
+def hot_percentiles(spark, sf_dir):
+    """Exact percentiles of three keys that have all rows between them: ranges are counted until few values are left."""
+    rows = src.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"))
+    return nearest_ranks(rows, ["flag"], "v", {"p50": 0.5, "p999": 0.999}, most=1024)
 
 
 _ISLANDS = "c as (select l_orderkey as doc, l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint) as ord, floor(l_quantity / 25) as size, case when floor(l_quantity / 25) = lag(floor(l_quantity / 25)) over (partition by l_orderkey order by l_linenumber::bigint * 1000000000000 + cast(floor(l_extendedprice * 100 + 0.5) as bigint)) then 0 else 1 end as c from lineitem), i as (select *, sum(c) over (partition by doc order by ord) as i from c)"
@@ -143,6 +151,24 @@ def blank_cuts(spark, sf_dir):
     return lay.blank_cut(rows, 30, 25, 2)
 
 
+@query("""with recursive r as (select vec_id // 250 as page, vec_id % 250 as y, len(list_filter(embedding, lambda v: v < -0.27::float)) as dark, greatest(1, floor(len(embedding) * 0.002 + 0.5)) as allowed from embeddings),
+h as (select page, max(y) + 1 as height from r group by page), i as (select page, y, dark <= allowed as blank, sum(case when dark <= allowed then 0 else 1 end) over (partition by page order by y) as i from r),
+b as (select page, min(y) as a, max(y) + 1 as z from i where blank group by page, i),
+c as (
+  select page, 0::bigint as n, 0::bigint as top from h
+  union all
+  select page, n + 1, cut from (
+    select c.page, c.n, floor((greatest(b.a, floor(c.top + 16)) + least(b.z, least(h.height - 1, floor(c.top + 64)) + 1)) / 2)::bigint as cut, row_number() over (partition by c.page order by
+      least(b.z, least(h.height - 1, floor(c.top + 64)) + 1) - greatest(b.a, floor(c.top + 16)) - 0.5::double * abs((greatest(b.a, floor(c.top + 16)) + least(b.z, least(h.height - 1, floor(c.top + 64)) + 1)) / 2::double - (c.top + 40)) desc, greatest(b.a, floor(c.top + 16))) as r
+    from c join h using (page) join b using (page) where h.height - c.top > 60 and least(b.z, least(h.height - 1, floor(c.top + 64)) + 1) - greatest(b.a, floor(c.top + 16)) >= 4) where r = 1
+)
+select page, n, top, coalesce(lead(top) over (partition by page order by n), height) as bottom from c join h using (page)""")
+def page_pieces(spark, sf_dir):
+    """Vectors as the pixel rows of tall pages: row profiles, blank bands, and cuts until the pieces fit."""
+    rows = src.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 250).alias("page"), (F.col("vec_id") % 250).alias("y"), F.col("embedding").alias("pixels"))
+    return lay.cut_pieces(lay.row_profiles(rows, -0.27), 40)
+
+
 @query("""with r as (select l_orderkey as doc, l_linenumber // 4 as page, cast(l_extendedprice as decimal(18,2))::varchar as text, l_quantity as size, l_discount * 10 as skew from lineitem) select doc, page, sum(length(text)) as chars, case when sum(length(text)) >= 20 then 'text' else 'eye' end as reader from r where abs(skew) <= 0.05 * size and size > 0 group by all""")
 def text_layers(spark, sf_dir):
     r = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.floor(F.col("l_linenumber") / 4).alias("page"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("text"), F.col("l_quantity").alias("size"), (F.col("l_discount") * 10).alias("skew"))
