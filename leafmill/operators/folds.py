@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, tuple]], schema: str) -> DataFrame:
-    """A result for each row of a key in order: step(state, row) gives the next state and the row's result (in the schema's order)."""
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[..., tuple[object, tuple]], schema: str) -> DataFrame:
+    """A result for each row of a key in order: step(state, value, value ...), with the row's values in the order of its columns,
+    gives the next state and the row's result (in the schema's order)."""
     names = rows.columns
+    place = names.index(key)
     out_schema = rows.sparkSession.createDataFrame([], schema).schema
     fields = [f.name for f in out_schema]
 
@@ -26,10 +28,9 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
         for batch in batches:
             found = []
             for values in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                row = dict(zip(names, values, strict=True))
-                if row[key] != at:
-                    at, state = row[key], start()
-                state, result = step(state, row)
+                if values[place] != at:
+                    at, state = values[place], start()
+                state, result = step(state, *values)
                 found.append(result)
             columns = list(zip(*found, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for n, c in zip(fields, columns, strict=True)], fields)

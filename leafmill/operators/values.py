@@ -53,9 +53,11 @@ def hydrated_row(tags: Column, favorite: Column, archived: Column) -> Column:
 
 
 def utf16_units(text: Column) -> Column:
-    """The UTF-16 code units of a text as whole numbers."""
+    """The UTF-16 code units of a text as whole numbers; none of an empty one."""
     raw = F.hex(F.encode(text, "UTF-16BE"))
-    return F.transform(F.sequence(F.lit(0), F.length(raw) / 4 - 1), lambda i: F.conv(F.substr(raw, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long"))
+    last = (F.length(raw) / 4 - 1).cast("int")
+    places = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last))
+    return F.transform(places, lambda i: F.conv(F.substr(raw, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long"))
 
 
 def best_srcset(srcset: Column) -> Column:

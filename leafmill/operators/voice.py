@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.cache import running_before
+from leafmill.operators.values import utf16_units
 
 Column = F.Column
 
@@ -39,8 +40,8 @@ def pace(profile: Column, words: Column) -> Column:
 
 
 def hash_number(text: Column) -> Column:
-    """FNV-1a of 32 bits over the characters' codes (those beyond the basic plane count as one)."""
-    return F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), lambda h, c: F.when(c == "", h).otherwise((h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(F.lit(4294967295).cast("long"))))
+    """FNV-1a of 32 bits over the text's UTF-16 code units."""
+    return F.aggregate(utf16_units(text), F.lit(2166136261).cast("long"), lambda h, unit: (h.bitwiseXOR(unit) * 16777619).bitwiseAND(F.lit(4294967295).cast("long")))
 
 
 def tags_in(tags: Column, names: list[str]) -> Column:

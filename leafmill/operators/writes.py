@@ -77,12 +77,12 @@ def compare_and_set(updates: DataFrame, key: str = "key") -> DataFrame:
     """Updates (key, ord, expected, value) folded in order over version 0: one is taken if it expects the version it meets,
     and makes the next. An update's expected version tells whether it can be taken only with all before it, so this is a
     fold along each key's updates. Returns each update's verdict and the version after it."""
-    def step(state: tuple, row: dict) -> tuple:
+    def step(state: tuple, own: object, ord_: int, expected: int, new: str) -> tuple:
         version, value = state
-        ok = row["expected"] == version
+        ok = expected == version
         if ok:
-            version, value = version + 1, row["value"]
-        return (version, value), (row[key], row["ord"], ok, version, value)
+            version, value = version + 1, new
+        return (version, value), (own, ord_, ok, version, value)
 
     rows = updates.select(key, F.col("ord").cast("long").alias("ord"), "expected", F.col("value").cast("string").alias("value"))
     return folded(rows, key, ["ord"], lambda: (0, None), step, f"{key} {updates.schema[key].dataType.simpleString()}, ord long, ok boolean, version long, value string")

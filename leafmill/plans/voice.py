@@ -89,12 +89,12 @@ def tone_profile(spark, sf_dir):
     return rows.select("id", "profile", v.pace(F.col("profile"), F.col("words")).alias("speed"))
 
 
-_NUMBERS = [("abc",), ("",), ("é",), ("1:https://a.example",)]
-
-
-@query("select * from (values ('abc', 440920331::bigint), ('', 2166136261), ('é', 1812687940), ('1:https://a.example', null)) t(s, h) where h is not null")
+@query("""with t as (select doc_id as id, doc_id || ':' || source || lang as s from documents), u as (select id, list_concat(list_transform(string_split(s, ''), lambda c: unicode(c)::bigint), [233::bigint, 55357, 56898]) as units from t)
+select id, list_reduce(list_prepend(2166136261::bigint, units), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as h from u""")
 def fnv_numbers(spark, sf_dir):
-    return frame(spark, "s string", _NUMBERS[:3]).select("s", v.hash_number(F.col("s")).alias("h"))
+    """A number for each document by its key, an accent and a character of two code units."""
+    d = src.table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), v.hash_number(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source", "lang", F.lit("é🙂"))).alias("h"))
 
 
 _REPLIES = [(1, 200, None), (2, 429, "30"), (3, 503, "Wed, 10 Jan 2024 00:00:05 GMT"), (4, 401, "soon"), (5, 404, "-1"), (6, 504, "0"), (7, 402, "Wed, 10 Jan 2023 00:00:05 GMT")]

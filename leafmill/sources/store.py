@@ -157,12 +157,12 @@ def compare_and_set_batch(store: Store, table: str, verdicts: str) -> Callable[[
     and verdicts are one commit."""
     from leafmill.operators.folds import folded
 
-    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
-        version, value = state if state else (row["stored"], row["stored_value"])
-        ok = row["expected"] == version
+    def step(state: tuple, key: object, ord_: int, expected: int, new: str, stored: int, stored_value: str) -> tuple[tuple, tuple]:
+        version, value = state if state else (stored, stored_value)
+        ok = expected == version
         if ok:
-            version, value = version + 1, row["value"]
-        return (version, value), (row["key"], row["ord"], 200 if ok else 409, version, value)
+            version, value = version + 1, new
+        return (version, value), (key, ord_, 200 if ok else 409, version, value)
 
     def change(at: Snapshot, rows: DataFrame) -> dict:
         asked = rows.select("key", F.col("ord").cast("long").alias("ord"), F.col("expected").cast("long").alias("expected"), F.col("value").cast("string").alias("value"))

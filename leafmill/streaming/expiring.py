@@ -106,9 +106,9 @@ def desk(commands: DataFrame, ttl: int = 900, most: int = 32) -> DataFrame:
     """The outcome of each command (owner, ord, at in seconds, command, ticket) in order, and how many tickets are there then. A
     desk holds at most one ticket more than `most`, however many commands it gets."""
 
-    def step(tickets: dict, row: dict) -> tuple[dict, tuple]:
-        outcome = at_desk(tickets, row["at"], row["command"], row["ticket"], ttl, most)
-        return tickets, (row["owner"], row["ord"], row["ticket"], outcome, len(tickets))
+    def step(tickets: dict, owner: int, ord_: int, at: int, command: str, ticket: str) -> tuple[dict, tuple]:
+        outcome = at_desk(tickets, at, command, ticket, ttl, most)
+        return tickets, (owner, ord_, ticket, outcome, len(tickets))
 
     rows = commands.select(F.col("owner").cast("long").alias("owner"), F.col("ord").cast("long").alias("ord"), F.col("at").cast("long").alias("at"), "command", "ticket")
     return folded(rows, "owner", ["at", "ord"], dict, step, OUTCOME)

@@ -21,12 +21,14 @@ def micros(name: str) -> Column:
 def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Each event (key, ts, id) with whether its client's window lets it in. A window opens with the client's first event and
     with the first one after it has run out; it isn't aligned to the clock."""
-    def step(state: tuple, row: dict) -> tuple:
+    micros_ = seconds * 1_000_000
+
+    def step(state: tuple, key: object, ident: int, at: int) -> tuple:
         opened, n = state
-        if opened is None or row["at"] >= opened + seconds * 1_000_000:
-            opened, n = row["at"], 0
+        if opened is None or at >= opened + micros_:
+            opened, n = at, 0
         n += 1
-        return (opened, n), (row["key"], row["id"], n <= limit, max(0, limit - n))
+        return (opened, n), (key, ident, n <= limit, max(0, limit - n))
 
     rows = events.select("key", F.col("id").cast("long").alias("id"), micros("ts").alias("at"))
     return folded(rows, "key", ["at", "id"], lambda: (None, 0), step, f"key {events.schema['key'].dataType.simpleString()}, id long, allowed boolean, remaining int")
