@@ -645,7 +645,7 @@ def test_rebalanced_by_bytes(spark):
     assert {r["vslot"]: r["shard"] for r in even.collect()} == {v: v % 10 for v in range(400)}  # nothing moves without need
 
 
-def by_hand(sizes, shards):
+def homes_by_hand(sizes, shards):
     """The rule of rebalanced(), slot by slot; slot v starts on shard v % shards."""
     order = sorted(range(len(sizes)), key=lambda v: (-sizes[v], v))
     bigs = []
@@ -697,7 +697,7 @@ def test_rebalanced_by_hand(spark, case):
         sizes = [0] * n
     first = shards.first_map(spark, shards_, len(sizes))
     new = shards.rebalanced(first, spark.createDataFrame([(v, 1, b) for v, b in enumerate(sizes)], "vslot int, slot_rows long, slot_bytes long"), shards_)
-    want, moved = by_hand(sizes, shards_)
+    want, moved = homes_by_hand(sizes, shards_)
     assert {r["vslot"]: r["shard"] for r in new.collect()} == want and moved <= {"even": 30, "nothing": 0}.get(case, n)
     if case == "some above a room":
         loads = collections.Counter()
@@ -934,6 +934,17 @@ def test_near_duplicates_odd_rows(spark):
     assert got == sorted([(1, 1, True), (2, 1, False), (2, 1, False), (None, None, True)], key=repr)
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Whole texts go through the signatures: a change past any prefix tells copies, and a great change at the end parts them."""
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    near, far = list(long), long[:30_000] + [f"x{rng.randrange(5000)}" for _ in range(30_000)]
+    near[59_000:59_010] = ["changed"] * 10
+    texts = [" ".join(t) for t in (long, near, far, ["same"] * 80_000, ["same"] * 79_000)] + ["y" * 300_000, "y" * 300_000]
+    rows = list(enumerate(texts))
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()} == classes_by_hand(rows)
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     off = []
