@@ -116,8 +116,8 @@ def scored(candidates: DataFrame, posts: DataFrame, accept: float = ACCEPT) -> D
     """All pairs of candidates (candidate, title, published, byline, subtitle) and posts (post, line, the same) that could be
     accepted: their titles are compared by a similarity join at what the rest of the evidence leaves of the bound."""
     least = max(TITLE_LEAST, accept - ADDED_MOST)
-    c = candidates.select("candidate", *[F.col(x).alias(f"c_{x}") for x in ("published", "byline", "subtitle")], words(F.col("title")).alias("words"))
-    p = posts.select("post", "line", *[F.col(x).alias(f"p_{x}") for x in ("published", "byline", "subtitle")], words(F.col("title")).alias("words"))
+    c = candidates.select("candidate", "title", *[F.col(x).alias(f"c_{x}") for x in ("published", "byline", "subtitle")])
+    p = posts.select("post", "line", "title", *[F.col(x).alias(f"p_{x}") for x in ("published", "byline", "subtitle")])
 
     def sim(x: str) -> Column:
         return dice(words(F.col(f"c_{x}")), words(F.col(f"p_{x}")))

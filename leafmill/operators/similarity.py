@@ -1,7 +1,7 @@
-"""Exact similarity join of word lists: all pairs whose multisets overlap enough, without a block that could lose one.
+"""Exact similarity join of titles by their words: all pairs whose multisets overlap enough, without a block that could lose one.
 
 Dice of two lists is twice their multiset overlap over both sizes. A list is a set of items (word, which of its occurrences).
-Equal lists are one bag, so that copies are compared once and join their bag again at the end. Items are put in one order for
+Equal titles are one bag, so that copies are made into words and compared once, and join their bag again at the end. Items are put in one order for
 all bags: those that the left side doesn't have, then the rarest first. Two bags at or above the threshold share one of their
 first items: of a bag of n only the first n - least overlap + 1 are keys, so a frequent word is a key only of bags that have
 little else, and items that the left side doesn't have are never kept, only counted. A pair that meets goes on if sizes allow
@@ -11,9 +11,10 @@ the lists themselves are compared. Thresholds are whole thousandths, so no bound
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.folding import words as words_of
 from leafmill.sources.shared import written
 
 #: thousandths
@@ -33,11 +34,6 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
 
 
-def bag_of(words: Column) -> Column:
-    """The same for lists with the same words as often."""
-    return F.md5(F.array_join(F.sort_array(words), " ").cast("binary"))
-
-
 def up(numerator: Column, denominator: int) -> Column:
     """A whole number's quotient, rounded up."""
     return F.floor((numerator + denominator - 1) / denominator).cast("int")
@@ -48,12 +44,15 @@ def overlap_of(n: Column, thousandths: int) -> Column:
     return up(n * thousandths, 2 * UNIT - thousandths)
 
 
-def bags_of(rows: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """bag, n (its size), item: equal lists once. Of `words` (word) alone, if given. Grouped by bag, so that counting words within
-    a bag needs no further shuffle."""
-    lists = rows.groupBy("bag").agg(F.first("words").alias("words")).select("bag", F.size("words").alias("n"), F.explode("words").alias("word"))
+def bags_of(rows: DataFrame, words: DataFrame | None = None, thousandths: int = 0) -> DataFrame:
+    """bag, n (its size), item of rows (bag, title): equal titles once. Of `words` (word) alone, if given, and then of bags alone
+    that have enough of them. Titles are shuffled by bag, and made into words and counted where they are then."""
+    lists = rows.groupBy("bag").agg(F.first("title").alias("title")).select("bag", words_of(F.col("title")).alias("words"))
+    lists = lists.select("bag", F.size("words").alias("n"), F.explode("words").alias("word"))
     lists = lists.join(words, "word", "left_semi") if words else lists
     times = lists.groupBy("bag", "n", "word").agg(F.count(F.lit(1)).alias("times"))
+    if words:
+        times = times.withColumn("m", F.sum("times").over(Window.partitionBy("bag"))).where(F.col("m") >= overlap_of(F.col("n"), thousandths))
     return times.select("bag", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "times"), lambda k: F.concat("word", F.lit("#"), k.cast("string")))).alias("item"))
 
 
@@ -71,15 +70,15 @@ def keys(bags: DataFrame, thousandths: int) -> DataFrame:
 
 
 def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of rows of left (left_id columns and words) and right (other columns and words) with a dice of the threshold or
-    more, and dice. The left side is the smaller: its lists travel with its keys. Rows without words are in no pair."""
+    """All pairs of rows of left (title and columns of its own) and right (title and others) whose titles' words have a dice of the
+    threshold or more, with dice in place of the titles. The left side is the smaller: its lists travel with its keys. Rows
+    without words are in no pair."""
     part = round(threshold * UNIT)
-    # words are made from text once; what follows reads the columns it needs
-    sides = [written(side.withColumn("bag", bag_of(F.col("words"))), "words").where(F.size("words") > 0) for side in (left, right)]
+    sides = [side.where("title <> ''").withColumn("bag", F.md5(F.col("title").cast("binary"))) for side in (left, right)]
     own = written(bags_of(sides[0]), "items")
-    others = written(bags_of(sides[1], sides[0].select(F.explode("words").alias("word")).distinct()), "items")
+    others = written(bags_of(sides[1], own.select(F.substring_index("item", "#", 1).alias("word")).distinct(), part), "items")
     frequency = own.select("item").distinct().join(others.groupBy("item").agg(F.count(F.lit(1)).alias("often")), "item", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    few, many = ordered(own, frequency), written(ordered(others, frequency).where(F.size("items") >= overlap_of(F.col("n"), part)), "bags")
+    few, many = ordered(own, frequency), written(ordered(others, frequency), "bags")
 
     probes = keys(few, part).select("key", F.col("bag").alias("few"), F.col("items").alias("few_items"), F.col("n").alias("few_n"), F.col("after").alias("few_after"))
     sizes = (F.col("n") * (2 * UNIT - part) >= F.col("few_n") * part) & (F.col("few_n") * (2 * UNIT - part) >= F.col("n") * part)
@@ -89,5 +88,5 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     pairs = met.select("bag", "few", "few_items", "few_n").repartition("bag").dropDuplicates(["bag", "few"]).join(many, "bag")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("items", "few_items"))).where(F.col("shared") * (2 * UNIT) >= (F.col("n") + F.col("few_n")) * part)
     found = pairs.select("bag", "few", (2.0 * F.col("shared") / (F.col("n") + F.col("few_n"))).alias("dice"))
-    kept = [side.drop("words") for side in sides]
+    kept = [side.drop("title") for side in sides]
     return found.join(kept[0].withColumnRenamed("bag", "few"), "few").join(kept[1], "bag").drop("bag", "few")

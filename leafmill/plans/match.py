@@ -86,7 +86,7 @@ def _posts(spark, sf_dir):
 def dice_match(spark, sf_dir):
     """All lines that are similar enough to a candidate, however they begin."""
     c, p = _candidates(spark, sf_dir), _posts(spark, sf_dir)
-    pairs = similar(c.select("candidate", words(F.col("title")).alias("words")), p.select("post", "line", words(F.col("title")).alias("words")), m.ACCEPT)
+    pairs = similar(c.select("candidate", "title"), p.select("post", "line", "title"), m.ACCEPT)
     return pairs.select("candidate", "post", "line", F.round("dice", 6).alias("dice"))
 
 

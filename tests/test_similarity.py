@@ -45,8 +45,9 @@ def test_similar_is_all_pairs(spark, threshold):
     for words in left[:20]:  # near copies: a word changed, one added, another order
         right += [[*words[1:], rng.choice(vocabulary)], [*words, "w0"], words[::-1]]
     right += [left[3]] * 50  # a group of copies
-    a = spark.createDataFrame(list(enumerate(left)), "a long, words array<string>")
-    b = spark.createDataFrame(list(enumerate(right)), "b long, words array<string>").repartition(3)
+    titles = lambda lists: [(i, None if words is None else " ".join(words).title()) for i, words in enumerate(lists)]
+    a = spark.createDataFrame(titles(left), "a long, title string")
+    b = spark.createDataFrame(titles(right), "b long, title string").repartition(3)
     want = {(i, j): dice_by_hand(x, y or []) for (i, x), (j, y) in itertools.product(enumerate(left), enumerate(right)) if dice_by_hand(x, y or []) >= threshold}
     got = [((r.a, r.b), r.dice) for r in similarity.similar(a, b, threshold).collect()]
     assert len(got) == len(set(got)) and dict(got) == want and len(want) > 50
@@ -54,10 +55,10 @@ def test_similar_is_all_pairs(spark, threshold):
 
 def test_pairs_that_meet_are_few(spark):
     """A word of every list is a key of none that has other words, and copies meet once."""
-    rows = [(i, ["the", "of", f"a{i}", f"b{i}", f"c{i}"]) for i in range(200)]
-    a = spark.createDataFrame(rows[:100], "a long, words array<string>")
-    b = spark.createDataFrame([*rows, *[(1000 + k, rows[7][1]) for k in range(300)]], "b long, words array<string>")
-    own = similarity.bags_of(a.withColumn("bag", similarity.bag_of(F.col("words"))))
+    rows = [(i, f"the of a{i} b{i} c{i}") for i in range(200)]
+    a = spark.createDataFrame(rows[:100], "a long, title string")
+    b = spark.createDataFrame([*rows, *[(1000 + k, rows[7][1]) for k in range(300)]], "b long, title string")
+    own = similarity.bags_of(a.withColumn("bag", F.md5("title")))
     frequency = own.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     keys = {r.key for r in similarity.keys(similarity.ordered(own, frequency), 720).collect()}
     assert not keys & {"the#1", "of#1"}
@@ -65,7 +66,7 @@ def test_pairs_that_meet_are_few(spark):
 
 
 def test_empty_sides(spark):
-    none, some = (spark.createDataFrame(rows, "{} long, words array<string>".format(c)) for c, rows in (("a", []), ("b", [(1, ["x", "y"])])))
+    none, some = (spark.createDataFrame(rows, "{} long, title string".format(c)) for c, rows in (("a", []), ("b", [(1, "xx yy"), (2, ""), (3, "!")])))
     assert similarity.similar(none, some, 0.5).collect() == [] and similarity.similar(some.withColumnRenamed("b", "c"), none, 0.5).collect() == []
 
 
