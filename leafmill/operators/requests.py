@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import rx
-from leafmill.operators import library, match
+from leafmill.operators import library, match, writes
+from leafmill.operators.cache import running_before
 from leafmill.operators.timeline import ID
 
 Column = F.Column
@@ -59,6 +60,32 @@ def synthesis_config(model: str, bitrate: int, speed: float, temperature: float,
     return F.struct(*[F.lit(v).alias(k) for k, v in sorted({"bitrate": bitrate, "model": model, "speed": speed, "temperature": temperature, "top_p": top_p, "version": version}.items())])
 
 
+def segment_revision(config: Column, text: Column) -> Column:
+    """What a spoken segment is known by: how it is synthesised and what is said."""
+    return F.substring(F.sha2(F.concat(F.to_json(config), F.lit("\x1f"), F.coalesce(text, F.lit(""))), 256), 1, 31)
+
+
+def voice_overrides(updates: DataFrame) -> DataFrame:
+    """Writes of an article's own voice (key, ord, expected, id, name) in order: refused where the voice isn't one, a conflict where
+    the article's version isn't the expected one, else set, or cleared to the default by a null id. Only writes that could be
+    taken reach the fold. Returns key, ord, outcome, and for those the version and voice after it."""
+    judged = updates.withColumn("v", voice_input(F.col("id"), F.col("name")))
+    refused = judged.where("v.given = 'refused'").select("key", F.col("ord").cast("long").alias("ord"), F.lit("refused").alias("outcome"), F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("voice"))
+    folded = writes.compare_and_set(judged.where("v.given <> 'refused'").select("key", "ord", "expected", F.to_json(F.struct(F.col("v.given").alias("given"), F.col("v.id").alias("id"))).alias("value")))
+    given = F.get_json_object("value", "$.given")
+    taken = folded.select("key", "ord", F.when(F.col("ok"), given).otherwise("conflict").alias("outcome"), "version", F.get_json_object("value", "$.id").alias("voice"))
+    return taken.unionByName(refused)
+
+
+def backfill(results: DataFrame) -> DataFrame:
+    """Results (ord, ok) of a backlog worked through in order, each with how many were done and failed until then, itself with them;
+    counted by parts of 65,536, so no task goes through the whole backlog."""
+    counted = results.withColumn("_d", F.col("ok").cast("int")).withColumn("_f", (~F.col("ok")).cast("int"))
+    part = F.floor(F.col("ord") / 65_536)
+    counted = running_before(running_before(counted, part, ["ord"], "_d", "_done"), part, ["ord"], "_f", "_failed")
+    return counted.withColumn("done", F.col("_done") + F.col("_d")).withColumn("failed", F.col("_failed") + F.col("_f")).drop("_d", "_f", "_done", "_failed")
+
+
 def profile_hosts(candidates: DataFrame, profiles: DataFrame, most: int = 3) -> DataFrame:
     """Hosts found through people: of each candidate (id, byline, poster, publication) the first `most` distinct handles are looked
     up in profiles (handle, profile JSON), their publications' hosts each taken once, in order."""
