@@ -55,14 +55,15 @@ def test_an_empty_table(spark, tmp_path):
 
 
 def test_null_texts_and_repeated_rows(spark, tmp_path):
-    """Rows without a text go, equal rows and copies leave one, and what is left is packed whole; without labels the base rules alone judge."""
+    """Rows without a text go; of copies one keeps its lines, the others are empty and stay, as they are no copies any more; what is
+    left is packed whole. Without labels the base rules alone judge."""
     words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopq"]
-    prose = [" ".join(words[(7 * k * j + j) % len(words)] + str(k) for j in range(30)) for k in range(4)]
+    prose = [" ".join(words[(j + 5 * k) % len(words)] + str(k) for j in range(30)) for k in range(4)]
     rows = [(1, prose[0], "en", "s", 1), (1, prose[0], "en", "s", 1), (2, prose[0], None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, prose[1], None, None, None), (5, prose[2], "en", None, 9), (5, prose[3], "en", None, 9), (6, "too short", "en", "s", 9)]
     folder = odd_tables(spark, f"file://{tmp_path}", rows, [])
     got = corpus_pipeline.run(spark, folder).collect()
     pieces = collections.Counter(r["doc_id"] for r in got)
-    assert set(pieces) <= {None, 1, 5} and {None, 1} <= set(pieces) and sum(r["length"] for r in got) > 0
+    assert set(pieces) == {None, 1, 2, 5} and {r["length"] for r in got if r["doc_id"] == 2} == {1}
     # gapless in the sequence, each document's ids whole
     assert sorted(r["offset"] for r in got)[0] == 0 and all(r["sequence_id"] == 0 for r in got)
     assert sum(r["length"] for r in got) == max(r["offset"] + r["length"] for r in got)
