@@ -45,13 +45,18 @@ f as (
 select owner, ord, ticket, outcome, len(held) as live from f where k > 0"""
 
 
+def _second():
+    """The nearest whole second of an event's time, of two the even one."""
+    return F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+
+
 def _commands(spark, sf_dir):
     """A desk for each user; tickets are asked for by their place among the user's events."""
-    c, k = F.col("event_id") % 8, F.row_number().over(Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp")), "event_id"))
+    c, k = F.col("event_id") % 8, F.row_number().over(Window.partitionBy("user_id").orderBy(_second(), "event_id"))
     command = F.when(c < 5, "create").when(c == 5, "claim").when((c == 6) & (F.col("event_id") % 3 > 0), "ready").when(c == 6, "error").otherwise("read")
     e = src.table(spark, sf_dir, "events").withColumn("k", k)
     place = F.when(c < 5, F.col("k")).otherwise(F.col("k") - 1 - F.floor(F.col("event_id") / 8) % 4)
-    return e.select(F.col("user_id").alias("owner"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), command.alias("command"), F.concat(F.lit("t"), place.cast("string")).alias("ticket"))
+    return e.select(F.col("user_id").alias("owner"), F.col("event_id").alias("ord"), F.timestamp_seconds(_second()).alias("ts"), _second().alias("at"), command.alias("command"), F.concat(F.lit("t"), place.cast("string")).alias("ticket"))
 
 
 @query(_DESK)
