@@ -206,7 +206,7 @@ def ticket_lifecycle(spark, sf_dir):
     """A ticket for each user, its commands the user's events in order."""
     names = F.array(*map(F.lit, ("create", "claim", "ready", "error", "retry")))
     e = src.table(spark, sf_dir, "events")
-    return s.tickets(e.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("ticket"), F.col("event_id").alias("ord"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), names[(F.col("event_id") % 5).cast("int")].alias("command")), ttl=10 * 86_400)
+    return s.tickets(e.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("ticket"), F.col("event_id").alias("ord"), _second().cast("double").alias("at"), names[(F.col("event_id") % 5).cast("int")].alias("command")), ttl=10 * 86_400)
 
 
 @query()
