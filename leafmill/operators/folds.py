@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[..., tuple[object, tuple]], schema: str) -> DataFrame:
@@ -36,3 +37,29 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for n, c in zip(fields, columns, strict=True)], fields)
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(walk, out_schema)
+
+
+def annotated(rows: DataFrame, keys: list[str], order: list, reads: list[str], start: Callable[[], object], step: Callable[..., tuple[object, tuple]], adds: str) -> DataFrame:
+    """Rows with further columns (`adds`) from a walk along each key's rows in order: step(state, value ...) gets the values of
+    the columns in `reads` and gives the next state and the row's new values. Only those and the keys become Python's; a key with
+    few rows costs no more than its rows do."""
+    kinds = rows.sparkSession.createDataFrame([], adds).schema
+    out_schema = StructType([*rows.schema.fields, *kinds.fields])
+
+    def walk(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fields = to_arrow_schema(kinds)
+        at, state = None, None
+        for batch in batches:
+            found = []
+            for key, values in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), zip(*(batch.column(n).to_pylist() for n in reads), strict=True), strict=True):
+                if key != at:
+                    at, state = key, start()
+                state, result = step(state, *values)
+                found.append(result)
+            columns = list(zip(*found, strict=True)) or [()] * len(fields)
+            new = [pa.array(c, f.type) for f, c in zip(fields, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *fields.names])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, out_schema)
