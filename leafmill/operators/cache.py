@@ -94,6 +94,6 @@ def obsolete(names: Column, scope: str, version: int) -> Column:
 
 def wanted_not_running(sessions: DataFrame, running: DataFrame) -> DataFrame:
     """Jobs that sessions' windows (session, key) want and none runs, and running ones that nobody wants."""
-    want = sessions.select("key").distinct()
-    start = want.join(running, "key", "left_anti").withColumn("action", F.lit("start"))
-    return start.unionByName(running.select("key").join(want, "key", "left_anti").withColumn("action", F.lit("cancel")))
+    told = sessions.select("key", F.lit(True).alias("_w"), F.lit(False).alias("_r")).unionByName(running.select("key", F.lit(False).alias("_w"), F.lit(True).alias("_r")))
+    jobs = told.groupBy("key").agg(F.max("_w").alias("_w"), F.max("_r").alias("_r")).where("_w <> _r")
+    return jobs.select("key", F.when(F.col("_w"), "start").otherwise("cancel").alias("action"))

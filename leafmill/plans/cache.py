@@ -115,7 +115,7 @@ def window_diff(spark, sf_dir):
     e = src.table(spark, sf_dir, "events").select((F.col("user_id") * 10 + F.hour("ts")).alias("key"), "event_type", F.col("user_id").alias("session"))
     ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
     wanted = e.join(F.broadcast(ends), F.col("event_type") == F.col("lo")).select("session", "key")  # one row
-    running = e.join(F.broadcast(ends), F.col("event_type") == F.col("hi")).select("key").distinct()
+    running = e.join(F.broadcast(ends), F.col("event_type") == F.col("hi")).select("key")
     return c.wanted_not_running(wanted, running)
 
 
