@@ -350,11 +350,11 @@ def worthwhile(attempts: DataFrame) -> DataFrame:
     return attempts.where(~(urls.is_pdf(F.col("url")) & F.col("strategy").isin("amp", "archive")))
 
 
-def best_attempt(attempts: DataFrame) -> DataFrame:
+def best_attempt(attempts: DataFrame, *ties: str) -> DataFrame:
     """Of attempts (url, ord, strategy, ok, word_count, reason) the first whole one, else the longest, the earlier of equals;
-    with the reasons of those that failed, in order."""
-    order = Window.partitionBy("url").orderBy(F.desc("ok"), F.when(F.col("ok"), F.lit(0)).otherwise(-F.col("word_count")), "ord")
-    reasons = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.struct("ord", "strategy", "reason"))).over(Window.partitionBy("url"))), lambda r: F.concat(r["strategy"], F.lit(": "), r["reason"])), "; ")
+    with the reasons of those that failed, in order. `ties` are columns that order a url's attempts with equal `ord`."""
+    order = Window.partitionBy("url").orderBy(F.desc("ok"), F.when(F.col("ok"), F.lit(0)).otherwise(-F.col("word_count")), "ord", *ties)
+    reasons = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.struct("ord", *ties, "strategy", "reason"))).over(Window.partitionBy("url"))), lambda r: F.concat(r["strategy"], F.lit(": "), r["reason"])), "; ")
     return attempts.withColumn("reasons", reasons).withColumn("r", F.row_number().over(order)).where("r = 1").select("url", "strategy", "ok", "word_count", F.when(F.col("ok"), F.lit("")).otherwise(F.col("reasons")).alias("reasons"))
 
 

@@ -46,7 +46,7 @@ b as (select *, word_count > 700 as ok, case when word_count <= 700 then case wh
 @query(f"""with {_ATTEMPTS}, r as (select *, row_number() over (partition by url order by ok desc, case when ok then 0 else -word_count end, ord) as r, string_agg(case when not ok then strategy || ': ' || reason end, '; ' order by ord) over (partition by url rows between unbounded preceding and unbounded following) as reasons from b)
 select url, strategy, ok, word_count, case when ok then '' else reasons end as reasons from r where r = 1""")
 def best_attempt(spark, sf_dir):
-    return x.best_attempt(_attempts(spark, sf_dir).drop("page_id"))
+    return x.best_attempt(_attempts(spark, sf_dir), "page_id")
 
 
 @query(f"with {_ATTEMPTS} select page_id, strategy from (select *, row_number() over (partition by page_id order by ord) as r from b where ok) where r = 1")
