@@ -18,42 +18,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.library import terms
-from leafmill.sources.shared import fresh_dir, remove
+from leafmill.sources.shared import files_of, fresh_dir, in_batches, lots_of, remove
 from leafmill.sources.store import Snapshot, Store
 
-POSTING = "doc_id long, col string, pos long, token string"
+#: what is stored: a row for each token of a document's column, with all places of it
+GATHERED = "doc_id long, col string, token string, places array<int>"
+#: places after which Python hands its rows over
+HELD = 100_000
 _TOKEN = re.compile(r"[^\W_]+")
+#: runs of characters among which there are combining marks
+_BEYOND = re.compile("[\u0300-\U0010ffff]+")
 
 
 def fold(text: str) -> str:
     """Lower case without combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    low = text.lower()
+    return low if low.isascii() else _BEYOND.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFD", low))
 
 
-def _is_consonant(w: str, i: int) -> bool:
-    c = w[i]
-    return c not in "aeiou" and (c != "y" or i == 0 or not _is_consonant(w, i - 1))
+_SOUNDS = str.maketrans({c: "v" if c in "aeiou" else "y" if c == "y" else "c" for c in map(chr, range(128))})
 
 
-def _shape(w: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", "".join("c" if _is_consonant(w, i) else "v" for i in range(len(w))))
+def _sounds(w: str) -> str:
+    """v for each vowel, c for each consonant; y is a vowel after a consonant."""
+    out = w.translate(_SOUNDS)
+    while (i := out.find("y")) >= 0:
+        out = f"{out[:i]}{'v' if i and out[i - 1] == 'c' else 'c'}{out[i + 1 :]}"
+    return out
 
 
 def _measure(w: str) -> int:
-    return _shape(w).count("vc")
+    return _sounds(w).count("vc")
 
 
 def _has_vowel(w: str) -> bool:
-    return any(not _is_consonant(w, i) for i in range(len(w)))
+    return "v" in _sounds(w)
 
 
 def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _is_consonant(w, len(w) - 1)
+    return len(w) > 1 and w[-1] == w[-2] and _sounds(w)[-1] == "c"
 
 
 def _cvc(w: str) -> bool:
-    n = len(w)
-    return n > 2 and _is_consonant(w, n - 1) and not _is_consonant(w, n - 2) and _is_consonant(w, n - 3) and w[-1] not in "wxy"
+    return _sounds(w)[-3:] == "cvc" and w[-1] not in "wxy"
 
 
 # The suffix tables of the published algorithm, steps 2, 3 and 4.
@@ -106,40 +113,63 @@ def tokens(text: str) -> list[str]:
     return [porter(t) for t in _TOKEN.findall(fold(text))]
 
 
-def postings(articles: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
-    """doc_id, col, pos, token of every token of the columns: the inverted index as a table."""
+def gathered(articles: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
+    """doc_id, col, token, places: the inverted index as a table, a row for each token of a document's column. Texts come in
+    batches of bounded bytes, and rows are handed over as soon as there are many, so a task holds one document at most."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "col", "token", "places"])
 
     def each(batches):
         stems: dict[str, str] = {}
         for batch in batches:
-            docs, cols, places, found = [], [], [], []
+            rows, held = [], 0
             ids = batch.column("doc_id").to_pylist()
             for c in columns:
-                for doc, text in zip(ids, batch.column(c).to_pylist(), strict=True):
-                    for i, t in enumerate(_TOKEN.findall(fold(text or ""))):
-                        if t not in stems:
+                for doc, text in zip(ids, batch.column(c), strict=True):
+                    places: dict[str, list[int]] = {}
+                    for i, t in enumerate(_TOKEN.findall(fold(text.as_py() or ""))):
+                        stem = stems.get(t)
+                        if stem is None:
                             if len(stems) > 300_000:
                                 stems.clear()
-                            stems[t] = porter(t)
-                        docs.append(doc)
-                        cols.append(c)
-                        places.append(i)
-                        found.append(stems[t])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cols, pa.string()), pa.array(places, pa.int64()), pa.array(found, pa.string())], ["doc_id", "col", "pos", "token"])
+                            stem = stems[t] = porter(t)
+                        places.setdefault(stem, []).append(i)
+                        held += 1
+                    rows += [(doc, c, t, at) for t, at in places.items()]
+                    if held > HELD:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    return in_batches(articles.select(F.col(id_column).cast("long").alias("doc_id"), *columns), each, GATHERED)
+
 
-    return articles.select(F.col(id_column).cast("long").alias("doc_id"), *columns).mapInArrow(each, POSTING)
+def postings(articles: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
+    """doc_id, col, pos, token of every token of the columns."""
+    return gathered(articles, columns, id_column).select("doc_id", "col", F.explode(F.col("places").cast("array<long>")).alias("pos"), "token")
 
 
 def search(index: DataFrame, q: str) -> DataFrame:
-    """doc_id of the documents that match. Only postings of the query's tokens are kept, then phrases are found by position."""
+    """doc_id of the documents that match, in postings or gathered ones. Only postings of the query's tokens are kept, then phrases
+    are found by position; of a phrase of one token it counts that it is there. Gathered postings are dealt by document before
+    their places are laid out, to as many partitions as the index is large."""
     phrases = [p for t in terms(q) if (p := tokens(t))]
     if not phrases:
         return index.select("doc_id").where(F.lit(False))
     parts = [(i, k, t, k == len(p) - 1) for i, p in enumerate(phrases) for k, t in enumerate(p)]
     wanted = reduce(or_, (F.col("token").startswith(t) if last else F.col("token") == t for _, _, t, last in parts))  # reaches the scan
     hits = F.array(*[F.struct(F.lit(i).alias("term"), F.lit(k).alias("k"), (F.col("token").startswith(t) if last else F.col("token") == t).alias("hit")) for i, k, t, last in parts])
-    placed = index.where(wanted).select("doc_id", "col", "pos", F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).select("doc_id", "col", "h.term", "h.k", (F.col("pos") - F.col("h.k")).alias("start"))
     sizes = F.create_map(*[F.lit(x) for i, p in enumerate(phrases) for x in (i, len(p))])
+    found = index.where(wanted)
+    if "places" in index.columns:
+        found = found.repartition(lots_of(index, 2), "doc_id")
+    found = found.select("*", F.explode(F.filter(hits, lambda h: h["hit"])).alias("h")).withColumn("_one", sizes[F.col("h.term")] == 1)
+    if "places" in index.columns:
+        found = found.withColumn("pos", F.explode(F.when(F.col("_one"), F.slice("places", 1, 1)).otherwise(F.col("places"))))
+    placed = found.select("doc_id", F.when(~F.col("_one"), F.col("col")).alias("col"), "h.term", "h.k", F.when(~F.col("_one"), F.col("pos") - F.col("h.k")).alias("start"))
     whole = placed.groupBy("doc_id", "col", "term", "start").agg(F.count_distinct("k").alias("n")).where(F.col("n") == sizes[F.col("term")])
     return whole.groupBy("doc_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(phrases)).select("doc_id")
 
@@ -149,17 +179,27 @@ INDEXED = ["title", "byline", "site_name", "text_content", "tags"]
 
 
 def article_postings(articles: DataFrame) -> DataFrame:
-    return postings(articles.withColumn("tags", F.to_json("tags")), INDEXED)
+    return gathered(articles.withColumn("tags", F.to_json("tags")), INDEXED)
 
 
 def store(index: DataFrame, path: str) -> None:
     """Writes postings in the order of their tokens, so that a search reads the files and row groups of its own tokens alone.
-    Ranges are by token and document, so a common token takes as many files as it needs."""
-    in_token_order(index).write.option("parquet.block.size", 16 << 20).parquet(path)
+    Ranges are by token and document, so a common token takes as many files as it needs, and as many as the library is large."""
+    made, folder = as_made(index)
+    in_token_order(made).write.option("parquet.block.size", 16 << 20).parquet(path)
+    remove(index.sparkSession, folder)
+
+
+def as_made(index: DataFrame) -> tuple[DataFrame, str]:
+    """Postings as they come, and the folder they are in: ranges are found in rows before they are dealt by them, and no text is
+    to be made into tokens twice."""
+    folder = fresh_dir(index.sparkSession, "gathered")
+    index.write.option("compression", "zstd").parquet(folder)
+    return index.sparkSession.read.schema(index.schema).parquet(folder), folder
 
 
 def in_token_order(index: DataFrame) -> DataFrame:
-    return index.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
+    return index.repartitionByRange(lots_of(index), "token", "doc_id").sortWithinPartitions("token", "doc_id")
 
 
 _STORED: dict[tuple[str, str], tuple[tuple, str]] = {}
@@ -167,13 +207,7 @@ _STORED: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 def state_of(table: DataFrame) -> tuple:
     """What tells one state of stored tables from another: their files, with sizes and times."""
-    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for file in sorted(table.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append((file, status.getLen(), status.getModificationTime()))
-    return tuple(found)
+    return tuple(files_of(table))
 
 
 def stored_index(spark: SparkSession, name: str, articles: Callable[[], DataFrame]) -> DataFrame:
@@ -188,7 +222,7 @@ def stored_index(spark: SparkSession, name: str, articles: Callable[[], DataFram
         if key in _STORED:
             remove(spark, _STORED[key][1])
         _STORED[key] = state, path
-    return spark.read.schema(POSTING).parquet(_STORED[key][1])
+    return spark.read.schema(GATHERED).parquet(_STORED[key][1])
 
 
 class LivingIndex:
@@ -201,15 +235,24 @@ class LivingIndex:
     """
 
     def __init__(self, tables: Store, columns: list[str] = INDEXED):
-        self.tables, self.columns = tables, columns
+        self.tables, self.columns, self.folders = tables, columns, []
 
     def made(self, articles: DataFrame, number: int) -> DataFrame:
-        found = postings(articles.withColumn("tags", F.to_json("tags")) if "tags" in self.columns else articles, self.columns)
-        return in_token_order(found.withColumn("since", F.lit(number).cast("long")))
+        found = gathered(articles.withColumn("tags", F.to_json("tags")) if "tags" in self.columns else articles, self.columns)
+        rows, folder = as_made(found.withColumn("since", F.lit(number).cast("long")))
+        self.folders.append(folder)
+        return in_token_order(rows)
+
+    def transact(self, change: Callable[[Snapshot], dict]) -> None:
+        try:
+            self.tables.transact(change)
+        finally:
+            while self.folders:
+                remove(self.tables.spark, self.folders.pop())
 
     def create(self, articles: DataFrame) -> None:
         none = articles.sparkSession.createDataFrame([], "doc_id long, until long")
-        self.tables.transact(lambda at: {"replaced": {"postings": self.made(articles, at.number + 1), "gone": none}})
+        self.transact(lambda at: {"replaced": {"postings": self.made(articles, at.number + 1), "gone": none}})
 
     def update(self, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
         """Articles as they are now (id and the indexed columns), new ones among them, and ids of those that went (id)."""
@@ -220,14 +263,14 @@ class LivingIndex:
             gone = reduce(DataFrame.unionByName, ids).distinct().withColumn("until", F.lit(number).cast("long"))
             return {"appended": {"gone": gone} | ({"postings": self.made(changed, number)} if changed is not None else {})}
 
-        self.tables.transact(change)
+        self.transact(change)
 
     def read(self, at: Snapshot | None = None) -> DataFrame:
-        """The postings that count. A search's filter by tokens reaches the segments below the tombstones."""
+        """The gathered postings that count. A search's filter by tokens reaches the segments below the tombstones."""
         at = at or self.tables.snapshot()
         gone = self.tables.read("gone", at).groupBy("doc_id").agg(F.max("until").alias("until")).withColumnRenamed("doc_id", "_gone")
         rows = self.tables.read("postings", at)
-        return rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("since") < F.col("until")), "left_anti").select("doc_id", "col", "pos", "token")
+        return rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("since") < F.col("until")), "left_anti").select("doc_id", "col", "token", "places")
 
     def search(self, q: str) -> DataFrame:
         return search(self.read(), q)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """The files that a frame reads, with sizes and times."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for file in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    return found
+
+
+def lots_of(df: DataFrame, megabytes: int = 8) -> int:
+    """Into how many partitions a frame's rows are dealt, so that a task's share doesn't grow with the table: one for so many
+    megabytes of the files it reads, and at least as many as the session has."""
+    size = sum(f[1] for f in files_of(df))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (megabytes << 20)))
+
+
+#: bytes of an Arrow batch between the JVM and Python; both sides hold several batches a task, and texts can be long
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes, whatever the length of the rows. Spark reads that bound from the session when the
+    plan runs, so it is left set there; a value that the caller has set stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key).rstrip("b") == str(64 << 20):  # Spark's own default
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(each, schema)
+
+
 def create_complete(spark: SparkSession, path: str, text: str) -> bool:
     """Creates a small file with all its content at once, if there is none of that name: it is written under a private name and
     given its own in one step that fails where the name is taken (a link on local disks, a rename without overwriting
