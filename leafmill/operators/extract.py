@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import batched
 from urllib.parse import quote, urljoin, urlparse
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import rx, urls
 from leafmill.operators.dom import Node, body_of, parse, serialise
 from leafmill.operators.library import PAYWALL_MARKERS
+from leafmill.sources.shared import in_batches
 
 Column = F.Column
 
@@ -245,10 +247,11 @@ def article_rows(pages: DataFrame) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            rows = [attempt(h or "", u or "") for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[f.split()[1]]) for n, f in zip(names, ARTICLE.split(", "), strict=True)], names)
+            # a page is text in Python only while it is read, and what is made of pages is handed over by the hundred
+            for rows in batched((attempt(h.as_py() or "", u.as_py() or "") for u, h in zip(batch.column("url"), batch.column("html"), strict=True)), 100):
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[f.split()[1]]) for n, f in zip(names, ARTICLE.split(", "), strict=True)], names)
 
-    return pages.select("url", "html").mapInArrow(each, ARTICLE)
+    return in_batches(pages.select("url", "html"), each, ARTICLE)
 
 
 def trimmed(content: str, marked: set[int]) -> str:
