@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from leafmill.sources.shared import in_batches
+
 
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[..., tuple[object, tuple]], schema: str) -> DataFrame:
     """A result for each row of a key in order: step(state, value, value ...), with the row's values in the order of its columns,
@@ -39,10 +41,10 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(walk, out_schema)
 
 
-def annotated(rows: DataFrame, keys: list[str], order: list, reads: list[str], start: Callable[[], object], step: Callable[..., tuple[object, tuple]], adds: str) -> DataFrame:
+def annotated(rows: DataFrame, keys: list[str], order: list, reads: list[str], start: Callable[[], object], step: Callable[..., tuple[object, tuple]], adds: str, parts: int | None = None) -> DataFrame:
     """Rows with further columns (`adds`) from a walk along each key's rows in order: step(state, value ...) gets the values of
     the columns in `reads` and gives the next state and the row's new values. Only those and the keys become Python's; a key with
-    few rows costs no more than its rows do."""
+    few rows costs no more than its rows do. `parts`: into how many partitions the keys are dealt, else the session's number."""
     kinds = rows.sparkSession.createDataFrame([], adds).schema
     out_schema = StructType([*rows.schema.fields, *kinds.fields])
 
@@ -62,4 +64,5 @@ def annotated(rows: DataFrame, keys: list[str], order: list, reads: list[str], s
             new = [pa.array(c, f.type) for f, c in zip(fields, columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *fields.names])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, out_schema)
+    dealt = rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+    return in_batches(dealt.sortWithinPartitions(*keys, *order), walk, out_schema)
