@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leafmill.plans.base import frame, query, values
 from leafmill.sources import adapters as src
 from leafmill.sources import store
-from leafmill.sources.shared import fresh_dir
+from leafmill.sources.shared import fresh_dir, lots_of
 from leafmill.streaming import expiring as x
 from leafmill.streaming import state as s
 
@@ -28,8 +28,10 @@ def rate_limit_fold(spark, sf_dir):
 @query(_RATE)
 def stream_rate_limit(spark, sf_dir):
     """The same from a stream in eight batches that keeps open windows alone between them."""
-    events = x.segmented(_events(spark, sf_dir).select("key", "ts", "id"), "ts", 8)
-    return s.run_to_end(x.stream_rate_limit(events, 2, 86_400), spark)
+    rows = _events(spark, sf_dir).select("key", "ts", "id")
+    # so many clients' windows to a bucket, whatever the table's size
+    buckets = max(1024, 64 * lots_of(rows))
+    return s.run_to_end(x.stream_rate_limit(x.segmented(rows, "ts", 8), 2, 86_400, buckets=buckets), spark)
 
 
 _DESK = """with recursive e as (select user_id as owner, event_id as ord, epoch(ts)::bigint as sec, row_number() over (partition by user_id order by epoch(ts)::bigint, event_id) as k, event_id % 8 as c from events),

@@ -29,50 +29,70 @@ def in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 
 class RateWindows(StatefulProcessor):
-    """A client's window (opened, n): it opens with the client's first row and with the first one after it has run out."""
+    """The open windows of a bucket of clients (key, opened, n): a window opens with a client's first row and with the first one
+    after it has run out. A bucket's windows are one value with one timer, so what a batch costs goes by its rows, and not by
+    calls for each client."""
 
     def __init__(self, limit: int, micros: int):
         self.limit, self.micros = limit, micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "opened long, n long")
+        self.windows = handle.getValueState("windows", "keys array<long>, opened array<long>, n array<long>")
 
     def ends(self, opened: int) -> int:
         return -(-(opened + self.micros) // 1000)
 
+    def held(self) -> dict[int | None, tuple[int, int]]:
+        return {k: (opened, n) for k, opened, n in zip(*self.windows.get(), strict=True)} if self.windows.exists() else {}
+
+    def put(self, windows: dict[int | None, tuple[int, int]], timer: int | None) -> None:
+        """Keeps these windows and a timer for the last of them, in place of the one for `timer`."""
+        last = max((self.ends(opened) for opened, _ in windows.values()), default=None)
+        if timer != last:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if last is not None:
+                self.handle.registerTimer(last)
+        if windows:
+            self.windows.update((list(windows), *(list(c) for c in zip(*windows.values(), strict=True))))
+        else:
+            self.windows.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = opened = None
-        n = 0
-        if self.window.exists():
-            opened, n = self.window.get()
-            before = opened
-        data, out = in_order(rows, "at", "id"), []
-        for at, i in zip(data["at"].tolist(), data["id"].tolist(), strict=True):
+        windows = self.held()
+        timer = max((self.ends(opened) for opened, _ in windows.values()), default=None)
+        data, allowed, remaining = in_order(rows, "named", "key", "at", "id"), [], []
+        clients = [k if named else None for named, k in zip(data["named"].tolist(), data["key"].tolist(), strict=True)]
+        for client, at in zip(clients, data["at"].tolist(), strict=True):
+            opened, n = windows.get(client, (None, 0))
             if opened is None or at >= opened + self.micros:
                 opened, n = at, 0
             n += 1
-            out.append((key[0], i, n <= self.limit, max(0, self.limit - n)))
-        if before != opened:
-            if before is not None:
-                self.handle.deleteTimer(self.ends(before))
-            self.handle.registerTimer(self.ends(opened))
-        self.window.update((opened, n))
-        yield pd.DataFrame(out, columns=["key", "id", "allowed", "remaining"])
+            windows[client] = opened, n
+            allowed.append(n <= self.limit)
+            remaining.append(max(0, self.limit - n))
+        # no later row is older than the watermark
+        now = timerValues.getCurrentWatermarkInMs()
+        self.put({k: w for k, w in windows.items() if self.ends(w[0]) > now}, timer)
+        yield pd.DataFrame({"key": pd.array(clients, "Int64"), "id": data["id"].to_numpy(), "allowed": allowed, "remaining": remaining})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.window.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self.put({k: w for k, w in self.held().items() if self.ends(w[0]) > now}, None)
         yield pd.DataFrame({"key": [], "id": [], "allowed": [], "remaining": []}).astype({"key": "int64", "id": "int64", "allowed": "bool", "remaining": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(events: DataFrame, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """streaming.state.rate_limited() over a stream (key, ts, id); a client's state goes when the watermark has passed its window."""
+def stream_rate_limit(events: DataFrame, limit: int, seconds: int, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
+    """streaming.state.rate_limited() over a stream (key, ts, id); a client's state goes when the watermark has passed its window.
+    Clients are dealt into `buckets` by a hash; a bucket's rows of a batch are a task's at a time."""
     with_store(events.sparkSession)
     rows = events.select(F.col("key").cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id")).withWatermark("ts", late)
-    return rows.withColumn("at", F.unix_micros("ts")).groupBy("key").transformWithStateInPandas(
+    rows = rows.select(F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNotNull().alias("named"), "ts", "id", F.unix_micros("ts").alias("at"), F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         RateWindows(limit, seconds * 1_000_000), "key long, id long, allowed boolean, remaining long", "Append", "EventTime"
     )
 
