@@ -1,8 +1,8 @@
 """Paged sources that settle: every page asked for comes out as a row, also one that failed, was refused or is too large.
 
 `leafmill_pages` is a data source over numbered documents, <path>/page-<n>.json, with <path>/index.json that says how many there
-are. Reading, a page is a partition of its own, so pages are fetched side by side and a lost executor costs its pages alone; as
-a stream, a batch is what the index has more than at the last one. Writing, each row (page, body) becomes its document, and the
+are. Reading, pages are partitions of their own, or, where there are many, up to 64 are one, eight of which are asked for at a
+time; a lost executor costs its pages alone. As a stream, a batch is what the index has more than at the last one. Writing, each row (page, body) becomes its document, and the
 index comes last, so a reader never meets a page that isn't there yet. fetched_urls() asks for addresses that stand in a table.
 """
 
@@ -13,6 +13,7 @@ import os
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -52,8 +53,9 @@ def fetched_urls(addresses: DataFrame, most: int = PAGE_BYTES, seconds: float =
 
 
 @dataclass
-class Page(InputPartition):
-    number: int
+class Lot(InputPartition):
+    first: int
+    until: int
 
 
 @dataclass
@@ -61,6 +63,16 @@ class Written(WriterCommitMessage):
     last: int
 
 
+#: partitions up to which each page is one, most pages of a partition, and how many of them are asked for at a time
+ALONE, LOT, AT_ONCE = 200, 64, 8
+
+
+def lots(first: int, until: int) -> list[Lot]:
+    """Pages dealt into partitions. A task costs more than a small page does, so many pages share one; never more than LOT do."""
+    size = min(LOT, max(1, -(-(until - first) // ALONE)))
+    return [Lot(n, min(n + size, until)) for n in range(first, until, size)]
+
+
 class Pages(DataSource):
     """Options: path (a file:, http: or https: address), max_bytes, seconds."""
 
@@ -91,15 +103,20 @@ class _Pages:
         self.path = options["path"].rstrip("/")
         self.most, self.seconds = int(options.get("max_bytes", PAGE_BYTES)), float(options.get("seconds", 20))
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
+    def read(self, partition: Lot | None) -> Iterator[tuple]:
         if partition is None:  # no pages: Spark asks once all the same
             return
-        yield (partition.number, *settled(f"{self.path}/page-{partition.number}.json", self.most, self.seconds))
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for k in range(partition.first, partition.until, AT_ONCE):  # bodies may be large: no more of them are held
+                yield from pool.map(self.page, range(k, min(k + AT_ONCE, partition.until)))
+
+    def page(self, number: int) -> tuple:
+        return (number, *settled(f"{self.path}/page-{number}.json", self.most, self.seconds))
 
 
 class PageReader(_Pages, DataSourceReader):
-    def partitions(self) -> list[Page]:
-        return [Page(n) for n in range(page_count(self.path))]
+    def partitions(self) -> list[Lot]:
+        return lots(0, page_count(self.path))
 
 
 class PageStream(_Pages, DataSourceStreamReader):
@@ -109,8 +126,8 @@ class PageStream(_Pages, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"pages": page_count(self.path)}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(n) for n in range(start["pages"], end["pages"])]
+    def partitions(self, start: dict, end: dict) -> list[Lot]:
+        return lots(start["pages"], end["pages"])
 
     def commit(self, end: dict) -> None:
         pass
