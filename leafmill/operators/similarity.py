@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.folding import words as words_of
-from leafmill.sources.shared import written
+from leafmill.sources.shared import lots_of, written
 
 #: thousandths
 UNIT = 1000
+#: megabytes of the files that the right side is read from, to a partition of its lists
+LOT = 4
 
 
 def counted(items: Column) -> Column:
@@ -44,11 +46,23 @@ def overlap_of(n: Column, thousandths: int) -> Column:
     return up(n * thousandths, 2 * UNIT - thousandths)
 
 
-def bags_of(rows: DataFrame, words: DataFrame | None = None, thousandths: int = 0) -> DataFrame:
+def in_reach(n: Column, least: int, most: int, thousandths: int) -> Column:
+    """Whether a bag of n can be similar enough to any of least to most."""
+    return (n * (2 * UNIT - thousandths) >= least * thousandths) & (n * thousandths <= most * (2 * UNIT - thousandths))
+
+
+def bags_of(rows: DataFrame, words: DataFrame | None = None, thousandths: int = 0, sizes: tuple[int, int] | None = None, parts: int | None = None) -> DataFrame:
     """bag, n (its size), item of rows (bag, title): equal titles once. Of `words` (word) alone, if given, and then of bags alone
-    that have enough of them. Titles are shuffled by bag, and made into words and counted where they are then."""
-    lists = rows.groupBy("bag").agg(F.first("title").alias("title")).select("bag", words_of(F.col("title")).alias("words"))
-    lists = lists.select("bag", F.size("words").alias("n"), F.explode("words").alias("word"))
+    that have enough of them; of bags alone that are in reach of others of `sizes` (least, most), if given. Titles are shuffled by
+    bag, and made into words where they are then; lists are dealt into `parts` before they are counted, so that what a task
+    counts doesn't grow with the rows."""
+    if sizes:  # a word has two letters and something between it and the next; one character may be several letters
+        rows = rows.where((F.length("title") + 1) * (2 * UNIT - thousandths) >= 2 * sizes[0] * thousandths)
+    # a generator, as a filter would make the words once for each time that it names them
+    fits = F.filter(F.array(words_of(F.col("title"))), lambda w: in_reach(F.size(w), *sizes, thousandths) if sizes else F.size(w) > 0)
+    lists = rows.groupBy("bag").agg(F.first("title").alias("title")).select("bag", F.explode(fits).alias("words")).withColumn("n", F.size("words"))
+    lists = lists.repartition(parts, "bag") if parts else lists
+    lists = lists.select("bag", "n", F.explode("words").alias("word"))
     lists = lists.join(words, "word", "left_semi") if words else lists
     times = lists.groupBy("bag", "n", "word").agg(F.count(F.lit(1)).alias("times"))
     if words:
@@ -76,16 +90,19 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     part = round(threshold * UNIT)
     sides = [side.where("title <> ''").withColumn("bag", F.md5(F.col("title").cast("binary"))) for side in (left, right)]
     own = written(bags_of(sides[0]), "items")
-    others = written(bags_of(sides[1], own.select(F.substring_index("item", "#", 1).alias("word")).distinct(), part), "items")
+    ends = own.agg(F.coalesce(F.min("n"), F.lit(1)).alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    parts = lots_of(right, LOT)
+    others = written(bags_of(sides[1], own.select(F.substring_index("item", "#", 1).alias("word")).distinct(), part, (ends["least"], ends["most"]), parts), "items")
     frequency = own.select("item").distinct().join(others.groupBy("item").agg(F.count(F.lit(1)).alias("often")), "item", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    few, many = ordered(own, frequency), written(ordered(others, frequency), "bags")
+    frequency = written(frequency, "often")  # a file of its own says how small it is, so that items aren't dealt by it then
+    few, many = ordered(own, frequency), written(ordered(others.repartition(parts, "bag"), frequency), "bags")
 
     probes = keys(few, part).select("key", F.col("bag").alias("few"), F.col("items").alias("few_items"), F.col("n").alias("few_n"), F.col("after").alias("few_after"))
     sizes = (F.col("n") * (2 * UNIT - part) >= F.col("few_n") * part) & (F.col("few_n") * (2 * UNIT - part) >= F.col("n") * part)
     wanted = up((F.col("n") + F.col("few_n")) * part, 2 * UNIT)
     met = keys(many, part).select("key", "bag", "n", "after").join(probes, "key").where(sizes & (F.least("after", "few_after") + 1 >= wanted))
     # by bag, as the lists are: one shuffle for leaving out what has met twice and for the comparison
-    pairs = met.select("bag", "few", "few_items", "few_n").repartition("bag").dropDuplicates(["bag", "few"]).join(many, "bag")
+    pairs = met.select("bag", "few", "few_items", "few_n").repartition(parts, "bag").dropDuplicates(["bag", "few"]).join(many, "bag")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("items", "few_items"))).where(F.col("shared") * (2 * UNIT) >= (F.col("n") + F.col("few_n")) * part)
     found = pairs.select("bag", "few", (2.0 * F.col("shared") / (F.col("n") + F.col("few_n"))).alias("dice"))
     kept = [side.drop("title") for side in sides]
