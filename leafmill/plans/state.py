@@ -70,7 +70,10 @@ def ticket_desk(spark, sf_dir):
 @query(_DESK)
 def stream_ticket_desk(spark, sf_dir):
     """The same from a stream in eight batches, with timers that clear tickets that are over."""
-    return s.run_to_end(x.stream_desk(x.segmented(_commands(spark, sf_dir).drop("at"), "ts", 8), ttl=25 * 86_400), spark)
+    rows = _commands(spark, sf_dir).drop("at")
+    # so many desks to a bucket, whatever the table's size
+    buckets = max(1024, 64 * lots_of(rows))
+    return s.run_to_end(x.stream_desk(x.segmented(rows, "ts", 8), ttl=25 * 86_400, buckets=buckets), spark)
 
 
 _LEASE = """with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as prev from events), g as (select key, ts, sum(case when prev is null or ts >= prev + interval 7200 second then 1 else 0 end) over (partition by key order by ts) as g from e)

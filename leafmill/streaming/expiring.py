@@ -8,6 +8,7 @@ a result. Each processor walks its key's rows with the same step as the fold tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -134,51 +135,78 @@ def desk(commands: DataFrame, ttl: int = 900, most: int = 32) -> DataFrame:
     return folded(rows, "owner", ["at", "ord"], dict, step, OUTCOME)
 
 
-class Desk(StatefulProcessor):
-    """A desk's tickets as one list, oldest first; `most` bounds it. A timer for the youngest clears what is over."""
+class Desks(StatefulProcessor):
+    """The tickets of a bucket of desks, oldest first at each; `most` bounds a desk. A bucket's tickets are one value with one
+    timer for the youngest, so what a batch costs goes by its rows, and not by calls for each desk."""
 
     def __init__(self, ttl: int, most: int):
         self.ttl, self.most = ttl, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tickets = handle.getListState("tickets", "ticket string, status string, born long")
-
-    def held(self) -> dict[str, list]:
-        return {t: [status, born] for t, status, born in self.tickets.get()} if self.tickets.exists() else {}
-
-    def put(self, tickets: dict[str, list]) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if tickets:
-            self.tickets.put([(t, *rest) for t, rest in tickets.items()])
-            self.handle.registerTimer((max(born for _, born in tickets.values()) + self.ttl) * 1000)
+        self.tickets = handle.getValueState("tickets", "owners array<long>, counts array<long>, tickets array<string>, status array<string>, born array<long>")
+
+    def ends(self, desks: dict[int | None, dict[str, list]]) -> int | None:
+        """When the last ticket is over."""
+        return max(((born + self.ttl) * 1000 for tickets in desks.values() for _, born in tickets.values()), default=None)
+
+    def held(self) -> dict[int | None, dict[str, list]]:
+        if not self.tickets.exists():
+            return {}
+        owners, counts, *columns = self.tickets.get()
+        rows = zip(*columns, strict=True)
+        return {owner: {t: [status, born] for t, status, born in islice(rows, n)} for owner, n in zip(owners, counts, strict=True)}
+
+    def put(self, desks: dict[int | None, dict[str, list]], timer: int | None) -> None:
+        """Keeps the tickets of these desks and a timer for the last of them, in place of the one for `timer`."""
+        desks = {owner: tickets for owner, tickets in desks.items() if tickets}
+        last = self.ends(desks)
+        if timer != last:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if last is not None:
+                self.handle.registerTimer(last)
+        if desks:
+            rows = [(t, *rest) for tickets in desks.values() for t, rest in tickets.items()]
+            self.tickets.update((list(desks), [len(tickets) for tickets in desks.values()], *(list(c) for c in zip(*rows, strict=True))))
         else:
             self.tickets.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        tickets, out = self.held(), []
-        data = in_order(rows, "at", "ord")
-        for order, at, command, ticket in zip(*(data[c].tolist() for c in ("ord", "at", "command", "ticket")), strict=True):
+        desks = self.held()
+        timer, out = self.ends(desks), []
+        data = in_order(rows, "named", "owner", "at", "ord")
+        for named, owner, order, at, command, ticket in zip(*(data[c].tolist() for c in ("named", "owner", "ord", "at", "command", "ticket")), strict=True):
+            owner = owner if named else None
+            tickets = desks.setdefault(owner, {})
             outcome = at_desk(tickets, at, command, ticket, self.ttl, self.most)
-            out.append((key[0], order, ticket, outcome, len(tickets)))
-        self.put(tickets)
-        yield pd.DataFrame(out, columns=["owner", "ord", "ticket", "outcome", "live"])
+            out.append((owner, order, ticket, outcome, len(tickets)))
+        # no later row is older than the watermark
+        now = timerValues.getCurrentWatermarkInMs()
+        self.put({owner: self.left(tickets, now) for owner, tickets in desks.items()}, timer)
+        found = pd.DataFrame(out, columns=["owner", "ord", "ticket", "outcome", "live"])
+        yield found.assign(owner=pd.array([o[0] for o in out], "Int64"))
+
+    def left(self, tickets: dict[str, list], now: int) -> dict[str, list]:
+        """A desk's tickets that aren't over yet."""
+        return {t: v for t, v in tickets.items() if (v[1] + self.ttl) * 1000 > now}
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        self.put({t: v for t, v in self.held().items() if v[1] + self.ttl > now})
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self.put({owner: self.left(tickets, now) for owner, tickets in self.held().items()}, None)
         yield pd.DataFrame({"owner": [], "ord": [], "ticket": [], "outcome": [], "live": []}).astype({"owner": "int64", "ord": "int64", "ticket": "str", "outcome": "str", "live": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_desk(commands: DataFrame, ttl: int = 900, most: int = 32, late: str = "1 hour") -> DataFrame:
-    """desk() over a stream (owner, ts, ord, command, ticket)."""
+def stream_desk(commands: DataFrame, ttl: int = 900, most: int = 32, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
+    """desk() over a stream (owner, ts, ord, command, ticket). Desks are dealt into `buckets` by a hash; a bucket's rows of a batch
+    and its tickets are a task's at a time."""
     with_store(commands.sparkSession)
     rows = commands.select(F.col("owner").cast("long").alias("owner"), F.col("ts").cast("timestamp").alias("ts"), F.col("ord").cast("long").alias("ord"), "command", "ticket").withWatermark("ts", late)
-    return rows.withColumn("at", F.unix_seconds("ts")).groupBy("owner").transformWithStateInPandas(Desk(ttl, most), OUTCOME, "Append", "EventTime")
+    rows = rows.select(F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNotNull().alias("named"), "ts", "ord", "command", "ticket", F.unix_seconds("ts").alias("at"), F.pmod(F.xxhash64("owner"), F.lit(buckets)).alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Desks(ttl, most), OUTCOME, "Append", "EventTime")
 
 
 # ── streams in the order of time ──
@@ -199,7 +227,8 @@ def segmented(rows: DataFrame, time: str, segments: int) -> DataFrame:
     width = max(1, -(-((ends.b or 0) - (ends.a or 0) + 1) // segments))
     number = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - (ends.a or 0)) / width).cast("int")
     dealt = rows.withColumn("segment", number).repartition("segment")
-    dealt.write.partitionBy("segment").parquet(f"{path}/parts")
+    # groups of rows of bounded size, so that more than one task reads a segment
+    dealt.write.option("parquet.block.size", 8 << 20).partitionBy("segment").parquet(f"{path}/parts")
     # the file source goes by the files' times, so a segment's folder is made known after the one before it
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     p, stamp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 1_600_000_000_000
