@@ -120,7 +120,7 @@ def narration_blocks(spark, sf_dir):
 def narration_script(spark, sf_dir):
     """Every document, read as an article of paragraphs, as passages with offsets, pauses and pacing."""
     docs = src.articles(spark, sf_dir).select("id", "title", "site_name", "byline", x.plain_text_html(F.col("text_content")).alias("content_html"))
-    return narration.script(narration.blocks(docs))
+    return narration.script(narration.blocks(docs, cuts=(narration.TARGET, narration.MOST)))
 
 
 @query()
