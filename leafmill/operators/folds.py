@@ -71,9 +71,10 @@ def annotated(rows: DataFrame, keys: list[str], order: list, reads: list[str], s
     return in_batches(dealt.sortWithinPartitions(*keys, *order), walk, out_schema)
 
 
-def by_key(rows: DataFrame, keys: list[str], order: list, reads: list[str], each: Callable[..., list[tuple]], adds: str, parts: int | None = None) -> DataFrame:
+def by_key(rows: DataFrame, keys: list[str], order: list, reads: list[str], each: Callable[..., list[tuple]], adds: str, parts: int | None = None, together: bool = False) -> DataFrame:
     """Rows with further columns (`adds`) that each(list, list ...) makes of the columns in `reads` of all rows of a key, in order.
-    It is for keys whose rows are few, as a page's are: one key's numbers are Python's at a time."""
+    It is for keys whose rows are few, as a page's are: one key's numbers are Python's at a time. `together`: a key's rows are in
+    one partition as they come, so they aren't dealt again."""
     kinds = rows.sparkSession.createDataFrame([], adds).schema
     out_schema = StructType([*rows.schema.fields, *kinds.fields])
 
@@ -106,7 +107,7 @@ def by_key(rows: DataFrame, keys: list[str], order: list, reads: list[str], each
         if held:
             yield made(pa.concat_batches(held))
 
-    dealt = rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+    dealt = rows if together else rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
     return in_batches(dealt.sortWithinPartitions(*keys, *order), walk, out_schema)
 
 

@@ -127,3 +127,9 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
 def remove(spark: SparkSession, folder: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more. It goes by the driver's collections of
+    garbage, of which an idle driver has none for half an hour."""
+    spark.sparkContext._jvm.System.gc()
